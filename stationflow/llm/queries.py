@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_format, html_extract, langid, license_scan, media_audio
+from . import byte_bpe, chat_format, decontaminate, html_extract, jaccard_join, langid, license_scan, media_audio, quality_crf
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -20,6 +20,11 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_crf.score_documents(docs, quality_crf.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
@@ -31,6 +36,11 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(turns.unionByName(extra))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.join_components(table(spark, sf_dir, "documents"), n=4, t=(85, 100))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op8_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_audio.features(media_audio.store_texts(table(spark, sf_dir, "documents")))
 
@@ -39,7 +49,11 @@ def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_license_scan, op4_byte_bpe, op6_chat_format, op8_media_audio, op9_html_extract)}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_quality_crf, op4_byte_bpe, op6_chat_format, op7_jaccard_join, op8_media_audio, op9_html_extract, op10_decontaminate)}
 
 # The escape codes of chat_format as DuckDB expressions: heads, texts and both marks of a turn.
 _ESC = "replace(replace(replace({0}, '\\', '\\b'), '<', '\\l'), '[', '\\s')"
