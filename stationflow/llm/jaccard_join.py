@@ -250,7 +250,13 @@ def join_components(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
-    """The documents that are the smallest id of their component, with all their columns; equal rows of one id stay one."""
-    first = join_components(docs, n, t).where("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("kept_id")).distinct()
+    """The documents that are the smallest id of their component, with all their columns.
+
+    Rows that repeat an id and a text stay once; documents without words all stay.
+    """
+    found = join_components(docs, n, t)
+    first = found.where("doc_id = component_id OR doc_id IS NULL AND component_id IS NULL").select(F.col("doc_id").alias("kept_id")).distinct()
     kept = docs.join(first, docs["doc_id"].eqNullSafe(first["kept_id"]), "left_semi")
-    return kept
+    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.dropDuplicates(["doc_id", "text"])

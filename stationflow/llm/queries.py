@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_format, decontaminate, html_extract, jaccard_join, langid, license_scan, media_audio, quality_crf
+from . import byte_bpe, chat_format, decontaminate, html_extract, jaccard_join, langid, license_scan, media_audio, quality_crf, run_index
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -29,6 +29,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op5_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_index.dedup_digests(table(spark, sf_dir, "documents"), length=50)
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).selectExpr("-1L AS conv_id", "id AS turn", "IF(id = 0, 'user', 'assistant') AS role", f"'{said}' AS text")
@@ -53,7 +57,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_quality_crf, op4_byte_bpe, op6_chat_format, op7_jaccard_join, op8_media_audio, op9_html_extract, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_quality_crf, op4_byte_bpe, op5_run_index, op6_chat_format, op7_jaccard_join, op8_media_audio, op9_html_extract, op10_decontaminate)}
 
 # The escape codes of chat_format as DuckDB expressions: heads, texts and both marks of a turn.
 _ESC = "replace(replace(replace({0}, '\\', '\\b'), '<', '\\l'), '[', '\\s')"
