@@ -132,7 +132,9 @@ class Index:
         if not hits:
             return found
         position, spans = np.concatenate([p for p, _ in hits]), np.concatenate([s for _, s in hits])
-        order = np.argsort(doc_of[position], kind="stable") if len(position) else position
+        if not len(position):
+            return found
+        order = np.argsort(doc_of[position], kind="stable")
         position, spans = position[order], spans[order]
         docs, begin = np.unique(doc_of[position], return_index=True)
         for d, a, b in zip(docs.tolist(), begin, np.append(begin[1:], len(position)), strict=True):
