@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import row_slices
 
@@ -136,7 +137,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             flat = np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], [*columns, "token_ids"])
 
-    schema = docs.select(columns).schema.add("token_ids", "array<int>")
+    schema = docs.select(columns).schema.add("token_ids", ArrayType(IntegerType()))
     return docs.select(columns).mapInArrow(run, schema)
 
 
