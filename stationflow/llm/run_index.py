@@ -30,17 +30,20 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_lists, cut, row_slices, text_buffers
+from .common import byte_lists, give_back_memory, row_slices, stored, text_buffers
 from .words import mix, powers
 
 #: Most windows of a phrase (a 64-bit mask holds their marks).
 PHRASE = 64
+#: Bytes of text that are packed together.
+PACKED_BYTES = 12 << 20
 #: Bytes of phrases that one block of the index holds, and packed phrases that one bucket should hold.
-INDEX_BYTES, BUCKET = 4 << 20, 1 << 20
+INDEX_BYTES, BUCKET = 1 << 20, 1 << 20
 LAST = (1 << 63) - 1
 
 
@@ -121,44 +124,53 @@ def short_anchor(anchor: np.ndarray) -> np.ndarray:
 
 
 def short_content(content: np.ndarray) -> np.ndarray:
-    return content >> np.uint64(16)
+    return content >> np.uint64(24)
 
 
-def phrase_keys(anchor: np.ndarray, content: np.ndarray) -> np.ndarray:
-    """One 64-bit name per (anchor, content), from the numbers that were packed."""
-    with np.errstate(over="ignore"):
-        return mix(mix(anchor) + content * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+#: Bytes of a packed phrase: anchor, content, flanks, windows; then the first window (3 or 4) and the document's number (2 or 4).
+_PARTS = (5, 5, 2, 1)
 
 
-def _pack(anchor: np.ndarray, content: np.ndarray, doc: np.ndarray, flanks: np.ndarray, ids: np.ndarray) -> bytes:
-    """40 bits of anchor, 48 bits of content, two flanks and a document number each, after the documents' ids."""
+def _pack(anchor: np.ndarray, content: np.ndarray, doc: np.ndarray, flanks: np.ndarray, first: np.ndarray, n: np.ndarray, ids: np.ndarray, tags: np.ndarray) -> bytes:
+    """40 bits of anchor, 40 bits of content, flanks, place and a document number each, after the documents' ids and tags."""
     own, at = np.unique(doc, return_inverse=True)
-    wide = len(own) > 65535
-    a, c = anchor.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5], content.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-    head = np.array([len(own), len(anchor), wide], "<i8").tobytes()
-    return head + ids[own].astype("<i8").tobytes() + np.ascontiguousarray(a).tobytes() + np.ascontiguousarray(c).tobytes() + flanks.tobytes() + at.astype("<u4" if wide else "<u2").tobytes()
+    many, far = len(own) > 65535, bool(len(first)) and int(first.max()) >= 1 << 24
+    columns = (anchor.astype("<u8"), content.astype("<u8"), flanks, n.astype(np.uint8), first.astype("<u4"))
+    parts = [np.ascontiguousarray(x.view(np.uint8).reshape(len(anchor), -1)[:, :size]).tobytes() for x, size in zip(columns, (*_PARTS, 3 + far), strict=True)]
+    head = np.array([len(own), len(anchor), many, far], "<i8").tobytes()
+    return b"".join([head, ids[own].astype("<i8").tobytes(), tags[own].astype("<i4").tobytes(), *parts, at.astype("<u4" if many else "<u2").tobytes()])
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    n_docs, n, wide = np.frombuffer(blob, "<i8", 3).tolist()
-    raw, at = np.frombuffer(blob, np.uint8), 24 + 8 * n_docs
-    anchor, content = np.zeros((n, 8), np.uint8), np.zeros((n, 8), np.uint8)
-    anchor[:, :5] = raw[at : at + 5 * n].reshape(-1, 5)
-    content[:, :6] = raw[at + 5 * n : at + 11 * n].reshape(-1, 6)
-    flanks = raw[at + 11 * n : at + 13 * n].reshape(-1, 2)
-    doc = np.frombuffer(raw[at + 13 * n :].tobytes(), "<u4" if wide else "<u2")
-    return anchor.view("<u8")[:, 0], content.view("<u8")[:, 0], np.frombuffer(blob, "<i8", n_docs, 24)[doc], flanks
-
-
-def _order(anchor: np.ndarray, content: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """The order by (anchor, content, document); only entries that tie on 64 bits are compared further."""
-    key = anchor << np.uint64(24) | content >> np.uint64(24)
+    """(anchor, content with flanks and windows, document id, flanks, span) of a packed block; a span is tag, first window and windows in one number."""
+    n_docs, n, many, far = np.frombuffer(blob, "<i8", 4).tolist()
+    raw, at, columns = np.frombuffer(blob, np.uint8), 32 + 12 * n_docs, []
+    for size in (*_PARTS, 3 + far):
+        columns.append(raw[at : at + size * n].reshape(n, size))
+        at += size * n
+
+    def number(x: np.ndarray) -> np.ndarray:
+        out = np.zeros((n, 8), np.uint8)
+        out[:, : x.shape[1]] = x
+        return out.view("<u8")[:, 0]
+
+    doc = np.frombuffer(raw[at:].tobytes(), "<u4" if many else "<u2")
+    tag = np.frombuffer(blob, "<i4", n_docs, 32 + 8 * n_docs)[doc].astype(np.int64)
+    span = tag << 40 | (number(columns[4]) << np.uint64(8)).view(np.int64) | columns[3][:, 0]
+    # equal phrases have equal flanks and windows too
+    content = number(columns[1]) << np.uint64(24) | number(np.concatenate([columns[3], columns[2]], 1))
+    return number(columns[0]), content, np.frombuffer(blob, "<i8", n_docs, 32)[doc], columns[2], span
+
+
+def _order(anchor: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """The order by (anchor, content); only entries that tie on 64 bits are compared further."""
+    key = anchor << np.uint64(24) | content >> np.uint64(40)
     order = np.argsort(key)
     same = key[order][1:] == key[order][:-1]
     tied = np.flatnonzero(np.append(same, False) | np.append(False, same))
     if len(tied):
         own = order[tied]
-        order[tied] = own[np.lexsort((doc[own], content[own], key[own]))]
+        order[tied] = own[np.lexsort((content[own], key[own]))]
     return order
 
 
@@ -173,130 +185,129 @@ def _spread(group: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def judge(anchor: np.ndarray, content: np.ndarray, doc: np.ndarray, flanks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, phrase key, mask): -1 where a smaller document has the whole phrase, 0 where the index must tell.
+def judge(anchor: np.ndarray, content: np.ndarray, doc: np.ndarray, flanks: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, span, mask, anchor): mask -1 where a smaller document has the whole phrase, 0 where the index must tell.
 
     The index must tell the smallest document of a phrase if other phrases of other documents
     have its anchor and agree on a flank.
     """
     if not len(anchor):
-        return doc, np.zeros(0, np.int64), doc
-    order = _order(anchor, content, doc)
-    anchor, content, doc, flanks = anchor[order], content[order], doc[order], flanks[order]
+        return doc, span, doc, doc
+    order = _order(anchor, content)
+    anchor, content, doc, flanks, span = anchor[order], content[order], doc[order], flanks[order], span[order]
     new_a = np.ones(len(anchor), bool)
     new_a[1:] = anchor[1:] != anchor[:-1]
     new_c = new_a.copy()
     new_c[1:] |= content[1:] != content[:-1]
     head = np.flatnonzero(new_c)
-    whole = doc > np.repeat(doc[head], np.diff(np.append(head, len(doc))))
+    size = np.diff(np.append(head, len(doc)))
+    least = np.minimum.reduceat(doc, head)
     of_a = (np.cumsum(new_a) - 1)[head]
-    several = head[np.bincount(of_a)[of_a] > 1]
-    group, side, own = anchor[several], flanks[several], doc[several]
+    several = np.flatnonzero(np.bincount(of_a)[of_a] > 1)
+    group, side, own = anchor[head[several]], flanks[head[several]], least[several]
     told = np.zeros(len(several), bool)
     with np.errstate(over="ignore"):
         for i in (0, 1):
-            value = np.where((side[:, i] == 0), np.uint64(1000) + np.arange(len(side), dtype=np.uint64), side[:, i])
-            told |= _spread(mix(group * np.uint64(2) + np.uint64(i)) + mix(value.astype(np.uint64)), own)
+            value = np.where(side[:, i] == 0, np.uint64(1000) + np.arange(len(side), dtype=np.uint64), side[:, i].astype(np.uint64))
+            told |= _spread(mix(group * np.uint64(2) + np.uint64(i)) + mix(value), own)
     loose = (side == 255).any(1)
     told |= np.isin(group, group[loose]) & _spread(group, own)
-    unsure = np.zeros(len(doc), bool)
-    unsure[several[told]] = True
-    fresh = np.ones(len(doc), bool)  # a phrase that repeats within a document is told once
-    fresh[1:] = new_c[1:] | (doc[1:] != doc[:-1])
-    keep = (whole | unsure) & fresh
-    return doc[keep], phrase_keys(anchor[keep], content[keep]), np.where(whole[keep], -1, 0)
+    open_ = np.zeros(len(head), bool)
+    open_[several[told]] = True
+    whole = doc > np.repeat(least, size)
+    keep = whole | np.repeat(open_, size)
+    return doc[keep], span[keep], np.where(whole[keep], -1, 0), anchor[keep].view(np.int64)
 
 
 class RunLengthIndex:
-    """Run-compressed BWT of some texts, each ended by its own separator, in the order given."""
+    """Run-compressed BWT of some texts, each ended by its own separator, in the order given.
+
+    ``length`` is at least 7. Symbols are bytes plus 1, separators are 0 and sort in text order.
+    """
 
     def __init__(self, texts: list[bytes], docs: np.ndarray, length: int):
         self.length, self.n_texts = length, len(texts)
-        sizes = np.array([len(t) for t in texts], np.int64)
-        self.ends = np.cumsum(sizes + 1) - 1
-        n = int(self.ends[-1]) + 1 if len(texts) else 0
-        symbol = np.zeros(n, np.int64)
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        ends = np.cumsum(self.sizes + 1) - 1
+        n = int(ends[-1]) + 1 if len(texts) else 0
+        symbol = np.zeros(n, np.uint16)
         inside = np.ones(n, bool)
-        inside[self.ends] = False
-        symbol[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + len(texts)
-        symbol[self.ends] = np.arange(len(texts))
-        self.sizes, self.text = sizes, symbol
-        rows, at_length = self._sort(symbol, length)
-        before = symbol[rows - 1]  # row 0's predecessor is the last separator
-        head = np.flatnonzero(np.diff(before, prepend=-1))
+        inside[ends] = False
+        symbol[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint16) + 1
+        self.text = symbol
+        rows, at_length = self._sort(symbol, np.repeat(ends, self.sizes + 1) - np.arange(n), length)
+        before = symbol[rows - 1]  # what a separator stands before is never stepped over
+        head = np.flatnonzero(np.diff(before.astype(np.int32), prepend=-1))
+        lengths = np.diff(np.append(head, n))
         self.run_start, self.run_symbol = head, before[head]
         self.run_first, self.run_last = rows[head], rows[np.append(head[1:], n) - 1]  # suffix-array samples at run ends
-        lengths = np.diff(np.append(head, n))
         order = np.argsort(self.run_symbol, kind="stable")
         self.run_target = np.empty(len(head), np.int64)  # where the first row of each run steps to
         self.run_target[order] = np.concatenate([[0], np.cumsum(lengths[order])[:-1]]) if len(head) else 0
         self.by_symbol, self.sorted_symbols = order, self.run_symbol[order]
-        doc_of = np.repeat(np.asarray(docs), sizes + 1)[rows]
-        self.class_start = np.flatnonzero(~at_length)
-        self.class_least = np.minimum.reduceat(doc_of, self.class_start) if n else doc_of
+        self.run_of = np.repeat(np.arange(len(head)), lengths)  # a block is small, so runs are found by lookup
+        doc_of = np.repeat(np.asarray(docs), self.sizes + 1)[rows]
+        start = np.flatnonzero(~at_length)
+        self.class_least = np.minimum.reduceat(doc_of, start) if n else doc_of
+        self.class_of = np.cumsum(~at_length) - 1
 
     @staticmethod
-    def _sort(symbol: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """(suffix array, whether a row shares ``length`` symbols with the row before); separators end suffixes."""
+    def _sort(symbol: np.ndarray, left: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(suffix array, whether a row shares ``length`` bytes with the row before), by prefix doubling from 7 bytes on.
+
+        ``left``: bytes up to the suffix's separator. Suffixes that are equal up to their separators stand in text order.
+        """
         n = len(symbol)
         if not n:
             return np.zeros(0, np.int64), np.zeros(0, bool)
-
-        def ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            order = np.argsort(key, kind="stable")
-            new = np.ones(n, bool)
-            new[1:] = key[order][1:] != key[order][:-1]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
-            return order, rank
-
-        wide = int(symbol.max()) + 2
-        key = symbol + 1
-        for i in (1, 2):
-            key = key * wide + np.append(symbol[i:] + 1, np.zeros(i, np.int64))[:n]
-        order, rank = ranked(key)
-        depth, kept, kept_depth = 3, rank, 3
+        key, wide = np.zeros(n, np.int64), np.append(symbol, np.zeros(7, np.uint16)).astype(np.int64)
+        for i in range(7):
+            key = key << 9 | np.where(left > i, wide[i : i + n], 0)
+        order = np.argsort(key, kind="stable")
+        new = left[order] < 7
+        new[1:] |= key[order][1:] != key[order][:-1]
+        new[0] = True
+        rank = np.empty(n, np.int64)
+        rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
+        depth, kept, kept_depth = 7, rank, 7
         while True:
             if depth <= length:
                 kept, kept_depth = rank.copy(), depth
-            _, first, count = np.unique(rank, return_index=True, return_counts=True)
-            if len(first) == n:
+            loose = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)  # only suffixes that still tie are sorted again
+            if not len(loose):
                 break
-            size = np.zeros(n, np.int64)
-            size[rank[first]] = count
-            loose = np.flatnonzero(size[rank] > 1)  # only suffixes that still tie are sorted again
-            follow = np.where(loose + depth < n, rank[np.minimum(loose + depth, n - 1)] + 1, 0)
-            own = np.lexsort((follow, rank[loose]))
-            r, f = rank[loose][own], follow[own]
-            new_group = np.ones(len(own), bool)
-            new_group[1:] = r[1:] != r[:-1]
-            new = new_group.copy()
-            new[1:] |= f[1:] != f[:-1]
-            place = np.arange(len(own)) - np.flatnonzero(new_group)[np.cumsum(new_group) - 1]
-            rank = rank.copy()
+            ended = left[loose] < 2 * depth
+            pair = rank[loose] * n + rank[loose + depth]
+            own = np.argsort(pair, kind="stable")
+            r, p, e = rank[loose][own], pair[own], ended[own]
+            group = np.ones(len(own), bool)
+            group[1:] = r[1:] != r[:-1]
+            new = group | e
+            new[1:] |= p[1:] != p[:-1]
+            place = np.arange(len(own)) - np.flatnonzero(group)[np.cumsum(group) - 1]
             rank[loose[own]] = r + place[np.flatnonzero(new)[np.cumsum(new) - 1]]
             depth *= 2
-        rows = np.argsort(rank)
-        # a power-of-two multiple of 3 at least half of ``length`` is at hand, so two overlapping parts cover it
-        more = length - kept_depth
-        other = kept[np.minimum(rows + more, n - 1)]
+        rows = np.empty(n, np.int64)
+        rows[rank] = np.arange(n)
+        # two blocks of a doubled depth that overlap cover ``length`` bytes
+        first, second = kept[rows], kept[np.minimum(rows + length - kept_depth, n - 1)]
+        far = left[rows] >= length
         same = np.zeros(n, bool)
-        if kept_depth * 2 >= length:
-            same[1:] = (kept[rows][1:] == kept[rows][:-1]) & (other[1:] == other[:-1]) & (np.maximum(rows[1:], rows[:-1]) + length <= n)
+        same[1:] = (first[1:] == first[:-1]) & (second[1:] == second[:-1]) & far[1:] & far[:-1]
         return rows, same
 
     def step(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(symbol before, row after one backward step) of some rows."""
-        run = np.searchsorted(self.run_start, rows, side="right") - 1
+        run = self.run_of[rows]
         return self.run_symbol[run], self.run_target[run] + rows - self.run_start[run]
 
     def least_documents(self, rows: np.ndarray) -> np.ndarray:
         """The smallest document of each row's class: of all places that share ``length`` bytes with it."""
-        return self.class_least[np.searchsorted(self.class_start, rows, side="right") - 1]
+        return self.class_least[self.class_of[rows]]
 
     def jump(self, rows: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For rows whose run has another symbol: the nearest run ends with ``symbols`` above and below, and whether each exists."""
-        run = np.searchsorted(self.run_start, rows, side="right") - 1
+        run = self.run_of[rows]
         low, high = np.searchsorted(self.sorted_symbols, symbols, "left"), np.searchsorted(self.sorted_symbols, symbols, "right")
         at = np.array([lo + np.searchsorted(self.by_symbol[lo:hi], r) for lo, hi, r in zip(low, high, run, strict=True)], np.int64)
         above = np.where(at > low, self.by_symbol[np.maximum(at - 1, 0)], -1)
@@ -315,7 +326,7 @@ class RunLengthIndex:
         Goes backwards; where the row's symbol differs it jumps to the nearer end of a neighbouring
         run of that symbol, whichever sampled suffix shares more with what follows.
         """
-        codes = np.frombuffer(pattern, np.uint8).astype(np.int64) + self.n_texts
+        codes = np.frombuffer(pattern, np.uint8).astype(np.int64) + 1
         lengths, places = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
         row = place = length = 0
         for i in range(len(codes) - 1, -1, -1):
@@ -346,7 +357,7 @@ class RunLengthIndex:
         """The text position of a row, by stepping back to a separator or a sampled run start."""
         steps = 0
         while True:
-            run = int(np.searchsorted(self.run_start, row, side="right")) - 1
+            run = int(self.run_of[row])
             if self.run_start[run] == row:
                 return int(self.run_first[run]) + steps
             row = int(self.step(np.array([row]))[1][0])
@@ -374,40 +385,47 @@ class RunLengthIndex:
         return out.view(np.int64)
 
 
+def _tag():
+    """Tells rows of one id with different texts apart (a 23-bit hash of the text)."""
+    return F.expr(f"xxhash64(text) & {(1 << 23) - 1}L").alias("tag")
+
+
 def _document(doc_id: str = "doc_id"):
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc")
 
 
 def _packed_texts(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns``, doc and the compressed text; this is what is shuffled when a text must move."""
-    schema = docs.select(*columns).schema.add("doc", "long").add("packed", "binary")
+    """``columns``, doc, tag and the compressed text; this is what is shuffled when a text must move."""
+    schema = docs.select(*columns).schema.add("doc", "long").add("tag", "long").add("packed", "binary")
 
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([squeeze.compress(x) for x in byte_lists(b.columns[-1])], pa.binary())], schema.names)
 
-    return docs.select(*columns, _document(), "text").mapInArrow(run, schema)
+    return docs.select(*columns, _document(), _tag(), "text").mapInArrow(run, schema)
 
 
 def _first_round(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(doc, key, mask) of the phrases that are gone (-1) or must be indexed (0)."""
+    """(doc, span, mask, anchor) of the phrases that are gone (-1) or must be indexed (0)."""
 
     def pack(batches):
         for b in batches:
-            raw, offsets = text_buffers(b.column(1))
-            ids = b.column(0).to_numpy()
-            found = [(a, c, d + i, s) for i, j in row_slices(offsets) for a, c, d, _, _, s in [phrases(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, True)]]
-            if not found:
-                continue
-            a, c, d, s = (np.concatenate(x) for x in zip(*found, strict=True))
-            a, c = short_anchor(a), short_content(c)
-            bucket = (a % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            full = [k for k in range(buckets) if cuts[k + 1] > cuts[k]]
-            blobs = [_pack(a[o], c[o], d[o], s[o], ids) for k in full for o in [order[cuts[k] : cuts[k + 1]]]]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            raw, offsets = text_buffers(b.column(2))
+            ids, tags = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
+            for low, high in row_slices(offsets, PACKED_BYTES):
+                own = offsets[low : high + 1] - offsets[low]
+                part = raw[offsets[low] : offsets[high]]
+                found = [(a, c, d + i, f, n, s) for i, j in row_slices(own) for a, c, d, f, n, s in [phrases(part[own[i] : own[j]], own[i : j + 1] - own[i], length, True)]]
+                a, c, d, f, n, s = (np.concatenate(x) for x in zip(*found, strict=True))
+                a, c = short_anchor(a), short_content(c)
+                bucket = (a % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                full = [k for k in range(buckets) if cuts[k + 1] > cuts[k]]
+                blobs = [_pack(a[o], c[o], d[o], s[o], f[o], n[o], ids[low:high], tags[low:high]) for k in full for o in [order[cuts[k] : cuts[k + 1]]]]
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+        give_back_memory()
 
     def unpack(batches):
         held: dict[int, list[bytes]] = {}
@@ -415,90 +433,87 @@ def _first_round(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 held.setdefault(k, []).append(blob)
         for k in list(held):
-            doc, key, mask = judge(*(np.concatenate(x) for x in zip(*map(_unpack, held.pop(k)), strict=True)))
-            by_doc = np.argsort(doc, kind="stable")
-            for i in range(0, len(doc), 1 << 18):
-                o = by_doc[i : i + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.array(x[o]) for x in (doc, key, mask)], ["doc", "key", "mask"])
+            told = judge(*(np.concatenate(x) for x in zip(*map(_unpack, held.pop(k)), strict=True)))
+            by_doc = np.argsort(told[0])
+            for i in range(0, len(by_doc), 1 << 17):
+                o = by_doc[i : i + (1 << 17)]
+                yield pa.RecordBatch.from_arrays([pa.array(x[o]) for x in told], ["doc", "span", "mask", "anchor"])
+        give_back_memory()
 
-    dealt = docs.select(_document(), "text").mapInArrow(pack, "bucket int, blob binary").repartition(buckets, "bucket")
-    return dealt.mapInArrow(unpack, "doc bigint, key bigint, mask bigint")
+    dealt = docs.select(_document(), F.coalesce(_tag(), F.lit(0)).alias("tag"), "text").mapInArrow(pack, "bucket int, blob binary").repartition(buckets, "bucket")
+    return dealt.mapInArrow(unpack, "doc bigint, span bigint, mask bigint, anchor bigint")
 
 
 def _second_round(packed: DataFrame, unsure: DataFrame, length: int) -> DataFrame:
-    """(doc, key, mask) of the phrases whose windows the index has marked."""
-    wanted = unsure.groupBy("doc").agg(F.collect_set("key").alias("keys"))
+    """(doc, span, mask) of the phrases whose windows the index has marked."""
+    wanted = unsure.groupBy("doc").agg(F.collect_list(F.struct("anchor", "span")).alias("spans"))
 
     def fetch(batches):
+        open_ = zstandard.ZstdDecompressor()
         for b in batches:
-            open_ = zstandard.ZstdDecompressor()
-            rows: list[tuple[int, int, int, bytes]] = []
-            for doc, blob, keys in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                raw = np.frombuffer(open_.decompress(blob), np.uint8)
-                a, c, _, first, n, _ = phrases(raw, np.array([0, len(raw)]), length)
-                a, c = short_anchor(a), short_content(c)
-                key, at = np.unique(phrase_keys(a, c), return_index=True)
-                at = at[np.isin(key, keys.values.to_numpy())]
-                own = phrase_keys(a[at], c[at])
-                data = raw.tobytes()
-                rows += [(int(x), doc, int(k), data[f : f + w + length - 1]) for x, k, f, w in zip(a[at].astype(np.int64), own, first[at], n[at], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i == 3 else pa.int64()) for i in range(4)], ["anchor", "doc", "key", "phrase"])
+            columns: list[list] = [[], [], [], []]
+            for doc, tag, blob, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+                data = open_.decompress(blob)
+                found = spans.values.filter(pc.equal(pc.shift_right(spans.values.field(1), 40), tag or 0))
+                anchor, span = found.field(0).to_pylist(), found.field(1).to_pylist()
+                columns[0] += anchor
+                columns[1] += [doc] * len(span)
+                columns[2] += span
+                columns[3] += [data[at : at + (x & 255) + length - 1] for x in span for at in [x >> 8 & 0xFFFFFFFF]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 3 else pa.int64()) for i, c in enumerate(columns)], ["anchor", "doc", "span", "phrase"])
+        give_back_memory()
 
     def index(batches):
-        docs, keys, texts, size, last = [], [], [], 0, None
+        docs, spans, texts, size, last = [], [], [], 0, None
 
         def emit():
             order = np.argsort(np.array(docs), kind="stable")
             own = np.array(docs, np.int64)[order]
             mask = RunLengthIndex([texts[i] for i in order], own, length).marks(own)
             hit = mask != 0
-            return pa.RecordBatch.from_arrays([pa.array(own[hit]), pa.array(np.array(keys, np.int64)[order][hit]), pa.array(mask[hit])], ["doc", "key", "mask"])
+            return pa.RecordBatch.from_arrays([pa.array(own[hit]), pa.array(np.array(spans, np.int64)[order][hit]), pa.array(mask[hit])], ["doc", "span", "mask"])
 
         for b in batches:
-            for anchor, doc, key, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for anchor, doc, span, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if size >= INDEX_BYTES and anchor != last:
                     yield emit()
-                    docs, keys, texts, size = [], [], [], 0
+                    docs, spans, texts, size = [], [], [], 0
                 docs.append(doc)
-                keys.append(key)
+                spans.append(span)
                 texts.append(text)
                 size += len(text) + 1
                 last = anchor
         if docs:
             yield emit()
+        docs, spans, texts = [], [], []
+        give_back_memory()
 
-    fetched = packed.join(wanted, "doc").select("doc", "packed", "keys").mapInArrow(fetch, "anchor bigint, doc bigint, key bigint, phrase binary")
-    return fetched.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(index, "doc bigint, key bigint, mask bigint")
+    fetched = packed.join(wanted, "doc").select("doc", "tag", "packed", "spans").mapInArrow(fetch, "anchor bigint, doc bigint, span bigint, phrase binary")
+    return fetched.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(index, "doc bigint, span bigint, mask bigint")
 
 
-def find_marks(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """(doc, marks: array of (key, mask)) of every document that loses bytes, and the packed texts' plan."""
+def find_marks(docs: DataFrame, length: int) -> DataFrame:
+    """(doc, marks: array of (span, mask)) of every document that loses bytes."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(32, -(-int(total) * 2 // ((length - length // 3 + 2) * BUCKET)))
-    first = cut(_first_round(docs, length, buckets))
+    first = stored(_first_round(docs, length, buckets))
     unsure = first.where("mask = 0")
     second = _second_round(_packed_texts(docs, []), unsure, length)
-    marks = cut(first.where("mask != 0").union(second).groupBy("doc").agg(F.collect_list(F.struct("key", "mask")).alias("marks")))
-    return marks
-
-
-def covered(raw: np.ndarray, keys: np.ndarray, masks: np.ndarray, length: int) -> np.ndarray:
-    """Which bytes of one text go, from the marks of its phrases."""
-    out = np.zeros(len(raw) + 1, np.int32)
-    a, c, _, first, n, _ = phrases(raw, np.array([0, len(raw)]), length)
-    if not len(a) or not len(keys):
-        return out[:-1].astype(bool)
-    order = np.argsort(keys, kind="stable")
-    keys, masks = keys[order], masks[order]
-    own = phrase_keys(short_anchor(a), short_content(c))
-    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-    hit = keys[at] == own
-    if not hit.any():
-        return out[:-1].astype(bool)
-    first, n, mask = first[hit], n[hit], masks[at[hit]].view(np.uint64)
+    gone = first.where("mask != 0").select("doc", "span", "mask").union(second)
+    return gone.groupBy("doc").agg(F.collect_list(F.struct("span", "mask")).alias("marks"))
+
+
+def covered(size: int, tag: int, spans: np.ndarray, masks: np.ndarray, length: int) -> np.ndarray:
+    """Which bytes of a text of ``size`` bytes go, from the marks of its phrases."""
+    out = np.zeros(size + 1, np.int32)
+    own = spans >> 40 == tag  # rows of one id with other texts have marks of their own
+    first, n, mask = spans[own] >> 8 & 0xFFFFFFFF, spans[own] & 255, masks[own].view(np.uint64)
+    full = mask == np.uint64(LAST * 2 + 1)
+    np.add.at(out, first[full], 1)
+    np.add.at(out, first[full] + n[full] + length - 1, -1)
     place = np.arange(PHRASE, dtype=np.int64)
-    gone = (mask[:, None] >> place.astype(np.uint64) & np.uint64(1)).astype(bool) & (place < n[:, None])
-    starts = (first[:, None] + place)[gone]
+    gone = (mask[~full][:, None] >> place.astype(np.uint64) & np.uint64(1)).astype(bool) & (place < n[~full][:, None])
+    starts = (first[~full][:, None] + place)[gone]
     np.add.at(out, starts, 1)
     np.add.at(out, starts + length, -1)
     return np.cumsum(out[:-1]) > 0
@@ -516,46 +531,47 @@ def dedup_digests(docs: DataFrame, length: int) -> DataFrame:
         open_ = zstandard.ZstdDecompressor()
         for b in batches:
             rows = []
-            for doc_id, blob, marks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            for doc_id, tag, blob, marks in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), strict=True):
                 raw = np.frombuffer(open_.decompress(blob), np.uint8)
                 if marks.is_valid and len(raw) >= length:
-                    gone = covered(raw, *(marks.values.field(i).to_numpy() for i in (0, 1)), length)
+                    gone = covered(len(raw), tag or 0, *(marks.values.field(i).to_numpy() for i in (0, 1)), length)
                     rows.append((doc_id, len(raw), int(gone.sum()), int(np.count_nonzero(np.diff(gone.view(np.int8), prepend=np.int8(0)) == 1)), hashlib.sha256(raw[~gone].tobytes()).hexdigest()))
                 else:
                     rows.append((doc_id, len(raw), 0, 0, hashlib.sha256(raw.tobytes()).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string() if i == 4 else pa.int64()) for i in range(5)], names)
 
     marked = _with_marks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], length)
-    return marked.select("doc_id", "packed", "marks").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return marked.select("doc_id", "tag", "packed", "marks").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, length: int) -> DataFrame:
     """The documents with repeated strings cut out of ``text``, with all their columns.
 
-    A character goes only if all its bytes go, so texts stay valid; ``n_chars`` follows where it is there.
+    A character goes only if all its bytes go, so texts stay valid; ``n_chars`` follows
+    where it is there (a null text keeps its own).
     """
-    columns = [c for c in docs.columns if c != "text"]
-    schema, at = docs.schema, {c: i for i, c in enumerate(columns)}
+    others = [c for c in docs.columns if c != "text"]
+    schema = docs.schema
 
     def run(batches):
         open_ = zstandard.ZstdDecompressor()
         for b in batches:
             texts = []
-            for blob, marks, null in zip(b.column(len(columns)).to_pylist(), b.column(len(columns) + 1), b.column(len(columns) + 2).to_pylist(), strict=True):
+            for null, tag, blob, marks in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), b.column(4), strict=True):
                 raw = np.frombuffer(open_.decompress(blob), np.uint8)
                 if marks.is_valid and len(raw) >= length:
-                    gone = covered(raw, *(marks.values.field(i).to_numpy() for i in (0, 1)), length)
+                    gone = covered(len(raw), tag or 0, *(marks.values.field(i).to_numpy() for i in (0, 1)), length)
                     of = np.cumsum((raw & 0xC0) != 0x80) - 1
                     whole = np.bincount(of, ~gone) == 0
                     raw = raw[~whole[of]]
                 texts.append(None if null else raw.tobytes().decode("utf-8", "replace"))
-            own = {c: b.column(at[c]) for c in columns} | {"text": pa.array(texts, schema_types["text"])}
+            own = dict(zip(others, b.column(0).flatten(), strict=True)) | {"text": pa.array(texts, pa.string())}
             if "n_chars" in own:
-                changed = pa.array([None if t is None else len(t) for t in texts], pa.int64())
-                own["n_chars"] = changed.cast(b.column(at["n_chars"]).type)
+                counts = [n if t is None else len(t) for t, n in zip(texts, own["n_chars"].to_pylist(), strict=True)]
+                own["n_chars"] = pa.array(counts, own["n_chars"].type)
             yield pa.RecordBatch.from_arrays([own[c] for c in schema.names], schema.names)
 
-    schema_types = {"text": pa.string()}
-    plain = docs.withColumn("no_text__", F.col("text").isNull())
-    marked = _with_marks(plain, [*columns, "no_text__"], length)
-    return marked.select(*columns, "packed", "marks", "no_text__").mapInArrow(run, schema)
+    # the other columns travel in one struct, so none of their names can clash
+    plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("others"), F.col("text").isNull().alias("no_text"), "doc_id", "text")
+    marked = _with_marks(plain, ["others", "no_text"], length)
+    return marked.select("others", "no_text", "tag", "packed", "marks").mapInArrow(run, schema)
