@@ -12,9 +12,11 @@ one class from the start. Two sets link when their Jaccard similarity reaches th
 * The boundary is the largest size at which enumeration still emits no more keys than scanning
   would read list entries, from the sizes and list lengths of the data.
 
-Only components are needed, so each key first links its members to its smallest set; then
-members of different components are compared pairwise, and a long list of one component costs
-nothing more. Every candidate pair is verified on the whole sets.
+Only components are needed, so in a few rounds each list first compares its members with one
+leader; then members of different components are compared pairwise, and a long list of one
+component costs nothing more. A pair is a candidate only if the parity sketches of its sets allow
+it: their Hamming distance never exceeds the symmetric difference, so no link is lost. Every
+candidate pair is verified on the whole sets.
 
 Defined results: null texts and texts without words have an empty set and link with nothing;
 documents with 1 to n - 1 words have their whole sequence as one shingle; rows that repeat are
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, row_slices, text_buffers
+from .common import cut, row_slices, stored, text_buffers
 from .components import components
 from .words import WHITE, document_words, mix, shingle_hashes
 
@@ -42,6 +44,8 @@ FREQUENT = 65_536
 COUNTED, SHARED = 1 << 21, 3
 #: Sizes beyond this are never enumerated; keeps the number of subsets of one set in the hundreds.
 LIGHT_MOST = 24
+#: 64-bit words of a set's parity sketch, and rounds of comparing lists with their leaders.
+SKETCH, ROUNDS = 4, 1
 #: Bits of the filter of documents whose sets are fetched for verification.
 FILTER_BITS = 1 << 24
 
@@ -93,6 +97,13 @@ def digest(s: np.ndarray) -> int:
         return int(mix(np.array([np.bitwise_xor.reduce(h) + h.sum(dtype=np.uint64) * np.uint64(3) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
+def parity_sketch(s: np.ndarray) -> list[int]:
+    """64 x ``SKETCH`` bits: the parity of the members that fall on each."""
+    at = (mix(s ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(64 * SKETCH)).astype(np.int64)
+    odd = np.bincount(at, minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
 def frequent_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, float]:
     """(shingle, count) of the most frequent shingles of all documents, and the mean length of a list.
 
@@ -126,8 +137,8 @@ def frequent_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray,
     return top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy(), (lists + float(sums["squares"] or 0)) / lists
 
 
-def _entries(s: np.ndarray, boundary: int, t: tuple[int, int], frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The keys under which a set is listed."""
+def _entries(s: np.ndarray, boundary: int, t: tuple[int, int], frequent: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, place in the set's order) of every list that a set is in; subset keys have place -1."""
     n, keys = len(s), []
     if n <= boundary:
         salt = mix(s)
@@ -135,19 +146,32 @@ def _entries(s: np.ndarray, boundary: int, t: tuple[int, int], frequent: np.ndar
             chosen = np.array(list(combinations(range(n), o)))
             with np.errstate(over="ignore"):
                 keys.append(mix(salt[chosen].sum(1, dtype=np.uint64) * np.uint64(2 * o + 1) + np.uint64(o)))
+    n_light = sum(map(len, keys))
     if n > boundary or n * t[1] >= (boundary + 1) * t[0]:
         at = np.minimum(np.searchsorted(frequent, s), max(0, len(frequent) - 1))
         hot = frequent[at] == s if len(frequent) else np.zeros(n, bool)
         last = s[hot][np.argsort(rank[at[hot]], kind="stable")] if len(frequent) else s[:0]
         keys.append(np.concatenate([s[~hot], last])[: n - ceil_share(n, *t) + min(SHARED, ceil_share(n, *t))])
-    return np.concatenate(keys) if keys else s[:0]
+    whole = np.concatenate(keys) if keys else s[:0]
+    return whole, np.concatenate([np.full(n_light, -1), np.arange(len(whole) - n_light)])
+
+
+def pack_set(s: np.ndarray) -> bytes:
+    """The upper 48 bits of each member, in order; enough within one pair of sets."""
+    return np.ascontiguousarray((s >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpack_set(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    return out.view("<u8")[:, 0]
 
 
 def _pairs_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
     """(d, members) of every class that occurs in ``pairs``: one document's set each.
 
     A fixed-size bitmap of the wanted documents drops the others where they are read; documents
-    that pass it by chance are dropped by the join.
+    that pass it by chance are dropped by the joins, which both use one exchange of the sets.
     """
     wanted = pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct().join(classes, "d").select("d", "row")
     slot = F.pmod("row", F.lit(FILTER_BITS))
@@ -163,10 +187,10 @@ def _pairs_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int) -
             rows = np.flatnonzero(hit)
             if len(rows):
                 sets = list(document_sets(b.column(0).take(pa.array(rows)), n))
-                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["d", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), pa.array([pack_set(s) for s in sets], pa.binary())], ["d", "members"])
 
     fetched = docs.select("text", F.pmod(F.xxhash64("text"), F.lit(FILTER_BITS)).alias("slot")).mapInArrow(run, "d bigint, members binary")
-    return cut(fetched.groupBy("d").agg(F.first("members").alias("members")).join(wanted.select("d"), "d", "left_semi"))
+    return fetched.groupBy("d").agg(F.first("members").alias("members"))
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
@@ -178,7 +202,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, t:
         for b in batches:
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = unpack_set(x), unpack_set(y)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both * t[1] >= (len(x) + len(y) - both) * t[0])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -195,51 +219,80 @@ def join_components(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
     by_count[np.lexsort((frequent, count))] = np.arange(len(frequent))
     frequent, rank = frequent[order], by_count[order]
 
+    sketch = [f"s{i}" for i in range(SKETCH)]
+
     def name(batches):
         for b in batches:
-            sets = [(len(s), digest(s)) for s in document_sets(b.column(1), n)]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), pa.array([x for x, _ in sets], pa.int64()), pa.array([x for _, x in sets], pa.int64())], ["doc_id", "row", "n", "d"])
+            sets = [(len(s), digest(s), *parity_sketch(s)) for s in document_sets(b.column(1), n)]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), *(pa.array([x[i] for x in sets], pa.int64()) for i in range(2 + SKETCH))], ["doc_id", "row", "n", "d", *sketch])
 
     def listed(boundary):
         def run(batches):
             for b in batches:
-                known, keys, ds, sizes = set(), [], [], []
+                known, keys, places, ds, sizes = set(), [], [], [], []
                 for s in document_sets(b.column(0), n):
                     if len(s) and (d := digest(s)) not in known:
                         known.add(d)
-                        keys.append(_entries(s, boundary, t, frequent, rank))
+                        key, place = _entries(s, boundary, t, frequent, rank)
+                        keys.append(key)
+                        places.append(place)
                         ds.append(d)
                         sizes.append(len(s))
                 if keys:
                     of = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.array(ds, np.int64)[of]), pa.array(np.array(sizes, np.int32)[of])], ["key", "d", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.array(ds, np.int64)[of]), pa.array(np.array(sizes, np.int32)[of]), pa.array(np.concatenate(places).astype(np.int32))], ["key", "d", "n", "place"])
 
         return run
 
-    rows = cut(docs.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(name, "doc_id bigint, row bigint, n bigint, d bigint"))
-    sizes = {r["n"]: r["count"] for r in rows.where(F.col("n").between(1, LIGHT_MOST)).groupBy("n").count().collect()}
-    boundary = choose_boundary(sizes, list_length, t)
-    classes = rows.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"))
-    entries = docs.select("text").mapInArrow(listed(boundary), "key bigint, d bigint, n int")
+    rows = cut(docs.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(name, "doc_id bigint, row bigint, n bigint, d bigint, " + ", ".join(f"{x} bigint" for x in sketch)))
+    size_counts = {r["n"]: r["count"] for r in rows.where(F.col("n").between(1, LIGHT_MOST)).groupBy("n").count().collect()}
+    boundary = choose_boundary(size_counts, list_length, t)
+    classes = rows.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), *[F.first(x).alias(x) for x in sketch])
+    entries = docs.select("text").mapInArrow(listed(boundary), "key bigint, d bigint, n int, place int")
     by_key = entries.repartition("key")
-    leaders = by_key.groupBy("key").agg(F.min(F.struct("n", "d")).alias("low"), F.max(F.struct("n", "d")).alias("high")).where("low.d != high.d").select("key", "low")
-    shared = cut(by_key.join(leaders, "key").select("key", "d", "n", "low").distinct())
-    fits = f"least({{0}}, {{1}}) * {t[1]}L >= greatest({{0}}, {{1}}) * {t[0]}L"
-    # a pair with a light and a heavy side, or two heavy ones, shares at least SHARED list entries; two light ones share one subset
-    enough = F.when(F.col("light"), F.col("keys") >= 1).otherwise(F.col("keys") >= SHARED)
-    light = f"greatest({{0}}, {{1}}) <= {boundary}"
-
-    near = shared.where("low.d != d").where(fits.format("n", "low.n")).groupBy(F.col("low.d").alias("b"), F.col("d").alias("a"), F.expr(light.format("n", "low.n")).alias("light")).agg(F.count("*").alias("keys"))
-    stars = cut(near.where(enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = _verified(docs, classes, stars, n, t)
-    found = components(links)
-    named = shared.select("key", "d", "n").join(found.withColumnRenamed("node", "d"), "d", "left").select("key", "d", "n", F.coalesce("component", "d").alias("c"))
-    mixed = named.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("key")
-    open_ = cut(named.join(mixed, "key", "left_semi"))
-    x, y = (open_.select("key", *(F.col(k).alias(f"{k}_{side}") for k in ("d", "n", "c"))) for side in "ab")
-    met = x.join(y, "key").where("c_a != c_b AND d_a < d_b").where(fits.format("n_a", "n_b"))
-    across = met.groupBy(F.col("d_a").alias("a"), F.col("d_b").alias("b"), F.expr(light.format("n_a", "n_b")).alias("light")).agg(F.count("*").alias("keys")).where(enough)
-    rest = cut(across.select("a", "b").join(stars, ["a", "b"], "left_anti"))
+    one = F.struct("d", "n", "place")  # the same columns on both sides, so the exchange is used twice
+    several = by_key.groupBy("key").agg(F.min(one).alias("x"), F.max(one).alias("y")).where("x.d != y.d").select("key")
+    shared = stored(by_key.join(several, "key").select("key", "d", "n", "place").distinct())
+
+    # two light sets share one subset of the needed size; other pairs share SHARED entries among the first n - overlap + SHARED of both
+    sizes = "n_a", "n_b"
+    overlap = f"CAST(-floor(-{t[0]}.0D * (n_a + n_b) / {t[0] + t[1]}) AS INT)"
+    light = f"greatest(n_a, n_b) <= {boundary}"
+    heavy = " AND ".join(f"place_{x} >= 0 AND place_{x} < n_{x} - {overlap} + least({SHARED}, {overlap})" for x in "ab")
+    alike = " + ".join(f"bit_count({x}_a ^ {x}_b)" for x in sketch) + f" <= n_a + n_b - 2 * {overlap}"
+    candidate = F.expr(f"c_a != c_b AND least(n_a, n_b) * {t[1]}L >= greatest(n_a, n_b) * {t[0]}L AND ({light} AND place_a < 0 AND place_b < 0 OR NOT ({light}) AND {heavy})")
+    enough = F.expr(f"keys >= IF({light}, 1, least({SHARED}, {overlap}))")
+    fields = ["d", "n", "place", "c"]
+    sides = {x: classes.select(F.col("d").alias(f"d_{x}"), *[F.col(k).alias(f"{k}_{x}") for k in sketch]) for x in "ab"}
+
+    def named(found: DataFrame | None) -> DataFrame:
+        if found is None:
+            return shared.withColumns({"c": F.col("d"), "weight": F.lit(1).cast("long")})
+        weighed = found.join(found.groupBy("component").agg(F.count("*").alias("weight")), "component")
+        return shared.join(weighed.withColumnRenamed("node", "d"), "d", "left").withColumns({"c": F.coalesce("component", "d"), "weight": F.coalesce("weight", F.lit(1))}).drop("component")
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("d_a", "d_b").alias("a"), F.greatest("d_a", "d_b").alias("b")).distinct()
+
+    tested, links, found = None, None, None
+    for _ in range(ROUNDS):
+        lists = named(found)
+        leaders = lists.groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("w"), F.xxhash64("key", "d").alias("m"), *fields)).alias("low"), F.min("c").alias("x"), F.max("c").alias("y")).where("x != y")
+        left = lists.select("key", *[F.col(k).alias(f"{k}_a") for k in fields])
+        right = leaders.select(F.col("key").alias("key_b"), *[F.col(f"low.{k}").alias(f"{k}_b") for k in fields])
+        met = left.join(right, (F.col("key") == F.col("key_b")) & candidate).select("d_a", "d_b", "n_a", "n_b").distinct()
+        pairs = ordered(met.join(sides["a"], "d_a").join(sides["b"], "d_b").where(alike))
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        new = _verified(docs, classes, pairs, n, t)
+        tested, links = (pairs, new) if tested is None else (tested.union(pairs), links.union(new))
+        found = components(links)
+    lists = named(found)
+    mixed = lists.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("key")
+    open_ = cut(lists.join(mixed, "key", "left_semi"))
+    left, right = (open_.select(F.col("key").alias(f"key_{x}"), *[F.col(k).alias(f"{k}_{x}") for k in fields]).join(sides[x], f"d_{x}") for x in "ab")
+    met = left.join(right, (F.col("key_a") == F.col("key_b")) & F.expr("d_a < d_b") & candidate & F.expr(alike))
+    across = met.groupBy("d_a", "d_b", *sizes).agg(F.count("*").alias("keys")).where(enough)
+    rest = cut(ordered(across).join(tested, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         found = components(links.union(_verified(docs, classes, rest, n, t)))
     whole = classes.join(found.withColumnRenamed("node", "d"), "d", "left").select("d", "least", F.coalesce("component", "d").alias("c"))
