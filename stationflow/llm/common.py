@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy code handles at once; longer single texts are handled whole.
@@ -29,6 +29,19 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def bounded_sample(df: DataFrame, group: str, n: int) -> DataFrame:
+    """The n rows of each group with the smallest hashes of doc_id.
+
+    Ranks within 64 parts of a group first, so no task gets more than a few rows of a large group.
+    """
+    keyed = df.withColumn("_hash", F.xxhash64("doc_id"))
+    order = [F.col("_hash"), F.col("doc_id")]
+    for part in ([group, F.pmod("_hash", F.lit(64))], [group]):
+        ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy(*part).orderBy(*order)))
+        keyed = ranked.where(F.col("_rank") <= n).drop("_rank")
+    return keyed.drop("_hash")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; a local one only where no checkpoint folder is set (tests)."""
     context = spark.sparkContext

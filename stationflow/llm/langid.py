@@ -22,10 +22,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, row_slices
+from .common import bounded_sample, held_out, row_slices
 
 ORDER, SAMPLE, LANGUAGES = 4, 250, 64
 #: Bytes of text whose contexts are priced together.
@@ -113,9 +113,7 @@ class Model:
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Counts from at most ``sample`` labelled documents per language that are not held out."""
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out()).select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = labelled.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample)
-    chosen = ranked.orderBy("rank", "lang").limit(sample * LANGUAGES).select("doc_id", "lang")
+    chosen = bounded_sample(labelled, "lang", sample).orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(sample * LANGUAGES)
     texts = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
 
     def count(batches):

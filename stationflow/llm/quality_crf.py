@@ -18,10 +18,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, row_slices, text_buffers
+from .common import bounded_sample, held_out, row_slices, text_buffers
 from .words import mix, word_hashes
 
 SAMPLE, FIT_LINES, STEPS = 1000, 400, 160
@@ -179,8 +179,7 @@ def _batch_lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits on at most ``sample`` documents per class that are labelled and not held out."""
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out()).select("doc_id", "quality").distinct()
-    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample).select("doc_id", "quality")
+    chosen = bounded_sample(known, "quality", sample)
     # at most 2 x SAMPLE ids, so the broadcast is bounded
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
 
