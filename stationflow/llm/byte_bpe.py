@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import row_slices
+from .common import map_arrow, row_slices
 
 #: Pre-tokens that a task keeps encoded; a full cache starts anew.
 CACHE = 400_000
@@ -138,7 +138,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], [*columns, "token_ids"])
 
     schema = docs.select(columns).schema.add("token_ids", ArrayType(IntegerType()))
-    return docs.select(columns).mapInArrow(run, schema)
+    return map_arrow(docs.select(columns), run, schema)
 
 
 def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -157,4 +157,4 @@ def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 size.append(len(back))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), pa.array(size, pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_bytes bigint")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_bytes bigint")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_slices, text_buffers
+from .common import map_arrow, row_slices, text_buffers
 from .words import NON_WORD, document_words, fold, shingle_hashes
 
 SHINGLE, LEAST, RADIUS, BLOCK = 5, 0.8, 15, 20_000
@@ -171,7 +171,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             columns = [[ids[r[0]] for r in rows], *([r[k] for r in rows] for k in range(1, 5))]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 4 else pa.int64()) for k, c in enumerate(columns)], ["doc_id", "item_id", "first_word", "n_words", "similarity"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return map_arrow(docs.select("doc_id", "text"), run, schema)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -185,4 +185,4 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 keep[[r[0] for r in _found(index, b.column(at))]] = False
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

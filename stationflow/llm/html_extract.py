@@ -20,6 +20,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import map_arrow
+
 # Stop words of the four languages of the corpus.
 STOP_WORDS = frozenset(
     "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their we him been has when who will no more if out so up said what its about than into them can only other time new some could these two may then do first any my now such like our over me even most made after also did many must before back through years where much your way well down should because each just those people too very "
@@ -164,4 +166,4 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(x or "") for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1).cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    return map_arrow(pages.select("page_id", "url", "html"), run, "page_id bigint, url string, text string, n_chars bigint")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, row_slices, stored, text_buffers
+from .common import cut, map_arrow, row_slices, stored, text_buffers
 from .components import components
 from .words import WHITE, document_words, mix, shingle_hashes
 
@@ -128,7 +128,7 @@ def frequent_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray,
         if size:
             yield emit(held)
 
-    parts = docs.select("text").mapInArrow(run, "token bigint, n bigint")
+    parts = map_arrow(docs.select("text"), run, "token bigint, n bigint")
     counts = parts.groupBy("token", (F.col("n") < 0).alias("lists")).agg(F.sum("n").alias("n"))
     counts = cut(counts)
     sums = counts.agg(F.sum(F.when(F.col("lists"), -F.col("n"))).alias("lists"), F.sum(F.when(~F.col("lists"), F.col("n").cast("double") * F.col("n"))).alias("squares")).first()
@@ -189,7 +189,7 @@ def _pairs_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int) -
                 sets = list(document_sets(b.column(0).take(pa.array(rows)), n))
                 yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), pa.array([pack_set(s) for s in sets], pa.binary())], ["d", "members"])
 
-    fetched = docs.select("text", F.pmod(F.xxhash64("text"), F.lit(FILTER_BITS)).alias("slot")).mapInArrow(run, "d bigint, members binary")
+    fetched = map_arrow(docs.select("text", F.pmod(F.xxhash64("text"), F.lit(FILTER_BITS)).alias("slot")), run, "d bigint, members binary")
     return fetched.groupBy("d").agg(F.first("members").alias("members"))
 
 
@@ -207,7 +207,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, t:
                 keep.append(both * t[1] >= (len(x) + len(y) - both) * t[0])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return cut(sides.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"))
+    return cut(map_arrow(sides.select("a", "b", "x", "y"), run, "a bigint, b bigint"))
 
 
 def join_components(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
@@ -244,11 +244,11 @@ def join_components(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
 
         return run
 
-    rows = cut(docs.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(name, "doc_id bigint, row bigint, n bigint, d bigint, " + ", ".join(f"{x} bigint" for x in sketch)))
+    rows = cut(map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("row")), name, "doc_id bigint, row bigint, n bigint, d bigint, " + ", ".join(f"{x} bigint" for x in sketch)))
     size_counts = {r["n"]: r["count"] for r in rows.where(F.col("n").between(1, LIGHT_MOST)).groupBy("n").count().collect()}
     boundary = choose_boundary(size_counts, list_length, t)
     classes = rows.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), *[F.first(x).alias(x) for x in sketch])
-    entries = docs.select("text").mapInArrow(listed(boundary), "key bigint, d bigint, n int, place int")
+    entries = map_arrow(docs.select("text"), listed(boundary), "key bigint, d bigint, n int, place int")
     by_key = entries.repartition("key")
     one = F.struct("d", "n", "place")  # the same columns on both sides, so the exchange is used twice
     several = by_key.groupBy("key").agg(F.min(one).alias("x"), F.max(one).alias("y")).where("x.d != y.d").select("key")

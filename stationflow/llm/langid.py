@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, row_slices
+from .common import bounded_sample, held_out, map_arrow, row_slices
 
 ORDER, SAMPLE, LANGUAGES = 4, 250, 64
 #: Bytes of text whose contexts are priced together.
@@ -126,7 +126,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
                 keys, n = np.unique(gram_keys(found)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n, pa.int64())], ["lang", "key", "n"])
 
-    counts = texts.mapInArrow(count, "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    counts = map_arrow(texts, count, "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     found = counts.toArrow().to_pandas()
     return Model({lang: (x["key"].to_numpy(), x["n"].to_numpy()) for lang, x in found.groupby("lang")})
 
@@ -149,4 +149,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 score.append(s)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array(names[np.concatenate([np.zeros(0, int), *best]).astype(int)], pa.string()), pa.array(np.concatenate([np.zeros(0), *score]))], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return map_arrow(docs.select("doc_id", held_out().alias("held_out"), "text"), run, "doc_id bigint, held_out boolean, lang_pred string, score double")

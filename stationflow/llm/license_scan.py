@@ -20,7 +20,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import byte_lists
+from .common import byte_lists, map_arrow
 
 # The base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -188,4 +188,4 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
             columns = {k: pa.array([x[k] for x in found], kinds.get(k, pa.int64())) for k in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "n_detected")}
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *columns.values()], ["doc_id", *columns])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return map_arrow(docs.select("doc_id", "text"), run, SCHEMA)

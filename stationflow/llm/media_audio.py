@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import byte_lists
+from .common import byte_lists, map_arrow
 
 UNIT, RATE, TARGET_RATE = 576, 8000, 16000
 PCM, A_LAW, MU_LAW, IMA_ADPCM = 1, 6, 7, 0x11
@@ -135,7 +135,7 @@ def to_pcm(df: DataFrame, media: str = "media", rate: int = TARGET_RATE) -> Data
                 out.append(x)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*columns, "pcm_wave"])
 
-    return df.select(columns).mapInArrow(run, df.select(columns).schema.add("pcm_wave", "binary"))
+    return map_arrow(df.select(columns), run, df.select(columns).schema.add("pcm_wave", "binary"))
 
 
 def padded(text: bytes) -> bytes:
@@ -150,7 +150,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
             raw = byte_lists(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([len(x) for x in raw], pa.int64()), pa.array([wave(padded(x), MU_LAW) for x in raw], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id bigint, n_bytes bigint, media binary")
 
 
 def features(stored: DataFrame) -> DataFrame:
@@ -172,4 +172,4 @@ def features(stored: DataFrame) -> DataFrame:
                 rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), said, 2 * len(out)))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, pcm_bytes bigint")
+    return map_arrow(stored.select("doc_id", "n_bytes", "media"), run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, pcm_bytes bigint")

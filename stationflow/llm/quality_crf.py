@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, row_slices, text_buffers
+from .common import bounded_sample, held_out, map_arrow, row_slices, text_buffers
 from .words import mix, word_hashes
 
 SAMPLE, FIT_LINES, STEPS = 1000, 400, 160
@@ -195,7 +195,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 fields[1].append(size[e - n : e].astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1).cast(pa.int32()), pa.array(fields[0], pa.binary()), pa.array(fields[1], pa.binary())], ["doc_id", "quality", "x", "size"])
 
-    rows = texts.mapInArrow(run, "doc_id bigint, quality int, x binary, size binary").toArrow().to_pylist()
+    rows = map_arrow(texts, run, "doc_id bigint, quality int, x binary, size binary").toArrow().to_pylist()
     rows = sorted((r for r in rows if r["size"]), key=lambda r: (r["doc_id"], r["quality"], r["x"]))[: 4 * sample]
     if len({r["quality"] for r in rows}) < 2:
         return Model(np.zeros(3 * WIDTH), np.zeros((2, 2)), 0.0, 0.0)
@@ -218,7 +218,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             score = _scored(model, b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+    return map_arrow(docs.select("doc_id", held_out().alias("held_out"), "text"), run, "doc_id bigint, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -229,4 +229,4 @@ def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(_scored(model, b.column(at)) >= least))
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_lists, give_back_memory, row_slices, stored, text_buffers
+from .common import byte_lists, map_arrow, row_slices, stored, text_buffers
 from .words import mix, powers
 
 #: Most windows of a phrase (a 64-bit mask holds their marks).
@@ -403,7 +403,7 @@ def _packed_texts(docs: DataFrame, columns: list[str]) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([squeeze.compress(x) for x in byte_lists(b.columns[-1])], pa.binary())], schema.names)
 
-    return docs.select(*columns, _document(), _tag(), "text").mapInArrow(run, schema)
+    return map_arrow(docs.select(*columns, _document(), _tag(), "text"), run, schema)
 
 
 def _first_round(docs: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -425,7 +425,6 @@ def _first_round(docs: DataFrame, length: int, buckets: int) -> DataFrame:
                 full = [k for k in range(buckets) if cuts[k + 1] > cuts[k]]
                 blobs = [_pack(a[o], c[o], d[o], s[o], f[o], n[o], ids[low:high], tags[low:high]) for k in full for o in [order[cuts[k] : cuts[k + 1]]]]
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
-        give_back_memory()
 
     def unpack(batches):
         held: dict[int, list[bytes]] = {}
@@ -438,10 +437,9 @@ def _first_round(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             for i in range(0, len(by_doc), 1 << 17):
                 o = by_doc[i : i + (1 << 17)]
                 yield pa.RecordBatch.from_arrays([pa.array(x[o]) for x in told], ["doc", "span", "mask", "anchor"])
-        give_back_memory()
 
-    dealt = docs.select(_document(), F.coalesce(_tag(), F.lit(0)).alias("tag"), "text").mapInArrow(pack, "bucket int, blob binary").repartition(buckets, "bucket")
-    return dealt.mapInArrow(unpack, "doc bigint, span bigint, mask bigint, anchor bigint")
+    dealt = map_arrow(docs.select(_document(), F.coalesce(_tag(), F.lit(0)).alias("tag"), "text"), pack, "bucket int, blob binary").repartition(buckets, "bucket")
+    return map_arrow(dealt, unpack, "doc bigint, span bigint, mask bigint, anchor bigint")
 
 
 def _second_round(packed: DataFrame, unsure: DataFrame, length: int) -> DataFrame:
@@ -461,7 +459,6 @@ def _second_round(packed: DataFrame, unsure: DataFrame, length: int) -> DataFram
                 columns[2] += span
                 columns[3] += [data[at : at + (x & 255) + length - 1] for x in span for at in [x >> 8 & 0xFFFFFFFF]]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 3 else pa.int64()) for i, c in enumerate(columns)], ["anchor", "doc", "span", "phrase"])
-        give_back_memory()
 
     def index(batches):
         docs, spans, texts, size, last = [], [], [], 0, None
@@ -485,11 +482,9 @@ def _second_round(packed: DataFrame, unsure: DataFrame, length: int) -> DataFram
                 last = anchor
         if docs:
             yield emit()
-        docs, spans, texts = [], [], []
-        give_back_memory()
 
-    fetched = packed.join(wanted, "doc").select("doc", "tag", "packed", "spans").mapInArrow(fetch, "anchor bigint, doc bigint, span bigint, phrase binary")
-    return fetched.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(index, "doc bigint, span bigint, mask bigint")
+    fetched = map_arrow(packed.join(wanted, "doc").select("doc", "tag", "packed", "spans"), fetch, "anchor bigint, doc bigint, span bigint, phrase binary")
+    return map_arrow(fetched.repartition("anchor").sortWithinPartitions("anchor"), index, "doc bigint, span bigint, mask bigint")
 
 
 def find_marks(docs: DataFrame, length: int) -> DataFrame:
@@ -541,7 +536,7 @@ def dedup_digests(docs: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string() if i == 4 else pa.int64()) for i in range(5)], names)
 
     marked = _with_marks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], length)
-    return marked.select("doc_id", "tag", "packed", "marks").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return map_arrow(marked.select("doc_id", "tag", "packed", "marks"), run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, length: int) -> DataFrame:
@@ -574,4 +569,4 @@ def remove_repeats(docs: DataFrame, length: int) -> DataFrame:
     # the other columns travel in one struct, so none of their names can clash
     plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("others"), F.col("text").isNull().alias("no_text"), "doc_id", "text")
     marked = _with_marks(plain, ["others", "no_text"], length)
-    return marked.select("others", "no_text", "tag", "packed", "marks").mapInArrow(run, schema)
+    return map_arrow(marked.select("others", "no_text", "tag", "packed", "marks"), run, schema)
