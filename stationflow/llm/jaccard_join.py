@@ -250,17 +250,19 @@ def join_components(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
     classes = rows.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), *[F.first(x).alias(x) for x in sketch])
     entries = map_arrow(docs.select("text"), listed(boundary), "key bigint, d bigint, n int, place int")
     by_key = entries.repartition("key")
-    one = F.struct("d", "n", "place")  # the same columns on both sides, so the exchange is used twice
-    several = by_key.groupBy("key").agg(F.min(one).alias("x"), F.max(one).alias("y")).where("x.d != y.d").select("key")
-    shared = stored(by_key.join(several, "key").select("key", "d", "n", "place").distinct())
-
     # two light sets share one subset of the needed size; other pairs share SHARED entries among the first n - overlap + SHARED of both
     sizes = "n_a", "n_b"
     overlap = f"CAST(-floor(-{t[0]}.0D * (n_a + n_b) / {t[0] + t[1]}) AS INT)"
     light = f"greatest(n_a, n_b) <= {boundary}"
     heavy = " AND ".join(f"place_{x} >= 0 AND place_{x} < n_{x} - {overlap} + least({SHARED}, {overlap})" for x in "ab")
     alike = " + ".join(f"bit_count({x}_a ^ {x}_b)" for x in sketch) + f" <= n_a + n_b - 2 * {overlap}"
-    candidate = F.expr(f"c_a != c_b AND least(n_a, n_b) * {t[1]}L >= greatest(n_a, n_b) * {t[0]}L AND ({light} AND place_a < 0 AND place_b < 0 OR NOT ({light}) AND {heavy})")
+    fits = f"(least(n_a, n_b) * {t[1]}L >= greatest(n_a, n_b) * {t[0]}L AND ({light} AND place_a < 0 AND place_b < 0 OR NOT ({light}) AND {heavy}))"
+    candidate = F.expr(f"c_a != c_b AND {fits}")
+    one = F.struct("d", "n", "place")  # the same columns on both sides, so the exchange is used twice
+    ends = by_key.groupBy("key").agg(F.min(one).alias("x"), F.max(one).alias("y"), F.count("*").alias("listed")).where("x.d != y.d")
+    # a list of two is only of use if its two sets can be a pair
+    several = ends.select("key", "listed", *[F.col(f"{c}.{k}").alias(f"{k}_{x}") for c, x in (("x", "a"), ("y", "b")) for k in ("n", "place")]).where(f"listed > 2 OR {fits}").select("key")
+    shared = stored(by_key.join(several, "key").select("key", "d", "n", "place").distinct())
     enough = F.expr(f"keys >= IF({light}, 1, least({SHARED}, {overlap}))")
     fields = ["d", "n", "place", "c"]
     sides = {x: classes.select(F.col("d").alias(f"d_{x}"), *[F.col(k).alias(f"{k}_{x}") for k in sketch]) for x in "ab"}
