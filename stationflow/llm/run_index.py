@@ -186,7 +186,7 @@ def _spread(group: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def judge(anchor: np.ndarray, content: np.ndarray, doc: np.ndarray, flanks: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document, span, mask, anchor): mask -1 where a smaller document has the whole phrase, 0 where the index must tell.
+    """(document, span, mask, anchor or 0): mask -1 where a smaller document has the whole phrase, 0 where the index must tell.
 
     The index must tell the smallest document of a phrase if other phrases of other documents
     have its anchor and agree on a flank.
@@ -216,7 +216,7 @@ def judge(anchor: np.ndarray, content: np.ndarray, doc: np.ndarray, flanks: np.n
     open_[several[told]] = True
     whole = doc > np.repeat(least, size)
     keep = whole | np.repeat(open_, size)
-    return doc[keep], span[keep], np.where(whole[keep], -1, 0), anchor[keep].view(np.int64)
+    return doc[keep], span[keep], np.where(whole[keep], -1, 0), np.where(whole[keep], 0, anchor[keep].view(np.int64))
 
 
 class RunLengthIndex:
@@ -399,7 +399,7 @@ def _packed_texts(docs: DataFrame, columns: list[str]) -> DataFrame:
     schema = docs.select(*columns).schema.add("doc", "long").add("tag", "long").add("packed", "binary")
 
     def run(batches):
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=6)
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([squeeze.compress(x) for x in byte_lists(b.columns[-1])], pa.binary())], schema.names)
 
