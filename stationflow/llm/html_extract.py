@@ -4,12 +4,16 @@ A page is cut into blocks at block-level tags. Pass one decides blocks from wher
 (menus, headers, footers, sidebars, notices, adverts, forms and reader comments are boilerplate;
 the rest of an article or main element is content) and, elsewhere, from length, link density and
 stop-word density. Short and undecided blocks stay ambiguous; pass two gives them the label of
-the nearest decided neighbours.
+the nearest decided neighbours. The page's edges decide nothing.
+
+Unclosed scripts and styles run to the end of the page. Other skipped elements (buttons, drawings,
+frames) that are unclosed or self-closed are empty, and the text after them is read.
 
 Defined results: null and empty pages give an empty text; unclosed and truncated markup is read
 as far as it goes; very long pages are read whole; repeated rows give repeated results; extra
-columns are ignored; an ambiguous block between unlike neighbours is content only if it was
-nearly content by itself.
+columns are ignored; between unlike neighbours a block that was nearly content by itself and a
+heading before content are content, and any other ambiguous block is if the nearer one is (or both
+are as near); on a page without content blocks the undecided ones that are not short are content.
 """
 
 from __future__ import annotations
@@ -38,12 +42,18 @@ BOILER_TAGS = frozenset("nav footer aside form head menu dialog".split())
 MAIN_TAGS = frozenset("article main".split())
 CONTAINERS = frozenset("html head body div section nav article main aside header footer form ul ol dl table tbody thead tfoot tr td th figure fieldset menu dialog details blockquote".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre hr address figcaption caption option summary legend title center".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Thresholds of pass one: characters, link density, stop-word density.
 SHORT, LONG, LINKS, STOPS_LOW, STOPS_HIGH = 70, 200, 0.2, 0.15, 0.3
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|textarea|select|button)\b[^>]*>(?:.*?</\1\s*>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>|<[a-zA-Z/!?][^>]*(?:>|\Z)", re.S | re.I
-)
+_ATTRIBUTES = r"(?:[^'\">]|\"[^\"]*\"|'[^']*')*"
+_UNREAD = rf"<!--.*?(?:-->|\Z)|<(?:script|style)(?:/|\s{_ATTRIBUTES}(?<=[\s\"'])/)>|<(script|style)\b[^>]*>(?:.*?</\1\s*>|.*\Z)"
+_TOKEN = re.compile(rf"{_UNREAD}|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})>|<[a-zA-Z/!?][^>]*(?:>|\Z)", re.S | re.I)
+_SKIP = re.compile(rf"{_UNREAD}|<(/?)(noscript|template|svg|iframe|object|textarea|select|button)(?![^\s/>])({_ATTRIBUTES}|[^>]*)>", re.S | re.I)
+_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
+#: Skipped elements that can hold one of their own name, and those whose content is no markup.
+_NESTED = frozenset("svg object template".split())
+_RAW = {x: re.compile(rf"<(/?){x}(?![^\s/>])[^>]*>", re.I) for x in ("iframe", "textarea")}
 _NAMES = re.compile(r"\b(class|id|role|style|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _PARTS = re.compile(r"[a-z]+")
 
@@ -63,32 +73,59 @@ def _is_boiler(tag: str, attributes: str, in_main: bool) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, str, float]]:
-    """(text, zone, link density) of the page's non-empty blocks; zone: boiler, main or open."""
-    out: list[tuple[str, str, float]] = []
+def skipped(page: str) -> dict[int, int]:
+    """Start and end of the skipped elements that are closed."""
+    spans: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    at = 0
+    while m := _SKIP.search(page, at):
+        at = m.end()
+        if m.group(3) is None:
+            continue
+        name = m.group(3).lower()
+        if m.group(2):
+            if opened.get(name):
+                spans[opened[name].pop()] = at
+        elif _CLOSED.search(m.group(4)):
+            continue
+        elif name in _RAW:
+            end = _RAW[name].search(page, at)
+            if end and end.group(1):
+                spans[m.start()] = at = end.end()
+        elif name in _NESTED:
+            opened.setdefault(name, []).append(m.start())
+        else:
+            opened[name] = [m.start()]
+    return spans
+
+
+def blocks(page: str) -> list[tuple[str, str, float, bool]]:
+    """(text, zone, link density, is a heading) of the page's non-empty blocks; zone: boiler, main or open."""
+    out: list[tuple[str, str, float, bool]] = []
     stack: list[tuple[str, int, int]] = []  # container, boilerplate depth and main depth before it
     text: list[str] = []
     boiler = main = links = at = 0
-    in_link = block_boiler = False
+    in_link = block_boiler = heading = False
+    skip = skipped(page)
 
     def end_block() -> None:
         nonlocal links
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                out.append((whole, "boiler" if boiler or block_boiler else "main" if main else "open", min(1.0, links / len(whole))))
+                out.append((whole, "boiler" if boiler or block_boiler else "main" if main else "open", min(1.0, links / len(whole)), heading))
             text.clear()
         links = 0
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             piece = page[at : m.start()]
             text.append(piece)
             if in_link:
                 links += len(piece.strip())
-        at = m.end()
+        at = skip.get(m.start(), m.end())
         tag = m.group(3)
-        if tag is None:
+        if tag is None or at > m.end():
             continue
         tag = tag.lower()
         if tag == "a":
@@ -98,6 +135,7 @@ def blocks(page: str) -> list[tuple[str, str, float]]:
         elif tag in BLOCKS:
             end_block()
             block_boiler = in_link = False
+            heading = tag in HEADINGS and not m.group(2)
             if m.group(2):
                 if any(x[0] == tag for x in stack):
                     while stack:
@@ -121,10 +159,10 @@ def stop_density(text: str) -> float:
     return sum(w.strip(".,;:!?\"'()%&*#$") in STOP_WORDS for w in words) / max(1, len(words))
 
 
-def first_pass(found: list[tuple[str, str, float]]) -> list[str]:
-    """good, bad, near or short for each block."""
+def first_pass(found: list[tuple[str, str, float, bool]]) -> list[str]:
+    """good, bad, near, far, heading or short for each block."""
     labels = []
-    for text, zone, links in found:
+    for text, zone, links, heading in found:
         if zone == "boiler":
             labels.append("bad")
         elif zone == "main":
@@ -132,25 +170,33 @@ def first_pass(found: list[tuple[str, str, float]]) -> list[str]:
         elif links > LINKS or "©" in text:
             labels.append("bad")
         elif len(text) < SHORT:
-            labels.append("bad" if links > 0 else "short")
+            labels.append("bad" if links > 0 else "heading" if heading else "short")
         else:
             stops = stop_density(text)
-            labels.append("good" if stops >= STOPS_HIGH and len(text) > LONG else "near" if stops >= STOPS_LOW else "bad")
+            labels.append("good" if stops >= STOPS_HIGH and len(text) > LONG else "near" if stops >= STOPS_LOW else "far")
     return labels
 
 
 def second_pass(labels: list[str]) -> list[bool]:
-    """Ambiguous blocks inherit from the nearest decided neighbours; the page's edges count as bad."""
-    before, last = [], "bad"
-    for x in labels:
-        before.append(last)
-        last = x if x in ("good", "bad") else last
-    after, last = [], "bad"
-    for x in reversed(labels):
-        after.append(last)
-        last = x if x in ("good", "bad") else last
-    any_good = "good" in labels
-    return [x == "good" or x in ("near", "short") and (b == a == "good" or x == "near" and ("good" in (a, b) or not any_good)) for x, b, a in zip(labels, before, reversed(after), strict=True)]
+    """Ambiguous blocks inherit from the nearest decided neighbours; the page's edges decide nothing."""
+    if "good" not in labels:
+        labels = ["good" if x in ("near", "far") else x for x in labels]
+
+    def decided(order: range) -> list[tuple[int, str]]:
+        """(distance, label) of the last decided block of the order."""
+        found, last = [(len(labels), "")] * len(labels), None
+        for i in order:
+            if last is not None:
+                found[i] = (abs(i - last), labels[last])
+            if labels[i] in ("good", "bad"):
+                last = i
+        return found
+
+    keep = []
+    for x, (m, b), (n, a) in zip(labels, decided(range(len(labels))), decided(range(len(labels) - 1, -1, -1)), strict=True):
+        nearest = b == "good" and m <= n or a == "good" and n <= m or not a and not b
+        keep.append(x == "good" or x != "bad" and (nearest or x == "near" and "good" in (a, b) or x == "heading" and a == "good"))
+    return keep
 
 
 def main_text(page: str) -> str:

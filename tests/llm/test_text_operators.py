@@ -242,6 +242,18 @@ def test_blocks(page, text):
     assert html_extract.main_text(page or "") == text.strip()
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<article><p>one <svg viewBox='0'/> two</p><svg><svg><text>no</text></svg>no</svg><p>three</p></article>", "one two\nthree"), ("<article><iframe src='a'/>rest</article>", "rest"),
+    ("<article>a <button class=x>menu<p>b</p><button>no</button><p>c</p></article>", "a menu\nb\nc"), ("<article>a<select><p>b</p><svg>c", "a\nb\nc"), ("<article>a<textarea><!-- <p </textarea>b</article>", "ab"),
+    ("<article>a<script src='x'/>b<script>no</script>c<script>no", "abc"), ("<article>a<!-- <button> -->b<object><object>no</object></object></article>", "ab"),
+    (f"<h1>Title</h1><p>By one</p><p>{PROSE}</p><p>The end.</p>", f"Title\nBy one\n{PROSE.strip()}\nThe end."), (f"<nav>no</nav><h1>Title</h1><p>By one</p><p>{PROSE}</p><p>The end.</p><footer>no</footer>", f"Title\nBy one\n{PROSE.strip()}\nThe end."),
+    (f"<nav>no</nav><p>no</p><p>so</p><p>and</p><p>{PROSE}</p>", f"so\nand\n{PROSE.strip()}"),
+    ("<nav>no</nav><h2>Otsikko</h2><p>" + "Kaikki ihmiset syntyvät vapaina ja tasavertaisina. " * 3 + "</p><p>Loppu.</p><footer>no</footer>", "Otsikko\n" + ("Kaikki ihmiset syntyvät vapaina ja tasavertaisina. " * 3).strip() + "\nLoppu."),
+])
+def test_unclosed_elements_and_outer_lines_lose_no_text(page, text):
+    assert html_extract.main_text(page) == text
+
+
 def test_empty_tables(spark, odd_documents):
     none = odd_documents.where("false")
     assert byte_bpe.token_digests(none, P.path(queries.VOCABULARY), P.PATTERN).count() == 0 and license_scan.scan_licenses(none).count() == 0
