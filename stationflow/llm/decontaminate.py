@@ -2,13 +2,16 @@
 
 Words are runs of ASCII letters and digits and non-ASCII bytes, A-Z lower-cased; shingles have
 ``SHINGLE`` words. For every benchmark item, windows as long as the item slide over a document
-one word at a time. A window's 64-bit SimHash sums its shingles' bits; fingerprints are cut into
-``RADIUS + 1`` blocks, so two fingerprints within the radius agree in at least one block, and
-items are looked up by (length, block number, block value). Candidates within the radius are
-verified by exact weighted Jaccard similarity of the shingle counts, at ``LEAST`` or more.
+one word at a time, and the exact weighted Jaccard similarity of the shingle counts decides, at
+``LEAST`` or more. No window of that similarity is lost:
 
-Only windows that hold a shingle of an item of that length are fingerprinted: any other window
-has similarity 0 with every such item, so nothing is lost and clean text costs one lookup a word.
+An item is looked up by its rarest shingles, so many that a window with none of them has too few
+of the others. A window's shingles that the item has, at whatever count, bound their similarity
+from above; windows whose bound is under ``LEAST``, or cannot beat the best one so far, end there.
+
+64-bit SimHashes (sums of the shingles' bits, cut into ``RADIUS + 1`` blocks, so two fingerprints
+within the radius agree in at least one block, and items are looked up by length, block number and
+block value) only say which windows are verified first, so that the others end by their bound.
 
 Items are taken in blocks of at most ``BLOCK``, so what a task holds is bounded however large
 the benchmark is; documents are never shuffled.
@@ -51,7 +54,7 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 class Index:
-    """Items by shingle, and fingerprints by length and block."""
+    """Items by rare shingle, and fingerprints by length and block."""
 
     def __init__(self, items: list[tuple[int, bytes]], radius: int = RADIUS, least: float = LEAST):
         self.radius, self.least, self.ids = radius, least, [i for i, _ in items]
@@ -62,9 +65,15 @@ class Index:
         self.n_words = np.diff(first)
         at = np.searchsorted(of, np.arange(len(items) + 1))
         self.shingles = [hashes[at[i] : at[i + 1]] for i in range(len(items))]
-        # sorted (shingle, window length) pairs, behind a bitmap of 2^20 bits
-        pairs = np.unique(np.stack([hashes, self.n_words[of].astype(np.uint64)], 1), axis=0) if len(of) else np.zeros((0, 2), np.uint64)
-        self.keys, self.lengths = np.ascontiguousarray(pairs[:, 0]), pairs[:, 1].astype(np.int64)
+        at = at[:-1]
+        # sorted (shingle, item) pairs of the items' rarest shingles, behind a bitmap of 2^20 bits
+        _, which, often = np.unique(hashes, return_inverse=True, return_counts=True)
+        rank = np.empty(len(of), np.int64)
+        rank[np.lexsort((which, often[which], of))] = np.arange(len(of))
+        total = np.diff(at, append=len(of))
+        taken = rank - at[of] <= total[of] - np.ceil(least * total[of] - 1e-9)
+        pairs = np.unique(np.stack([hashes[taken], of[taken].astype(np.uint64)], 1), axis=0) if len(of) else np.zeros((0, 2), np.uint64)
+        self.keys, self.owners = np.ascontiguousarray(pairs[:, 0]), pairs[:, 1].astype(np.int64)
         self.gate = np.zeros(1 << 20, bool)
         self.gate[(self.keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         self.short = bool((self.n_words < SHINGLE).any())
@@ -89,27 +98,46 @@ class Index:
         close = np.bitwise_count(prints[w] ^ self.prints[i]) <= self.radius
         return list(zip(w[close].tolist(), i[close].tolist(), strict=True))
 
-    def matches(self, words: np.ndarray, hits: np.ndarray, spans: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """(item, first word, words, similarity) of a document's best window for each item, from its gated shingles."""
+    def matches(self, words: np.ndarray, hits: np.ndarray, owners: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """(item, first word, words, similarity) of a document's best window for each item, from the places of its rare shingles."""
         best: dict[int, tuple[float, int, int]] = {}
+        spans = self.n_words[owners]
         for n in np.unique(spans).tolist():
             size = min(n, len(words))
             wide = min(SHINGLE, size)
             if size * 1.25 < n - 1:
                 continue
-            starts = np.unique((hits[spans == n][:, None] - np.arange(max(1, size - wide + 1))[None]).ravel())
-            starts = starts[(starts >= 0) & (starts <= len(words) - size)]
-            if not len(starts):
-                continue
-            low, high = starts[0], starts[-1] + size
             # windows of fewer words than a shingle are one shingle each
-            own, count = fold(words[low:high], wide), size - wide + 1
-            summed = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(own), 0, dtype=np.int32)])
-            at = starts - low
-            for w, i in self.near(n, pack(summed[at + count] - summed[at])):
-                s = weighted_jaccard(own[at[w] : at[w] + count], self.shingles[i])
-                if s >= self.least and s > best.get(i, (0,))[0]:
-                    best[i] = (s, int(starts[w]), size)
+            count, last = size - wide + 1, len(words) - size
+            places = hits[spans == n]
+            low, high = max(0, places.min() - count + 1), min(last, places.max()) + size
+            own = fold(words[low:high], wide)
+            open_windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for i in np.unique(owners[spans == n]).tolist():
+                starts = np.unique((hits[owners == i][:, None] - np.arange(count)[None]).ravel())
+                at = starts[(starts >= 0) & (starts <= last)] - low
+                held = np.concatenate([[0], np.cumsum(np.isin(own, self.shingles[i]))])
+                shared = held[at + count] - held[at]
+                bound = shared / np.maximum(1, count + len(self.shingles[i]) - shared)
+                if (bound >= self.least).any():
+                    open_windows[i] = at[bound >= self.least], bound[bound >= self.least]
+            if not open_windows:
+                continue
+            at = np.unique(np.concatenate([x for x, _ in open_windows.values()]))
+            # only the stretch of the open windows is fingerprinted
+            base = int(at[0])
+            summed = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(own[base : at[-1] + count]), 0, dtype=np.int32)])
+            close = {(i, int(at[w])) for w, i in self.near(n, pack(summed[at - base + count] - summed[at - base]))}
+            for i, (windows, bounds) in open_windows.items():
+                top, first = 0.0, -1
+                for w, bound in sorted(zip(windows.tolist(), bounds.tolist(), strict=True), key=lambda x: ((i, x[0]) not in close, x[0])):  # noqa: B023
+                    if bound < top or bound == top and w > first:
+                        continue
+                    s = weighted_jaccard(own[w : w + count], self.shingles[i])
+                    if s >= self.least and (s > top or s == top and w < first):
+                        top, first = s, w
+                if first >= 0:
+                    best[i] = (top, int(low + first), size)
         return [(i, start, size, s) for i, (s, start, size) in sorted(best.items())]
 
     def scan(self, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, float]]:
@@ -128,18 +156,18 @@ class Index:
                 repeat = right - left
                 position = np.repeat(at, repeat)
                 entry = np.repeat(left - np.concatenate([[0], np.cumsum(repeat)[:-1]]), repeat) + np.arange(repeat.sum())
-                hits.append((position, self.lengths[entry]))
+                hits.append((position, self.owners[entry]))
         if not hits:
             return found
-        position, spans = np.concatenate([p for p, _ in hits]), np.concatenate([s for _, s in hits])
+        position, owners = np.concatenate([p for p, _ in hits]), np.concatenate([o for _, o in hits])
         if not len(position):
             return found
         order = np.argsort(doc_of[position], kind="stable")
-        position, spans = position[order], spans[order]
+        position, owners = position[order], owners[order]
         docs, begin = np.unique(doc_of[position], return_index=True)
         for d, a, b in zip(docs.tolist(), begin, np.append(begin[1:], len(position)), strict=True):
             own = words[first[d] : first[d + 1]]
-            found += [(d, *m) for m in self.matches(own, position[a:b] - first[d], spans[a:b])]
+            found += [(d, *m) for m in self.matches(own, position[a:b] - first[d], owners[a:b])]
         return found
 
 

@@ -238,6 +238,33 @@ def test_leaks_against_brute_force(spark):
     assert decontaminate.find_leaks(docs(spark, texts), bench.where("false")).count() == 0
 
 
+def test_no_window_just_above_the_threshold_is_lost():
+    rng = random.Random(8)
+    items = [(i, " ".join(rng.choices([f"w{k}" for k in range(9 if i % 3 == 0 else 500)], k=rng.choice([3, 5, 18, 22, 40, 60, 104]))).encode()) for i in range(60)]
+    items.append((60, items[1][1]))
+    index, texts = decontaminate.Index(items), []
+    for k in range(600):
+        w = items[k % 60][1].split()
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            w[rng.randrange(len(w))] = b"x%d" % rng.randrange(9)
+        w = w[rng.choice([0, 0, 0, 1, 3]) :]
+        texts.append(b" ".join([*[b"f%d" % rng.randrange(50) for _ in range(rng.choice([0, 0, 20]))], *w, *(w if k % 7 == 0 else []), *[b"g%d" % rng.randrange(50) for _ in range(rng.choice([0, 0, 9]))]]))
+    counts = lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+    expected = []
+    for d, t in enumerate(texts):
+        w = t.split()
+        for i, (_, item) in enumerate(items):
+            own, size, best = counts(item.split()), min(len(item.split()), len(w)), (0, 0)
+            if set(item.split()) & set(w):
+                for k in range(len(w) - size + 1):
+                    x = counts(w[k : k + size])
+                    best = max(best, (sum((own & x).values()) / sum((own | x).values()), -k))
+            if best[0] >= 0.8:
+                expected.append((d, i, -best[1], size, best[0]))
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    assert sorted(index.scan(np.frombuffer(b"".join(texts), np.uint8), offsets)) == expected and sum(x[4] < 0.83 for x in expected) > 20
+
+
 def test_every_fingerprint_within_the_radius_is_found():
     rng = np.random.default_rng(0)
     index = decontaminate.Index([(i, " ".join(f"w{i}x{k}" for k in range(20)).encode()) for i in range(50)])
