@@ -1,6 +1,7 @@
 """License scans: ordered signature rules behind a keyword prefilter.
 
-A text is lower-cased (A-Z only). One Aho-Corasick pass finds which rule keywords occur; only
+A text is lower-cased (A-Z only), and its white space and the comment marks at the ends of its lines
+are folded to single spaces, so a wrapped notice reads as one line. One Aho-Corasick pass finds which rule keywords occur; only
 the rules with a keyword present run their regex, in order of priority. Overlapping detections
 are resolved by interval containment: a detection that lies inside an accepted one of the same
 or a higher priority is suppressed. Base phrases are counted apart, on word boundaries, and are
@@ -14,7 +15,9 @@ rows, and ties between rules go to the earlier start, then the longer match, the
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -31,7 +34,7 @@ FAMILIES = [
     ("lgpl", r"(?:gnu )?(?:lesser|library) general public licen[cs]e|\blgpl", ("lesser general", "library general", "lgpl"), ("2", "2.1", "3")),
     ("agpl", r"(?:gnu )?affero general public licen[cs]e|\bagpl", ("affero", "agpl"), ("1", "3")),
     ("gfdl", r"(?:gnu )?free documentation licen[cs]e|\bgfdl", ("free documentation", "gfdl"), ("1.1", "1.2", "1.3")),
-    ("apache", r"apache (?:software )?licen[cs]e|\basl", ("apache",), ("1.0", "1.1", "2.0")),
+    ("apache", r"apache (?:software )?licen[cs]e|\basl", ("apache", "asl"), ("1.0", "1.1", "2.0")),
     ("mpl", r"mozilla public licen[cs]e|\bmpl", ("mozilla public", "mpl"), ("1.0", "1.1", "2.0")),
     ("epl", r"eclipse public licen[cs]e|\bepl", ("eclipse public", "epl"), ("1.0", "2.0")),
     ("cddl", r"common development and distribution licen[cs]e|\bcddl", ("common development", "cddl"), ("1.0", "1.1")),
@@ -64,16 +67,18 @@ SINGLE = [
     ("bsd-4-clause", r"\b(?:bsd[- ]4[- ]clause|4[- ]clause bsd|original bsd|old bsd)\b", "bsd"),
     ("bsd", r"\bbsd(?:-style)? licen[cs]e\b", "bsd"),
     ("bsd", r"redistribution and use in source and binary forms", "redistribution and use"),
-    ("unlicense", r"\bthe unlicense\b|this is free and unencumbered software released into the public domain", "unencumbered"),
-    ("unlicense", r"\bunlicense\b", "unlicense"),
-    ("wtfpl", r"do what the f\w* you want to public licen[cs]e|\bwtfpl\b", "want to public"),
+    ("unlicense", r"this is free and unencumbered software released into the public domain", "unencumbered"),
+    ("unlicense", r"(?:\bthe )?\bunlicense\b", "unlicense"),
+    ("wtfpl", r"do what the f\w* you want to public licen[cs]e", "want to public"),
     ("wtfpl", r"\bwtfpl\b", "wtfpl"),
     ("zlib", r"\bzlib(?:/libpng)? licen[cs]e\b", "zlib"),
-    ("cc0", r"\bcc0\b|creative commons zero", "cc0"),
+    ("cc0", r"\bcc0\b", "cc0"),
     ("cc0", r"creative commons zero", "commons zero"),
     ("public-domain", r"(?:released|dedicated|placed) (?:in)?to the public domain|in the public domain", "public domain"),
-    ("ms-pl", r"microsoft public licen[cs]e|\bms-pl\b", "microsoft public"),
-    ("ms-rl", r"microsoft reciprocal licen[cs]e|\bms-rl\b", "reciprocal"),
+    ("ms-pl", r"microsoft public licen[cs]e", "microsoft public"),
+    ("ms-pl", r"\bms-pl\b", "ms-pl"),
+    ("ms-rl", r"microsoft reciprocal licen[cs]e", "reciprocal"),
+    ("ms-rl", r"\bms-rl\b", "ms-rl"),
     ("beerware", r"beer-?ware licen[cs]e", "beer"),
     ("jsr", r"the software shall be used for good, not evil", "good, not evil"),
     ("openssl", r"openssl licen[cs]e", "openssl"),
@@ -128,22 +133,47 @@ def _compiled():
     return found, keywords
 
 
+#: Comment marks where a line begins or ends.
+_MARKS = re.compile(r"^[ \t]*+(?:[*#;%>|!]++|//++|/\*++|--++|(?:dnl|rem)\b)|(?<![ \t])[ \t]++[*#|]++(?=[ \t]*+\r?$)", re.M)
+_SOLID = re.compile(r"\S+")
+
+
+def _unmarked(text: str) -> str:
+    """The text with spaces for its comment marks; places stay as they are."""
+    return _MARKS.sub(lambda m: " " * len(m[0]), text) if "\n" in text else text
+
+
 def detect(text: str) -> list[tuple[str, int, int, int]]:
     """(label, priority, start, end) of the detections that stand in an ``str.lower``-free ASCII-lowered text."""
     found, keywords = _compiled()
-    if not any(x in text for x in _GATE):  # nearly every text stops here
+    if not any(x in text for x in _FIRST):  # nearly every text stops here
         return []
-    present = {k for _, k in keywords.iter(text)}
-    hits = [(priority, m.start(), m.end(), label) for priority, label, pattern, keyword in found if keyword in present for m in pattern.finditer(text)]
+    plain = _unmarked(text)
+    folded = " ".join(plain.split())
+    if not any(x in folded for x in _GATE):
+        return []
+    present = {k for _, k in keywords.iter(folded)}
+    hits = [(priority, m.start(), m.end(), label) for priority, label, pattern, keyword in found if keyword in present for m in pattern.finditer(folded)]
     kept: list[tuple[str, int, int, int]] = []
     for priority, start, end, label in sorted(hits, key=lambda x: (-x[0], x[1], -x[2])):
         if not any(s <= start and end <= e for _, _, s, e in kept):
             kept.append((label, priority, start, end))
-    return sorted(kept, key=lambda x: x[2])
+    if not kept:
+        return []
+    # a place in the folded text lies as far into its word as in the text
+    spans = [m.span() for m in _SOLID.finditer(plain)]
+    firsts = list(accumulate((e - s + 1 for s, e in spans[:-1]), initial=0))
+
+    def place(at: int) -> int:
+        k = bisect_right(firsts, at) - 1
+        return spans[k][0] + at - firsts[k]
+
+    return sorted(((label, priority, place(start), place(end - 1) + 1) for label, priority, start, end in kept), key=lambda x: x[2])
 
 
-#: Every rule keyword holds one of these, so a text with none of them has no detection.
+#: Every rule keyword holds one of these, so a text with none of them has no detection; _FIRST has the first words alone.
 _GATE = sorted({k for *_, k in rules()})
+_FIRST = sorted({k.split()[0] for k in _GATE})
 
 _ASCII_LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 #: Lower-cases A-Z and turns every byte outside words into a space (48-57, a-z and all non-ASCII bytes stay).

@@ -105,6 +105,27 @@ def test_contained_detections_are_suppressed(text, labels):
     assert {x[0] for x in license_scan.detect(text.lower())} == labels and len(license_scan.rules()) > 300
 
 
+@pytest.mark.parametrize("text, labels, part", [
+    ("Released as MS-PL.", {"ms-pl"}, "ms-pl"), ("(MS-RL)", {"ms-rl"}, "ms-rl"), ("Licensed: ASL 2.0", {"apache-2.0"}, "asl 2.0"),
+    ("the GNU General\nPublic License, version 3 ", {"gpl-3"}, "gnu general\npublic license, version 3"), ("Apache  License\r\n\r\n   Version\t2.0, January", {"apache-2.0"}, "apache  license\r\n\r\n   version\t2.0"),
+    ("/*\n * Permission is hereby   *\n * granted, free of charge, to any   *\n * person obtaining a copy *\n */", {"mit"}, "permission is hereby   *\n * granted, free of charge, to any   *\n * person obtaining a copy"),
+    ("# Mozilla\n# Public\n#\n# License, v.\n# 2.0", {"mpl-2.0"}, "mozilla\n# public\n#\n# license, v.\n# 2.0"), ("// all rights\n// reserved", {"proprietary"}, "all rights\n// reserved"), ("dnl Boost\ndnl Software License", {"bsl"}, "boost\ndnl software license"),
+])
+def test_wrapped_and_short_names(text, labels, part):
+    low = text.lower()
+    assert {x[0] for x in license_scan.detect(low)} == labels and [low[x[2] : x[3]] for x in license_scan.detect(low)] == [part]
+
+
+def test_every_alternative_holds_a_keyword_of_its_rule():
+    names = {}
+    for _, label, pattern, keyword in license_scan.rules():
+        names.setdefault((label, pattern), set()).add(keyword)
+    for label, name, keywords, _ in license_scan.FAMILIES:
+        assert all(any(k in re.sub(r"\(\?:([a-z]+) \)\?|\\\\b", r"\1 ", x) or k.split()[0] in x for k in keywords) for x in re.split(r"\|(?![^(]*\))", name)), label
+    for label, pattern, keyword in license_scan.SINGLE:
+        assert all(keyword in x for x in re.split(r"\|(?![^(]*\))", pattern) if "(" not in x), label
+
+
 def test_repeated_base_phrases_count_each_place():
     r = license_scan.scan(b"mit license, MIT-License; mit  license cc by")
     assert (r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (4, 0, 6, "cc-by,mit")
