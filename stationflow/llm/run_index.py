@@ -14,6 +14,8 @@ out by anchor. Each block of them becomes a run-compressed Burrows-Wheeler trans
 suffix-array samples at both ends of every run and the smallest document of each class of rows
 that share L bytes. All phrases of a block stream through it together, one backward step a byte;
 where the matching statistic reaches L and the class has a smaller document, the window is marked.
+An anchor whose phrases are more than ``INDEX_BYTES`` is not a block: its windows are grouped by
+their bytes, reduced to the smallest document in every task first, and the marks return by a join.
 
 Marks return to their documents by id; the text itself is shuffled (compressed) once for
 the second round and once for the result, and never gathered.
@@ -442,14 +444,32 @@ def _first_round(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     return map_arrow(dealt, unpack, "doc bigint, span bigint, mask bigint, anchor bigint")
 
 
+def _hot_anchors(unsure: DataFrame, length: int) -> DataFrame:
+    """(anchor, hot) of the anchors whose phrases are more than a block of the index; at most one per ``INDEX_BYTES``."""
+    return unsure.groupBy("anchor").agg(F.sum((F.col("span").bitwiseAND(255)) + length).alias("n")).where(F.col("n") > INDEX_BYTES).select("anchor", F.lit(True).alias("hot"))
+
+
+def _window_marks(fetched: DataFrame, length: int) -> DataFrame:
+    """(doc, span, mask) of phrases, by the bytes of their windows and without an index."""
+    windows = fetched.select("doc", "span", "phrase", F.explode(F.sequence(F.lit(0), (F.col("span").bitwiseAND(255) - 1).cast("int"))).alias("at")).select("doc", "span", "at", F.expr(f"substring(phrase, at + 1, {length})").alias("window"))
+    least = windows.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
+    return windows.join(least, "window").where("least < doc").groupBy("doc", "span").agg(F.expr("bit_or(shiftleft(1L, at))").alias("mask"))
+
+
 def _second_round(packed: DataFrame, unsure: DataFrame, length: int) -> DataFrame:
     """(doc, span, mask) of the phrases whose windows the index has marked."""
-    wanted = unsure.groupBy("doc").agg(F.collect_list(F.struct("anchor", "span")).alias("spans"))
+    hot = stored(_hot_anchors(unsure, length))
+    any_hot = not hot.isEmpty()
+    if any_hot:
+        unsure = unsure.join(F.broadcast(hot), "anchor", "left")
+    wanted = unsure.groupBy("doc").agg(F.collect_list(F.struct("anchor", "span", "hot") if any_hot else F.struct("anchor", "span")).alias("spans"))
+
+    names, kinds = ["anchor", "doc", "span", "phrase", *(["hot"] if any_hot else [])], {"phrase": pa.binary(), "hot": pa.bool_()}
 
     def fetch(batches):
         open_ = zstandard.ZstdDecompressor()
         for b in batches:
-            columns: list[list] = [[], [], [], []]
+            columns: list[list] = [[] for _ in names]
             for doc, tag, blob, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
                 data = open_.decompress(blob)
                 found = spans.values.filter(pc.equal(pc.shift_right(spans.values.field(1), 40), tag or 0))
@@ -458,7 +478,9 @@ def _second_round(packed: DataFrame, unsure: DataFrame, length: int) -> DataFram
                 columns[1] += [doc] * len(span)
                 columns[2] += span
                 columns[3] += [data[at : at + (x & 255) + length - 1] for x in span for at in [x >> 8 & 0xFFFFFFFF]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 3 else pa.int64()) for i, c in enumerate(columns)], ["anchor", "doc", "span", "phrase"])
+                if any_hot:
+                    columns[4] += [bool(x) for x in found.field(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds.get(k, pa.int64())) for k, c in zip(names, columns, strict=True)], names)
 
     def index(batches):
         docs, spans, texts, size, last = [], [], [], 0, None
@@ -483,8 +505,12 @@ def _second_round(packed: DataFrame, unsure: DataFrame, length: int) -> DataFram
         if docs:
             yield emit()
 
-    fetched = map_arrow(packed.join(wanted, "doc").select("doc", "tag", "packed", "spans"), fetch, "anchor bigint, doc bigint, span bigint, phrase binary")
-    return map_arrow(fetched.repartition("anchor").sortWithinPartitions("anchor"), index, "doc bigint, span bigint, mask bigint")
+    fetched = map_arrow(packed.join(wanted, "doc").select("doc", "tag", "packed", "spans"), fetch, "anchor bigint, doc bigint, span bigint, phrase binary" + ", hot boolean" * any_hot)
+    if any_hot:
+        phrases_of = stored(fetched)
+        fetched, windows = phrases_of.where("NOT hot").drop("hot"), _window_marks(phrases_of.where("hot"), length)
+    marked = map_arrow(fetched.repartition("anchor").sortWithinPartitions("anchor"), index, "doc bigint, span bigint, mask bigint")
+    return marked.union(windows) if any_hot else marked
 
 
 def find_marks(docs: DataFrame, length: int) -> DataFrame:

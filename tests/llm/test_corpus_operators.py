@@ -196,6 +196,22 @@ def test_repeats_of_periodic_and_random_texts(spark, letters):
         assert got[i] == (gone.sum(), hashlib.sha256(np.frombuffer(texts[i].encode(), np.uint8)[~gone].tobytes()).hexdigest())
 
 
+def test_a_hot_anchor_is_dealt_by_windows(spark, monkeypatch):
+    rng = random.Random(3)
+    noise = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    line = "This sentence stands in every third document after other words, é. "
+    texts = {i: noise(rng.randrange(20, 90)) + (line if i % 3 == 0 else "") + noise(rng.randrange(60)) for i in range(120)} | {200: "", 201: line * 4}
+    monkeypatch.setattr(run_index, "INDEX_BYTES", 2000)
+    seen = []
+    deal = run_index._window_marks
+    monkeypatch.setattr(run_index, "_window_marks", lambda fetched, length: seen.append(fetched.count()) or deal(fetched, length))
+    got = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in run_index.dedup_digests(docs(spark, list(texts.values()), list(texts)), 50).collect()}
+    expected = brute_repeats(texts, 50)
+    assert seen and seen[0] > 20
+    for i, gone in expected.items():
+        assert got[i] == (gone.sum(), hashlib.sha256(np.frombuffer(texts[i].encode(), np.uint8)[~gone].tobytes()).hexdigest())
+
+
 def test_repeats_of_odd_rows_keep_columns(spark, odd_documents):
     assert run_index.dedup_digests(odd_documents, 50).count() == 7
     out = run_index.remove_repeats(odd_documents, 50)
