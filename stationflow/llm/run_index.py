@@ -13,7 +13,8 @@ Index. Distinct phrases whose anchor has other distinct phrases come back as tex
 out by anchor. Each block of them becomes a run-compressed Burrows-Wheeler transform with
 suffix-array samples at both ends of every run and the smallest document of each class of rows
 that share L bytes. All phrases of a block stream through it together, one backward step a byte;
-where the matching statistic reaches L and the class has a smaller document, the window is marked.
+their own remaining length is their matching statistic, and where it reaches L and the class has a
+smaller document, the window is marked. Samples and foreign patterns' statistics are not used here.
 An anchor whose phrases are more than ``INDEX_BYTES`` is not a block: its windows are grouped by
 their bytes, reduced to the smallest document in every task first, and the marks return by a join.
 
