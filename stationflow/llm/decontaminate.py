@@ -13,8 +13,8 @@ from above; windows whose bound is under ``LEAST``, or cannot beat the best one
 within the radius agree in at least one block, and items are looked up by length, block number and
 block value) only say which windows are verified first, so that the others end by their bound.
 
-Items are taken in blocks of at most ``BLOCK``, so what a task holds is bounded however large
-the benchmark is; documents are never shuffled.
+Items are taken in blocks of about ``BLOCK``, each broadcast on its own and read by tasks of its
+own, so what a task holds is bounded however large the benchmark is; documents are never shuffled.
 
 Defined results: null or empty texts and items match nothing; an item with fewer than
 ``SHINGLE`` words is one shingle of all its words; a document shorter than an item has one window,
@@ -24,12 +24,15 @@ go to the first; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, row_slices, text_buffers
+from .common import map_arrow, row_slices, stored, text_buffers
 from .words import NON_WORD, document_words, fold, shingle_hashes
 
 SHINGLE, LEAST, RADIUS, BLOCK = 5, 0.8, 15, 20_000
@@ -171,15 +174,13 @@ class Index:
         return found
 
 
-def indexes(benchmark: DataFrame, block: int = BLOCK) -> list[Index]:
+def indexes(benchmark: DataFrame, block: int = BLOCK) -> Iterator[Index]:
     """One index for each block of items; a block has about ``block`` items."""
     items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     n_blocks = -(-items.count() // block)
-    out = []
     for k in range(n_blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).toArrow().to_pylist()
-        out.append(Index(sorted(((r["item_id"], r["text"].encode()) for r in rows), key=repr)))
-    return out
+        yield Index(sorted(((r["item_id"], r["text"].encode()) for r in rows), key=repr))
 
 
 def _found(index: Index, column: pa.Array) -> list[tuple[int, int, int, int, float]]:
@@ -187,30 +188,37 @@ def _found(index: Index, column: pa.Array) -> list[tuple[int, int, int, int, flo
     return [(d + i, *m) for i, j in row_slices(offsets) for d, *m in index.scan(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, item_id, first_word, n_words and similarity of each leaked item's best window."""
     spark, schema = docs.sparkSession, "doc_id bigint, item_id bigint, first_word bigint, n_words bigint, similarity double"
-    sent = spark.sparkContext.broadcast(indexes(benchmark))
 
-    def run(batches):
-        for b in batches:
-            rows = sorted((d, index.ids[i], s, n, x) for index in sent.value for d, i, s, n, x in _found(index, b.column(1)))
-            ids = b.column(0).cast(pa.int64()).to_pylist()
-            columns = [[ids[r[0]] for r in rows], *([r[k] for r in rows] for k in range(1, 5))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 4 else pa.int64()) for k, c in enumerate(columns)], ["doc_id", "item_id", "first_word", "n_words", "similarity"])
+    def found(index: Index) -> DataFrame:
+        sent = spark.sparkContext.broadcast(index)
+
+        def run(batches):
+            for b in batches:
+                rows = sorted((d, sent.value.ids[i], s, n, x) for d, i, s, n, x in _found(sent.value, b.column(1)))
+                ids = b.column(0).cast(pa.int64()).to_pylist()
+                columns = [[ids[r[0]] for r in rows], *([r[k] for r in rows] for k in range(1, 5))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 4 else pa.int64()) for k, c in enumerate(columns)], ["doc_id", "item_id", "first_word", "n_words", "similarity"])
+
+        return map_arrow(docs.select("doc_id", "text"), run, schema)
 
-    return map_arrow(docs.select("doc_id", "text"), run, schema)
+    parts = [found(index) for index in indexes(benchmark, block)]
+    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a leaked item, with all their columns."""
-    at, sent = docs.columns.index("text"), docs.sparkSession.sparkContext.broadcast(indexes(benchmark))
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The documents without a leaked item, with all their columns; they are stored between two blocks of items."""
+    at, left = docs.columns.index("text"), None
+    for index in indexes(benchmark, block):
+        sent = docs.sparkSession.sparkContext.broadcast(index)
 
-    def run(batches):
-        for b in batches:
-            keep = np.ones(b.num_rows, bool)
-            for index in sent.value:
-                keep[[r[0] for r in _found(index, b.column(at))]] = False
-            yield b.filter(pa.array(keep))
+        def run(batches, sent=sent):
+            for b in batches:
+                keep = np.ones(b.num_rows, bool)
+                keep[[r[0] for r in _found(sent.value, b.column(at))]] = False
+                yield b.filter(pa.array(keep))
 
-    return map_arrow(docs, run, docs.schema)
+        left = map_arrow(docs if left is None else stored(left), run, docs.schema)
+    return docs if left is None else left

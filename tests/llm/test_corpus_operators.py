@@ -281,6 +281,14 @@ def test_no_window_just_above_the_threshold_is_lost():
     assert sorted(index.scan(np.frombuffer(b"".join(texts), np.uint8), offsets)) == expected and sum(x[4] < 0.83 for x in expected) > 20
 
 
+def test_blocks_of_items_go_one_by_one(spark):
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(12)), 1) for i in range(20)]
+    bench, texts = spark.createDataFrame(items, "item_id long, text string, doc_id int"), docs(spark, ["clean text", *(f"before {t} after" for _, t, _ in items)])
+    got = decontaminate.find_leaks(texts, bench, block=6)
+    assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == [(i + 1, i) for i in range(20)] and got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 4
+    assert [r["doc_id"] for r in decontaminate.drop_leaks(texts, bench, block=6).collect()] == [0]
+
+
 def test_every_fingerprint_within_the_radius_is_found():
     rng = np.random.default_rng(0)
     index = decontaminate.Index([(i, " ".join(f"w{i}x{k}" for k in range(20)).encode()) for i in range(50)])
