@@ -12,11 +12,16 @@ one class from the start. Two sets link when their Jaccard similarity reaches th
 * The boundary is the largest size at which enumeration still emits no more keys than scanning
   would read list entries, from the sizes and list lengths of the data.
 
-Only components are needed, so in a few rounds each list first compares its members with one
-leader; then members of different components are compared pairwise, and a long list of one
-component costs nothing more. A pair is a candidate only if the parity sketches of its sets allow
-it: their Hamming distance never exceeds the symmetric difference, so no link is lost. Every
-candidate pair is verified on the whole sets.
+Only components are needed, so each list first compares its members with one leader, the member
+that has the list's shingle earliest: edits make rare shingles, and these come first, so it has
+the fewest edits. While lists still hold many pairs of different components, each compares its
+members with another leader, of its largest component. Then only members of different components
+are compared pairwise; a long list of one component costs nothing more. A pair is a candidate
+only if the parity sketches of its sets allow it: their Hamming distance never exceeds the
+symmetric difference, so no link is lost. Every candidate pair is verified on the whole sets.
+
+A list of a shingle that is in ``HOT_LIST`` documents or more is dealt in parts. Texts are
+shingled again for each pass (counts, names, lists, verification): the sets are larger than the texts.
 
 Defined results: null texts and texts without words have an empty set and link with nothing;
 documents with 1 to n - 1 words have their whole sequence as one shingle; rows that repeat are
@@ -44,8 +49,12 @@ FREQUENT = 65_536
 COUNTED, SHARED = 1 << 21, 3
 #: Sizes beyond this are never enumerated; keeps the number of subsets of one set in the hundreds.
 LIGHT_MOST = 24
-#: 64-bit words of a set's parity sketch, and rounds of comparing lists with their leaders.
-SKETCH, ROUNDS = 4, 1
+#: 64-bit words of a set's parity sketch.
+SKETCH = 8
+#: Another round with leaders is worth its shuffles while lists hold more pairs of different components than this many an entry.
+PAIRS_EACH = 16
+#: Lists of shingles in this many documents or more are dealt in parts.
+HOT_LIST, PARTS = 1 << 20, 64
 #: Bits of the filter of documents whose sets are fetched for verification.
 FILTER_BITS = 1 << 24
 
@@ -90,11 +99,12 @@ def document_sets(column: pa.Array, n: int):
             yield np.unique(hashes[at[k] : at[k + 1]])
 
 
-def digest(s: np.ndarray) -> int:
-    """A 64-bit name of a set that depends on all its members."""
+def digest(s: np.ndarray) -> bytes:
+    """A 128-bit name of a set that depends on all its members; wide enough for any number of documents."""
     with np.errstate(over="ignore"):
         h = mix(s + mix(np.arange(len(s), dtype=np.uint64)))
-        return int(mix(np.array([np.bitwise_xor.reduce(h) + h.sum(dtype=np.uint64) * np.uint64(3) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
+        both, summed = np.bitwise_xor.reduce(h), h.sum(dtype=np.uint64)
+        return mix(np.array([both + summed * np.uint64(3) + np.uint64(len(s)), summed ^ mix(both + np.uint64(len(s)))], np.uint64)).astype(">u8").tobytes()
 
 
 def parity_sketch(s: np.ndarray) -> list[int]:
@@ -187,9 +197,9 @@ def _pairs_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int) -
             rows = np.flatnonzero(hit)
             if len(rows):
                 sets = list(document_sets(b.column(0).take(pa.array(rows)), n))
-                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), pa.array([pack_set(s) for s in sets], pa.binary())], ["d", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.array([pack_set(s) for s in sets], pa.binary())], ["d", "members"])
 
-    fetched = map_arrow(docs.select("text", F.pmod(F.xxhash64("text"), F.lit(FILTER_BITS)).alias("slot")), run, "d bigint, members binary")
+    fetched = map_arrow(docs.select("text", F.pmod(F.xxhash64("text"), F.lit(FILTER_BITS)).alias("slot")), run, "d binary, members binary")
     return fetched.groupBy("d").agg(F.first("members").alias("members"))
 
 
@@ -207,7 +217,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, t:
                 keep.append(both * t[1] >= (len(x) + len(y) - both) * t[0])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return cut(map_arrow(sides.select("a", "b", "x", "y"), run, "a bigint, b bigint"))
+    return cut(map_arrow(sides.select("a", "b", "x", "y"), run, "a binary, b binary"))
 
 
 def join_components(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
@@ -218,13 +228,14 @@ def join_components(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
     by_count = np.empty(len(frequent), np.int64)
     by_count[np.lexsort((frequent, count))] = np.arange(len(frequent))
     frequent, rank = frequent[order], by_count[order]
+    hot = np.sort(frequent[count[order] >= HOT_LIST])
 
     sketch = [f"s{i}" for i in range(SKETCH)]
 
     def name(batches):
         for b in batches:
             sets = [(len(s), digest(s), *parity_sketch(s)) for s in document_sets(b.column(1), n)]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), *(pa.array([x[i] for x in sets], pa.int64()) for i in range(2 + SKETCH))], ["doc_id", "row", "n", "d", *sketch])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), *(pa.array([x[i] for x in sets], pa.binary() if i == 1 else pa.int64()) for i in range(2 + SKETCH))], ["doc_id", "row", "n", "d", *sketch])
 
     def listed(boundary):
         def run(batches):
@@ -240,16 +251,18 @@ def join_components(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
                         sizes.append(len(s))
                 if keys:
                     of = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.array(ds, np.int64)[of]), pa.array(np.array(sizes, np.int32)[of]), pa.array(np.concatenate(places).astype(np.int32))], ["key", "d", "n", "place"])
+                    key, part = np.concatenate(keys), np.array([1 + d[0] % PARTS for d in ds], np.int32)[of]
+                    part[~np.isin(key, hot)] = 0
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(part), pa.array(ds, pa.binary()).take(pa.array(of)), pa.array(np.array(sizes, np.int32)[of]), pa.array(np.concatenate(places).astype(np.int32))], ["key", "part", "d", "n", "place"])
 
         return run
 
-    rows = cut(map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("row")), name, "doc_id bigint, row bigint, n bigint, d bigint, " + ", ".join(f"{x} bigint" for x in sketch)))
+    rows = cut(map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("row")), name, "doc_id bigint, row bigint, n bigint, d binary, " + ", ".join(f"{x} bigint" for x in sketch)))
     size_counts = {r["n"]: r["count"] for r in rows.where(F.col("n").between(1, LIGHT_MOST)).groupBy("n").count().collect()}
     boundary = choose_boundary(size_counts, list_length, t)
     classes = rows.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), *[F.first(x).alias(x) for x in sketch])
-    entries = map_arrow(docs.select("text"), listed(boundary), "key bigint, d bigint, n int, place int")
-    by_key = entries.repartition("key")
+    entries = map_arrow(docs.select("text"), listed(boundary), "key bigint, part int, d binary, n int, place int")
+    by_key = entries.repartition("key", "part")
     # two light sets share one subset of the needed size; other pairs share SHARED entries among the first n - overlap + SHARED of both
     sizes = "n_a", "n_b"
     overlap = f"CAST(-floor(-{t[0]}.0D * (n_a + n_b) / {t[0] + t[1]}) AS INT)"
@@ -259,47 +272,66 @@ def join_components(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
     fits = f"(least(n_a, n_b) * {t[1]}L >= greatest(n_a, n_b) * {t[0]}L AND ({light} AND place_a < 0 AND place_b < 0 OR NOT ({light}) AND {heavy}))"
     candidate = F.expr(f"c_a != c_b AND {fits}")
     one = F.struct("d", "n", "place")  # the same columns on both sides, so the exchange is used twice
-    ends = by_key.groupBy("key").agg(F.min(one).alias("x"), F.max(one).alias("y"), F.count("*").alias("listed")).where("x.d != y.d")
+    ends = by_key.groupBy("key", "part").agg(F.min(one).alias("x"), F.max(one).alias("y"), F.count("*").alias("listed")).where("part > 0 OR x.d != y.d")
     # a list of two is only of use if its two sets can be a pair
-    several = ends.select("key", "listed", *[F.col(f"{c}.{k}").alias(f"{k}_{x}") for c, x in (("x", "a"), ("y", "b")) for k in ("n", "place")]).where(f"listed > 2 OR {fits}").select("key")
-    shared = stored(by_key.join(several, "key").select("key", "d", "n", "place").distinct())
+    several = ends.select("key", "part", "listed", *[F.col(f"{c}.{k}").alias(f"{k}_{x}") for c, x in (("x", "a"), ("y", "b")) for k in ("n", "place")]).where(f"part > 0 OR listed > 2 OR {fits}").select("key", "part")
+    shared = stored(by_key.join(several, ["key", "part"]).select("key", "d", "n", "place").distinct())
     enough = F.expr(f"keys >= IF({light}, 1, least({SHARED}, {overlap}))")
     fields = ["d", "n", "place", "c"]
     sides = {x: classes.select(F.col("d").alias(f"d_{x}"), *[F.col(k).alias(f"{k}_{x}") for k in sketch]) for x in "ab"}
 
-    def named(found: DataFrame | None) -> DataFrame:
-        if found is None:
-            return shared.withColumns({"c": F.col("d"), "weight": F.lit(1).cast("long")})
-        weighed = found.join(found.groupBy("component").agg(F.count("*").alias("weight")), "component")
-        return shared.join(weighed.withColumnRenamed("node", "d"), "d", "left").withColumns({"c": F.coalesce("component", "d"), "weight": F.coalesce("weight", F.lit(1))}).drop("component")
+    def compared(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Pairs of both sides' entries that can link, by ``key``, sizes, places and components."""
+        left = left.select(F.col("key").alias("key_a"), *[F.col(k).alias(f"{k}_a") for k in fields], *[F.col(k).alias(f"{k}_a") for k in sketch if k in left.columns])
+        right = right.select(F.col("key").alias("key_b"), *[F.col(k).alias(f"{k}_b") for k in fields], *[F.col(k).alias(f"{k}_b") for k in sketch if k in right.columns])
+        return left.join(right, (F.col("key_a") == F.col("key_b")) & candidate)
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("d_a", "d_b").alias("a"), F.greatest("d_a", "d_b").alias("b")).distinct()
 
-    tested, links, found = None, None, None
-    for _ in range(ROUNDS):
-        lists = named(found)
-        leaders = lists.groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("w"), F.xxhash64("key", "d").alias("m"), *fields)).alias("low"), F.min("c").alias("x"), F.max("c").alias("y")).where("x != y")
-        left = lists.select("key", *[F.col(k).alias(f"{k}_a") for k in fields])
-        right = leaders.select(F.col("key").alias("key_b"), *[F.col(f"low.{k}").alias(f"{k}_b") for k in fields])
-        met = left.join(right, (F.col("key") == F.col("key_b")) & candidate).select("d_a", "d_b", "n_a", "n_b").distinct()
-        pairs = ordered(met.join(sides["a"], "d_a").join(sides["b"], "d_b").where(alike))
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        new = _verified(docs, classes, pairs, n, t)
-        tested, links = (pairs, new) if tested is None else (tested.union(pairs), links.union(new))
+    def with_leaders(lists: DataFrame, leaders: DataFrame) -> DataFrame:
+        met = compared(lists, leaders).select("d_a", "d_b", "n_a", "n_b").distinct()
+        return ordered(met.join(sides["a"], "d_a").join(sides["b"], "d_b").where(alike))
+
+    # edits make rare shingles, which come first: the member that has a list's shingle earliest is nearest to the common text
+    central = F.struct(F.col("place").alias("early"), F.xxhash64("key", "d").alias("m"), *fields)
+    lists = shared.withColumn("c", F.col("d"))
+    leaders = lists.groupBy("key").agg(F.min(central).alias("low")).select("key", *[F.col(f"low.{k}").alias(k) for k in fields])
+    # a written side is an exchange of its own, so that Spark can split a hot list in the join
+    tested = cut(with_leaders(lists, cut(leaders) if len(hot) else leaders))
+    links = _verified(docs, classes, tested, n, t)
+    n_links, turn = links.count(), 0
+    # of two sets the smaller one (or an equal one) has a shared key among these
+    first = F.expr(f"place < n - CAST(-floor(-{2 * t[0]}.0D * n / {t[0] + t[1]}) AS INT) + {SHARED}")
+    while True:
         found = components(links)
-    lists = named(found)
-    mixed = lists.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("key")
-    open_ = cut(lists.join(mixed, "key", "left_semi"))
-    left, right = (open_.select(F.col("key").alias(f"key_{x}"), *[F.col(k).alias(f"{k}_{x}") for k in fields]).join(sides[x], f"d_{x}") for x in "ab")
-    met = left.join(right, (F.col("key_a") == F.col("key_b")) & F.expr("d_a < d_b") & candidate & F.expr(alike))
+        lists = shared.join(found.withColumnRenamed("node", "d"), "d", "left").withColumn("c", F.coalesce("component", "d")).drop("component")
+        # of each list that has several components: the pairs across them and a member of the largest
+        other = F.struct(F.xxhash64(F.lit(turn), "key", "d").alias("m"), *fields)
+        by_part = lists.groupBy("key", "c").agg(F.count("*").alias("size"), F.count_if(first).alias("firsts"), F.min(other).alias("low"))
+        sums = F.count("*").alias("parts"), F.sum("size").alias("entries"), (F.sum("size").cast("double") * F.sum("firsts") - F.sum(F.col("size").cast("double") * F.col("firsts"))).alias("pairs")
+        mixed = cut(by_part.groupBy("key").agg(*sums, F.max(F.struct("size", "low")).alias("top")).where("parts > 1"))
+        open_ = cut(lists.join(mixed.select("key"), "key", "left_semi"))
+        left_over = mixed.agg(F.sum("pairs").alias("pairs"), F.sum("entries").alias("entries")).first()
+        if (left_over["pairs"] or 0) <= PAIRS_EACH * (left_over["entries"] or 0):
+            break
+        more = cut(with_leaders(open_, mixed.select("key", *[F.col(f"top.low.{k}").alias(k) for k in fields])).join(tested, ["a", "b"], "left_anti"))
+        new = _verified(docs, classes, more, n, t)
+        tested, turn, before = tested.union(more), turn + 1, n_links
+        links = links.union(new)
+        n_links += new.count()
+        if n_links == before:
+            break
+    # what is still apart is compared pairwise
+    sketched = open_.join(classes.select("d", *sketch), "d")
+    met = compared(sketched.where(first), sketched).where(F.expr("(n_a < n_b OR n_a = n_b AND d_a < d_b) AND " + alike))
     across = met.groupBy("d_a", "d_b", *sizes).agg(F.count("*").alias("keys")).where(enough)
     rest = cut(ordered(across).join(tested, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         found = components(links.union(_verified(docs, classes, rest, n, t)))
-    whole = classes.join(found.withColumnRenamed("node", "d"), "d", "left").select("d", "least", F.coalesce("component", "d").alias("c"))
-    least = whole.groupBy("c").agg(F.min("least").alias("component_id"))
-    by_class = whole.join(least, "c").select("d", "component_id")
+    whole = classes.join(found.withColumnRenamed("node", "d"), "d", "left").select("d", "least", F.coalesce("component", "d").alias("c"), F.col("component").isNotNull().alias("linked"))
+    least = cut(whole.where("linked").groupBy("c").agg(F.min("least").alias("component_id")))
+    by_class = whole.join(least, "c", "left").select("d", F.coalesce("component_id", "least").alias("component_id"))
     out = rows.join(by_class, "d", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "row", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -307,11 +339,12 @@ def join_components(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
 def keep_one(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
     """The documents that are the smallest id of their component, with all their columns.
 
-    Rows that repeat an id and a text stay once; documents without words all stay.
+    Rows that repeat an id and a text stay once; documents without words all stay. A null id is
+    the smallest of a component that has no other id; such rows stay unless their texts are equal.
     """
     found = join_components(docs, n, t)
-    first = found.where("doc_id = component_id OR doc_id IS NULL AND component_id IS NULL").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["kept_id"]), "left_semi")
+    first = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id"), F.col("row").alias("kept_row")).distinct()
+    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["kept_id"]) & (F.xxhash64(docs["text"]) == first["kept_row"]), "left_semi")
     if found.groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
     return kept.dropDuplicates(["doc_id", "text"])

@@ -49,7 +49,7 @@ def test_chat_stays_in_the_jvm_and_shuffles_once(spark):
 # --- components and Jaccard ----------------------------------------------------------------------
 
 
-def test_components_against_union_find(spark):
+def test_components_against_union_find(spark, monkeypatch):
     rng = random.Random(4)
     links = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100, i) for i in range(101, 130)] + [(i, i + 1) for i in range(200, 230)]
     parent = {v: v for e in links for v in e}
@@ -63,6 +63,8 @@ def test_components_against_union_find(spark):
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    monkeypatch.setattr(components, "HUB_LINKS", 0)
+    assert got == {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {v: find(v) for e in links if e[0] != e[1] for v in e}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
@@ -122,6 +124,44 @@ def test_join_query_against_brute_force(spark):
     assert got == brute_components(texts, 4, (85, 100))
 
 
+def near_copies(n, edits, size=140, seed=11):
+    """Copies of one text with up to so many words changed: many lists that hold them all."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(size)]
+    out = []
+    for k in range(n):
+        x = list(base)
+        for at in rng.sample(range(size), rng.randrange(edits + 1)):
+            x[at] = f"e{k}x{at}"
+        out.append(" ".join(x))
+    return out
+
+
+@pytest.mark.parametrize("settings", [{}, {"HOT_LIST": 5, "PARTS": 3}, {"PAIRS_EACH": 0}])
+def test_join_of_a_large_group_of_near_copies(spark, monkeypatch, settings):
+    for k, v in settings.items():
+        monkeypatch.setattr(jaccard_join, k, v)
+    monkeypatch.setattr(components, "HUB_LINKS", 0 if settings else 1 << 20)
+    texts = dict(enumerate(near_copies(150, 4) + near_copies(40, 2, 9, 12) + edited_texts()[:60]))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join_components(docs(spark, list(texts.values())), 4, (85, 100)).collect()}
+    assert got == brute_components(texts, 4, (85, 100))
+
+
+def test_leaders_leave_few_pairs_of_a_large_group(spark, monkeypatch):
+    verified, check = [], jaccard_join._verified
+    monkeypatch.setattr(jaccard_join, "_verified", lambda d, c, pairs, *rest: verified.append(pairs.count()) or check(d, c, pairs, *rest))
+    for n in (100, 300):
+        jaccard_join.join_components(docs(spark, near_copies(n, 3)), 4, (85, 100)).count()
+        assert sum(verified) < 4 * n  # pairs within the threshold grow with the square
+        verified.clear()
+
+
+def test_a_null_id_goes_with_its_near_copy(spark):
+    x = near_copies(3, 1)
+    kept = jaccard_join.keep_one(docs(spark, [*x, "quite another text of some words", "and a third one that is apart"], [4, None, 7, None, None]), 4, (85, 100))
+    assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == ["4", "None", "None"]
+
+
 def test_join_of_odd_rows(spark, odd_documents):
     rows = jaccard_join.join_components(odd_documents, 4, (85, 100)).collect()
     assert len(rows) == 7 and {(r["doc_id"], r["component_id"]) for r in rows} == {(i, i) for i in (1, 2, 3, 5, 6, None)}
