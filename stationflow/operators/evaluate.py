@@ -10,6 +10,11 @@ from ..functions.scalars import student_p, winner
 MODELS = ("persistence", "linear", "gam", "forest", "xgb", "lgb")
 
 
+def short_label(label: Column) -> Column:
+    """A model's label in a narrow table: LSTM-x is L-x, Persistence is Pers."""
+    return F.when(label.contains("LSTM"), F.replace(label, F.lit("LSTM-"), F.lit("L-"))).when(label == "Persistence", "Pers").otherwise(label)
+
+
 def _measures() -> list[Column]:
     e = F.col("y_pred") - F.col("y_true")
     return [
@@ -96,32 +101,63 @@ def best_n(metrics: DataFrame, n: int) -> DataFrame:
     return metrics.where("scope = 'Global'").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def hac_lags(n: int) -> int:
-    return min(10, int(n**0.25 + 1e-9))
-
-
 def loss_differential(pairs: DataFrame, loss: str = "squared") -> DataFrame:
     e1, e2 = F.col("y_true") - F.col("y_pred_1"), F.col("y_true") - F.col("y_pred_2")
     return pairs.withColumn("d", e1 * e1 - e2 * e2 if loss == "squared" else F.abs(e1) - F.abs(e2))
 
 
+#: Most lags of the long-run variance.
+MOST_LAGS = 10
+
+
+def lagged_products(values: DataFrame, order: list[str], by: str = "horizon", value: str = "d") -> DataFrame:
+    """by, n, mean and p0..p10: the sums of c(i) c(i - k) over a group's total order, c being the value less its mean.
+
+    ``order`` is the series keys and then the time. The products within a series are a window over that series;
+    those across a border need ten values of either side only, so no group is ever ordered in one task.
+    """
+    *keys, ts = order
+    means = values.groupBy(by).agg(F.avg(value).alias("mean"))
+    c = values.select(by, *order, value).join(means, by).withColumn("_c", F.col(value) - F.col("mean"))
+    series = Window.partitionBy(by, *keys)
+    w = series.orderBy(ts)
+    c = c.withColumns({"_i": F.row_number().over(w), "_n": F.count("*").over(series), **{f"_l{k}": F.lag("_c", k).over(w) for k in range(1, MOST_LAGS + 1)}})
+    ends = {"_first": F.col("_i") <= MOST_LAGS, "_last": F.col("_i") > F.col("_n") - MOST_LAGS}
+    products = [F.sum(F.col("_c") * F.col("_c")).alias("p0"), *[F.coalesce(F.sum(F.col("_c") * F.col(f"_l{k}")), F.lit(0.0)).alias(f"p{k}") for k in range(1, MOST_LAGS + 1)]]
+    per = c.groupBy(by, *keys).agg(F.count("*").alias("n"), F.first("mean").alias("mean"), *products, *[F.transform(F.sort_array(F.collect_list(F.when(there, F.struct("_i", "_c")))), lambda x: x["_c"]).alias(name) for name, there in ends.items()])
+    # the ten values before a series: from up to ten earlier ones; one row per series is ordered here
+    before = F.slice(F.concat(F.array_repeat(F.lit(None).cast("double"), MOST_LAGS), F.flatten(F.collect_list("_last").over(Window.partitionBy(by).orderBy(*keys).rowsBetween(-MOST_LAGS, -1)))), -MOST_LAGS, MOST_LAGS)
+    per = per.withColumn("_before", before) if keys else per.withColumn("_before", F.array().cast("array<double>"))
+
+    def across(k: int):
+        total = F.col(f"p{k}")
+        for j in range(k):
+            total = total + F.coalesce(F.get("_first", j) * F.get("_before", MOST_LAGS - k + j), F.lit(0.0))
+        return F.sum(total).alias(f"p{k}")
+
+    return per.groupBy(by).agg(F.sum("n").alias("n"), F.first("mean").alias("mean"), F.sum("p0").alias("p0"), *[across(k) for k in range(1, MOST_LAGS + 1)])
+
+
+def autocovariances(values: DataFrame, order: list[str], lags: list[int], by: str = "horizon", value: str = "d") -> DataFrame:
+    """autocovariance_k of a group's values in order; lag k divides by n - k."""
+    p = lagged_products(values, order, by, value)
+    return p.select(by, *[(F.col(f"p{k}") / F.nullif(F.greatest(F.col("n") - k, F.lit(0)), F.lit(0))).alias(f"autocovariance_{k}") for k in lags])
+
+
 def diebold_mariano(pairs: DataFrame, order: list[str], loss: str = "squared", by: str = "horizon") -> DataFrame:
-    """Statistic, its long-run variance and both RMSEs per ``by``; the order is total within it.
+    """Statistic, its long-run variance and both RMSEs per ``by``; ``order`` (series keys, then time) is total within it.
 
-    Negative: the first model has the smaller loss. All lags share one exchange by ``by``; the
-    sample per group is meant to be bounded (see ``operators.sampling``).
+    Negative: the first model has the smaller loss. Any number of pairs: see ``lagged_products``.
     """
     d = loss_differential(pairs, loss)
-    w = Window.partitionBy(by).orderBy(*order)
-    whole = Window.partitionBy(by)
-    d = d.withColumns({"_n": F.count("*").over(whole), "_c": F.col("d") - F.avg("d").over(whole)})
-    d = d.withColumns({f"_l{k}": F.lag("_c", k).over(w) for k in range(1, 11)})
-    lags = F.least(F.lit(10), F.floor(F.pow(F.max("_n"), F.lit(0.25)) + 1e-9))
-    total = F.avg(F.col("_c") * F.col("_c"))
-    for k in range(1, 11):
-        total = total + F.when(F.lit(k) <= lags, 2 * (1 - k / (lags + 1)) * F.coalesce(F.avg(F.col("_c") * F.col(f"_l{k}")), F.lit(0.0))).otherwise(0.0)
+    n = F.col("n")
+    lags = F.least(F.lit(MOST_LAGS), F.floor(F.pow(n, F.lit(0.25)) + 1e-9))
+    total = F.col("p0") / n
+    for k in range(1, MOST_LAGS + 1):
+        total = total + F.when((F.lit(k) <= lags) & (n > k), 2 * (1 - k / (lags + 1)) * F.col(f"p{k}") / (n - k)).otherwise(0.0)
     rmse = lambda c: F.sqrt(F.avg(F.pow(F.col("y_true") - F.col(c), 2)))
-    out = d.groupBy(by).agg(F.count("*").alias("n_samples"), F.avg("d").alias("mean_d"), F.greatest(total / F.count("*"), F.lit(1e-10)).alias("hac_variance"), rmse("y_pred_1").alias("rmse_1"), rmse("y_pred_2").alias("rmse_2"))
+    errors = d.groupBy(by).agg(rmse("y_pred_1").alias("rmse_1"), rmse("y_pred_2").alias("rmse_2"))
+    out = lagged_products(d, order, by).select(by, n.alias("n_samples"), F.col("mean").alias("mean_d"), F.greatest(total / n, F.lit(1e-10)).alias("hac_variance")).join(errors, by)
     return out.withColumn("dm_stat", F.when(F.col("n_samples") >= 2, F.col("mean_d") / F.sqrt("hac_variance")))
 
 

@@ -12,8 +12,9 @@ def last_rows(df: DataFrame, n: int, ts: str, keys: list[str]) -> DataFrame:
 
 
 def seeded_sample(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
-    """Exactly n rows (or all), chosen by a hash of their keys."""
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+    """Exactly n rows (or all), chosen by a hash of their keys' texts that any engine has."""
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
+    return df.orderBy(F.md5(text.cast("binary")), *keys).limit(n)
 
 
 def first_then_sample(df: DataFrame, first: int, n: int, order: list[str], seed: int = 42) -> DataFrame:

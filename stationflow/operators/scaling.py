@@ -6,23 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _long(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
-    return df.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in features])).alias("x")).select(*keys, "x.feature", "x.v")
+def _moments(features: list[str]) -> list:
+    return [f(F.col(c).cast("double")).alias(f"{c}_{n}") for c in features for n, f in (("m", F.avg), ("s", F.stddev_pop))]
 
 
-def _moments(long: DataFrame, keys: list[str]) -> DataFrame:
-    found = long.groupBy(*keys, "feature").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
-    return found.withColumn("std", F.when(F.col("std") < 1e-6, 1.0).otherwise(F.col("std")))
+def _entry(feature: str, mean, std):
+    return F.struct(F.lit(feature).alias("feature"), mean.alias("mean"), F.when(std < 1e-6, 1.0).otherwise(std).alias("std"))
 
 
 def station_scalers(train: DataFrame, features: list[str], keys: list[str], static: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, feature, mean, std) of training rows; a deviation under 1e-6 is 1; static features use all stations."""
-    moving = _moments(_long(train, keys, [c for c in features if c not in static]), keys)
-    if not static:
-        return moving
-    whole = _moments(_long(train, [], list(static)), [])
-    stations = train.select(*keys).distinct()
-    return moving.unionByName(stations.join(whole, how="cross"))  # one row per static feature, a declared list
+    """(keys, feature, mean, std) of training rows; a deviation under 1e-6 is 1; static features use all stations.
+
+    One aggregation with two columns a feature; only its result, a row per station, is made long.
+    """
+    moving = [c for c in features if c not in static]
+    found = train.groupBy(*keys).agg(*_moments(moving)) if moving else train.select(*keys).distinct()
+    entries = [_entry(c, F.col(f"{c}_m"), F.col(f"{c}_s")) for c in moving]
+    if static:
+        whole = train.agg(*_moments(list(static))).first()  # two values a feature of a declared list
+        entries += [_entry(c, F.lit(whole[f"{c}_m"]).cast("double"), F.lit(whole[f"{c}_s"]).cast("double")) for c in static]
+    return found.select(*keys, F.explode(F.array(*entries)).alias("x")).select(*keys, "x.feature", "x.mean", "x.std")
 
 
 def with_fallback(scalers: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:

@@ -123,17 +123,18 @@ def sequences(df: DataFrame, features: list[str], rows: int, keep: Column, keys=
 def fill_gaps(df: DataFrame, columns: list[str], keys=STATION, ts: str = "ts", method: str = "row") -> DataFrame:
     """Linear interpolation between the nearest values by row position (or by time), edges by the nearest value.
 
-    A station without any value stays NULL.
+    A station without any value stays NULL. One exchange; the rows of a station are sorted both ways.
     """
     order = Window.partitionBy(*keys).orderBy(epoch(ts))
     place = F.row_number().over(order) if method == "row" else epoch(ts)
     out = df.withColumn("_place", place)
-    past, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    # the next value is the last one seen backwards: a running frame, where an unbounded following one would start anew at every row
+    past, ahead = (w.rowsBetween(Window.unboundedPreceding, 0) for w in (order, Window.partitionBy(*keys).orderBy(epoch(ts).desc())))
     new = {}
     for c in columns:
         at = F.when(F.col(c).isNotNull(), F.col("_place"))
-        v0, v1 = F.last(c, True).over(past), F.first(c, True).over(ahead)
-        p0, p1 = F.last(at, True).over(past), F.first(at, True).over(ahead)
+        v0, v1 = F.last(c, True).over(past), F.last(c, True).over(ahead)
+        p0, p1 = F.last(at, True).over(past), F.last(at, True).over(ahead)
         new[c] = F.coalesce(F.col(c), v0 + (v1 - v0) * (F.col("_place") - p0) / (p1 - p0), v0, v1)
     return out.withColumns(new).drop("_place")
 

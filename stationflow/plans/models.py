@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.clean import between, drop_incomplete
@@ -48,32 +50,59 @@ def boosted(features: list[str], label: str, **params) -> Pipeline:
     """``preset`` depth (many shallow trees) or leaf (fewer deep ones); early stopping where ``validation`` names a flag column."""
     preset = {"depth": {"maxDepth": 6, "maxIter": 30}, "leaf": {"maxDepth": 8, "maxIter": 20}}[params.get("preset", "depth")]
     own = {k: int(params.get(k, v)) for k, v in preset.items()}
-    model = GBTRegressor(labelCol=label, seed=42, stepSize=float(params.get("stepSize", 0.1)), **own)
     if params.get("validation"):
-        model = model.setValidationIndicatorCol(params["validation"]).setValidationTol(0.001)
-    return _pipeline(features, model)
+        own |= {"validationIndicatorCol": params["validation"], "validationTol": 0.001}
+    return _pipeline(features, GBTRegressor(labelCol=label, seed=42, stepSize=float(params.get("stepSize", 0.1)), **own))
 
 
 def _pipeline(features: list[str], model) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features_vector", handleInvalid="skip"), model.setFeaturesCol("features_vector").setPredictionCol("y_pred")])
 
 
-def spline_columns(df: DataFrame, features: list[str], n_splines: int = 6, degree: int = 3) -> tuple[DataFrame, list[str]]:
-    """B-spline basis columns of each feature on equal knots between its extremes, by the recursion formula."""
-    ends = df.agg(*[f(c).alias(f"{c}_{n}") for c in features for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    new, names = {}, []
-    for c in features:
-        lo, hi = float(ends[f"{c}_lo"] or 0), float(ends[f"{c}_hi"] or 1)
-        step = max((hi - lo) / (n_splines - degree), 1e-9)
-        knots = [lo + (i - degree) * step for i in range(n_splines + degree + 1)]
-        x = F.least(F.greatest(F.col(c).cast("double"), F.lit(lo)), F.lit(hi - step * 1e-9))
-        basis = [F.when((x >= knots[i]) & (x < knots[i + 1]), 1.0).otherwise(0.0) for i in range(len(knots) - 1)]
-        for d in range(1, degree + 1):
-            basis = [(x - knots[i]) / (knots[i + d] - knots[i]) * basis[i] + (knots[i + d + 1] - x) / (knots[i + d + 1] - knots[i + 1]) * basis[i + 1] for i in range(len(basis) - 1)]
-        for i, b in enumerate(basis):
-            new[f"{c}_spline_{i}"] = b
-            names.append(f"{c}_spline_{i}")
-    return df.withColumns(new), names
+@dataclass(frozen=True)
+class Additive:
+    """One smooth per feature: B-splines on equal knots, with the difference penalty ``lam`` on neighbouring coefficients.
+
+    The penalty enters as a few more rows of the least-squares problem, one per second difference:
+    sqrt(lam) x (1, -2, 1) with label 0. The fitted pipeline makes its basis itself, so it can be saved.
+    """
+
+    features: list[str]
+    label: str
+    n_splines: int = 20
+    lam: float = 0.6
+    degree: int = 3
+
+    def _basis(self, lo: float, step: float, column: str) -> list[str]:
+        """The basis as SQL: each spline is a sum of shifted truncated powers of the place on the knots."""
+        d, inner = self.degree, self.n_splines - self.degree
+        place = f"(least(greatest(CAST(`{column}` AS DOUBLE), {lo!r}D), {lo + inner * step!r}D) - {lo!r}D) / {step!r}D"
+        terms = lambda i: " + ".join(f"{(-1) ** k * math.comb(d + 1, k) / math.factorial(d)!r}D * power(greatest({place} - {float(i - d + k)!r}D, 0D), {d})" for k in range(d + 2))
+        return [terms(i) for i in range(self.n_splines)]
+
+    def fit(self, train: DataFrame) -> PipelineModel:
+        ends = train.agg(*[f(c).cast("double").alias(f"{c}_{n}") for c in self.features for n, f in (("lo", F.min), ("hi", F.max))]).first()
+        columns, names = [], []
+        for c in self.features:
+            lo, hi = ends[f"{c}_lo"] or 0.0, ends[f"{c}_hi"] or 0.0
+            step = max((hi - lo) / (self.n_splines - self.degree), 1e-9)
+            for i, text in enumerate(self._basis(lo, step, c)):
+                names.append(f"{c}_spline_{i}")
+                columns.append(f"{text} AS `{names[-1]}`")
+        known = train.dropna(subset=self.features)
+        basis = SQLTransformer(statement=f"SELECT *, {', '.join(columns)} FROM __THIS__")
+        assembler = VectorAssembler(inputCols=names, outputCol="features_vector", handleInvalid="skip")
+        rows = assembler.transform(basis.transform(known)).select("features_vector", F.col(self.label).cast("double").alias(self.label))
+        size, root = len(names), math.sqrt(self.lam)
+        penalty = [(Vectors.sparse(size, {f * self.n_splines + i + k: root * w for k, w in enumerate((1.0, -2.0, 1.0))}), 0.0) for f in range(len(self.features)) for i in range(self.n_splines - 2)]
+        extra = train.sparkSession.createDataFrame(penalty, ["features_vector", self.label])
+        # the splines of a feature sum to 1, so they hold the intercept; a slight ridge settles what several features share
+        model = LinearRegression(labelCol=self.label, featuresCol="features_vector", predictionCol="y_pred", solver="normal", fitIntercept=False, standardization=False, regParam=1e-8).fit(rows.unionByName(extra))
+        return PipelineModel(stages=[basis, assembler, model])
+
+
+def additive(features: list[str], label: str, **params) -> Additive:
+    return Additive(features, label, int(params.get("n_splines", 20)), float(params.get("lam", 0.6)))
 
 
 def train_horizons(train: DataFrame, features: list[str], horizons: list[int], make: Callable[..., Pipeline], **params) -> dict[int, PipelineModel]:
@@ -111,7 +140,12 @@ def evaluate(df: DataFrame, features: list[str], target: str, horizons: list[int
         ready = ready.join(keep, [*keys, ts]).withColumns({f"y_h{h}": F.when(F.array_contains("_h", h), F.col(f"y_h{h}")) for h in horizons}).drop("_h")
     train, test = sides(ready, split, ts)
     extra = [c for c in ("area",) if c in df.columns]
-    return score_horizons(test, train_horizons(train, features, horizons, make, **params), [*keys, *extra, ts])
+    train = train.cache()  # read once per horizon and iteration
+    try:
+        fitted = train_horizons(train, features, horizons, make, **params)
+    finally:
+        train.unpersist()
+    return score_horizons(test, fitted, [*keys, *extra, ts])
 
 
 def leave_country_out(df: DataFrame, country: str, features: list[str], target: str, horizons: list[int], make: Callable[..., Pipeline], split: Split, **more) -> DataFrame:
@@ -160,9 +194,13 @@ def search_holdout(df: DataFrame, features: list[str], label: str, make: Callabl
     known = df.where(F.col(label).isNotNull())
     train = last_rows(between(known, ts, None, train_end), last_n, ts, list(keys)).cache()
     valid = last_rows(between(known, ts, None, valid_end).where(F.col(ts) > F.lit(train_end).cast("timestamp")), last_n, ts, list(keys)).cache()
-    if min(train.count(), valid.count()) <= least:
-        return default
-    return min(((mean_absolute_error(make(features, label, **p).fit(train), valid, label), i, p) for i, p in enumerate(draw(grid, n_draws))), key=lambda x: x[:2])[2]
+    try:
+        if min(train.count(), valid.count()) <= least:
+            return default
+        return min(((mean_absolute_error(make(features, label, **p).fit(train), valid, label), i, p) for i, p in enumerate(draw(grid, n_draws))), key=lambda x: x[:2])[2]
+    finally:
+        train.unpersist()
+        valid.unpersist()
 
 
 def linear_attributions(model: PipelineModel, rows: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
@@ -173,18 +211,24 @@ def linear_attributions(model: PipelineModel, rows: DataFrame, features: list[st
     return rows.select(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("row_id"), F.explode(parts).alias("x")).select("row_id", "x.feature", "x.value")
 
 
-def permutation_importance(model: PipelineModel, rows: DataFrame, features: list[str], label: str, keys: list[str], seed: int = 42) -> dict[str, float]:
-    """Rise of the mean absolute error when a feature is shuffled among the (sampled) rows by a seeded hash."""
-    from pyspark.sql import Window
+#: Rows among which a feature is shuffled.
+SHUFFLED = 10_000
 
+
+def permutation_importance(model: PipelineModel, rows: DataFrame, features: list[str], label: str, keys: list[str], seed: int = 42) -> DataFrame:
+    """(feature, rise): of the mean absolute error when a feature is shuffled by a seeded hash.
+
+    Rows are dealt by a hash of their keys to buckets of about ``SHUFFLED`` rows and shuffled within them, so any number of rows will do.
+    """
     base = mean_absolute_error(model, rows, label)
-    out = {}
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(max(1, -(-rows.count() // SHUFFLED))))
+    out = []
     for c in features:
-        # the sample is bounded, so its global order is too
-        a = rows.withColumn("_i", F.row_number().over(Window.orderBy(*keys)))
-        b = rows.select(F.col(c).alias("_v"), F.row_number().over(Window.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys)).alias("_i"))
-        out[c] = mean_absolute_error(model, a.join(b, "_i").withColumn(c, F.col("_v")), label) - base
-    return out
+        here = rows.withColumn("_b", bucket)
+        a = here.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(*keys)))
+        b = here.select("_b", F.col(c).alias("_v"), F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(*keys, F.lit(seed)), *keys)).alias("_i"))
+        out.append((c, mean_absolute_error(model, a.join(b, ["_b", "_i"]).withColumn(c, F.col("_v")), label) - base))
+    return rows.sparkSession.createDataFrame(out, "feature string, rise double")
 
 
 def ablation(model: PipelineModel, rows: DataFrame, scalers: DataFrame, hidden: list[str], label: str, keys: list[str]) -> DataFrame:

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes, scalars
 from ..operators import clean, evaluate, joins, sampling, scaling, timeseries
-from ..sources import fixtures, readers
+from ..sources import fixtures, readers, sinks
 from ..streaming import running
 from . import features, models
-from .registry import KEYS, STATION, ahead, back, last, long_sql, query, r6, wide_sql
+from .registry import KEYS, STATION, STATIONS_SQL, ahead, back, last, long_sql, query, r6, wide_sql
 
 TRAIN_END, TEST_START, TEST_END = "2024-01-20 23:00:00", "2024-01-21 00:00:00", "2024-01-30 23:00:00"
 K = ["country", "site_number"]
+DENSE = fixtures.DENSE
 H = [1, 3, 6]
 
 
@@ -52,8 +53,8 @@ def metadata(spark, sf_dir: str) -> DataFrame:
     )
 
 
-PRED_SQL = f"""{wide_sql(5)}, base AS (SELECT w.*, r_name AS area, avg(pm25) OVER {last(3)} AS mean3, {', '.join(f'max(pm25) OVER {ahead(h)} AS y{h}' for h in H)}
-  FROM wide w JOIN nation ON n_nationkey::VARCHAR = site_number JOIN region ON n_regionkey = r_regionkey),
+PRED_SQL = f"""{wide_sql()}, base AS (SELECT w.country, w.site_number, w.ts, pm25, area, avg(pm25) OVER {last(3)} AS mean3, {', '.join(f'max(pm25) OVER {ahead(h)} AS y{h}' for h in H)}
+  FROM wide w JOIN {STATIONS_SQL} st USING (site_number)),
 stacked AS ({' UNION ALL '.join(f'SELECT country, site_number, area, ts, {h} AS horizon, y{h} AS y_true, pm25 AS persistence, mean3 FROM base' for h in H)}),
 pairs AS (SELECT * FROM stacked WHERE y_true IS NOT NULL AND persistence IS NOT NULL),
 pred AS (SELECT 'persistence' AS model, country, site_number, area, ts, horizon, y_true, persistence AS y_pred FROM pairs UNION ALL
@@ -65,7 +66,7 @@ METRICS_SQL = f"""{PRED_SQL}, metrics AS (SELECT model, CASE WHEN grouping(count
 
 
 def predictions(spark, sf_dir: str, model: str) -> DataFrame:
-    w = fixtures.wide(spark, sf_dir, 5).join(fixtures.stations(spark, sf_dir).select("site_number", "area"), "site_number")
+    w = fixtures.wide(spark, sf_dir).join(fixtures.stations(spark, sf_dir).select("site_number", "area"), "site_number")
     if model == "mean3":
         w = timeseries.rolling(w, ["pm25"], [3], std=False)
     aimed = timeseries.targets(w, "pm25", H)
@@ -85,14 +86,14 @@ def split_sql(column: str = "ts") -> str:
 # --- scans --------------------------------------------------------------------------------------
 
 
-@query(f"WITH {long_sql(5)} SELECT country, site_number, epoch(ts)::BIGINT AS ts, round(value, 6) AS value, pollutant FROM long WHERE pollutant = 'no2'")
+@query(f"WITH {long_sql()} SELECT country, site_number, epoch(ts)::BIGINT AS ts, round(value, 6) AS value, pollutant FROM long WHERE pollutant = 'no2'")
 def s1_scan_pollutant(spark, d):
-    return fixtures.long(spark, d, 5).where("pollutant = 'no2'").select(*K, "ts", "value", "pollutant")
+    return fixtures.long(spark, d).where("pollutant = 'no2'").select(*K, "ts", "value", "pollutant")
 
 
-@query(f"WITH {long_sql(5)} SELECT pollutant, country, count(*) AS n, round(sum(value), 6) AS total FROM long GROUP BY 1, 2")
+@query(f"WITH {long_sql()} SELECT pollutant, country, count(*) AS n, round(sum(value), 6) AS total FROM long GROUP BY 1, 2")
 def s2_combine_pollutants(spark, d):
-    x = fixtures.long(spark, d, 5)
+    x = fixtures.long(spark, d)
     parts = [x.where(F.col("pollutant") == p).select("pollutant", "country", "value") for p in clean.POLLUTANTS]
     return joins.union_all(parts).groupBy("pollutant", "country").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
@@ -107,54 +108,97 @@ def s4_half_year_periods(spark, d):
     return counts.join(periods.select("label", "start"), "label").select("label", "start", "n")
 
 
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 > 0 THEN epoch(o_orderdate)::BIGINT END AS at FROM orders")
+def s5_csv_scan(spark, d):
+    """Orders landed as CSV and scanned back; every seventh time is unreadable."""
+    text = F.when(F.col("o_orderkey") % 7 > 0, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).otherwise("nonsense")
+    sinks.write_csv(fixtures.table(spark, d, "orders").select("o_orderkey", text.alias("at")), folder := sinks.scratch(spark))
+    return readers.read_csv(spark, folder, "o_orderkey long, at string", ("at",))
+
+
+@query("SELECT CASE n_name WHEN 'FRANCE' THEN 'FR' WHEN 'GERMANY' THEN 'DE' WHEN 'ROMANIA' THEN 'RO' WHEN 'UNITED KINGDOM' THEN 'GB' END AS country, 'E' || s_suppkey AS eoi, round(s_acctbal, 6) AS latitude FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def s6_station_metadata(spark, d):
+    """The suppliers landed as a station list; every row is there twice, and the first counts."""
+    p, n = fixtures.table(spark, d, "supplier"), fixtures.table(spark, d, "nation")
+    x = p.join(n, p["s_nationkey"] == n["n_nationkey"]).select(
+        F.initcap(F.lower("n_name")).alias("Country"), F.concat(F.lit("E"), F.col("s_suppkey").cast("string")).alias("Air Quality Station EoI Code"), F.lit("1").alias("Air Quality Station Nat Code"), F.lit("p").alias("Sampling Point Id"),
+        F.col("s_acctbal").cast("double").alias("Latitude"), F.lit(2.0).alias("Longitude"), F.lit(3.0).alias("Altitude"), F.lit("traffic").alias("Air Quality Station Type"), F.lit("urban").alias("Air Quality Station Area"),
+    )
+    twice = x.select(F.explode(F.array(F.struct(*x.columns), F.struct(*x.columns))).alias("s")).select("s.*")
+    sinks.write_csv(twice, folder := sinks.scratch(spark))
+    return readers.read_metadata(spark, folder).select("country", "eoi", "latitude")
+
+
+@query(f"WITH {METRICS_SQL} SELECT 'm_' || model AS stem, CASE model WHEN 'mean3' THEN 'Mean of three' ELSE 'm_persistence' END AS model, scope, grp, horizon::BIGINT AS horizon, round(rmse, 6) AS rmse FROM metrics")
+def s7_metrics_scan(spark, d):
+    """Metrics files of both models, scanned with the file's stem and the model's name."""
+    folder, m = sinks.scratch(spark), metrics(spark, d)
+    for k in ("persistence", "mean3"):
+        sinks.write_csv(m.where(F.col("model") == k).select(F.col("scope").alias("Scope"), F.col("grp").alias("Group"), "horizon", F.col("mae").alias("MAE"), F.col("rmse").alias("RMSE")), f"{folder}/m_{k}.csv")
+    found = readers.read_metrics(spark, [f"{folder}/m_{k}.csv" for k in ("persistence", "mean3")], {"m_mean3": "Mean of three"})
+    return found.select("stem", "model", F.col("Scope").alias("scope"), F.col("Group").alias("grp"), "horizon", F.col("RMSE").alias("rmse"))
+
+
+@query(f"WITH {PRED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY country, site_number, ts) AS place FROM pairs) SELECT {KEYS}, horizon::BIGINT AS horizon, round(persistence, 6) AS y_pred FROM r WHERE place <= 50")
+def s12_prediction_sample(spark, d):
+    return sinks.prediction_sample(predictions(spark, d, "persistence"), 50, [*K, "ts"], "horizon").select(*K, "ts", "horizon", "y_pred")
+
+
+@query(f"""WITH {wide_sql()}, y AS (SELECT ts, unnest({H}) AS horizon, unnest([{', '.join(f'y{h}' for h in H)}]) AS y FROM (SELECT ts, {', '.join(f'max(pm25) OVER {ahead(h)} AS y{h}' for h in H)} FROM wide))
+SELECT horizon::BIGINT AS horizon, count(y) FILTER (ts <= TIMESTAMP '{TRAIN_END}') AS train_n, count(y) FILTER (ts BETWEEN TIMESTAMP '{TEST_START}' AND TIMESTAMP '{TEST_END}') AS test_n FROM y GROUP BY 1""")
+def s14_run_info(spark, d):
+    aimed = timeseries.targets(fixtures.wide(spark, d), "pm25", H)
+    return sinks.run_info(clean.between(aimed, "ts", None, TRAIN_END), None, clean.between(aimed, "ts", TEST_START, TEST_END), H).select("horizon", "train_n", "test_n")
+
+
 # --- projections and filters --------------------------------------------------------------------
 
 
-@query(f"WITH {long_sql(2)} SELECT event_id, CASE WHEN value - 5 >= 0 THEN round(value - 5, 6) END AS value FROM long")
+@query(f"WITH {long_sql(DENSE)} SELECT event_id, CASE WHEN value - 5 >= 0 THEN round(value - 5, 6) END AS value FROM long")
 def p1_drop_sentinels(spark, d):
-    return clean.drop_sentinels(fixtures.long(spark, d, 2).select("event_id", (F.col("value") - 5).alias("value")), ["value"])
+    return clean.drop_sentinels(fixtures.long(spark, d, DENSE).select("event_id", (F.col("value") - 5).alias("value")), ["value"])
 
 
-@query(f"WITH {wide_sql(5)} SELECT {KEYS}, {r6('pm25')} FROM wide WHERE pm25 IS NOT NULL")
+@query(f"WITH {wide_sql()} SELECT {KEYS}, {r6('pm25')} FROM wide WHERE pm25 IS NOT NULL")
 def p2_require_target(spark, d):
-    return clean.require_target(fixtures.wide(spark, d, 5)).select(*K, "ts", "pm25")
+    return clean.require_target(fixtures.wide(spark, d)).select(*K, "ts", "pm25")
 
 
-@query(f"WITH {wide_sql(5)}, x AS (SELECT *, max(pm25) OVER {back(1)} AS l1, max(pm25) OVER {back(2)} AS l2 FROM wide) SELECT {KEYS}, round(l1, 6) AS pm25_lag_1h, round(l2, 6) AS pm25_lag_2h FROM x WHERE l1 IS NOT NULL AND l2 IS NOT NULL")
+@query(f"WITH {wide_sql()}, x AS (SELECT *, max(pm25) OVER {back(1)} AS l1, max(pm25) OVER {back(2)} AS l2 FROM wide) SELECT {KEYS}, round(l1, 6) AS pm25_lag_1h, round(l2, 6) AS pm25_lag_2h FROM x WHERE l1 IS NOT NULL AND l2 IS NOT NULL")
 def p3_drop_incomplete(spark, d):
-    return clean.drop_incomplete(timeseries.time_lags(fixtures.wide(spark, d, 5), ["pm25"], [1, 2]), pattern="_lag_").select(*K, "ts", "pm25_lag_1h", "pm25_lag_2h")
+    return clean.drop_incomplete(timeseries.time_lags(fixtures.wide(spark, d), ["pm25"], [1, 2]), pattern="_lag_").select(*K, "ts", "pm25_lag_1h", "pm25_lag_2h")
 
 
-@query(f"WITH {wide_sql(2)} SELECT {KEYS}, CASE WHEN pm25 > 20 THEN NULL ELSE round(pm25, 6) END AS pm25 FROM wide")
+@query(f"WITH {wide_sql(DENSE)} SELECT {KEYS}, CASE WHEN pm25 > 20 THEN NULL ELSE round(pm25, 6) END AS pm25 FROM wide")
 def p4_finite_numbers(spark, d):
-    x = fixtures.wide(spark, d, 2).withColumn("pm25", F.when(F.col("pm25") > 20, F.lit(float("inf"))).otherwise(F.col("pm25")))
+    x = fixtures.wide(spark, d, DENSE).withColumn("pm25", F.when(F.col("pm25") > 20, F.lit(float("inf"))).otherwise(F.col("pm25")))
     return clean.finite_numbers(x).select(*K, "ts", "pm25")
 
 
-@query(f"WITH {wide_sql(5)} SELECT {split_sql()} AS side, country, count(*) AS n FROM wide GROUP BY 1, 2")
+@query(f"WITH {wide_sql()} SELECT {split_sql()} AS side, country, count(*) AS n FROM wide GROUP BY 1, 2")
 def p5_temporal_split(spark, d):
-    w = fixtures.wide(spark, d, 5)
+    w = fixtures.wide(spark, d)
     parts = [clean.between(w, "ts", a, b).select(F.lit(side).alias("side"), "country") for side, a, b in (("train", None, TRAIN_END), ("test", TEST_START, TEST_END))]
     return joins.union_all(parts).groupBy("side", "country").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {wide_sql(2)} SELECT {KEYS}, {r6('pm25')} FROM wide WHERE ts BETWEEN TIMESTAMP '{TEST_START}' - INTERVAL 167 HOUR AND TIMESTAMP '{TEST_END}'")
+@query(f"WITH {wide_sql(DENSE)} SELECT {KEYS}, {r6('pm25')} FROM wide WHERE ts BETWEEN TIMESTAMP '{TEST_START}' - INTERVAL 167 HOUR AND TIMESTAMP '{TEST_END}'")
 def p6_warmup_window(spark, d):
-    return clean.with_warmup(fixtures.wide(spark, d, 2), "ts", TEST_START, TEST_END).select(*K, "ts", "pm25")
+    return clean.with_warmup(fixtures.wide(spark, d, DENSE), "ts", TEST_START, TEST_END).select(*K, "ts", "pm25")
 
 
-@query(f"WITH {wide_sql(5)} SELECT country, count(*) AS n FROM wide WHERE country <> 'FR' AND ts <= TIMESTAMP '{TRAIN_END}' GROUP BY 1")
+@query(f"WITH {wide_sql()} SELECT country, count(*) AS n FROM wide WHERE country <> 'FR' AND ts <= TIMESTAMP '{TRAIN_END}' GROUP BY 1")
 def p11_exclude_country(spark, d):
-    return clean.exclude(clean.between(fixtures.wide(spark, d, 5), "ts", None, TRAIN_END), "country", "FR").groupBy("country").agg(F.count("*").alias("n"))
+    return clean.exclude(clean.between(fixtures.wide(spark, d), "ts", None, TRAIN_END), "country", "FR").groupBy("country").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {wide_sql(5)} SELECT country || '_' || site_number AS station_key, count(*) AS n FROM wide WHERE country <> 'AT' GROUP BY 1")
+@query(f"WITH {wide_sql()} SELECT country || '_' || site_number AS station_key, count(*) AS n FROM wide WHERE country <> 'AT' GROUP BY 1")
 def p12_exclude_prefix(spark, d):
-    x = fixtures.wide(spark, d, 5).withColumn("station_key", codes.station_key())
+    x = fixtures.wide(spark, d).withColumn("station_key", codes.station_key())
     return clean.exclude_prefix(x, "station_key", "AT_").groupBy("station_key").agg(F.count("*").alias("n"))
 
 
-COVER_SQL = f"""{wide_sql(5)}, sided AS (SELECT country, site_number, ts, {split_sql()} AS side FROM wide WHERE pm25 IS NOT NULL),
+COVER_SQL = f"""{wide_sql()}, sided AS (SELECT country, site_number, ts, {split_sql()} AS side FROM wide WHERE pm25 IS NOT NULL),
 gapped AS (SELECT *, (epoch(ts) - epoch(lag(ts) OVER (PARTITION BY country, site_number, side ORDER BY ts))) / 3600 AS gap FROM sided),
 cover AS (SELECT country, site_number, {', '.join(f'''epoch(min(ts) FILTER (side = '{s}'))::BIGINT AS {s}_start, epoch(max(ts) FILTER (side = '{s}'))::BIGINT AS {s}_end,
   count(DISTINCT ts) FILTER (side = '{s}') AS {s}_observed_hours,
@@ -164,7 +208,7 @@ cover AS (SELECT country, site_number, {', '.join(f'''epoch(min(ts) FILTER (side
 
 
 def _coverage(spark, d):
-    return evaluate.coverage(clean.require_target(fixtures.wide(spark, d, 5)), ("2000-01-01 00:00:00", TRAIN_END), (TEST_START, TEST_END))
+    return evaluate.coverage(clean.require_target(fixtures.wide(spark, d)), ("2000-01-01 00:00:00", TRAIN_END), (TEST_START, TEST_END))
 
 
 @query(f"WITH {COVER_SQL} SELECT country, site_number, train_completeness, test_completeness FROM cover WHERE train_completeness >= 0.5 AND test_completeness >= 0.5 AND test_observed_hours > 0 AND test_max_gap_hours <= 72")
@@ -177,24 +221,24 @@ def p14_point_lookup(spark, d):
     return clean.point_lookup(metrics(spark, d), "Country", "AT", 3).select("model", "rmse")
 
 
-@query(f"WITH {wide_sql(2)} SELECT country AS cc, epoch(ts)::BIGINT AS ts, {r6('pm25')}, NULL::DOUBLE AS o3 FROM wide")
+@query(f"WITH {wide_sql(DENSE)} SELECT country AS cc, epoch(ts)::BIGINT AS ts, {r6('pm25')}, NULL::DOUBLE AS o3 FROM wide")
 def p15_rename_and_order(spark, d):
-    x = clean.renamed(fixtures.wide(spark, d, 2), {"country": "cc"}, ("site_number", "no2", "pm10"))
+    x = clean.renamed(fixtures.wide(spark, d, DENSE), {"country": "cc"}, ("site_number", "no2", "pm10"))
     return clean.ordered(x, ["cc", "ts"], ("pm25", "o3"))
 
 
 # --- joins --------------------------------------------------------------------------------------
 
 
-@query(f"WITH {long_sql(5)} SELECT pollutant, country, count(*) AS n FROM long WHERE pollutant <> 'pm25' AND (country, site_number) IN (SELECT country, site_number FROM long WHERE pollutant = 'pm25') GROUP BY 1, 2")
+@query(f"WITH {long_sql()} SELECT pollutant, country, count(*) AS n FROM long WHERE pollutant <> 'pm25' AND (country, site_number) IN (SELECT country, site_number FROM long WHERE pollutant = 'pm25') GROUP BY 1, 2")
 def j1_keep_target_sites(spark, d):
-    x = fixtures.long(spark, d, 5)
+    x = fixtures.long(spark, d)
     return joins.keep_sites(x.where("pollutant <> 'pm25'"), x.where("pollutant = 'pm25'")).groupBy("pollutant", "country").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {wide_sql(5)} SELECT {KEYS}, {r6('pm25')}, r_name AS area FROM wide LEFT JOIN nation ON n_nationkey::VARCHAR = site_number LEFT JOIN region ON n_regionkey = r_regionkey")
+@query(f"WITH {wide_sql()} SELECT {KEYS}, {r6('pm25')}, area FROM wide LEFT JOIN {STATIONS_SQL} USING (site_number)")
 def j2_attach_metadata(spark, d):
-    return joins.attach_metadata(fixtures.wide(spark, d, 5), fixtures.stations(spark, d).select("site_number", "area"), ["site_number"]).select(*K, "ts", "pm25", "area")
+    return joins.attach_metadata(fixtures.wide(spark, d), fixtures.stations(spark, d).select("site_number", "area"), ["site_number"]).select(*K, "ts", "pm25", "area")
 
 
 _CODE = r"nullif(regexp_extract(point, '{0}', 1), '')"
@@ -214,26 +258,26 @@ def j4_es_lookup(spark, d):
     return joins.match_by_code(p, joins.es_lookup(metadata(spark, d), "file_order"), "es_code").select("s_suppkey", "point", "eoi")
 
 
-@query(f"WITH {wide_sql(5)}, firsts AS (SELECT country, site_number, arg_min(value, event_id) AS first_value FROM long GROUP BY 1, 2) SELECT country, site_number, epoch(ts)::BIGINT AS ts, round(first_value, 6) AS first_value FROM wide JOIN firsts USING (country, site_number)")
+@query(f"WITH {wide_sql()}, firsts AS (SELECT country, site_number, arg_min(value, event_id) AS first_value FROM long GROUP BY 1, 2) SELECT country, site_number, epoch(ts)::BIGINT AS ts, round(first_value, 6) AS first_value FROM wide JOIN firsts USING (country, site_number)")
 def j5_reattach_first(spark, d):
-    firsts = timeseries.first_per_key(fixtures.long(spark, d, 5), K, [F.col("event_id")]).select(*K, F.col("value").alias("first_value"))
-    return joins.attach_metadata(fixtures.wide(spark, d, 5), firsts, K).select(*K, "ts", "first_value")
+    firsts = timeseries.first_per_key(fixtures.long(spark, d), K, [F.col("event_id")]).select(*K, F.col("value").alias("first_value"))
+    return joins.attach_metadata(fixtures.wide(spark, d), firsts, K).select(*K, "ts", "first_value")
 
 
 WEATHER_SQL = "weather AS (SELECT country, site_number, ts, avg(value) FILTER (event_type = 'error') AS wind_speed, 3.6 * avg(props_k) AS wind_direction FROM long GROUP BY 1, 2, 3)"
 
 
-@query(f"""WITH {wide_sql(5)}, {WEATHER_SQL}, places AS (SELECT n_nationkey::VARCHAR AS site_number, 40 + n_nationkey / 7 AS la, 5 + n_nationkey / 11 AS lo FROM nation)
+@query(f"""WITH {wide_sql()}, {WEATHER_SQL}
 SELECT w.country, w.site_number, epoch(w.ts)::BIGINT AS ts, round(wind_speed, 6) AS wind_speed, round(wind_direction, 6) AS wind_direction FROM wide w LEFT JOIN weather x ON w.site_number = x.site_number AND w.ts = x.ts""")
 def j7_attach_weather(spark, d):
     places = fixtures.stations(spark, d).select("site_number", "latitude", "longitude")
-    weather = fixtures.weather(spark, d, 5).join(places, "site_number").drop("country", "site_number")
-    return joins.attach_weather(fixtures.wide(spark, d, 5).join(places, "site_number"), weather).select(*K, "ts", "wind_speed", "wind_direction")
+    weather = fixtures.weather(spark, d).join(places, "site_number").drop("country", "site_number")
+    return joins.attach_weather(fixtures.wide(spark, d).join(places, "site_number"), weather).select(*K, "ts", "wind_speed", "wind_direction")
 
 
 @query(f"WITH {COVER_SQL}, ok AS (SELECT country, site_number FROM cover WHERE test_completeness >= 0.8) SELECT country, count(*) AS n FROM wide JOIN ok USING (country, site_number) GROUP BY 1")
 def j8_restrict_stations(spark, d):
-    return joins.semi(fixtures.wide(spark, d, 5), _coverage(spark, d).where("test_completeness >= 0.8"), K).groupBy("country").agg(F.count("*").alias("n"))
+    return joins.semi(fixtures.wide(spark, d), _coverage(spark, d).where("test_completeness >= 0.8"), K).groupBy("country").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {PRED_SQL} SELECT country, site_number, epoch(ts)::BIGINT AS ts, horizon::BIGINT AS horizon, round(y_true, 6) AS y_true, round(persistence, 6) AS y_pred_1, round(mean3, 6) AS y_pred_2 FROM pairs")
@@ -254,20 +298,20 @@ def j12_skill_against_baseline(spark, d):
     return joins.skill_against(m.where("model = 'mean3'"), m.where("model = 'persistence'")).select("scope", "grp", "horizon", "mae_skill", "rmse_skill")
 
 
-@query(f"WITH {long_sql(5)} SELECT country, CASE country WHEN 'AT' THEN 'Europe/Vienna' WHEN 'BE' THEN 'Europe/Brussels' WHEN 'ES' THEN 'Europe/Madrid' WHEN 'FI' THEN 'Europe/Helsinki' ELSE 'Europe/Paris' END AS zone, count(*) AS n FROM long GROUP BY 1, 2")
+@query(f"WITH {long_sql()} SELECT country, CASE country WHEN 'AT' THEN 'Europe/Vienna' WHEN 'BE' THEN 'Europe/Brussels' WHEN 'ES' THEN 'Europe/Madrid' WHEN 'FI' THEN 'Europe/Helsinki' ELSE 'Europe/Paris' END AS zone, count(*) AS n FROM long GROUP BY 1, 2")
 def j15_dictionary_lookup(spark, d):
-    return fixtures.long(spark, d, 5).groupBy("country", scalars.time_zone(F.col("country")).alias("zone")).agg(F.count("*").alias("n"))
+    return fixtures.long(spark, d).groupBy("country", scalars.time_zone(F.col("country")).alias("zone")).agg(F.count("*").alias("n"))
 
 
-ATTR_SQL = """attr AS (SELECT l_orderkey AS row_id, 'pm25_lag_1h' AS feature, l_quantity - 25 AS value FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT l_orderkey, 'hour_sin', l_discount * 100 - 5 FROM lineitem WHERE l_linenumber = 1
-  UNION ALL SELECT l_orderkey, 'no2_lag_1h', l_tax * 100 - 4 FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT l_orderkey, 'pm25', l_extendedprice / 1000 - 30 FROM lineitem WHERE l_linenumber = 1),
-grouped AS (SELECT *, CASE WHEN feature = 'hour_sin' THEN 'Temporal' WHEN contains(feature, 'pm25') THEN 'History' WHEN contains(feature, 'no2') THEN 'Pollutants' ELSE 'Other' END AS feature_group FROM attr)"""
+ATTR_SQL = """attr AS (SELECT l_orderkey * 10 + l_linenumber AS row_id, unnest(['pm25_lag_1h', 'hour_sin', 'no2_lag_1h', 'pm25']) AS feature,
+  unnest([l_quantity - 25, l_discount * 100 - 5, l_tax * 100 - 4, l_extendedprice / 1000 - 30]) AS value FROM lineitem),
+  grouped AS (SELECT *, CASE WHEN feature = 'hour_sin' THEN 'Temporal' WHEN contains(feature, 'pm25') THEN 'History' WHEN contains(feature, 'no2') THEN 'Pollutants' ELSE 'Other' END AS feature_group FROM attr)"""
 
 
 def _attributions(spark, d):
-    first = fixtures.table(spark, d, "lineitem").where("l_linenumber = 1")
     parts = {"pm25_lag_1h": F.col("l_quantity") - 25, "hour_sin": F.col("l_discount") * 100 - 5, "no2_lag_1h": F.col("l_tax") * 100 - 4, "pm25": F.col("l_extendedprice") / 1000 - 30}
-    return first.select(F.col("l_orderkey").alias("row_id"), F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), v.alias("value")) for k, v in parts.items()])).alias("x")).select("row_id", "x.feature", "x.value")
+    entries = F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), v.alias("value")) for k, v in parts.items()])).alias("x")
+    return fixtures.table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), entries).select("row_id", "x.feature", "x.value")
 
 
 def _grouped(spark, d):
@@ -283,19 +327,19 @@ def j16_feature_groups(spark, d):
 # --- aggregations -------------------------------------------------------------------------------
 
 
-@query(f"WITH {wide_sql(5)} SELECT {KEYS}, {r6('pm25', 'no2', 'pm10')} FROM wide")
+@query(f"WITH {wide_sql()} SELECT {KEYS}, {r6('pm25', 'no2', 'pm10')} FROM wide")
 def a1_pivot_pollutants(spark, d):
-    return fixtures.wide(spark, d, 5)
+    return fixtures.wide(spark, d)
 
 
-@query(f"WITH {long_sql(5)} SELECT DISTINCT country, site_number FROM long WHERE pollutant = 'pm25'")
+@query(f"WITH {long_sql()} SELECT DISTINCT country, site_number FROM long WHERE pollutant = 'pm25'")
 def a2_distinct_sites(spark, d):
-    return fixtures.long(spark, d, 5).where("pollutant = 'pm25'").select(*K).distinct()
+    return fixtures.long(spark, d).where("pollutant = 'pm25'").select(*K).distinct()
 
 
-@query(f"WITH {long_sql(5)} SELECT country, count(DISTINCT user_id) AS n_sites FROM long GROUP BY 1")
+@query(f"WITH {long_sql()} SELECT country, count(DISTINCT user_id) AS n_sites FROM long GROUP BY 1")
 def a3_stations_per_country(spark, d):
-    return fixtures.long(spark, d, 5).groupBy("country").agg(F.countDistinct("user_id").alias("n_sites"))
+    return fixtures.long(spark, d).groupBy("country").agg(F.countDistinct("user_id").alias("n_sites"))
 
 
 @query(f"WITH {COVER_SQL} SELECT * FROM cover")
@@ -321,36 +365,36 @@ def a7_persistence_skill(spark, d):
     return evaluate.metrics_of_sums(evaluate.running_sums(both, ["horizon"], True)).select("horizon", "mae", "mae_persistence", "skill_vs_persistence_mae")
 
 
-@query(f"""WITH {wide_sql(5)}, x AS (SELECT country, site_number, unnest(['pm25', 'no2', 'pm10']) AS feature, unnest([pm25, no2, pm10]) AS v FROM wide WHERE ts <= TIMESTAMP '{TRAIN_END}')
+@query(f"""WITH {wide_sql()}, x AS (SELECT country, site_number, unnest(['pm25', 'no2', 'pm10']) AS feature, unnest([pm25, no2, pm10]) AS v FROM wide WHERE ts <= TIMESTAMP '{TRAIN_END}')
 SELECT country, site_number, feature, round(avg(v), 6) AS mean, round(CASE WHEN stddev_pop(v) < 1e-6 THEN 1 ELSE stddev_pop(v) END, 6) AS std FROM x GROUP BY 1, 2, 3""")
 def a8_station_scalers(spark, d):
-    return scaling.station_scalers(clean.between(fixtures.wide(spark, d, 5), "ts", None, TRAIN_END), list(clean.POLLUTANTS), K)
+    return scaling.station_scalers(clean.between(fixtures.wide(spark, d), "ts", None, TRAIN_END), list(clean.POLLUTANTS), K)
 
 
-@query(f"""WITH {wide_sql(5)}, w AS (SELECT * FROM wide WHERE ts <= TIMESTAMP '{TRAIN_END}')
+@query(f"""WITH {wide_sql()}, w AS (SELECT * FROM wide WHERE ts <= TIMESTAMP '{TRAIN_END}')
 SELECT country, site_number, 'pm25' AS feature, round(avg(pm25), 6) AS mean, round(CASE WHEN stddev_pop(pm25) < 1e-6 THEN 1 ELSE stddev_pop(pm25) END, 6) AS std FROM w GROUP BY 1, 2
 UNION ALL SELECT country, site_number, 'no2', m, s FROM (SELECT DISTINCT country, site_number FROM w), (SELECT round(avg(no2), 6) AS m, round(stddev_pop(no2), 6) AS s FROM w)""")
 def a9_static_scalers(spark, d):
-    return scaling.station_scalers(clean.between(fixtures.wide(spark, d, 5), "ts", None, TRAIN_END), ["pm25", "no2"], K, ("no2",))
+    return scaling.station_scalers(clean.between(fixtures.wide(spark, d), "ts", None, TRAIN_END), ["pm25", "no2"], K, ("no2",))
 
 
-@query(f"""WITH {wide_sql(5)}, early AS (SELECT country, site_number, avg(pm25) AS mean FROM wide WHERE ts <= TIMESTAMP '2024-01-10 00:00:00' AND country < 'ES' GROUP BY 1, 2),
+@query(f"""WITH {wide_sql()}, early AS (SELECT country, site_number, avg(pm25) AS mean FROM wide WHERE ts <= TIMESTAMP '2024-01-10 00:00:00' AND country < 'ES' GROUP BY 1, 2),
 whole AS (SELECT country, site_number, avg(pm25) AS mean FROM wide WHERE ts <= TIMESTAMP '{TRAIN_END}' GROUP BY 1, 2)
 SELECT country, site_number, round(coalesce(e.mean, w.mean), 6) AS mean FROM whole w LEFT JOIN early e USING (country, site_number)""")
 def a10_scaler_fallback(spark, d):
-    w = fixtures.wide(spark, d, 5)
+    w = fixtures.wide(spark, d)
     early = scaling.station_scalers(clean.between(w, "ts", None, "2024-01-10 00:00:00").where("country < 'ES'"), ["pm25"], K)
     return scaling.with_fallback(early, scaling.station_scalers(clean.between(w, "ts", None, TRAIN_END), ["pm25"], K), K).select(*K, "mean")
 
 
-@query(f"WITH {wide_sql(5)} SELECT unnest(['pm25', 'no2', 'pm10']) AS column_name, unnest([count(*) - count(pm25), count(*) - count(no2), count(*) - count(pm10)]) AS missing, round(unnest([100 * (1 - count(pm25) / count(*)), 100 * (1 - count(no2) / count(*)), 100 * (1 - count(pm10) / count(*))]), 6) AS missing_pct FROM wide")
+@query(f"WITH {wide_sql()} SELECT unnest(['pm25', 'no2', 'pm10']) AS column_name, unnest([count(*) - count(pm25), count(*) - count(no2), count(*) - count(pm10)]) AS missing, round(unnest([100 * (1 - count(pm25) / count(*)), 100 * (1 - count(no2) / count(*)), 100 * (1 - count(pm10) / count(*))]), 6) AS missing_pct FROM wide")
 def a11_missing_report(spark, d):
-    return clean.missing_report(fixtures.wide(spark, d, 5), list(clean.POLLUTANTS))
+    return clean.missing_report(fixtures.wide(spark, d), list(clean.POLLUTANTS))
 
 
-@query(f"WITH {wide_sql(5)} SELECT count(*) AS n_rows, 6::BIGINT AS n_columns, epoch(min(ts))::BIGINT AS first, epoch(max(ts))::BIGINT AS last, string_agg(DISTINCT country, ',' ORDER BY country) AS countries, count(DISTINCT country || site_number) AS n_sites FROM wide")
+@query(f"WITH {wide_sql()} SELECT count(*) AS n_rows, 6::BIGINT AS n_columns, epoch(min(ts))::BIGINT AS first, epoch(max(ts))::BIGINT AS last, string_agg(DISTINCT country, ',' ORDER BY country) AS countries, count(DISTINCT country || site_number) AS n_sites FROM wide")
 def a12_dataset_summary(spark, d):
-    return clean.dataset_summary(fixtures.wide(spark, d, 5))
+    return clean.dataset_summary(fixtures.wide(spark, d))
 
 
 @query("SELECT t.event_type, coalesce(n, 0) AS n FROM (SELECT unnest(['click', 'view', 'error', 'none']) AS event_type) t LEFT JOIN (SELECT event_type, count(*) AS n FROM events GROUP BY 1) USING (event_type)")
@@ -381,13 +425,10 @@ def a17_grouped_importance(spark, d):
     return evaluate.grouped_importance(_grouped(spark, d))
 
 
-STATIONS_SQL = "SELECT n_nationkey::VARCHAR AS site_number, r_name AS area, 40 + n_nationkey / 7 AS latitude, 5 + n_nationkey / 11 AS longitude FROM nation JOIN region ON n_regionkey = r_regionkey"
-
-
-@query(f"""WITH {long_sql(5)}, st AS (SELECT DISTINCT country, site_number, area, latitude, longitude FROM long JOIN ({STATIONS_SQL}) USING (site_number))
+@query(f"""WITH {long_sql()}, st AS (SELECT DISTINCT country, site_number, area, latitude, longitude FROM long JOIN {STATIONS_SQL} USING (site_number))
 SELECT country, site_number, area, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, round(avg(latitude) OVER (PARTITION BY country), 6) AS centroid_latitude, round(avg(longitude) OVER (PARTITION BY country), 6) AS centroid_longitude FROM st""")
 def a18_station_directory(spark, d):
-    x = fixtures.long(spark, d, 5).join(fixtures.stations(spark, d).select("site_number", "area", "latitude", "longitude"), "site_number")
+    x = fixtures.long(spark, d).join(fixtures.stations(spark, d).select("site_number", "area", "latitude", "longitude"), "site_number")
     return evaluate.station_directory(x)
 
 
@@ -406,9 +447,9 @@ def a19_hac_variance(spark, d):
     return _tests(spark, d).select("horizon", "hac_variance", "n_samples")
 
 
-@query(f"WITH {wide_sql(5)} SELECT country, round(100 * count(pm25) / count(*), 6) AS pm25_pct, round(100 * count(no2) / count(*), 6) AS no2_pct FROM wide GROUP BY 1")
+@query(f"WITH {wide_sql()} SELECT country, round(100 * count(pm25) / count(*), 6) AS pm25_pct, round(100 * count(no2) / count(*), 6) AS no2_pct FROM wide GROUP BY 1")
 def a20_match_rates(spark, d):
-    return fixtures.wide(spark, d, 5).groupBy("country").agg(*[(100 * F.avg(F.col(c).isNotNull().cast("double"))).alias(f"{c}_pct") for c in ("pm25", "no2")])
+    return fixtures.wide(spark, d).groupBy("country").agg(*[(100 * F.avg(F.col(c).isNotNull().cast("double"))).alias(f"{c}_pct") for c in ("pm25", "no2")])
 
 
 @query(f"WITH {PRED_SQL} SELECT horizon::BIGINT AS horizon, count(*) AS n, round(avg((country = 'FR')::INT), 6) AS excluded_share FROM pairs GROUP BY 1")
@@ -431,33 +472,33 @@ def a22_dataset_overview(spark, d):
 LAG_LIST = [(c, h) for c in clean.POLLUTANTS for h in features.LAGS]
 
 
-@query(f"WITH {wide_sql(5)} SELECT {KEYS}, {', '.join(f'round(max({c}) OVER {back(h)}, 6) AS {c}_lag_{h}h' for c, h in LAG_LIST)} FROM wide")
+@query(f"WITH {wide_sql()} SELECT {KEYS}, {', '.join(f'round(max({c}) OVER {back(h)}, 6) AS {c}_lag_{h}h' for c, h in LAG_LIST)} FROM wide")
 def w1_time_lag(spark, d):
-    return timeseries.time_lags(fixtures.wide(spark, d, 5), list(clean.POLLUTANTS), features.LAGS).drop(*clean.POLLUTANTS)
+    return timeseries.time_lags(fixtures.wide(spark, d), list(clean.POLLUTANTS), features.LAGS).drop(*clean.POLLUTANTS)
 
 
-@query(f"WITH {wide_sql(5)} SELECT {KEYS}, {', '.join(f'round(avg({c}) OVER {last(h)}, 6) AS {c}_rolling_mean_{h}h' for c in clean.POLLUTANTS for h in features.WINDOWS)} FROM wide")
+@query(f"WITH {wide_sql()} SELECT {KEYS}, {', '.join(f'round(avg({c}) OVER {last(h)}, 6) AS {c}_rolling_mean_{h}h' for c in clean.POLLUTANTS for h in features.WINDOWS)} FROM wide")
 def w2_rolling_mean(spark, d):
-    return timeseries.rolling(fixtures.wide(spark, d, 5), list(clean.POLLUTANTS), features.WINDOWS, std=False).drop(*clean.POLLUTANTS)
+    return timeseries.rolling(fixtures.wide(spark, d), list(clean.POLLUTANTS), features.WINDOWS, std=False).drop(*clean.POLLUTANTS)
 
 
-@query(f"WITH {wide_sql(5)} SELECT {KEYS}, {', '.join(f'round(stddev_samp({c}) OVER {last(h)}, 6) AS {c}_rolling_std_{h}h' for c in clean.POLLUTANTS for h in features.WINDOWS)} FROM wide")
+@query(f"WITH {wide_sql()} SELECT {KEYS}, {', '.join(f'round(stddev_samp({c}) OVER {last(h)}, 6) AS {c}_rolling_std_{h}h' for c in clean.POLLUTANTS for h in features.WINDOWS)} FROM wide")
 def w3_rolling_std(spark, d):
-    x = timeseries.rolling(fixtures.wide(spark, d, 5), list(clean.POLLUTANTS), features.WINDOWS)
+    x = timeseries.rolling(fixtures.wide(spark, d), list(clean.POLLUTANTS), features.WINDOWS)
     return x.select(*K, "ts", *[c for c in x.columns if "_std_" in c])
 
 
-@query(f"WITH {wide_sql(5)} SELECT {KEYS}, {', '.join(f'round(max(pm25) OVER {ahead(h)}, 6) AS y_h{h}' for h in features.HORIZONS)} FROM wide")
+@query(f"WITH {wide_sql()} SELECT {KEYS}, {', '.join(f'round(max(pm25) OVER {ahead(h)}, 6) AS y_h{h}' for h in features.HORIZONS)} FROM wide")
 def w4_targets(spark, d):
-    return timeseries.targets(fixtures.wide(spark, d, 5), "pm25", features.HORIZONS).drop(*clean.POLLUTANTS)
+    return timeseries.targets(fixtures.wide(spark, d), "pm25", features.HORIZONS).drop(*clean.POLLUTANTS)
 
 
-GAP_SQL = f"{wide_sql(5)}, gapped AS (SELECT country, site_number, ts, (epoch(ts) - epoch(lag(ts) OVER ({STATION}))) / 3600 AS gap_hours FROM wide WHERE pm25 IS NOT NULL)"
+GAP_SQL = f"{wide_sql()}, gapped AS (SELECT country, site_number, ts, (epoch(ts) - epoch(lag(ts) OVER ({STATION}))) / 3600 AS gap_hours FROM wide WHERE pm25 IS NOT NULL)"
 SEG_SQL = f"{GAP_SQL}, seg AS (SELECT *, sum(CASE WHEN gap_hours > 2 THEN 1 ELSE 0 END) OVER ({STATION} ROWS UNBOUNDED PRECEDING)::BIGINT AS segment_id FROM gapped)"
 
 
-def _present(spark, d, k=5):
-    return clean.require_target(fixtures.wide(spark, d, k))
+def _present(spark, d, users=fixtures.USERS):
+    return clean.require_target(fixtures.wide(spark, d, users))
 
 
 @query(f"WITH {GAP_SQL} SELECT {KEYS}, {r6('gap_hours')} FROM gapped")
@@ -482,7 +523,7 @@ def w8_complete_lookback(spark, d):
     return x.select(*K, "ts", "lookback_ok")
 
 
-def _anchor_sql(k: int, lookback: int) -> str:
+def _anchor_sql(users: int, lookback: int) -> str:
     least = lookback + max(H) + 1
     side = lambda s, where, keep: f"""SELECT country, site_number, ts, '{s}' AS side, unnest({H}) AS horizon, unnest([{', '.join(f'y{h}' for h in H)}]) AS y, pos, len, ok, {keep} AS keep FROM (
   SELECT *, row_number() OVER p AS pos, count(*) OVER (PARTITION BY country, site_number, sid) AS len, sum((pm25 IS NULL)::INT) OVER (PARTITION BY country, site_number, sid ORDER BY ts ROWS {lookback - 1} PRECEDING) = 0 AS ok FROM (
@@ -490,75 +531,73 @@ def _anchor_sql(k: int, lookback: int) -> str:
   WINDOW p AS (PARTITION BY country, site_number, sid ORDER BY ts))"""
     train = side("train", f"ts <= TIMESTAMP '{TRAIN_END}'", "true")
     test = side("test", f"ts BETWEEN TIMESTAMP '{TEST_START}' - INTERVAL {lookback - 1} HOUR AND TIMESTAMP '{TEST_END}'", f"ts >= TIMESTAMP '{TEST_START}'")
-    return f"""{wide_sql(k)}, w AS (SELECT * FROM wide WHERE pm25 IS NOT NULL), common AS (SELECT country, site_number FROM w GROUP BY 1, 2 HAVING bool_or(ts <= TIMESTAMP '{TRAIN_END}') AND bool_or(ts BETWEEN TIMESTAMP '{TEST_START}' AND TIMESTAMP '{TEST_END}')),
+    return f"""{wide_sql(users)}, w AS (SELECT * FROM wide WHERE pm25 IS NOT NULL), common AS (SELECT country, site_number FROM w GROUP BY 1, 2 HAVING bool_or(ts <= TIMESTAMP '{TRAIN_END}') AND bool_or(ts BETWEEN TIMESTAMP '{TEST_START}' AND TIMESTAMP '{TEST_END}')),
 aimed AS (SELECT w.*, {', '.join(f'max(pm25) OVER {ahead(h)} AS y{h}' for h in H)} FROM w JOIN common USING (country, site_number)), both_sides AS ({train} UNION ALL {test}),
 anchors AS (SELECT country, site_number, ts, side, horizon FROM both_sides WHERE len >= {least} AND pos >= {lookback} AND ok AND keep AND pos <= len - horizon AND y IS NOT NULL)"""
 
 
-@query(f"WITH {_anchor_sql(2, 168)} SELECT {KEYS}, side, horizon::BIGINT AS horizon FROM anchors")
+@query(f"WITH {_anchor_sql(DENSE, 168)} SELECT {KEYS}, side, horizon::BIGINT AS horizon FROM anchors")
 def w9_eligible_anchors(spark, d):
-    return timeseries.anchors(_present(spark, d, 2), ["pm25"], "pm25", H, 168, TRAIN_END, TEST_START, TEST_END)
+    return timeseries.anchors(_present(spark, d, DENSE), ["pm25"], "pm25", H, 168, TRAIN_END, TEST_START, TEST_END)
 
 
-@query(f"WITH {_anchor_sql(5, 24)} SELECT side, country, horizon::BIGINT AS horizon, count(*) AS n FROM anchors GROUP BY 1, 2, 3")
+@query(f"WITH {_anchor_sql(fixtures.USERS, 24)} SELECT side, country, horizon::BIGINT AS horizon, count(*) AS n FROM anchors GROUP BY 1, 2, 3")
 def a23_anchor_counts(spark, d):
     return timeseries.anchors(_present(spark, d), ["pm25"], "pm25", H, 24, TRAIN_END, TEST_START, TEST_END).groupBy("side", "country", "horizon").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {wide_sql(2)}, w AS (SELECT *, row_number() OVER ({STATION}) AS pos FROM wide WHERE pm25 IS NOT NULL), g AS (SELECT *, sum((epoch(ts) - epoch(p) > 7200)::INT) OVER ({STATION} ROWS UNBOUNDED PRECEDING) AS sid FROM (SELECT *, coalesce(lag(ts) OVER ({STATION}), ts) AS p FROM w)), s AS (SELECT *, row_number() OVER q AS spos, list(pm25::FLOAT::DOUBLE) OVER (q ROWS 23 PRECEDING) AS seq FROM g WINDOW q AS (PARTITION BY country, site_number, sid ORDER BY ts)) SELECT {KEYS}, 24::BIGINT AS n_rows, round(list_sum(seq), 4) AS total FROM s WHERE spos >= 24")
+@query(f"WITH {wide_sql(DENSE)}, w AS (SELECT *, row_number() OVER ({STATION}) AS pos FROM wide WHERE pm25 IS NOT NULL), g AS (SELECT *, sum((epoch(ts) - epoch(p) > 7200)::INT) OVER ({STATION} ROWS UNBOUNDED PRECEDING) AS sid FROM (SELECT *, coalesce(lag(ts) OVER ({STATION}), ts) AS p FROM w)), s AS (SELECT *, row_number() OVER q AS spos, list(pm25::FLOAT::DOUBLE) OVER (q ROWS 23 PRECEDING) AS seq FROM g WINDOW q AS (PARTITION BY country, site_number, sid ORDER BY ts)) SELECT {KEYS}, 24::BIGINT AS n_rows, round(list_sum(seq), 4) AS total FROM s WHERE spos >= 24")
 def w10_sequences(spark, d):
-    x = timeseries.sequences(timeseries.segments(_present(spark, d, 2)), ["pm25"], 24, F.lit(True))
+    x = timeseries.sequences(timeseries.segments(_present(spark, d, DENSE)), ["pm25"], 24, F.lit(True))
     total = F.aggregate("sequence", F.lit(0.0), lambda a, s: a + s[0].cast("double"))
     return x.select(*K, "ts", F.size("sequence").alias("n_rows"), F.round(total, 4).alias("total"))
 
 
-FILL_SQL = f"""{wide_sql(5)}, n AS (SELECT *, row_number() OVER ({STATION}) AS p FROM wide), f AS (SELECT *, CASE WHEN no2 IS NOT NULL THEN p END AS q FROM n),
+FILL_SQL = f"""{wide_sql()}, n AS (SELECT *, row_number() OVER ({STATION}) AS p FROM wide), f AS (SELECT *, CASE WHEN no2 IS NOT NULL THEN p END AS q FROM n),
 g AS (SELECT *, last_value(no2 IGNORE NULLS) OVER a AS v0, last_value(q IGNORE NULLS) OVER a AS p0, first_value(no2 IGNORE NULLS) OVER b AS v1, first_value(q IGNORE NULLS) OVER b AS p1 FROM f
   WINDOW a AS ({STATION} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS ({STATION} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
 
 
 @query(f"WITH {FILL_SQL} SELECT {KEYS}, round(coalesce(no2, v0 + (v1 - v0) * (p - p0) / (p1 - p0), v0, v1), 6) AS no2 FROM g")
 def w11_fill_gaps(spark, d):
-    return timeseries.fill_gaps(fixtures.wide(spark, d, 5), ["no2"]).select(*K, "ts", "no2")
+    return timeseries.fill_gaps(fixtures.wide(spark, d), ["no2"]).select(*K, "ts", "no2")
 
 
-@query(f"WITH {long_sql(5)} SELECT country, site_number, epoch(ts)::BIGINT AS ts, arg_min(value, event_id) AS value FROM long GROUP BY 1, 2, 3")
+@query(f"WITH {long_sql()} SELECT country, site_number, epoch(ts)::BIGINT AS ts, arg_min(value, event_id) AS value FROM long GROUP BY 1, 2, 3")
 def w12_first_per_key(spark, d):
-    return timeseries.first_per_key(fixtures.long(spark, d, 5), [*K, "ts"], [F.col("event_id")]).select(*K, "ts", "value")
+    return timeseries.first_per_key(fixtures.long(spark, d), [*K, "ts"], [F.col("event_id")]).select(*K, "ts", "value")
 
 
 @query(f"WITH {DM_SQL} SELECT horizon::BIGINT AS horizon, {', '.join(f'round(avg(c * l{k}), 5) AS autocovariance_{k}' for k in (1, 2, 3))} FROM lagged GROUP BY 1")
 def w13_autocovariances(spark, d):
     pairs = evaluate.loss_differential(joins.pair_predictions(predictions(spark, d, "persistence"), predictions(spark, d, "mean3")))
-    w, whole = Window.partitionBy("horizon").orderBy(*K, "ts"), Window.partitionBy("horizon")
-    c = pairs.withColumn("c", F.col("d") - F.avg("d").over(whole))
-    c = c.withColumns({f"l{k}": F.lag("c", k).over(w) for k in (1, 2, 3)})
-    return c.groupBy("horizon").agg(*[F.round(F.avg(F.col("c") * F.col(f"l{k}")), 5).alias(f"autocovariance_{k}") for k in (1, 2, 3)])
+    found = evaluate.autocovariances(pairs, [*K, "ts"], [1, 2, 3])
+    return found.select("horizon", *[F.round(f"autocovariance_{k}", 5).alias(f"autocovariance_{k}") for k in (1, 2, 3)])
 
 
-@query(f"""WITH {wide_sql(5)}, t AS (SELECT * FROM wide WHERE ts BETWEEN TIMESTAMP '{TEST_START}' AND TIMESTAMP '{TEST_END}'), y AS ({' UNION ALL '.join(f'SELECT country, site_number, ts, {h} AS horizon, max(pm25) OVER {ahead(h)} AS y_true, pm25 AS y_pred FROM t' for h in features.HORIZONS)})
+@query(f"""WITH {wide_sql()}, t AS (SELECT * FROM wide WHERE ts BETWEEN TIMESTAMP '{TEST_START}' AND TIMESTAMP '{TEST_END}'), y AS ({' UNION ALL '.join(f'SELECT country, site_number, ts, {h} AS horizon, max(pm25) OVER {ahead(h)} AS y_true, pm25 AS y_pred FROM t' for h in features.HORIZONS)})
 SELECT {KEYS}, horizon::BIGINT AS horizon, {r6('y_true', 'y_pred')} FROM y WHERE y_true IS NOT NULL AND y_pred IS NOT NULL""")
 def w14_persistence_forecast(spark, d):
-    return timeseries.persistence(clean.between(fixtures.wide(spark, d, 5), "ts", TEST_START, TEST_END), "pm25", features.HORIZONS)
+    return timeseries.persistence(clean.between(fixtures.wide(spark, d), "ts", TEST_START, TEST_END), "pm25", features.HORIZONS)
 
 
-@query(f"""WITH {wide_sql(5)}, s AS (SELECT country, site_number, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM wide GROUP BY 1, 2)
+@query(f"""WITH {wide_sql()}, s AS (SELECT country, site_number, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM wide GROUP BY 1, 2)
 SELECT s.country, s.site_number, epoch(s.ts)::BIGINT AS ts, round(w.pm25, 6) AS pm25 FROM s LEFT JOIN wide w ON s.country = w.country AND s.site_number = w.site_number AND s.ts = w.ts""")
 def w15_densify(spark, d):
-    return timeseries.densify(fixtures.wide(spark, d, 5)).select(*K, "ts", "pm25")
+    return timeseries.densify(fixtures.wide(spark, d)).select(*K, "ts", "pm25")
 
 
 # --- sorts, limits, sets ------------------------------------------------------------------------
 
 
-@query(f"WITH {wide_sql(5)} SELECT {KEYS}, {r6('pm25')} FROM wide ORDER BY country, site_number, ts LIMIT 500")
+@query(f"WITH {wide_sql()} SELECT {KEYS}, {r6('pm25')} FROM wide ORDER BY country, site_number, ts LIMIT 500")
 def t1_sorted_prefix(spark, d):
-    return sampling.first_rows(fixtures.wide(spark, d, 5), 500, [*K, "ts"]).select(*K, "ts", "pm25")
+    return sampling.first_rows(fixtures.wide(spark, d), 500, [*K, "ts"]).select(*K, "ts", "pm25")
 
 
-@query(f"WITH {wide_sql(5)} SELECT {KEYS}, {r6('pm25')} FROM wide ORDER BY wide.ts DESC, country, site_number LIMIT 300")
+@query(f"WITH {wide_sql()} SELECT {KEYS}, {r6('pm25')} FROM wide ORDER BY wide.ts DESC, country, site_number LIMIT 300")
 def t2_last_rows(spark, d):
-    return sampling.last_rows(fixtures.wide(spark, d, 5), 300, "ts", K).select(*K, "ts", "pm25")
+    return sampling.last_rows(fixtures.wide(spark, d), 300, "ts", K).select(*K, "ts", "pm25")
 
 
 @query(f"WITH {METRICS_SQL}, r AS (SELECT horizon, model, rmse, row_number() OVER (PARTITION BY horizon ORDER BY rmse, model) AS rank FROM metrics WHERE scope = 'Global') SELECT horizon::BIGINT AS horizon, model, round(rmse, 6) AS rmse, rank FROM r WHERE rank <= 2")
@@ -576,36 +615,39 @@ def t5_top_features(spark, d):
     return sampling.top(evaluate.importance(_attributions(spark, d)), 2, "importance_mean", ["feature"]).select("feature", "importance_mean")
 
 
-@query()
+SEEDED = "md5(concat_ws('|', country, site_number, ts::VARCHAR, '42')), country, site_number, ts"
+
+
+@query(f"WITH {wide_sql()}, s AS (SELECT * FROM wide ORDER BY {SEEDED} LIMIT 1000) SELECT {KEYS}, {r6('pm25')} FROM s")
 def t6_seeded_sample(spark, d):
-    return sampling.seeded_sample(fixtures.wide(spark, d, 5), 1000, [*K, "ts"]).select(*K, "ts", "pm25")
+    return sampling.seeded_sample(fixtures.wide(spark, d), 1000, [*K, "ts"]).select(*K, "ts", "pm25")
 
 
-@query()
+@query(f"WITH {wide_sql()}, f AS (SELECT * FROM wide ORDER BY country, site_number, ts LIMIT 2000), s AS (SELECT * FROM f ORDER BY {SEEDED} LIMIT 1000) SELECT {KEYS}, {r6('pm25')} FROM s")
 def t7_first_then_sample(spark, d):
-    return sampling.first_then_sample(fixtures.wide(spark, d, 5), 2000, 1000, [*K, "ts"]).select(*K, "ts", "pm25")
+    return sampling.first_then_sample(fixtures.wide(spark, d), 2000, 1000, [*K, "ts"]).select(*K, "ts", "pm25")
 
 
-@query(f"WITH {wide_sql(5)}, r AS (SELECT *, row_number() OVER ({STATION}) AS n FROM wide) SELECT {KEYS}, {r6('pm25')} FROM r WHERE n <= 20")
+@query(f"WITH {wide_sql()}, r AS (SELECT *, row_number() OVER ({STATION}) AS n FROM wide) SELECT {KEYS}, {r6('pm25')} FROM r WHERE n <= 20")
 def t8_station_prefix(spark, d):
-    return sampling.first_per_group(fixtures.wide(spark, d, 5), 20, K, ["ts"]).select(*K, "ts", "pm25")
+    return sampling.first_per_group(fixtures.wide(spark, d), 20, K, ["ts"]).select(*K, "ts", "pm25")
 
 
-@query(f"WITH {long_sql(5)} SELECT pollutant, count(*) AS n FROM long GROUP BY 1 UNION ALL SELECT 'hours', count(DISTINCT ts) FROM long")
+@query(f"WITH {long_sql()} SELECT pollutant, count(*) AS n FROM long GROUP BY 1 UNION ALL SELECT 'hours', count(DISTINCT ts) FROM long")
 def u1_union_all(spark, d):
-    x = fixtures.long(spark, d, 5)
+    x = fixtures.long(spark, d)
     return joins.union_all([x.groupBy("pollutant").agg(F.count("*").alias("n")), x.agg(F.countDistinct("ts").alias("n")).select(F.lit("hours").alias("pollutant"), "n")])
 
 
-@query(f"WITH {long_sql(5)} SELECT user_id FROM long WHERE ts <= TIMESTAMP '{TRAIN_END}' INTERSECT SELECT user_id FROM long WHERE ts >= TIMESTAMP '{TEST_START}'")
+@query(f"WITH {long_sql()} SELECT user_id FROM long WHERE ts <= TIMESTAMP '{TRAIN_END}' INTERSECT SELECT user_id FROM long WHERE ts >= TIMESTAMP '{TEST_START}'")
 def u2_stations_in_both(spark, d):
     train, test = F.col("ts") <= F.lit(TRAIN_END).cast("timestamp"), F.col("ts") >= F.lit(TEST_START).cast("timestamp")
-    return joins.stations_in_both(fixtures.long(spark, d, 5), train, test, ["user_id"])
+    return joins.stations_in_both(fixtures.long(spark, d), train, test, ["user_id"])
 
 
-@query(f"WITH {long_sql(5)} SELECT user_id FROM long WHERE ts <= TIMESTAMP '2024-01-03' UNION SELECT user_id FROM long WHERE ts >= TIMESTAMP '2024-01-29'")
+@query(f"WITH {long_sql()} SELECT user_id FROM long WHERE ts <= TIMESTAMP '2024-01-03' UNION SELECT user_id FROM long WHERE ts >= TIMESTAMP '2024-01-29'")
 def u3_union_distinct(spark, d):
-    x = fixtures.long(spark, d, 5)
+    x = fixtures.long(spark, d)
     return clean.between(x, "ts", None, "2024-01-03").select("user_id").union(clean.between(x, "ts", "2024-01-29", None).select("user_id")).distinct()
 
 
@@ -650,9 +692,10 @@ def c4_numeric_codes(spark, d):
     return points(spark, d).select("s_suppkey", codes.first_group(p, codes.AT_POINT).alias("at_code"), codes.first_group(p, codes.ES_POINT).alias("es_code"))
 
 
-@query("SELECT n_nationkey::BIGINT AS n_nationkey, CASE n_name WHEN 'FRANCE' THEN 'FR' WHEN 'GERMANY' THEN 'DE' WHEN 'ROMANIA' THEN 'RO' WHEN 'UNITED KINGDOM' THEN 'GB' END AS code FROM nation")
+@query("SELECT c_custkey, CASE n_name WHEN 'FRANCE' THEN 'FR' WHEN 'GERMANY' THEN 'DE' WHEN 'ROMANIA' THEN 'RO' WHEN 'UNITED KINGDOM' THEN 'GB' END AS code FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def c5_country_code(spark, d):
-    return fixtures.table(spark, d, "nation").select("n_nationkey", codes.country_code(F.initcap(F.lower("n_name"))).alias("code"))
+    c, n = fixtures.table(spark, d, "customer"), fixtures.table(spark, d, "nation")
+    return c.join(n, c["c_nationkey"] == n["n_nationkey"]).select("c_custkey", codes.country_code(F.initcap(F.lower("n_name"))).alias("code"))
 
 
 @query("SELECT event_id, floor(epoch(ts - INTERVAL 1 HOUR))::BIGINT AS ts FROM events")
@@ -692,15 +735,15 @@ def c11_cyclic(spark, d):
     return _orders(spark, d).select("o_orderkey", (F.round(scalars.cyclic(F.hour("ts"), 24)[0], 6) + 0).alias("hour_sin"), (F.round(scalars.cyclic(F.month("ts"), 12)[1], 6) + 0).alias("month_cos"))
 
 
-@query(f"WITH {long_sql(5)}, {WEATHER_SQL} SELECT {KEYS}, round(wind_speed * cos(radians(wind_direction)), 5) + 0 AS wind_u, round(wind_speed * sin(radians(wind_direction)), 5) + 0 AS wind_v FROM weather")
+@query(f"WITH {long_sql()}, {WEATHER_SQL} SELECT {KEYS}, round(wind_speed * cos(radians(wind_direction)), 5) + 0 AS wind_u, round(wind_speed * sin(radians(wind_direction)), 5) + 0 AS wind_v FROM weather")
 def c12_wind_components(spark, d):
     u, v = scalars.wind_components(F.col("wind_speed"), F.col("wind_direction"))
-    return fixtures.weather(spark, d, 5).select(*K, "ts", (F.round(u, 5) + 0).alias("wind_u"), (F.round(v, 5) + 0).alias("wind_v"))
+    return fixtures.weather(spark, d).select(*K, "ts", (F.round(u, 5) + 0).alias("wind_u"), (F.round(v, 5) + 0).alias("wind_v"))
 
 
-@query("SELECT n_nationkey::BIGINT AS n_nationkey, round(40 + n_nationkey / 7, 4) AS latitude FROM nation")
+@query(f"SELECT site_number, round(latitude, 4) AS latitude, round(longitude, 4) AS longitude FROM {STATIONS_SQL}")
 def c13_round_coordinates(spark, d):
-    return fixtures.table(spark, d, "nation").select("n_nationkey", F.round(40 + F.col("n_nationkey") / 7, 4).alias("latitude"))
+    return fixtures.stations(spark, d).select("site_number", F.round("latitude", 4).alias("latitude"), F.round("longitude", 4).alias("longitude"))
 
 
 TYPES = ["background", "industrial", "traffic"]
@@ -717,18 +760,18 @@ def c15_labels(spark, d):
     return x.select("file_order", scalars.label_by_argmax("StationType", TYPES).alias("by_argmax"), scalars.label_by_priority("StationType", TYPES[::-1]).alias("by_priority"))
 
 
-@query(f"WITH {wide_sql(5)} SELECT DISTINCT country || '_' || site_number AS station_key, dense_rank() OVER (ORDER BY country || '_' || site_number) - 1 AS code FROM wide")
+@query(f"WITH {wide_sql()} SELECT DISTINCT country || '_' || site_number AS station_key, dense_rank() OVER (ORDER BY country || '_' || site_number) - 1 AS code FROM wide")
 def c18_station_encoding(spark, d):
     from pyspark.ml.feature import StringIndexer
 
-    x = fixtures.wide(spark, d, 5).select(codes.station_key().alias("station_key")).distinct()
+    x = fixtures.wide(spark, d).select(codes.station_key().alias("station_key")).distinct()
     return StringIndexer(inputCol="station_key", outputCol="code", stringOrderType="alphabetAsc").fit(x).transform(x).select("station_key", F.col("code").cast("long").alias("code"))
 
 
-@query(f"""WITH {wide_sql(5)}, s AS (SELECT country, site_number, avg(pm25) AS m, CASE WHEN stddev_pop(pm25) < 1e-6 THEN 1 ELSE stddev_pop(pm25) END AS sd FROM wide WHERE ts <= TIMESTAMP '{TRAIN_END}' GROUP BY 1, 2)
+@query(f"""WITH {wide_sql()}, s AS (SELECT country, site_number, avg(pm25) AS m, CASE WHEN stddev_pop(pm25) < 1e-6 THEN 1 ELSE stddev_pop(pm25) END AS sd FROM wide WHERE ts <= TIMESTAMP '{TRAIN_END}' GROUP BY 1, 2)
 SELECT country, site_number, epoch(ts)::BIGINT AS ts, round((pm25 - m) / sd, 6) AS pm25 FROM wide JOIN s USING (country, site_number)""")
 def c19_standardise(spark, d):
-    w = fixtures.wide(spark, d, 5)
+    w = fixtures.wide(spark, d)
     return scaling.standardise(w.select(*K, "ts", "pm25"), scaling.station_scalers(clean.between(w, "ts", None, TRAIN_END), ["pm25"], K), ["pm25"], K).select(*K, "ts", "pm25")
 
 
@@ -739,7 +782,18 @@ def c20_loss_differential(spark, d):
     return evaluate.loss_differential(both, "absolute").groupBy("country", "horizon").agg(F.avg("sq").alias("mean_d"), F.avg("d").alias("mean_abs_d"))
 
 
-@query(f"WITH {DM_SQL} SELECT horizon::BIGINT AS horizon, CASE WHEN abs(mean_d / sqrt(hac_variance)) > 1.97 THEN CASE WHEN mean_d < 0 THEN 'model1' ELSE 'model2' END ELSE 'tie' END AS winner FROM dm")
+# Student's density integrated by Simpson's rule up to the statistic
+P_SQL = f"""{DM_SQL}, stat AS (SELECT horizon, mean_d, mean_d / sqrt(hac_variance) AS t, n_samples - 1.0 AS v FROM dm), steps AS (SELECT unnest(range(4001)) AS i),
+p AS (SELECT horizon, any_value(mean_d) AS mean_d, any_value(t) AS t, greatest(0, 1 - 2 * sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(lgamma((v + 1) / 2) - lgamma(v / 2) - 0.5 * ln(v * pi())
+  - (v + 1) / 2 * ln(1 + (abs(t) * i / 4000) ** 2 / v))) * any_value(abs(t)) / 4000 / 3) AS p_value FROM stat, steps GROUP BY 1)"""
+
+
+@query(f"WITH {P_SQL} SELECT horizon::BIGINT AS horizon, round(p_value, 5) AS p_value FROM p")
+def c21_p_values(spark, d):
+    return evaluate.with_p_values(_tests(spark, d)).select("horizon", F.round("p_value", 5).alias("p_value"))
+
+
+@query(f"WITH {P_SQL} SELECT horizon::BIGINT AS horizon, CASE WHEN p_value < 0.05 THEN CASE WHEN t < 0 THEN 'model1' ELSE 'model2' END ELSE 'tie' END AS winner FROM p")
 def c22_winner(spark, d):
     return evaluate.with_p_values(_tests(spark, d)).select("horizon", "winner")
 
@@ -769,6 +823,13 @@ def c27_number_text(spark, d):
     return fixtures.table(spark, d, "supplier").select("s_suppkey", scalars.number_text(F.col("s_acctbal")).alias("balance"))
 
 
+@query("SELECT p_partkey, CASE WHEN contains(label, 'LSTM') THEN replace(label, 'LSTM-', 'L-') WHEN label = 'Persistence' THEN 'Pers' ELSE label END AS short FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'LSTM-' || p_brand WHEN 1 THEN 'Persistence' ELSE p_brand END AS label FROM part)")
+def c28_short_labels(spark, d):
+    n = F.col("p_partkey")
+    label = F.when(n % 3 == 0, F.concat(F.lit("LSTM-"), "p_brand")).when(n % 3 == 1, "Persistence").otherwise(F.col("p_brand"))
+    return fixtures.table(spark, d, "part").select("p_partkey", evaluate.short_label(label).alias("short"))
+
+
 # --- models, reports, streams -------------------------------------------------------------------
 
 
@@ -789,13 +850,21 @@ def m17_curves(spark, d):
     return evaluate.curves(metrics(spark, d))
 
 
-def _feature_rows(spark, d, k=2):
-    x = features.feature_table(fixtures.wide(spark, d, k), fixtures.weather(spark, d, k), (1, 2, 3), (3, 6))
-    return x.join(fixtures.stations(spark, d).select("site_number", "area"), "site_number").cache()
+def _feature_rows(spark, d):
+    x = features.feature_table(fixtures.wide(spark, d, DENSE), fixtures.weather(spark, d, DENSE), (1, 2, 3), (3, 6))
+    return x.join(fixtures.stations(spark, d).select("site_number", "area"), "site_number")
 
 
 FEATURES = ["pm25_lag_1h", "pm25_lag_2h", "pm25_rolling_mean_3h", "pm25_rolling_mean_6h", "no2", "pm10", "wind_u", "wind_v", "hour_sin", "hour_cos"]
-SPLIT = models.Split(TRAIN_END, TEST_START, TEST_END)
+HISTORY = FEATURES[:4]
+VALID_START = "2024-01-16 00:00:00"
+SPLIT, SECOND = models.Split(TRAIN_END, TEST_START, TEST_END), models.Split("2024-01-15 23:00:00", VALID_START, TEST_END)
+
+
+def _fitted(spark, d):
+    """Complete rows with their target one hour on, and a linear model of it."""
+    x = clean.drop_incomplete(timeseries.targets(_feature_rows(spark, d), "pm25", [1]), [*FEATURES, "y_h1"])
+    return x, models.train_horizons(x, FEATURES, [1], models.linear)[1]
 
 
 @query()
@@ -810,13 +879,15 @@ def m3_random_forest(spark, d):
 
 @query()
 def m4_boosted_trees(spark, d):
-    return evaluate.error_metrics(models.evaluate(_feature_rows(spark, d), FEATURES, "pm25", [1], models.boosted, SPLIT, maxIter=5, maxDepth=3))
+    """Both presets, stopped early by the last days before the split."""
+    x = _feature_rows(spark, d).withColumn("held", F.col("ts") >= F.lit(VALID_START).cast("timestamp"))
+    found = [evaluate.error_metrics(models.evaluate(x, FEATURES, "pm25", [1], models.boosted, SPLIT, preset=p, maxIter=6, validation="held")).withColumn("model", F.lit(p)) for p in ("depth", "leaf")]
+    return joins.union_all(found)
 
 
 @query()
 def m5_additive_splines(spark, d):
-    rows, names = models.spline_columns(_feature_rows(spark, d), ["pm25_lag_1h", "pm25_rolling_mean_3h"])
-    return evaluate.error_metrics(models.evaluate(rows, names, "pm25", [1], models.linear, SPLIT, regParam=0.01))
+    return evaluate.error_metrics(models.evaluate(_feature_rows(spark, d), FEATURES, "pm25", [1], models.additive, SPLIT, n_splines=8, lam=0.6))
 
 
 @query()
@@ -826,6 +897,13 @@ def m6_fold_search(spark, d):
     return evaluate.error_metrics(models.evaluate(_feature_rows(spark, d), FEATURES, "pm25", [1], models.linear, SPLIT, **best))
 
 
+@query()
+def m7_holdout_search(spark, d):
+    x = clean.drop_incomplete(timeseries.targets(_feature_rows(spark, d), "pm25", [1]), FEATURES)
+    best = models.search_holdout(x, FEATURES, "y_h1", models.additive, {"lam": [0.1, 10.0], "n_splines": [6]}, 2, SECOND.train_end, TRAIN_END, 50_000, 50, {"lam": 0.6, "n_splines": 8})
+    return evaluate.error_metrics(models.evaluate(_feature_rows(spark, d), FEATURES, "pm25", [1], models.additive, SPLIT, **best))
+
+
 @query()
 def m8_protocol_b(spark, d):
     return evaluate.error_metrics(models.evaluate(_feature_rows(spark, d), FEATURES, "pm25", H, models.linear, SPLIT, "B", 24))
@@ -836,6 +914,11 @@ def m9_leave_country_out(spark, d):
     return models.leave_country_out(_feature_rows(spark, d), "BE", FEATURES, "pm25", [1], models.linear, SPLIT)
 
 
+@query()
+def m10_second_split(spark, d):
+    return evaluate.error_metrics(models.evaluate(_feature_rows(spark, d), FEATURES, "pm25", [1], models.linear, SECOND))
+
+
 @query()
 def m11_residual_forecast(spark, d):
     p = models.residual_forecast(_feature_rows(spark, d), FEATURES, "pm25", 3, models.linear, SPLIT)
@@ -844,17 +927,20 @@ def m11_residual_forecast(spark, d):
 
 @query()
 def m14_attribution(spark, d):
-    x = clean.drop_incomplete(timeseries.targets(_feature_rows(spark, d), "pm25", [1]), [*FEATURES, "y_h1"])
-    model = models.train_horizons(x, FEATURES, [1], models.linear)[1]
+    x, model = _fitted(spark, d)
     return evaluate.importance(models.linear_attributions(model, sampling.seeded_sample(x, 1000, [*K, "ts"]), FEATURES, [*K, "ts"]))
 
 
+@query()
+def m14_permutation(spark, d):
+    x, model = _fitted(spark, d)
+    return models.permutation_importance(model, x, ["pm25_lag_1h", "no2"], "y_h1", [*K, "ts"])
+
+
 @query()
 def m15_ablation(spark, d):
-    x = clean.drop_incomplete(timeseries.targets(_feature_rows(spark, d), "pm25", [1]), [*FEATURES, "y_h1"])
-    model = models.train_horizons(x, FEATURES, [1], models.linear)[1]
-    hidden = ["pm25_lag_1h", "pm25_lag_2h", "pm25_rolling_mean_3h", "pm25_rolling_mean_6h"]
-    return models.ablation(model, x, scaling.station_scalers(x, hidden, K), hidden, "y_h1", K)
+    x, model = _fitted(spark, d)
+    return models.ablation(model, x, scaling.station_scalers(x, HISTORY, K), HISTORY, "y_h1", K)
 
 
 @query(f"WITH {METRICS_SQL} SELECT horizon::BIGINT AS horizon, grp AS country, {r6('mae', 'rmse', 'r2', 'bias')}, n FROM metrics WHERE model = 'persistence' AND scope = 'Country'")
@@ -867,6 +953,26 @@ def x2_gap_sessions(spark, d):
     return running.gap_sessions(_present(spark, d).select(*K, "ts"), K)
 
 
-@query()
+def _fill_sql(source: str, columns: list[str], name: str) -> str:
+    """CTE ``name``: the source with its columns filled by row position."""
+    seen = lambda x, after: f"{'first' if after else 'last'}_value({x} IGNORE NULLS) OVER ({STATION} ROWS BETWEEN {'CURRENT ROW AND UNBOUNDED FOLLOWING' if after else 'UNBOUNDED PRECEDING AND CURRENT ROW'})"
+    ends = ", ".join(f"{seen(c, e)} AS {c}_v{e}, {seen(f'CASE WHEN {c} IS NOT NULL THEN p END', e)} AS {c}_p{e}" for c in columns for e in (0, 1))
+    new = ", ".join(f"coalesce({c}, {c}_v0 + ({c}_v1 - {c}_v0) * (p - {c}_p0) / ({c}_p1 - {c}_p0), {c}_v0, {c}_v1) AS {c}" for c in columns)
+    return f"{name}_n AS (SELECT *, row_number() OVER ({STATION}) AS p FROM {source}), {name}_e AS (SELECT *, {ends} FROM {name}_n), {name} AS (SELECT * REPLACE ({new}) FROM {name}_e)"
+
+
+FEATURES_SQL = f"""{wide_sql()}, {WEATHER_SQL}, seen AS (SELECT * FROM wide WHERE pm25 IS NOT NULL), {_fill_sql('seen', ['no2', 'pm10'], 'whole')},
+windy AS (SELECT w.country, w.site_number, w.ts, pm25, no2, pm10, wind_speed, wind_direction FROM whole w LEFT JOIN weather x ON w.country = x.country AND w.site_number = x.site_number AND w.ts = x.ts), {_fill_sql('windy', ['wind_speed', 'wind_direction'], 'filled')},
+l AS (SELECT *, timezone({ZONE_SQL}, timezone('UTC', ts)) AS lt FROM filled)
+SELECT {KEYS}, {r6('pm25', 'no2', 'pm10', 'wind_speed', 'wind_direction')}, round(wind_speed * cos(radians(wind_direction)), 5) + 0 AS wind_u, round(wind_speed * sin(radians(wind_direction)), 5) + 0 AS wind_v,
+  hour(lt) AS hour, isodow(lt) - 1 AS day_of_week, day(lt) AS day_of_month, month(lt) AS month, year(lt) AS year, (isodow(lt) >= 6)::BIGINT AS is_weekend,
+  CASE WHEN month(lt) IN (12, 1, 2) THEN 'Winter' WHEN month(lt) <= 5 THEN 'Spring' WHEN month(lt) <= 8 THEN 'Summer' ELSE 'Fall' END AS season,
+  {', '.join(f'round({f}(2 * pi() * {u}(lt) / {n}), 6) + 0 AS {u}_{f}' for u, n in (('hour', 24), ('month', 12)) for f in ('sin', 'cos'))},
+  {', '.join(f'round(max({c}) OVER {back(h)}, 6) AS {c}_lag_{h}h' for c, h in LAG_LIST)},
+  {', '.join(f'round({f}({c}) OVER {last(h)}, 6) AS {c}_rolling_{n}_{h}h' for c in clean.POLLUTANTS for h in features.WINDOWS for f, n in (('avg', 'mean'), ('stddev_samp', 'std')))} FROM l"""
+
+
+@query(f"WITH {FEATURES_SQL}")
 def f1_feature_table(spark, d):
-    return features.feature_table(fixtures.wide(spark, d, 5), fixtures.weather(spark, d, 5))
+    x = features.feature_table(fixtures.wide(spark, d), fixtures.weather(spark, d))
+    return x.withColumns({c: F.round(c, n) + 0 for n, names in ((5, ("wind_u", "wind_v")), (6, ("hour_sin", "hour_cos", "month_sin", "month_cos"))) for c in names})

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.fixtures import USERS
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -39,17 +41,20 @@ def query(sql: str | None = None):
     return add
 
 
-def long_sql(k: int) -> str:
-    return f"""long AS (SELECT list_extract(['AT','BE','ES','FI','FR'], (user_id % {k} + 1)::INT) AS country, (user_id % {k})::VARCHAR AS site_number,
+def long_sql(users: int = USERS) -> str:
+    return f"""long AS (SELECT list_extract(['AT','BE','ES','FI','FR'], (user_id // {users} % 5 + 1)::INT) AS country, (user_id // {users})::VARCHAR AS site_number,
   date_trunc('hour', ts) AS ts, CASE event_type WHEN 'view' THEN 'no2' WHEN 'purchase' THEN 'pm10' ELSE 'pm25' END AS pollutant,
   value, event_type, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS props_k, event_id, user_id FROM events)"""
 
 
-def wide_sql(k: int) -> str:
-    return f"""{long_sql(k)}, wide AS (SELECT country, site_number, ts, avg(value) FILTER (pollutant = 'pm25') AS pm25, avg(value) FILTER (pollutant = 'no2') AS no2,
+def wide_sql(users: int = USERS) -> str:
+    return f"""{long_sql(users)}, wide AS (SELECT country, site_number, ts, avg(value) FILTER (pollutant = 'pm25') AS pm25, avg(value) FILTER (pollutant = 'no2') AS no2,
   avg(value) FILTER (pollutant = 'pm10') AS pm10 FROM long GROUP BY 1, 2, 3)"""
 
 
+#: The sites with their areas and coordinates.
+STATIONS_SQL = """(SELECT s_suppkey::VARCHAR AS site_number, r_name AS area, 40 + s_suppkey % 101 / 7 AS latitude, 5 + s_suppkey / 11 AS longitude
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 STATION = "PARTITION BY country, site_number ORDER BY ts"
 
 

@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+from collections.abc import Callable
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.sampling import first_per_group, first_rows
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share, below ``spark.checkpoint.dir``; a local one where that is unset and Spark is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="stationflow-")
+    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
 
 def land(df: DataFrame, path: str, period: str | None = None, mode: str = "ignore") -> None:
     """Parquet, by period if given; what is there already is left as it is."""
@@ -46,6 +63,34 @@ def read_parameters(spark: SparkSession, path: str) -> dict[str, dict] | None:
     return out
 
 
+def load_or_tune(spark: SparkSession, path: str, horizons: list[str], tune: Callable[[str], dict]) -> dict[str, dict]:
+    """The stored parameters of each horizon; those that are not there yet are tuned and stored with the others."""
+    known = read_parameters(spark, path) or {}
+    new = {h: tune(h) for h in horizons if h not in known}
+    if new:
+        write_parameters(spark, known | new, path)
+    return {h: (known | new)[h] for h in horizons}
+
+
+def prediction_sample(predictions: DataFrame, n: int, order: list[str], per: str | None = None) -> DataFrame:
+    """The first n predictions in order, or the first n of each ``per`` (horizon)."""
+    return first_per_group(predictions, n, [per], order) if per else first_rows(predictions, n, order)
+
+
+def run_info(train: DataFrame, valid: DataFrame | None, test: DataFrame, horizons: list[int], seconds: dict[int, float] | None = None) -> DataFrame:
+    """horizon, train_n, val_n, test_n (rows with the horizon's target) and the fit's seconds, one row per horizon."""
+    names = {h: f"y_h{h}" for h in horizons}
+    out = None
+    for side, df in (("train_n", train), ("val_n", valid), ("test_n", test)):
+        if df is None:
+            continue
+        one = df.agg(*[F.count(c).alias(c) for c in names.values()])
+        long = one.select(F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(c).alias(side)) for h, c in names.items()])).alias("x")).select("x.*")
+        out = long if out is None else out.join(long, "horizon")
+    took = F.create_map(*[x for h, t in (seconds or {}).items() for x in (F.lit(h), F.lit(float(t)))]) if seconds else None
+    return out.withColumn("seconds", took[F.col("horizon")] if took is not None else F.lit(None).cast("double"))
+
+
 def scalers_json(scalers: DataFrame, key: str) -> DataFrame:
     """(key, json): each station's {feature: {mean, std}} as one JSON text."""
     entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct("feature", F.struct("mean", "std")))))

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from ..operators.evaluate import metrics_of_sums, running_sums
 
 
-def running_metrics(predictions: DataFrame, keys: list[str], ts: str = "ts", late: str = "24 hours") -> DataFrame:
-    """Metrics per key over all predictions so far (update or complete mode); the batch form is the same call."""
-    marked = predictions.withWatermark(ts, late) if predictions.isStreaming else predictions
-    return metrics_of_sums(running_sums(marked, keys))
+def running_metrics(predictions: DataFrame, keys: list[str]) -> DataFrame:
+    """Metrics per key over all predictions so far (update or complete mode); the batch form is the same call.
+
+    The state is a few sums per key and is kept for good: no watermark applies, since a late prediction still counts.
+    """
+    return metrics_of_sums(running_sums(predictions, keys))
 
 
 def gap_sessions(measurements: DataFrame, keys: list[str], ts: str = "ts", longest_gap: str = "2 hours 1 second", late: str = "24 hours") -> DataFrame:

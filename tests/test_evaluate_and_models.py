@@ -5,8 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stationflow.operators import evaluate, joins, sampling, scaling
-from stationflow.plans import features, models, queries
-from stationflow.sources import fixtures
+from stationflow.plans import models, queries
 
 SF = "/root/testdata/sf0.01"
 
@@ -65,10 +64,134 @@ def test_seeded_sample_is_exact_and_repeatable(spark):
     assert a == b and len(a) == 50
 
 
+def test_diebold_mariano_of_many_short_series(spark):
+    rng = np.random.default_rng(5)
+    sizes = [1, 3, 0, 12, 1, 1, 40, 2, 25, 1]
+    rows = [(h, f"s{i:02}", k, float(rng.normal())) for h in (1, 6) for i, n in enumerate(sizes) for k in range(n)]
+    df = spark.createDataFrame(rows, "horizon int, site string, t long, d double").repartition(5)
+    got = {r["horizon"]: r for r in evaluate.lagged_products(df, ["site", "t"]).collect()}
+    for h in (1, 6):
+        d = np.array([r[3] for r in rows if r[0] == h])
+        c = d - d.mean()
+        assert got[h]["n"] == len(d) and all(math.isclose(got[h][f"p{k}"], (c[k:] * c[: len(c) - k]).sum(), abs_tol=1e-9) for k in range(11))
+    one = spark.createDataFrame([(1, "a", 0, 2.0)], "horizon int, site string, t long, d double")
+    assert evaluate.autocovariances(one, ["site", "t"], [1, 2]).first()["autocovariance_1"] is None
+    plan = evaluate.lagged_products(df, ["site", "t"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "lag(_c" in plan and "windowspecdefinition(horizon#" in plan and "site#" in plan.split("lag(_c")[1].split("]")[0]
+
+
+def test_static_scalers_use_all_stations(spark):
+    df = spark.createDataFrame([("a", 1.0, 5.0), ("a", 3.0, 7.0), ("b", 2.0, 9.0)], "s string, x double, y double")
+    got = {(r["s"], r["feature"]): (r["mean"], r["std"]) for r in scaling.station_scalers(df, ["x", "y"], ["s"], ("y",)).collect()}
+    assert got["a", "y"] == got["b", "y"] == (7.0, pytest.approx(np.std([5, 7, 9]))) and got["a", "x"] == (2.0, 1.0)
+    assert "Generate" not in scaling.station_scalers(df, ["x", "y"], ["s"])._jdf.queryExecution().optimizedPlan().toString().split("Aggregate", 1)[1]
+
+
 @pytest.fixture(scope="module")
 def rows(spark):
-    x = features.feature_table(fixtures.wide(spark, SF, 2), fixtures.weather(spark, SF, 2), (1, 2, 3), (3, 6))
-    return x.join(fixtures.stations(spark, SF).select("site_number", "area"), "site_number").cache()
+    return queries._feature_rows(spark, SF).cache()
+
+
+@pytest.fixture(scope="module")
+def ready(spark, rows):
+    from stationflow.operators import clean, timeseries
+
+    return clean.drop_incomplete(timeseries.targets(rows, "pm25", [1]), [*queries.FEATURES, "y_h1"]).cache()
+
+
+def test_linear_regression_is_least_squares(spark, ready):
+    train, _ = models.sides(ready, queries.SPLIT)
+    local = train.select(*queries.FEATURES, "y_h1").toPandas().to_numpy(float)
+    x = np.column_stack([local[:, :-1], np.ones(len(local))])
+    weights = np.linalg.lstsq(x, local[:, -1], rcond=None)[0]
+    got = models.train_horizons(train, queries.FEATURES, [1], models.linear)[1].stages[-1]
+    assert np.allclose(x @ weights, local[:, :-1] @ got.coefficients.toArray() + got.intercept, atol=1e-6)
+
+
+def test_additive_splines_are_penalised_least_squares(spark):
+    rng = np.random.default_rng(2)
+    x = rng.uniform(-3, 5, (200, 2))
+    y = np.sin(x[:, 0]) + 0.1 * x[:, 1] ** 2 + rng.normal(0, 0.1, 200)
+    df = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y, strict=True)], "a double, b double, y double")
+    n, lam = 9, 0.7
+    model = models.additive(["a", "b"], "y", n_splines=n, lam=lam).fit(df)
+    got = np.array([r["y_pred"] for r in model.transform(df).select("y_pred").collect()])
+
+    def basis(v):  # the recursion formula
+        lo, step = v.min(), (v.max() - v.min()) / (n - 3)
+        knots = [lo + (i - 3) * step for i in range(n + 4)]
+        v = np.minimum(v, v.max() - step * 1e-12)
+        out = [((v >= knots[i]) & (v < knots[i + 1])).astype(float) for i in range(len(knots) - 1)]
+        for d in range(1, 4):
+            out = [(v - knots[i]) / (d * step) * out[i] + (knots[i + d + 1] - v) / (d * step) * out[i + 1] for i in range(len(out) - 1)]
+        return np.column_stack(out)
+
+    b = np.column_stack([basis(x[:, 0]), basis(x[:, 1])])
+    second = np.diff(np.eye(n), 2, axis=0)
+    penalty = np.sqrt(lam) * np.block([[second, np.zeros_like(second)], [np.zeros_like(second), second]])
+    weights = np.linalg.lstsq(np.vstack([b, penalty]), np.append(y, np.zeros(len(penalty))), rcond=None)[0]
+    assert np.allclose(got, b @ weights, atol=1e-4)
+    stiff = models.additive(["a"], "y", n_splines=n, lam=1e7).fit(df)
+    flat = np.array([r[0] for r in stiff.transform(df.orderBy("a")).select("y_pred").collect()])
+    order = np.sort(x[:, 0])
+    assert np.abs(np.polyval(np.polyfit(order, flat, 1), order) - flat).max() < 1e-2  # a large penalty leaves a line
+
+
+def mae(df, label="y_true"):
+    return df.agg(F.avg(F.abs(F.col("y_pred") - F.col(label)))).first()[0]
+
+
+@pytest.mark.parametrize("make, more", [(models.forest, {"numTrees": 4, "maxDepth": 4}), (models.boosted, {"preset": "depth", "maxIter": 3, "maxDepth": 3}), (models.boosted, {"preset": "leaf", "maxIter": 3, "maxDepth": 4})])
+def test_tree_models_learn_a_daily_course_and_repeat(spark, rows, make, more):
+    course = rows.withColumn("pm25", 10 + 5 * F.col("hour_sin") + 2 * F.col("hour_cos"))
+    p, again = (models.evaluate(course, queries.FEATURES, "pm25", [1], make, queries.SPLIT, **more) for _ in range(2))
+    assert mae(p) < 2 < 3 < course.agg(F.avg(F.abs(F.col("pm25") - 10))).first()[0] and math.isclose(mae(p), mae(again), rel_tol=1e-6)
+
+
+def test_boosting_stops_early_on_a_validation_flag(spark, ready):
+    noise = ready.withColumn("held", F.pmod(F.xxhash64("ts"), F.lit(4)) == 0).withColumn("y_h1", F.when(F.col("held"), F.rand(1) * 50).otherwise(F.col("y_h1")))
+    stopped = models.boosted(queries.FEATURES, "y_h1", maxIter=15, maxDepth=4, validation="held").fit(noise).stages[-1].getNumTrees
+    assert stopped < models.boosted(queries.FEATURES, "y_h1", maxIter=15, maxDepth=4).fit(noise).stages[-1].getNumTrees == 15
+
+
+def test_a_country_that_is_left_out_is_scored_alone(spark, rows):
+    m = models.leave_country_out(rows, "BE", queries.FEATURES, "pm25", [1], models.linear, queries.SPLIT).collect()
+    assert {r["grp"] for r in m if r["scope"] == "Country"} == {"BE"}
+    train, _ = models.sides(rows, models.replace(queries.SPLIT, exclude_country="BE"))
+    assert 0 < train.count() < models.sides(rows, queries.SPLIT)[0].count() and train.where("country = 'BE'").count() == 0
+
+
+def test_residual_forecast_adds_the_value_now(spark, rows):
+    names = ["pm25", "pm25_lag_1h", "no2", "hour_sin"]  # a rolling mean would be a sum of the others
+    direct = models.evaluate(rows, names, "pm25", [3], models.linear, queries.SPLIT)
+    change = models.residual_forecast(rows, names, "pm25", 3, models.linear, queries.SPLIT)
+    both = direct.join(change.withColumnRenamed("y_pred", "other"), ["country", "site_number", "ts", "horizon"])
+    assert both.count() == change.count() > 0 and both.where(F.abs(F.col("y_pred") - F.col("other")) > 1e-6).count() == 0  # a linear model with pm25 among its features cannot tell
+
+
+def test_ablation_and_permutation_hurt_the_feature_that_counts(spark, ready):
+    x = ready.withColumn("y_h1", 3 * F.col("pm25_lag_1h") + 0.01 * F.col("no2"))
+    model = models.train_horizons(x, queries.FEATURES, [1], models.linear)[1]
+    r = models.ablation(model, x, scaling.station_scalers(x, ["pm25_lag_1h"], queries.K), ["pm25_lag_1h"], "y_h1", queries.K).first()
+    assert r["base_mae"] < 1e-6 < 1 < r["delta_mae"] and r["n_sequences"] == x.count()
+    rise = {a["feature"]: a["rise"] for a in models.permutation_importance(model, x, ["pm25_lag_1h", "wind_u"], "y_h1", [*queries.K, "ts"]).collect()}
+    assert rise["pm25_lag_1h"] > 1 and abs(rise["wind_u"]) < 1e-6
+
+
+def test_models_are_saved_and_loaded(spark, ready, tmp_path):
+    from stationflow.operators import clean
+    from stationflow.sources import sinks
+
+    for name, make in (("lr", models.linear), ("gam", models.additive)):
+        model = models.train_horizons(clean.as_float(ready, queries.FEATURES), queries.FEATURES, [1], make, n_splines=5)[1]
+        sinks.save_model(model, str(tmp_path), name, 1)
+        assert math.isclose(mae(sinks.load_model(str(tmp_path), name, 1).transform(ready), "y_h1"), mae(model.transform(ready), "y_h1"), rel_tol=1e-9)
+
+
+def test_holdout_search_takes_the_better_draw(spark, ready):
+    x = ready.withColumn("y_h1", 3 * F.col("pm25_lag_1h"))
+    best = models.search_holdout(x, queries.FEATURES, "y_h1", models.linear, {"regParam": [0.0, 1e6]}, 2, queries.SECOND.train_end, queries.TRAIN_END, 5000, 20, {"regParam": 7})
+    assert best == {"regParam": 0.0}
 
 
 def test_protocol_b_is_a_subset_and_models_beat_persistence(spark, rows):

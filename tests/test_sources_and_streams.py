@@ -55,6 +55,35 @@ def test_small_stores_round_trip(spark, tmp_path):
     assert [r[0] for r in spark.read.text(str(tmp_path / "list")).collect()] == ["a", "b"]
 
 
+def test_parameters_are_tuned_once_and_merged(spark, tmp_path):
+    path, asked = str(tmp_path / "best"), []
+    tune = lambda h: asked.append(h) or {"depth": float(len(h))}
+    assert sinks.load_or_tune(spark, path, ["h1"], tune) == {"h1": {"depth": 2.0}}
+    assert sinks.load_or_tune(spark, path, ["h1", "h24"], tune) == {"h1": {"depth": 2.0}, "h24": {"depth": 3.0}} and asked == ["h1", "h24"]
+    assert sinks.read_parameters(spark, path).keys() == {"h1", "h24"}
+
+
+def test_run_info_counts_rows_with_a_target(spark, tmp_path):
+    df = spark.createDataFrame([(1.0, None), (2.0, 3.0)], "y_h1 double, y_h3 double")
+    info = sinks.run_info(df, df.limit(1), df.where("false"), [1, 3], {1: 2.5, 3: 4.0})
+    assert sorted(map(tuple, info.select("horizon", "train_n", "val_n", "test_n", "seconds").collect())) == [(1, 2, 1, 0, 2.5), (3, 1, 0, 0, 4.0)]
+    sinks.write_json(info, str(tmp_path / "info"))
+    assert spark.read.json(str(tmp_path / "info")).count() == 2
+
+
+def test_csv_keeps_its_order(spark, tmp_path):
+    df = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "id int, x string")
+    sinks.write_csv(df, str(tmp_path / "x"), ["id"])
+    sinks.write_csv(df, str(tmp_path / "y"))
+    read = lambda n: spark.read.option("header", True).csv(str(tmp_path / n)).collect()
+    assert [r["x"] for r in read("x")] == ["a", "b", "c"] and sorted(r["x"] for r in read("y")) == ["a", "b", "c"]
+    assert dict(clean.as_float(df, ["id"]).dtypes)["id"] == "float"
+
+
+def test_a_scratch_folder_is_shared(spark):
+    assert sinks.scratch(spark) != sinks.scratch(spark)
+
+
 def test_feature_lists(spark):
     df = spark.createDataFrame([("a", 1.0, 2.0, 3.0, True)], "site_number string, pm25 double, no2 double, y_h1 double, StationArea_urban boolean")
     assert clean.select_features(df) == ["no2", "StationArea_urban"]

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pandas as pd
 import pytest
@@ -37,6 +38,19 @@ def test_gap_fill_by_time_weighs_hours(spark):
     assert [r["pm25"] for r in x.orderBy("h").collect()] == [0.0, 1.0, 4.0]
 
 
+def test_gap_fill_uses_running_frames_only(spark):
+    x = ts.fill_gaps(frame(spark, [("a", 0, 1.0)]), ["pm25"])
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert "unboundedfollowing" not in plan.lower() and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_gap_fill_of_a_long_series_takes_linear_time(spark):
+    long = spark.range(200_000).selectExpr("'AT' AS country", "'a' AS site_number", "timestamp_seconds(id * 3600) AS ts", "IF(id % 5 = 0, CAST(id AS DOUBLE), NULL) AS pm25")
+    began = time.monotonic()
+    assert ts.fill_gaps(long, ["pm25"]).where("abs(pm25 - unix_timestamp(ts) / 3600) > 1e-6 AND unix_timestamp(ts) < 199995 * 3600L").count() == 0
+    assert time.monotonic() - began < 30
+
+
 def test_rolling_and_targets_against_pandas(spark):
     rng = random.Random(5)
     rows = [(s, h, rng.random() if rng.random() > 0.1 else None) for s in "ab" for h in range(120) if rng.random() > 0.2]
