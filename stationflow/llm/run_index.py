@@ -6,17 +6,25 @@ Parsing. A text's L-byte windows are grouped into phrases: runs of windows with
 k-gram hash (their anchor), at most ``PHRASE`` windows each. Equal windows have equal anchors, so
 only phrases with the same anchor can share a window; that holds for every repeat, whatever its
 place. Phrases are dealt out by anchor as packed numbers, not text. A phrase that occurs whole in
-a smaller document is gone at once; like the dictionary of a prefix-free parse, each distinct
-phrase stays once, at its smallest document.
+a smaller document is gone at once (told by 102 bits: anchor, content, flanks and length): first
+within a slice of text, so that copies are reduced before the shuffle, then within the anchor's
+bucket. Like the dictionary of a prefix-free parse, each distinct phrase stays once, at its
+smallest document. Buckets grow in number with the input, not in size; a slice is cut into at most
+``FAN`` groups of them, and where there are more, groups are cut again in a further round.
 
 Index. Distinct phrases whose anchor has other distinct phrases come back as text, again dealt
-out by anchor. Each block of them becomes a run-compressed Burrows-Wheeler transform with
-suffix-array samples at both ends of every run and the smallest document of each class of rows
-that share L bytes. All phrases of a block stream through it together, one backward step a byte;
-their own remaining length is their matching statistic, and where it reaches L and the class has a
-smaller document, the window is marked. Samples and foreign patterns' statistics are not used here.
-An anchor whose phrases are more than ``INDEX_BYTES`` is not a block: its windows are grouped by
-their bytes, reduced to the smallest document in every task first, and the marks return by a join.
+out by anchor. The phrases of a block that can be another's source become a run-compressed
+Burrows-Wheeler transform with suffix-array samples at both ends of every run, and the smallest
+document of each class of rows that share L bytes. The phrases that can have a smaller source
+stream through it backwards, all together: a step keeps the row while the run has the pattern's
+symbol and otherwise jumps to the nearer end of a neighbouring run that has it, whichever sampled
+suffix shares more with what was matched. That gives every window's matching statistic; where it
+reaches L and the class has a smaller document, the window is marked.
+
+A hot anchor (one with more than ``FLAGGED`` distinct phrases in a slice of some task) is not
+gathered in a bucket: its phrases go on as they are, and markers tell its bucket to pass on the
+rest. An anchor whose phrases are more than ``INDEX_BYTES`` is not a block: its windows are grouped
+by their bytes, reduced to the smallest document in every task first, and the marks return by a join.
 
 Marks return to their documents by id; the text itself is shuffled (compressed) once for
 the second round and once for the result, and never gathered.
@@ -46,7 +54,11 @@ PHRASE = 64
 #: Bytes of text that are packed together.
 PACKED_BYTES = 12 << 20
 #: Bytes of phrases that one block of the index holds, and packed phrases that one bucket should hold.
-INDEX_BYTES, BUCKET = 1 << 20, 1 << 20
+INDEX_BYTES, BUCKET = 1 << 20, 3 << 20
+#: Groups that a slice is cut into, tasks that judge, and distinct phrases of one anchor in one slice beyond which it is hot.
+FAN, TASKS, FLAGGED = 2048, 1 << 16, 64
+#: What a blob holds: phrases to judge, phrases that are gone, phrases of hot anchors, hot anchors.
+JUDGE, GONE, HOT, MARKERS = range(4)
 LAST = (1 << 63) - 1
 
 
@@ -144,8 +156,8 @@ def _pack(anchor: np.ndarray, content: np.ndarray, doc: np.ndarray, flanks: np.n
     return b"".join([head, ids[own].astype("<i8").tobytes(), tags[own].astype("<i4").tobytes(), *parts, at.astype("<u4" if many else "<u2").tobytes()])
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    """(anchor, content with flanks and windows, document id, flanks, span) of a packed block; a span is tag, first window and windows in one number."""
+def _columns(blob: bytes) -> tuple[np.ndarray, ...]:
+    """(anchor, content, document id, tag, flanks, first window, windows) of a packed block."""
     n_docs, n, many, far = np.frombuffer(blob, "<i8", 4).tolist()
     raw, at, columns = np.frombuffer(blob, np.uint8), 32 + 12 * n_docs, []
     for size in (*_PARTS, 3 + far):
@@ -158,11 +170,19 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
         return out.view("<u8")[:, 0]
 
     doc = np.frombuffer(raw[at:].tobytes(), "<u4" if many else "<u2")
-    tag = np.frombuffer(blob, "<i4", n_docs, 32 + 8 * n_docs)[doc].astype(np.int64)
-    span = tag << 40 | (number(columns[4]) << np.uint64(8)).view(np.int64) | columns[3][:, 0]
-    # equal phrases have equal flanks and windows too
-    content = number(columns[1]) << np.uint64(24) | number(np.concatenate([columns[3], columns[2]], 1))
-    return number(columns[0]), content, np.frombuffer(blob, "<i8", n_docs, 32)[doc], columns[2], span
+    ids, tags = np.frombuffer(blob, "<i8", n_docs, 32), np.frombuffer(blob, "<i4", n_docs, 32 + 8 * n_docs)
+    return number(columns[0]), number(columns[1]), ids[doc], tags[doc].astype(np.int64), columns[2], number(columns[4]).view(np.int64), columns[3][:, 0]
+
+
+def _whole(content: np.ndarray, flanks: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """40 bits of content with the flanks and the number of windows; equal phrases have these equal too."""
+    return content << np.uint64(24) | flanks[:, 1].astype(np.uint64) << np.uint64(16) | flanks[:, 0].astype(np.uint64) << np.uint64(8) | n.astype(np.uint64)
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
+    """(anchor, whole content, document id, flanks, span) of a packed block; a span is tag, first window and windows in one number."""
+    anchor, content, doc, tag, flanks, first, n = _columns(blob)
+    return anchor, _whole(content, flanks, n), doc, flanks, tag << 40 | first << 8 | n
 
 
 def _order(anchor: np.ndarray, content: np.ndarray) -> np.ndarray:
@@ -188,11 +208,11 @@ def _spread(group: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def judge(anchor: np.ndarray, content: np.ndarray, doc: np.ndarray, flanks: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, ...]:
+def judge(anchor: np.ndarray, content: np.ndarray, doc: np.ndarray, flanks: np.ndarray, span: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
     """(document, span, mask, anchor or 0): mask -1 where a smaller document has the whole phrase, 0 where the index must tell.
 
     The index must tell the smallest document of a phrase if other phrases of other documents
-    have its anchor and agree on a flank.
+    have its anchor and agree on a flank, or if its anchor is hot somewhere.
     """
     if not len(anchor):
         return doc, span, doc, doc
@@ -217,6 +237,7 @@ def judge(anchor: np.ndarray, content: np.ndarray, doc: np.ndarray, flanks: np.n
     told |= np.isin(group, group[loose]) & _spread(group, own)
     open_ = np.zeros(len(head), bool)
     open_[several[told]] = True
+    open_ |= np.isin(anchor[head], hot)
     whole = doc > np.repeat(least, size)
     keep = whole | np.repeat(open_, size)
     return doc[keep], span[keep], np.where(whole[keep], -1, 0), np.where(whole[keep], 0, anchor[keep].view(np.int64))
@@ -226,6 +247,7 @@ class RunLengthIndex:
     """Run-compressed BWT of some texts, each ended by its own separator, in the order given.
 
     ``length`` is at least 7. Symbols are bytes plus 1, separators are 0 and sort in text order.
+    Foreign patterns stream through it; a block is small, so runs of rows are found by lookup.
     """
 
     def __init__(self, texts: list[bytes], docs: np.ndarray, length: int):
@@ -242,13 +264,13 @@ class RunLengthIndex:
         before = symbol[rows - 1]  # what a separator stands before is never stepped over
         head = np.flatnonzero(np.diff(before.astype(np.int32), prepend=-1))
         lengths = np.diff(np.append(head, n))
-        self.run_start, self.run_symbol = head, before[head]
-        self.run_first, self.run_last = rows[head], rows[np.append(head[1:], n) - 1]  # suffix-array samples at run ends
+        self.run_start, self.run_end, self.run_symbol = head, head + lengths - 1, before[head].astype(np.int64)
+        self.run_first, self.run_last = rows[head], rows[self.run_end]  # suffix-array samples at run ends
         order = np.argsort(self.run_symbol, kind="stable")
         self.run_target = np.empty(len(head), np.int64)  # where the first row of each run steps to
         self.run_target[order] = np.concatenate([[0], np.cumsum(lengths[order])[:-1]]) if len(head) else 0
-        self.by_symbol, self.sorted_symbols = order, self.run_symbol[order]
-        self.run_of = np.repeat(np.arange(len(head)), lengths)  # a block is small, so runs are found by lookup
+        self.ordered_runs = self.run_symbol[order] * (len(head) + 1) + order  # by symbol, then by place
+        self.run_of = np.repeat(np.arange(len(head)), lengths)
         doc_of = np.repeat(np.asarray(docs), self.sizes + 1)[rows]
         start = np.flatnonzero(~at_length)
         self.class_least = np.minimum.reduceat(doc_of, start) if n else doc_of
@@ -308,83 +330,64 @@ class RunLengthIndex:
         """The smallest document of each row's class: of all places that share ``length`` bytes with it."""
         return self.class_least[self.class_of[rows]]
 
-    def jump(self, rows: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For rows whose run has another symbol: the nearest run ends with ``symbols`` above and below, and whether each exists."""
-        run = self.run_of[rows]
-        low, high = np.searchsorted(self.sorted_symbols, symbols, "left"), np.searchsorted(self.sorted_symbols, symbols, "right")
-        at = np.array([lo + np.searchsorted(self.by_symbol[lo:hi], r) for lo, hi, r in zip(low, high, run, strict=True)], np.int64)
-        above = np.where(at > low, self.by_symbol[np.maximum(at - 1, 0)], -1)
-        below = np.where(at < high, self.by_symbol[np.minimum(at, len(self.by_symbol) - 1)], -1)
-        return above, below, run
-
-    def _common(self, a: int, pattern: np.ndarray) -> int:
-        """Symbols that the text from a on shares with a pattern."""
-        part = self.text[a : a + len(pattern)]
-        differ = np.flatnonzero(part != pattern[: len(part)])
-        return int(differ[0]) if len(differ) else len(part)
-
-    def matching_statistics(self, pattern: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """(length, place in the text) of the longest match at every position of a foreign pattern.
-
-        Goes backwards; where the row's symbol differs it jumps to the nearer end of a neighbouring
-        run of that symbol, whichever sampled suffix shares more with what follows.
+    def jump(self, run: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest runs above and below with ``symbols``; -1 where there is none. A run that has the symbol is its own lower one."""
+        wide = len(self.run_symbol) + 1
+        key = symbols * wide + run
+        at = np.searchsorted(self.ordered_runs, key)
+        low, high = self.ordered_runs[np.maximum(at - 1, 0)], self.ordered_runs[np.minimum(at, len(self.ordered_runs) - 1)]
+        above = np.where((at > 0) & (low // wide == symbols), low % wide, -1)
+        below = np.where((at < len(self.ordered_runs)) & (high // wide == symbols), high % wide, -1)
+        return above, below
+
+    def common(self, places: np.ndarray, codes: np.ndarray, at: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """How many symbols, ``most`` at most, the text from ``places`` on shares with ``codes`` from ``at`` on."""
+        step = np.arange(int(most.max()) if len(most) else 0)
+        same = self.text[np.minimum(places[:, None] + step, len(self.text) - 1)] == codes[np.minimum(at[:, None] + step, len(codes) - 1)]
+        same &= step < most[:, None]
+        return np.where(same.all(1), same.shape[1], same.argmin(1)) if same.shape[1] else np.zeros(len(places), np.int64)
+
+    def statistics(self, patterns: list[bytes], cap: int):
+        """Streams foreign patterns backwards together; yields (patterns, place in them, match length, place in the text, row).
+
+        A length beyond ``cap`` may be told as less, but never as less than ``cap``.
         """
-        codes = np.frombuffer(pattern, np.uint8).astype(np.int64) + 1
-        lengths, places = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
-        row = place = length = 0
-        for i in range(len(codes) - 1, -1, -1):
-            one = np.array([row])
-            symbol, after = self.step(one)
-            if length and symbol[0] == codes[i]:
-                row, place, length = int(after[0]), place - 1, length + 1
-            else:
-                above, below, _ = self.jump(one, codes[i : i + 1])
-                found = [(self._common(p, codes[i + 1 : i + 1 + length]), p, q) for p, q in (
-                    (int(self.run_last[above[0]]), int(np.append(self.run_start, len(self.text))[above[0] + 1]) - 1) if above[0] >= 0 else (-1, -1),
-                    (int(self.run_first[below[0]]), int(self.run_start[below[0]])) if below[0] >= 0 else (-1, -1),
-                ) if p >= 0]
-                if symbol[0] == codes[i]:
-                    found.append((0, -1, row))
-                    found = found[-1:] if not length and len(found) == 1 else found[:-1] or found
-                if not found:
-                    row = place = length = 0
-                    continue
-                common, p, q = max(found)
-                if p < 0:
-                    p = int(self._place(q))
-                row, place, length = int(self.step(np.array([q]))[1][0]), p - 1, common + 1
-            lengths[i], places[i] = length, place
-        return lengths, places
-
-    def _place(self, row: int) -> int:
-        """The text position of a row, by stepping back to a separator or a sampled run start."""
-        steps = 0
-        while True:
-            run = int(self.run_of[row])
-            if self.run_start[run] == row:
-                return int(self.run_first[run]) + steps
-            row = int(self.step(np.array([row]))[1][0])
-            steps += 1
-
-    def marks(self, docs: np.ndarray) -> np.ndarray:
-        """A bit per window of each indexed text (at most 64 windows): a smaller document has it.
-
-        All texts stream backwards together from their separators; their statistics are their own
-        remaining lengths, so only the windows of full length are looked up.
-        """
-        order = np.argsort(-self.sizes, kind="stable")
-        rows, left = order.copy(), self.sizes[order]
-        out = np.zeros(self.n_texts, np.uint64)
-        docs = np.asarray(docs)
-        longest = int(left[0]) if len(left) else 0
-        for done in range(1, longest + 1):
+        sizes = np.array([len(x) for x in patterns], np.int64)
+        codes = np.frombuffer(b"".join(patterns), np.uint8).astype(np.int64) + 1
+        order = np.argsort(-sizes, kind="stable")
+        ends, left = np.cumsum(sizes)[order], sizes[order]
+        row, place, length = (np.zeros(len(order), np.int64) for _ in range(3))
+        for done in range(1, int(left[0]) + 1 if len(left) and len(self.text) else 1):
             n = int(np.searchsorted(-left, -done, side="right"))
-            rows = rows[:n]
-            rows = self.step(rows)[1]
-            if done >= self.length:
-                at = left[:n] - done
-                hit = self.least_documents(rows) < docs[order[:n]]
-                out[order[:n][hit]] |= np.uint64(1) << at[hit].astype(np.uint64)
+            at, row, place, length = ends[:n] - done, row[:n], place[:n], length[:n]
+            symbol, run = codes[at], self.run_of[row]
+            stays = (length > 0) & (self.run_symbol[run] == symbol)
+            jumps = np.flatnonzero(~stays)
+            if len(jumps):
+                most = np.minimum(length[jumps], cap)
+                best = np.full(len(jumps), -1)
+                for ends_of, samples, runs in ((self.run_end, self.run_last, 0), (self.run_start, self.run_first, 1)):
+                    found = self.jump(run[jumps], symbol[jumps])[runs]
+                    there = np.flatnonzero(found >= 0)
+                    shared = self.common(samples[found[there]], codes, at[jumps[there]] + 1, most[there])
+                    better = shared > best[there]
+                    there, shared = there[better], shared[better]
+                    best[there] = shared
+                    row[jumps[there]], place[jumps[there]] = ends_of[found[there]], samples[found[there]]
+                length[jumps] = best
+            known = np.flatnonzero(length >= 0)
+            row[known] = self.step(row[known])[1]
+            place[known] -= 1
+            length += 1  # a symbol that the text has nowhere: -1 becomes 0
+            yield order[:n], left[:n] - done, length, place, row
+
+    def marks(self, patterns: list[bytes], docs: np.ndarray) -> np.ndarray:
+        """A bit per window of each pattern (at most 64 windows): an indexed text of a smaller document has it."""
+        out, docs = np.zeros(len(patterns), np.uint64), np.asarray(docs)
+        for which, at, length, _, row in self.statistics(patterns, self.length):
+            far = np.flatnonzero(length >= self.length)
+            hit = far[self.least_documents(row[far]) < docs[which[far]]]
+            out[which[hit]] |= np.uint64(1) << at[hit].astype(np.uint64)
         return out.view(np.int64)
 
 
@@ -409,8 +412,34 @@ def _packed_texts(docs: DataFrame, columns: list[str]) -> DataFrame:
     return map_arrow(docs.select(*columns, _document(), _tag(), "text"), run, schema)
 
 
+_DEALT = "bucket int, kind int, part int, blob binary"
+
+
+def _rows(found: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in found], pa.int32()) for k in range(3)), pa.array([x[3] for x in found], pa.binary())], ["bucket", "kind", "part", "blob"])
+
+
+def _cut_blobs(columns: tuple[np.ndarray, ...], buckets: int, width: int, part: int) -> list[tuple[int, int, int, bytes]]:
+    """Phrases as blobs by their group of ``width`` buckets."""
+    anchor, content, doc, tag, flanks, first, n = columns
+    group = (anchor % np.uint64(buckets)).astype(np.int64) // width
+    order = np.argsort(group, kind="stable")
+    edge = np.flatnonzero(np.diff(group[order], prepend=-1))
+    out = []
+    for o in np.split(order, edge[1:]) if len(order) else []:
+        out.append((int(group[o[0]]), JUDGE, part, _pack_rows(tuple(x[o] for x in columns))))
+    return out
+
+
+def _pack_rows(columns: tuple[np.ndarray, ...]) -> bytes:
+    anchor, content, doc, tag, flanks, first, n = columns
+    own, at = np.unique(np.stack([doc, tag], 1), axis=0, return_inverse=True) if len(doc) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+    return _pack(anchor, content, at.reshape(-1), flanks, first, n, own[:, 0], own[:, 1])
+
+
 def _first_round(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     """(doc, span, mask, anchor) of the phrases that are gone (-1) or must be indexed (0)."""
+    width = -(-buckets // FAN)
 
     def pack(batches):
         for b in batches:
@@ -421,28 +450,104 @@ def _first_round(docs: DataFrame, length: int, buckets: int) -> DataFrame:
                 part = raw[offsets[low] : offsets[high]]
                 found = [(a, c, d + i, f, n, s) for i, j in row_slices(own) for a, c, d, f, n, s in [phrases(part[own[i] : own[j]], own[i : j + 1] - own[i], length, True)]]
                 a, c, d, f, n, s = (np.concatenate(x) for x in zip(*found, strict=True))
+                if not len(a):
+                    continue
                 a, c = short_anchor(a), short_content(c)
-                bucket = (a % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                full = [k for k in range(buckets) if cuts[k + 1] > cuts[k]]
-                blobs = [_pack(a[o], c[o], d[o], s[o], f[o], n[o], ids[low:high], tags[low:high]) for k in full for o in [order[cuts[k] : cuts[k + 1]]]]
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+                content, doc = _whole(c, s, n), ids[low:high][d]
+                order = _order(a, content)
+                new_a = np.ones(len(order), bool)
+                new_a[1:] = a[order][1:] != a[order][:-1]
+                new_c = new_a.copy()
+                new_c[1:] |= content[order][1:] != content[order][:-1]
+                head = np.flatnonzero(new_c)
+                least = np.repeat(np.minimum.reduceat(doc[order], head), np.diff(np.append(head, len(order))))
+                of_a = np.cumsum(new_a) - 1
+                hot_a = np.bincount(of_a[head]) > FLAGGED
+                gone, hot = doc[order] > least, hot_a[of_a]
+                columns = (a, c, doc, tags[low:high][d].astype(np.int64), s, f, n)
+                salt = int(a[0] >> np.uint64(3)) & 0x7FFFFFFF
+                rows = _cut_blobs(tuple(x[order[~gone & ~hot]] for x in columns), buckets, width, salt)
+                rows += [(salt % -(-buckets // width), kind, salt, _pack_rows(tuple(x[order[those]] for x in columns))) for kind, those in ((GONE, gone), (HOT, ~gone & hot)) if those.any()]
+                hot_anchors = a[order][new_a & hot]
+                group = (hot_anchors % np.uint64(buckets)).astype(np.int64) // width
+                rows += [(int(k), MARKERS, salt, hot_anchors[group == k].astype("<u8").tobytes()) for k in np.unique(group)]
+                yield _rows(rows)
+
+    def again(wide: int, narrow: int):
+        """Cuts groups of ``wide`` buckets into groups of ``narrow`` ones, a slice's worth of phrases at a time."""
+
+        def run(batches):
+            held: dict[int, list[bytes]] = {}
+            sizes: dict[int, int] = {}
+
+            def cut_group(k):
+                sizes.pop(k)
+                return _rows(_cut_blobs(tuple(np.concatenate(x) for x in zip(*map(_columns, held.pop(k)), strict=True)), buckets, narrow, k))
+
+            for b in batches:
+                other = []
+                for k, kind, part, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if kind == JUDGE:
+                        held.setdefault(k, []).append(blob)
+                        sizes[k] = sizes.get(k, 0) + len(blob)
+                        if sizes[k] >= PACKED_BYTES:
+                            yield cut_group(k)
+                    elif kind == MARKERS:
+                        anchors = np.frombuffer(blob, "<u8")
+                        group = (anchors % np.uint64(buckets)).astype(np.int64) // narrow
+                        other += [(int(x), kind, part, anchors[group == x].tobytes()) for x in np.unique(group)]
+                    else:
+                        other.append((part % -(-buckets // narrow), kind, part, blob))
+                if other:
+                    yield _rows(other)
+            for k in list(held):
+                yield cut_group(k)
+
+        return run
+
+    def told(found: tuple[np.ndarray, ...]):
+        by_doc = np.argsort(found[0])
+        for i in range(0, len(by_doc), 1 << 17):
+            o = by_doc[i : i + (1 << 17)]
+            yield pa.RecordBatch.from_arrays([pa.array(x[o]) for x in found], ["doc", "span", "mask", "anchor"])
 
     def unpack(batches):
         held: dict[int, list[bytes]] = {}
+        marked: dict[int, list[np.ndarray]] = {}
+        last = None
+
+        def judged(k):
+            blobs, hot = held.pop(k, []), np.unique(np.concatenate([np.zeros(0, np.uint64), *marked.pop(k, [])]))
+            pieces = max(1, sum(map(len, blobs)) // (8 * BUCKET))
+            for piece in range(pieces if blobs else 0):
+                parts = [tuple(x[own] for x in c) for c in map(_unpack, blobs) for own in [c[0] // np.uint64(buckets) % np.uint64(pieces) == piece]]
+                yield from told(judge(*(np.concatenate(x) for x in zip(*parts, strict=True)), hot))
+
         for b in batches:
-            for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held.setdefault(k, []).append(blob)
+            for k, kind, _, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if in_order and last is not None and k != last:
+                    yield from judged(last)
+                last = k
+                if kind == JUDGE:
+                    held.setdefault(k, []).append(blob)
+                elif kind == MARKERS:
+                    marked.setdefault(k, []).append(np.frombuffer(blob, "<u8"))
+                else:
+                    anchor, _, doc, _, span = _unpack(blob)
+                    gone = kind == GONE
+                    yield from told((doc, span, np.full(len(doc), -1 if gone else 0), np.zeros(len(doc), np.int64) if gone else anchor.view(np.int64)))
         for k in list(held):
-            told = judge(*(np.concatenate(x) for x in zip(*map(_unpack, held.pop(k)), strict=True)))
-            by_doc = np.argsort(told[0])
-            for i in range(0, len(by_doc), 1 << 17):
-                o = by_doc[i : i + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(x[o]) for x in told], ["doc", "span", "mask", "anchor"])
+            yield from judged(k)
 
-    dealt = map_arrow(docs.select(_document(), F.coalesce(_tag(), F.lit(0)).alias("tag"), "text"), pack, "bucket int, blob binary").repartition(buckets, "bucket")
-    return map_arrow(dealt, unpack, "doc bigint, span bigint, mask bigint, anchor bigint")
+    dealt = map_arrow(docs.select(_document(), F.coalesce(_tag(), F.lit(0)).alias("tag"), "text"), pack, _DEALT)
+    while width > 1:
+        narrow = -(-width // FAN)
+        spread = max(1, width * BUCKET // (16 * PACKED_BYTES))  # tasks that cut one group again
+        dealt = map_arrow(dealt.repartition(min(TASKS, FAN * spread), "bucket", F.pmod("part", F.lit(spread))), again(width, narrow), _DEALT)
+        width = narrow
+    in_order = buckets > TASKS
+    dealt = dealt.repartition(min(TASKS, buckets), "bucket")
+    return map_arrow(dealt.sortWithinPartitions("bucket") if in_order else dealt, unpack, "doc bigint, span bigint, mask bigint, anchor bigint")
 
 
 def _hot_anchors(unsure: DataFrame, length: int) -> DataFrame:
@@ -453,7 +558,8 @@ def _hot_anchors(unsure: DataFrame, length: int) -> DataFrame:
 def _window_marks(fetched: DataFrame, length: int) -> DataFrame:
     """(doc, span, mask) of phrases, by the bytes of their windows and without an index."""
     windows = fetched.select("doc", "span", "phrase", F.explode(F.sequence(F.lit(0), (F.col("span").bitwiseAND(255) - 1).cast("int"))).alias("at")).select("doc", "span", "at", F.expr(f"substring(phrase, at + 1, {length})").alias("window"))
-    least = windows.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
+    # written first, so that both sides of the join are exchanges and Spark can split a hot window
+    least = stored(windows.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most"))
     return windows.join(least, "window").where("least < doc").groupBy("doc", "span").agg(F.expr("bit_or(shiftleft(1L, at))").alias("mask"))
 
 
@@ -484,20 +590,25 @@ def _second_round(packed: DataFrame, unsure: DataFrame, length: int) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(c, kinds.get(k, pa.int64())) for k, c in zip(names, columns, strict=True)], names)
 
     def index(batches):
-        docs, spans, texts, size, last = [], [], [], 0, None
+        anchors, docs, spans, texts, size, last = [], [], [], [], 0, None
 
         def emit():
-            order = np.argsort(np.array(docs), kind="stable")
-            own = np.array(docs, np.int64)[order]
-            mask = RunLengthIndex([texts[i] for i in order], own, length).marks(own)
+            own = np.array(docs, np.int64)
+            start = np.flatnonzero(np.diff(np.array(anchors, np.int64), prepend=anchors[0] - 1 if anchors[0] > 0 else 1))
+            repeat = np.diff(np.append(start, len(own)))
+            # the largest document of an anchor is no source, the smallest has none
+            source = np.flatnonzero(own < np.repeat(np.maximum.reduceat(own, start), repeat))
+            streamed = np.flatnonzero(own > np.repeat(np.minimum.reduceat(own, start), repeat))
+            mask = RunLengthIndex([texts[i] for i in source], own[source], length).marks([texts[i] for i in streamed], own[streamed])
             hit = mask != 0
-            return pa.RecordBatch.from_arrays([pa.array(own[hit]), pa.array(np.array(spans, np.int64)[order][hit]), pa.array(mask[hit])], ["doc", "span", "mask"])
+            return pa.RecordBatch.from_arrays([pa.array(own[streamed][hit]), pa.array(np.array(spans, np.int64)[streamed][hit]), pa.array(mask[hit])], ["doc", "span", "mask"])
 
         for b in batches:
             for anchor, doc, span, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if size >= INDEX_BYTES and anchor != last:
                     yield emit()
-                    docs, spans, texts, size = [], [], [], 0
+                    anchors, docs, spans, texts, size = [], [], [], [], 0
+                anchors.append(anchor)
                 docs.append(doc)
                 spans.append(span)
                 texts.append(text)
@@ -517,7 +628,8 @@ def _second_round(packed: DataFrame, unsure: DataFrame, length: int) -> DataFram
 def find_marks(docs: DataFrame, length: int) -> DataFrame:
     """(doc, marks: array of (span, mask)) of every document that loses bytes."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(32, -(-int(total) * 2 // ((length - length // 3 + 2) * BUCKET)))
+    # about 18 packed bytes a phrase, two phrases in a stretch of as many windows as a phrase can have
+    buckets = max(32, -(-int(total) * 36 // ((length - length // 3 + 2) * BUCKET)))
     first = stored(_first_round(docs, length, buckets))
     unsure = first.where("mask = 0")
     second = _second_round(_packed_texts(docs, []), unsure, length)

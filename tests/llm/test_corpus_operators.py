@@ -196,22 +196,33 @@ def brute_repeats(texts, length):
     return out
 
 
-def test_index_marks_and_statistics_against_brute_force():
+def test_index_marks_and_statistics_of_foreign_patterns_against_brute_force():
     rng = random.Random(1)
-    for _ in range(60):
+    for _ in range(80):
         letters = rng.choice([b"ab", b"abc", bytes(range(97, 110))])
         base = bytes(rng.choice(letters) for _ in range(60))
-        texts = [base[a : a + rng.randrange(1, 60)] for a in (rng.randrange(40) for _ in range(rng.randrange(1, 12)))]
-        texts = [bytes(rng.choice(letters) if rng.random() < 0.03 else c for c in t) for t in texts]
-        owner, length = np.sort(np.array([rng.randrange(6) for _ in texts])), rng.choice([7, 8, 15])
+
+        def cut(base=base, letters=letters):
+            a = rng.randrange(40)
+            return bytes(rng.choice(letters) if rng.random() < 0.03 else c for c in base[a : a + rng.randrange(1, 60)])
+
+        texts, patterns = ([cut() for _ in range(rng.randrange(n, 12))] for n in (0, 1))
+        patterns += [b"zz" + base[:20], b"", b"z", *texts[:3]]
+        owner, length = np.array([rng.randrange(6) for _ in texts], np.int64), rng.choice([7, 8, 15])
+        docs = np.array([rng.randrange(8) for _ in patterns])
         index = run_index.RunLengthIndex(texts, owner, length)
-        for i, (t, m) in enumerate(zip(texts, index.marks(owner).view(np.uint64).tolist(), strict=True)):
-            assert m == sum(1 << k for k in range(len(t) - length + 1) if any(t[k : k + length] in u and owner[j] < owner[i] for j, u in enumerate(texts)))
-        pattern = bytes(rng.choice(letters) for _ in range(9)) + base[:15]
-        lengths, places = index.matching_statistics(pattern)
-        for i, (n, p) in enumerate(zip(lengths.tolist(), places.tolist(), strict=True)):
-            assert n == max(k for k in range(len(pattern) - i + 1) if any(pattern[i : i + k] in u for u in texts))
-            assert not n or bytes((index.text[p : p + n] - 1).astype(np.uint8)) == pattern[i : i + n]
+        for p, d, m in zip(patterns, docs, index.marks(patterns, docs).view(np.uint64).tolist(), strict=True):
+            assert m == sum(1 << k for k in range(len(p) - length + 1) if any(p[k : k + length] in u and owner[j] < d for j, u in enumerate(texts)))
+        for cap in (5, 1000):
+            found = {}
+            for which, at, n, place, row in index.statistics(patterns, cap):
+                assert not len(row) or index.run_of[row].max() < len(index.run_symbol)
+                found |= {(int(w), int(a)): (int(x), int(q)) for w, a, x, q in zip(which, at, n, place, strict=True)}
+            for w, p in enumerate(patterns):
+                for a in range(len(p)) if texts else ():
+                    n, q = found[w, a]
+                    most = max(k for k in range(len(p) - a + 1) if any(p[a : a + k] in u for u in texts))
+                    assert min(n, cap) == min(most, cap) and n <= most and bytes((index.text[q : q + n] - 1).astype(np.uint8)) == p[a : a + n]
 
 
 def test_repeats_query_against_brute_force(spark):
@@ -252,6 +263,20 @@ def test_a_hot_anchor_is_dealt_by_windows(spark, monkeypatch):
         assert got[i] == (gone.sum(), hashlib.sha256(np.frombuffer(texts[i].encode(), np.uint8)[~gone].tobytes()).hexdigest())
 
 
+@pytest.mark.parametrize("settings", [{"FAN": 3, "BUCKET": 40}, {"FAN": 3, "BUCKET": 400, "TASKS": 2, "PACKED_BYTES": 3000}, {"FLAGGED": 1, "PACKED_BYTES": 2000}, {"FLAGGED": 4, "FAN": 5, "BUCKET": 100, "PACKED_BYTES": 1500, "INDEX_BYTES": 1500}])
+def test_buckets_in_rounds_and_hot_anchors_of_some_slices(spark, monkeypatch, settings):
+    for k, v in settings.items():
+        monkeypatch.setattr(run_index, k, v)
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    lines = ["This sentence stands in every third document after other words, é. ", "And this one is found a little less often than that, but as long. "]
+    base = noise(300)
+    texts = {i: noise(rng.randrange(90)) + (lines[0] if i % 3 == 0 else "") + (lines[1] * (i % 2 + 1) if i % 7 == 0 else "") + base[(a := rng.randrange(200)) : a + rng.randrange(100)] for i in range(150)} | {200: "", 201: lines[0] * 4, 202: base}
+    expected = brute_repeats(texts, 50)
+    got = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in run_index.dedup_digests(docs(spark, list(texts.values()), list(texts)), 50).collect()}
+    assert all(got[i] == (gone.sum(), hashlib.sha256(np.frombuffer(texts[i].encode(), np.uint8)[~gone].tobytes()).hexdigest()) for i, gone in expected.items())
+
+
 def test_repeats_of_odd_rows_keep_columns(spark, odd_documents):
     assert run_index.dedup_digests(odd_documents, 50).count() == 7
     out = run_index.remove_repeats(odd_documents, 50)
