@@ -17,7 +17,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, groupby
 
 import ahocorasick
 import pyarrow as pa
@@ -54,83 +54,239 @@ FAMILIES = [
 # Creative Commons element sets and versions.
 CC_KINDS, CC_VERSIONS = ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd"), ("1.0", "2.0", "2.5", "3.0", "4.0")
 CC_WORDS = {"by": "attribution", "sa": "share ?-?alike", "nc": "non-?commercial", "nd": "no ?-?deriv(?:ative)?s?(?: works)?"}
-# Licenses known by one signature each, as (label, regex, keyword).
+# Licenses known by their name before the word license, as label and name.
+NAMED = [
+    ("aal", "attribution assurance"),
+    ("adobe-2006", "adobe systems incorporated source code"),
+    ("adobe-glyph", "adobe glyph list"),
+    ("aladdin", "aladdin free public"),
+    ("amazon", "amazon software"),
+    ("apl", "adaptive public"),
+    ("apsl", "apple public source"),
+    ("arphic", "arphic public"),
+    ("bittorrent", "bittorrent open source"),
+    ("blueoak", "blue oak model"),
+    ("bsd-protection", "bsd protection"),
+    ("busl", "business source"),
+    ("catosl", "computer associates trusted open source"),
+    ("clartistic", "clarified artistic"),
+    ("cnri", "cnri open source"),
+    ("condor", "condor public"),
+    ("cpal", "common public attribution"),
+    ("cpol", "code project open"),
+    ("cua-opl", "cua office public"),
+    ("curl", "curl"),
+    ("drl", "detection rule"),
+    ("ecl", "educational community"),
+    ("efl", "eiffel forum"),
+    ("elastic", "elastic"),
+    ("entessa", "entessa public"),
+    ("erlpl", "erlang public"),
+    ("etalab", "etalab open"),
+    ("eudatagrid", "eu datagrid software"),
+    ("fair", "fair"),
+    ("fair-source", "fair source"),
+    ("frameworx", "frameworx open"),
+    ("free-art", "free art"),
+    ("freeimage", "freeimage public"),
+    ("fsl", "functional source"),
+    ("ftl", "freetype project"),
+    ("giftware", "giftware"),
+    ("gl2ps", "gl2ps"),
+    ("gnuplot", "gnuplot"),
+    ("gutenberg", "project gutenberg"),
+    ("hippocratic", "hippocratic"),
+    ("icu", "icu"),
+    ("imagemagick", "imagemagick"),
+    ("info-zip", "info-zip"),
+    ("intel", "intel open source"),
+    ("interbase", "interbase public"),
+    ("ipa", "ipa font"),
+    ("ipl", "ibm public"),
+    ("jasper", "jasper"),
+    ("json", "json"),
+    ("leptonica", "leptonica"),
+    ("libpng", "libpng"),
+    ("libtiff", "libtiff"),
+    ("lpl", "lucent public"),
+    ("miros", "miros"),
+    ("motosoto", "motosoto open source"),
+    ("ms-lpl", "microsoft limited public"),
+    ("multics", "multics"),
+    ("naumen", "naumen public"),
+    ("net-snmp", "net-snmp"),
+    ("netcdf", "netcdf"),
+    ("ngpl", "nethack general public"),
+    ("nokia", "nokia open source"),
+    ("nosl", "netizen open source"),
+    ("npl", "netscape public"),
+    ("npsl", "nmap public source"),
+    ("ntp", "ntp"),
+    ("occt", "open cascade technology public"),
+    ("oclc", "oclc research public"),
+    ("odc-by", "open data commons attribution"),
+    ("ogl", "open government"),
+    ("ogtsl", "open group test suite"),
+    ("oldap", "openldap public"),
+    ("oml", "open market"),
+    ("openssl", "openssl"),
+    ("opl", "open publication"),
+    ("oset", "oset public"),
+    ("parity", "parity public"),
+    ("postgresql", "postgresql"),
+    ("qpl", "q public"),
+    ("rpl", "reciprocal public"),
+    ("rpsl", "realnetworks public source"),
+    ("rscpl", "ricoh source code public"),
+    ("ruby", "ruby"),
+    ("sgi-b", "sgi free software"),
+    ("simpl", "simple public"),
+    ("sissl", "sun industry standards source"),
+    ("sleepycat", "sleepycat"),
+    ("spl", "sun public"),
+    ("sspl", "server side public"),
+    ("sugarcrm", "sugarcrm public"),
+    ("tosl", "trusster open source"),
+    ("ucl", "upstream compatibility"),
+    ("upl", "universal permissive"),
+    ("vim", "vim"),
+    ("vsl", "vovida software"),
+    ("watcom", "sybase open watcom public"),
+    ("wxwindows", "wxwindows library"),
+    ("xfree86", "xfree86"),
+    ("zend", "zend"),
+    ("zimbra", "zimbra public"),
+]
+# Signatures of names and sentences, as (label, regex, keyword).
 SINGLE = [
-    ("mit", r"\bmit[- ]licen[cs]ed?\b", "mit"),
-    ("mit", r"\bexpat licen[cs]e\b", "expat"),
-    ("mit", r"permission is hereby granted, free of charge, to any person obtaining a copy", "hereby granted"),
-    ("mit", r"\bx11 licen[cs]e\b", "x11"),
-    ("isc", r"\bisc licen[cs]e\b", "isc"),
-    ("isc", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose", "permission to use"),
+    ("0bsd", r"\bbsd zero[- ]clause\b|\bzero[- ]clause bsd\b|\b0bsd\b", "bsd"),
+    ("agpl", r"gnu\.org/licenses/agpl", "gnu.org/licenses"),
+    ("apache-2.0", r"apache\.org/licenses/license-2\.0", "apache.org/licenses"),
+    ("artistic", r"maintains some semblance of artistic control", "semblance of artistic"),
+    ("beerware", r"beer-?ware licen[cs]e", "beer"),
+    ("bsd", r"\bbsd(?:-style)? licen[cs]e\b", "bsd"),
+    ("bsd", r"opensource\.org/licenses/bsd", "opensource.org/licenses"),
+    ("bsd", r"redistribution and use in source and binary forms", "redistribution and use"),
+    ("bsd-1-clause", r"\bbsd[- ]1[- ]clause\b|\b1[- ]clause bsd\b", "bsd"),
     ("bsd-2-clause", r"\b(?:bsd[- ]2[- ]clause|2[- ]clause bsd|simplified bsd|freebsd licen[cs]e)\b", "bsd"),
     ("bsd-3-clause", r"\b(?:bsd[- ]3[- ]clause|3[- ]clause bsd|new bsd|modified bsd|revised bsd)\b", "bsd"),
+    ("bsd-3-clause", r"neither the names? of [^.]{1,200}? nor the names of its contributors may be used to endorse", "names of its contributors"),
     ("bsd-4-clause", r"\b(?:bsd[- ]4[- ]clause|4[- ]clause bsd|original bsd|old bsd)\b", "bsd"),
-    ("bsd", r"\bbsd(?:-style)? licen[cs]e\b", "bsd"),
-    ("bsd", r"redistribution and use in source and binary forms", "redistribution and use"),
-    ("unlicense", r"this is free and unencumbered software released into the public domain", "unencumbered"),
-    ("unlicense", r"(?:\bthe )?\bunlicense\b", "unlicense"),
-    ("wtfpl", r"do what the f\w* you want to public licen[cs]e", "want to public"),
-    ("wtfpl", r"\bwtfpl\b", "wtfpl"),
-    ("zlib", r"\bzlib(?:/libpng)? licen[cs]e\b", "zlib"),
+    ("bsd-4-clause", r"advertising materials mentioning features or use of this software", "advertising materials mentioning"),
+    ("bsl-1.0", r"to any person or organization obtaining a copy of the software and accompanying documentation", "accompanying documentation"),
+    ("c-uda", r"computational use of data agreement", "computational use"),
     ("cc0", r"\bcc0\b", "cc0"),
     ("cc0", r"creative commons zero", "commons zero"),
-    ("public-domain", r"(?:released|dedicated|placed) (?:in)?to the public domain|in the public domain", "public domain"),
-    ("ms-pl", r"microsoft public licen[cs]e", "microsoft public"),
+    ("cc0", r"waives? all (?:of (?:his|her|their) )?(?:copyright and related|rights to the work)", "waive"),
+    ("cecill", r"\bcecill(?:-[bc])?\b", "cecill"),
+    ("copyleft-next", r"\bcopyleft-next\b", "copyleft-next"),
+    ("d-fsl", r"deutsche freie software lizenz", "freie software lizenz"),
+    ("dco", r"developer certificate of origin", "certificate of origin"),
+    ("dl-de", r"datenlizenz deutschland", "datenlizenz"),
+    ("etalab", r"licence ouverte", "licence ouverte"),
+    ("free-art", r"licence art libre", "art libre"),
+    ("fsf-unlimited", r"gives unlimited permission to copy and/or distribute it", "unlimited permission"),
+    ("fsfap", r"are permitted in any medium without royalty", "without royalty"),
+    ("gfdl", r"permission is granted to copy, distribute and/or modify this document under the terms", "modify this document"),
+    ("gpl", r"gnu\.org/licenses/gpl", "gnu.org/licenses"),
+    ("gpl", r"without even the implied warranty of merchantability or fitness for a particular purpose", "without even the implied"),
+    ("hpnd", r"historical permission notice and disclaimer", "historical permission"),
+    ("ijg", r"independent jpeg group", "independent jpeg"),
+    ("imatix", r"imatix standard function library agreement", "imatix"),
+    ("isc", r"\bisc licen[cs]e\b", "isc"),
+    ("isc", r"opensource\.org/licenses/isc", "opensource.org/licenses"),
+    ("isc", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose", "permission to use"),
+    ("jsr", r"the software shall be used for good, not evil", "good, not evil"),
+    ("lgpl", r"gnu\.org/licenses/lgpl", "gnu.org/licenses"),
+    ("llama", r"llama [234](?:\.\d)? community licen[cs]e", "community licen"),
+    ("mit", r"\bexpat licen[cs]e\b", "expat"),
+    ("mit", r"\bmit[- ]licen[cs]ed?\b", "mit"),
+    ("mit", r"\bx11 licen[cs]e\b", "x11"),
+    ("mit", r"opensource\.org/licenses/mit", "opensource.org/licenses"),
+    ("mit", r"permission is hereby granted, free of charge, to any person obtaining a copy", "hereby granted"),
+    ("mit-0", r"\bmit no attribution\b|\bmit-0\b", "mit"),
+    ("mpl-2.0", r"this source code form is subject to the terms", "source code form is subject"),
+    ("mpl", r"mozilla\.org/mpl", "mozilla.org/mpl"),
     ("ms-pl", r"\bms-pl\b", "ms-pl"),
-    ("ms-rl", r"microsoft reciprocal licen[cs]e", "reciprocal"),
+    ("ms-pl", r"microsoft public licen[cs]e", "microsoft public"),
     ("ms-rl", r"\bms-rl\b", "ms-rl"),
-    ("beerware", r"beer-?ware licen[cs]e", "beer"),
-    ("jsr", r"the software shall be used for good, not evil", "good, not evil"),
-    ("openssl", r"openssl licen[cs]e", "openssl"),
-    ("ruby", r"ruby licen[cs]e", "ruby"),
-    ("vim", r"vim licen[cs]e", "vim"),
+    ("ms-rl", r"microsoft reciprocal licen[cs]e", "reciprocal"),
+    ("ms-terms", r"microsoft software licen[cs]e terms", "microsoft software"),
+    ("mulan", r"mulan (?:permissive software|public) licen[cs]e", "mulan"),
+    ("nasa", r"nasa open source agreement", "nasa open source"),
     ("ncsa", r"university of illinois/ncsa|ncsa open source licen[cs]e", "ncsa"),
-    ("postgresql", r"postgresql licen[cs]e", "postgresql"),
-    ("icu", r"\bicu licen[cs]e\b", "icu"),
-    ("w3c", r"w3c software (?:notice and )?licen[cs]e", "w3c"),
+    ("no-known-copyright", r"no known copyright restrictions|free of known (?:copyright )?restrictions", "restrictions"),
+    ("ofl", r"reserved font name", "reserved font name"),
+    ("openrail", r"\b(?:creativeml )?open ?rail(?:\+\+)?(?:-[ms]+)?\b", "rail"),
+    ("pddl", r"public domain dedication and licen[cs]e", "domain dedication"),
+    ("polyform", r"polyform (?:noncommercial|small business|strict|shield|perimeter|free trial|internal use)", "polyform"),
     ("proprietary", r"all rights reserved", "rights reserved"),
-    ("proprietary", r"proprietary and confidential", "proprietary"),
+    ("proprietary", r"no part of this (?:publication|book|work) may be reproduced", "may be reproduced"),
+    ("proprietary", r"proprietary and confidential|confidential and proprietary", "proprietary"),
+    ("proprietary", r"unauthori[sz]ed (?:copying|use|reproduction|distribution)[^.]{0,100}? is (?:strictly )?prohibited", "prohibited"),
+    ("public-domain", r"(?:released|dedicated|placed) (?:in)?to the public domain|in the public domain", "public domain"),
+    ("public-domain", r"not subject to copyright protection", "subject to copyright"),
+    ("tcl", r"tcl/tk licen[cs]e", "tcl/tk"),
+    ("unicode", r"unicode (?:data files and software )?licen[cs]e", "unicode"),
+    ("unlicense", r"\bunlicense\b", "unlicense"),
+    ("unlicense", r"anyone is free to copy, modify, publish, use, compile, sell, or distribute", "anyone is free to copy"),
+    ("unlicense", r"free and unencumbered software released into the public domain", "unencumbered"),
+    ("w3c", r"w3c software (?:notice and )?licen[cs]e", "w3c"),
+    ("wtfpl", r"\bwtfpl\b", "wtfpl"),
+    ("wtfpl", r"do what the f\w* you want to", "do what the f"),
+    ("ypl", r"yahoo! public licen[cs]e", "yahoo! public"),
+    ("zlib", r"\bzlib(?:/libpng)? licen[cs]e\b", "zlib"),
+    ("zlib", r"altered source versions must be plainly marked as such", "altered source versions"),
 ]
 SPDX_PLAIN = ("mit", "isc", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause", "unlicense", "zlib", "cc0-1.0", "0bsd", "mit-0", "ncsa", "postgresql", "wtfpl", "x11", "ms-pl", "ms-rl", "bsl-1.0", "python-2.0", "artistic-1.0", "artistic-2.0")
 _VERSION = r"(?:,? ?(?:\(\w+\))?,? ?(?:version |v\.? ?|-)?%s(?:\.0)?(?![\w.]*\d))"
 
 
-def rules() -> list[tuple[int, str, str, str]]:
-    """(priority, label, regex, keyword) of every signature rule; a higher priority wins."""
-    out: list[tuple[int, str, str, str]] = []
+def rules() -> list[tuple[int, str, str, tuple[str, ...]]]:
+    """(priority, label, regex, keywords) of every signature rule, each once; a higher priority wins, and any keyword opens a rule."""
+    out: list[tuple[int, str, str, tuple[str, ...]]] = []
     for label, name, keywords, versions in FAMILIES:
-        for keyword in keywords:
-            for version in versions:
-                short = version.removesuffix(".0") if version.endswith(".0") else version
-                v = _VERSION % re.escape(short)
-                out.append((50, f"{label}-{version}-or-later", rf"(?:{name}){v}(?:,? (?:or|and)(?: \(at your option\))? (?:any )?later|\+|-or-later)", keyword))
-                out.append((45, f"{label}-{version}-only", rf"(?:{name}){v}(?: only|-only)\b", keyword))
-                out.append((40, f"{label}-{version}", rf"(?:{name}){v}", keyword))
-            out.append((20, label, rf"(?:{name})\b", keyword))
+        for version in versions:
+            short = version.removesuffix(".0") if version.endswith(".0") else version
+            v = _VERSION % re.escape(short)
+            out.append((50, f"{label}-{version}-or-later", rf"(?:{name}){v}(?:,? (?:or|and)(?: \(at your option\))? (?:any )?later|\+|-or-later)", keywords))
+            out.append((45, f"{label}-{version}-only", rf"(?:{name}){v}(?: only|-only)\b", keywords))
+            out.append((40, f"{label}-{version}", rf"(?:{name}){v}", keywords))
+        out.append((20, label, rf"(?:{name})\b", keywords))
     for kind in CC_KINDS:
         words = r"[- ]".join(CC_WORDS[x] for x in kind.split("-"))
         for version in CC_VERSIONS:
-            out.append((40, f"cc-{kind}-{version}", rf"\bcc[- ]{kind}[- ](?:v\.? ?)?{re.escape(version)}(?!\.?\d)", "cc"))
-            out.append((40, f"cc-{kind}-{version}", rf"creative commons {words} {re.escape(version)}", "creative commons"))
-            out.append((45, f"cc-{kind}-{version}", rf"creativecommons\.org/licenses/{kind}/{re.escape(version)}", "creativecommons"))
-        out.append((25, f"cc-{kind}", rf"\bcc[- ]{kind}\b(?!-)", "cc"))
-        out.append((25, f"cc-{kind}", rf"creative commons {words}\b", "creative commons"))
-    out += [(30, label, pattern, keyword) for label, pattern, keyword in SINGLE]
-    out += [(60, x, rf"spdx-license-identifier:\s*{re.escape(x)}(?![\w.-])", "spdx") for x in SPDX_PLAIN]
+            out.append((40, f"cc-{kind}-{version}", rf"\bcc[- ]{kind}[- ](?:v\.? ?)?{re.escape(version)}(?!\.?\d)", ("cc",)))
+            out.append((40, f"cc-{kind}-{version}", rf"creative commons {words} {re.escape(version)}", ("creative commons",)))
+            out.append((45, f"cc-{kind}-{version}", rf"creativecommons\.org/licenses/{kind}/{re.escape(version)}", ("creativecommons",)))
+        out.append((25, f"cc-{kind}", rf"\bcc[- ]{kind}\b(?!-)", ("cc",)))
+        out.append((25, f"cc-{kind}", rf"creative commons {words}\b", ("creative commons",)))
+    out += [(30, label, pattern, (keyword,)) for label, pattern, keyword in SINGLE]
+    out += [(30, label, rf"\b{re.escape(name)} licen[cs]e", (f"{name} licen",)) for label, name in NAMED]
+    out += [(60, x, rf"spdx-license-identifier:\s*{re.escape(x)}(?![\w.-])", ("spdx",)) for x in SPDX_PLAIN]
     for label, _, _, versions in FAMILIES:
         for version in versions:
-            out += [(60, f"{label}-{version}{tail}", rf"spdx-license-identifier:\s*{label}-{re.escape(version)}(?:\.0)?{mark}(?![\w.-])", "spdx") for tail, mark in (("", ""), ("-only", "-only"), ("-or-later", r"(?:-or-later|\+)"))]
+            out += [(60, f"{label}-{version}{tail}", rf"spdx-license-identifier:\s*{label}-{re.escape(version)}(?:\.0)?{mark}(?![\w.-])", ("spdx",)) for tail, mark in (("", ""), ("-only", "-only"), ("-or-later", r"(?:-or-later|\+)"))]
     return sorted(out, key=lambda x: -x[0])
 
 
+def _automaton(words: dict[str, object]):
+    out = ahocorasick.Automaton()
+    for word, value in words.items():
+        out.add_word(word, value)
+    out.make_automaton()
+    return out
+
+
 @lru_cache(1)
 def _compiled():
-    found = [(priority, label, re.compile(pattern), keyword) for priority, label, pattern, keyword in rules()]
-    keywords = ahocorasick.Automaton()
-    for keyword in {x[3] for x in found}:
-        keywords.add_word(keyword, keyword)
-    keywords.make_automaton()
-    return found, keywords
+    """The rules, the automaton of keywords with the numbers of the rules they open, and that of the keywords' first words."""
+    found = [(priority, label, re.compile(pattern)) for priority, label, pattern, _ in rules()]
+    opened: dict[str, list[int]] = {}
+    for i, (*_, keywords) in enumerate(rules()):
+        for keyword in keywords:
+            opened.setdefault(keyword, []).append(i)
+    return found, _automaton(opened), _automaton({k.split()[0]: True for k in opened})
 
 
 #: Comment marks where a line begins or ends.
@@ -143,21 +299,38 @@ def _unmarked(text: str) -> str:
     return _MARKS.sub(lambda m: " " * len(m[0]), text) if "\n" in text else text
 
 
+def uncontained(hits: list[tuple[int, int, int, str]]) -> list[tuple[str, int, int, int]]:
+    """(label, priority, start, end) of the hits that lie in no accepted one of the same or a higher priority.
+
+    Accepted intervals of higher priorities are kept by start with the furthest end so far, so a hit takes one search.
+    """
+    kept: list[tuple[str, int, int, int]] = []
+    starts: list[int] = []
+    furthest: list[int] = []
+    for priority, group in groupby(sorted(hits, key=lambda x: (-x[0], x[1], -x[2])), key=lambda x: x[0]):
+        reach, before = -1, len(kept)
+        for _, start, end, label in group:
+            k = bisect_right(starts, start)
+            if reach < end and not (k and furthest[k - 1] >= end):
+                kept.append((label, priority, start, end))
+                reach = end
+        if len(kept) > before:
+            spans = sorted((start, end) for _, _, start, end in kept)
+            starts, furthest = [x[0] for x in spans], [*accumulate((x[1] for x in spans), max)]
+    return kept
+
+
 def detect(text: str) -> list[tuple[str, int, int, int]]:
     """(label, priority, start, end) of the detections that stand in an ``str.lower``-free ASCII-lowered text."""
-    found, keywords = _compiled()
-    if not any(x in text for x in _FIRST):  # nearly every text stops here
+    found, keywords, firsts_of = _compiled()
+    if next(firsts_of.iter(text), None) is None:  # many texts stop here
         return []
     plain = _unmarked(text)
     folded = " ".join(plain.split())
-    if not any(x in folded for x in _GATE):
+    opened = sorted(set().union(*{id(x): x for _, x in keywords.iter(folded)}.values()))
+    if not opened:
         return []
-    present = {k for _, k in keywords.iter(folded)}
-    hits = [(priority, m.start(), m.end(), label) for priority, label, pattern, keyword in found if keyword in present for m in pattern.finditer(folded)]
-    kept: list[tuple[str, int, int, int]] = []
-    for priority, start, end, label in sorted(hits, key=lambda x: (-x[0], x[1], -x[2])):
-        if not any(s <= start and end <= e for _, _, s, e in kept):
-            kept.append((label, priority, start, end))
+    kept = uncontained([(found[i][0], m.start(), m.end(), found[i][1]) for i in opened for m in found[i][2].finditer(folded)])
     if not kept:
         return []
     # a place in the folded text lies as far into its word as in the text
@@ -171,15 +344,10 @@ def detect(text: str) -> list[tuple[str, int, int, int]]:
     return sorted(((label, priority, place(start), place(end - 1) + 1) for label, priority, start, end in kept), key=lambda x: x[2])
 
 
-#: Every rule keyword holds one of these, so a text with none of them has no detection; _FIRST has the first words alone.
-_GATE = sorted({k for *_, k in rules()})
-_FIRST = sorted({k.split()[0] for k in _GATE})
-
 _ASCII_LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 #: Lower-cases A-Z and turns every byte outside words into a space (48-57, a-z and all non-ASCII bytes stay).
 _WORDS = bytes((i + 32 if 65 <= i <= 90 else i) if 48 <= i <= 57 or 97 <= i <= 122 or 65 <= i <= 90 or i >= 128 else 32 for i in range(256))
 _BASE_BYTES = [(f" {phrase} ".encode(), label) for phrase, label in BASE.items()]
-_BASE_GATE = [phrase.split()[-1].encode() for phrase in BASE]
 
 
 def scan(text: bytes) -> dict:
@@ -190,9 +358,11 @@ def scan(text: bytes) -> dict:
     if any(x in text.translate(_ASCII_LOWER) for x in (b"license", b"by")):
         joined = b" " + b" ".join(words) + b" "
         for phrase, label in _BASE_BYTES:
-            at = joined.find(phrase)
+            at, word, counted = joined.find(phrase), 0, 0
             while at >= 0:
-                places.append((joined.count(b" ", 0, at), label))
+                word += joined.count(b" ", counted, at)
+                counted = at
+                places.append((word, label))
                 at = joined.find(phrase, at + 1)
     hits = detect(text.translate(_ASCII_LOWER).decode("utf-8", "replace"))
     base = {label for _, label in places}
