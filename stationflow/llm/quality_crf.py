@@ -5,13 +5,20 @@ its two neighbours; learnt transition weights tie neighbouring labels. Forward-b
 step over all documents of an Arrow batch and gives each line's marginal; the marginals, weighted
 by line length, are averaged and calibrated into the document's score.
 
-Line labels are inherited from document labels. The model is fitted on at most ``SAMPLE``
-labelled documents per class (smallest hashes of doc_id, at most ``FIT_LINES`` lines each for
-the fit), so fitting is bounded whatever the input; scoring covers every line of every text.
+Only documents have labels, so lines get theirs in ``ROUNDS`` expectation steps: a logistic model of
+the lines' own features is fitted to the labels so far, and lines that it places on the other side
+with ``SURE`` or more change theirs, the surest first, as long as less than half of the document's
+length disagrees with its label. The field is then fitted to these line labels by exact gradient,
+so it learns how labels change within documents. It is fitted on at most ``SAMPLE`` labelled
+documents per class (smallest hashes of doc_id; of rows that share an id the smallest text), of
+each at most its last ``FIT_LINES`` lines, so fitting is bounded whatever the input; scoring covers
+every line of every text.
 
 Defined results: null texts and texts without a non-empty line get the calibrated score of a
 marginal of one half; without labels of both classes every score is 0.5; repeated rows give
-repeated results; extra columns are ignored; a document with several labels is learnt with each.
+repeated results; extra columns are ignored by ``score_documents`` and kept by ``keep_good``; very
+long texts are scored whole; a document with several labels is learnt with each; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, held_out, map_arrow, row_slices, text_buffers
 from .words import mix, word_hashes
 
-SAMPLE, FIT_LINES, STEPS = 1000, 400, 160
+SAMPLE, FIT_LINES, STEPS, ROUNDS, SURE = 1000, 400, 160, 3, 0.7
 _KINDS = np.zeros(256, np.uint8)  # 0 other, 1 lower, 2 upper, 3 digit, 4 plain mark, 5 odd mark, 6 bar, 7 space
 _KINDS[97:123], _KINDS[65:91], _KINDS[48:58] = 1, 2, 3
 _KINDS[33:48], _KINDS[58:65], _KINDS[91:97], _KINDS[123:127] = 5, 5, 5, 5
@@ -38,6 +45,8 @@ def line_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     """(features, length, document) of every non-empty line of the texts between the offsets."""
     if not len(raw):
         return np.zeros((0, WIDTH), np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # texts are parted by a newline each, so that no word runs from one into the next
+    raw, offsets = np.insert(raw, offsets[1:-1], 10), offsets + np.append(np.arange(len(offsets) - 1), len(offsets) - 2)
     newline = raw == 10
     start = np.union1d(offsets[:-1][offsets[:-1] < len(raw)], np.flatnonzero(newline) + 1)
     start = start[start < len(raw)]
@@ -136,23 +145,57 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * (mean - 0.5) + self.shift, -50, 50)))
 
 
-def fit(x: np.ndarray, size: np.ndarray, doc: np.ndarray, label: np.ndarray, steps: int = STEPS, penalty: float = 1e-3) -> Model:
-    """Maximum likelihood by Adam on the exact gradient; ``label`` is per document, ``doc`` counts from 0."""
-    z, y = with_neighbours(x, doc).astype(np.float64), label[doc].astype(np.float64)
-    w, t = np.zeros(z.shape[1]), np.zeros((2, 2))
+def expected(score: np.ndarray, doc: np.ndarray, t: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(marginal of ``good`` of every line, expected counts of the label pairs of ``linked`` lines and their successors)."""
+    forward, backward, _ = forward_backward(score, doc, t)
+    right = score[linked + 1] + backward[linked + 1]
+    joint = np.stack([np.full(len(linked), t[0, 0]), t[0, 1] + right, t[1, 0] + forward[linked], t[1, 1] + forward[linked] + right], 1)
+    joint = np.exp(joint - joint.max(1, keepdims=True)) if len(joint) else joint
+    pairs = (joint / joint.sum(1, keepdims=True)).sum(0).reshape(2, 2)
+    return 1 / (1 + np.exp(-np.clip(forward + backward, -50, 50))), pairs
+
+
+def line_labels(x: np.ndarray, size: np.ndarray, doc: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """The label of every line, from the documents' labels and the lines' own features."""
+    y, own, x = label[doc].astype(np.float64), label[doc].astype(np.float64), x.astype(np.float64)
+    half = np.bincount(doc, size, minlength=len(label)) / 2
+    for _ in range(ROUNDS):
+        w = np.zeros(x.shape[1])
+        for _ in range(12):  # Newton steps of the logistic model
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            r = np.maximum(p * (1 - p), 1e-6)
+            w = w + np.linalg.solve((x * r[:, None]).T @ x + np.eye(len(w)), x.T @ (y - p) - w)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        against = np.where(own == 1, 1 - p, p)
+        order = np.lexsort((-against, doc))
+        order = order[against[order] >= SURE]
+        total = np.cumsum(size[order])
+        first = np.flatnonzero(np.diff(doc[order], prepend=-1))
+        base = np.repeat((total - size[order])[first], np.diff(np.append(first, len(order))))
+        change = order[total - base < half[doc[order]]]
+        y = own.copy()
+        y[change] = 1 - own[change]
+    return y
+
+
+def gradient(w: np.ndarray, t: np.ndarray, z: np.ndarray, doc: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the log-likelihood of the lines' labels, by the weights and by the transitions."""
     linked = np.flatnonzero(doc[1:] == doc[:-1])
+    p, free = expected(z @ w, doc, t, linked)
     seen = np.zeros((2, 2))
     np.add.at(seen, (y[linked].astype(int), y[linked + 1].astype(int)), 1)
+    return z.T @ (y - p), seen - free
+
+
+def fit(x: np.ndarray, size: np.ndarray, doc: np.ndarray, label: np.ndarray, steps: int = STEPS, penalty: float = 1e-3) -> Model:
+    """Maximum likelihood by Adam on the exact gradient; ``label`` is per document, ``doc`` counts from 0."""
+    z, y = with_neighbours(x, doc).astype(np.float64), line_labels(x, size, doc, label)
+    w, t = np.zeros(z.shape[1]), np.zeros((2, 2))
+    n_linked = max(1, int(np.count_nonzero(doc[1:] == doc[:-1])))
     m, v = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
     for step in range(1, steps + 1):
-        score = z @ w
-        forward, backward, _ = forward_backward(score, doc, t)
-        p = 1 / (1 + np.exp(-np.clip(forward + backward, -50, 50)))
-        right = score[linked + 1] + backward[linked + 1]
-        joint = np.stack([np.full(len(linked), t[0, 0]), t[0, 1] + right, t[1, 0] + forward[linked], t[1, 1] + forward[linked] + right], 1)
-        joint = np.exp(joint - joint.max(1, keepdims=True))
-        expected = (joint / joint.sum(1, keepdims=True)).sum(0).reshape(2, 2)
-        g = np.concatenate([z.T @ (y - p) / len(z) - penalty * w, ((seen - expected) / max(1, len(linked)) - penalty * t).ravel()])
+        by_w, by_t = gradient(w, t, z, doc, y)
+        g = np.concatenate([by_w / len(z) - penalty * w, (by_t / n_linked - penalty * t).ravel()])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, t = w + move[:-4], t + move[-4:].reshape(2, 2)
@@ -181,7 +224,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out()).select("doc_id", "quality").distinct()
     chosen = bounded_sample(known, "quality", sample)
     # at most 2 x SAMPLE ids, so the broadcast is bounded
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def run(batches):
         for b in batches:
@@ -196,7 +239,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1).cast(pa.int32()), pa.array(fields[0], pa.binary()), pa.array(fields[1], pa.binary())], ["doc_id", "quality", "x", "size"])
 
     rows = map_arrow(texts, run, "doc_id bigint, quality int, x binary, size binary").toArrow().to_pylist()
-    rows = sorted((r for r in rows if r["size"]), key=lambda r: (r["doc_id"], r["quality"], r["x"]))[: 4 * sample]
+    rows = sorted((r for r in rows if r["size"]), key=lambda r: (r["doc_id"], r["quality"]))
     if len({r["quality"] for r in rows}) < 2:
         return Model(np.zeros(3 * WIDTH), np.zeros((2, 2)), 0.0, 0.0)
     x = np.concatenate([np.frombuffer(r["x"], "<f4").reshape(-1, WIDTH) for r in rows])
