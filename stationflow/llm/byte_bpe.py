@@ -4,10 +4,12 @@ The rank vocabulary becomes a sentencepiece BPE model in memory: every piece is
 character per byte, its score is its negative rank, and normalisation is the identity. The best
 score merges first and the leftmost of equals, which is the rank order. Texts are split by the
 public pattern; each distinct pre-token is encoded once per task's cache. A pre-token that is
-itself a vocabulary entry takes that id, as rank-based encoders do.
+itself a vocabulary entry takes that id, as rank-based encoders do. Decoding inverts the mapping:
+the model's pieces are turned from characters back into bytes, and ids gather these.
 
 Defined results: null reads as empty (no ids); very long texts are encoded whole; repeated rows
-give repeated results; extra columns are ignored.
+give repeated results; extra columns are kept by ``encode_texts`` (but for one named ``token_ids``,
+which it replaces) and ignored by ``token_digests``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -75,13 +77,17 @@ class Codec:
         import regex
         import sentencepiece
 
-        self.tokens, self.whole = tokens, {t: i for i, t in enumerate(tokens)}
+        self.whole = {t: i for i, t in enumerate(tokens)}
         self.split = regex.compile(pattern).findall
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.table = {b: c for b, c in enumerate(byte_characters())}
         self.known: dict[str, bytes] = {}
-        lengths = np.array([len(t) for t in tokens], np.int64)
-        self.lengths, self.starts, self.bytes = lengths, np.concatenate([[0], np.cumsum(lengths)[:-1]]), np.frombuffer(b"".join(tokens), np.uint8)
+        # the inverse mapping, from the model's own pieces: characters back to bytes
+        pieces = [self.model.id_to_piece(i) for i in range(len(tokens))]
+        inverse = {ord(c): b for b, c in self.table.items()}
+        lengths = np.array([len(x) for x in pieces], np.int64)
+        self.lengths, self.starts = lengths, np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        self.bytes = np.frombuffer("".join(pieces).translate(inverse).encode("latin-1"), np.uint8)
 
     def _learn(self, missing: list[str]) -> None:
         raw = [x.encode() for x in missing]
@@ -111,7 +117,7 @@ class Codec:
         return next(self.encode_many([text]))
 
     def decode(self, ids: np.ndarray) -> bytes:
-        """The tokens' bytes, gathered from one buffer of the whole vocabulary."""
+        """The pieces' bytes, gathered from one buffer of the whole model."""
         if not len(ids):
             return b""
         lengths = self.lengths[ids]
