@@ -1,12 +1,17 @@
 """Media columns: telephony audio.
 
-Payload bytes are stored as mu-law samples in a WAVE container (one byte a sample, so storing is
-lossless). Reading expands mu-law and A-law by 256-entry lookup tables built from the coding
-rule, decodes IMA ADPCM with numpy across all blocks at once (a step of the recurrence handles
-one sample of every block), and resamples the PCM.
+Payload bytes are stored as telephony audio in a WAVE container: as mu-law or A-law samples (one byte
+a sample) or as IMA ADPCM blocks (``UNIT`` bytes each), by the payload's own checksum, so equal
+payloads are stored alike and every coding carries its share. Storing is lossless in all three:
+the coded bytes are the payload. Reading expands mu-law and A-law by 256-entry lookup tables built
+from the coding rule, decodes the ADPCM blocks of a whole batch with numpy at once (a step of the
+recurrence handles one sample of every block), resamples, and stores the result as 16-bit PCM in
+another WAVE column, from which the features are read.
 
 Defined results: null reads as an empty payload; a payload is padded with byte 255 to a positive
-multiple of ``UNIT``; equal payloads give equal values; extra columns are ignored.
+multiple of ``UNIT``; equal payloads give equal values; very long texts are stored whole; extra
+columns are ignored by ``store_texts`` and ``features`` and kept by ``to_pcm`` (but for one named
+``pcm_wave``, which it replaces); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,10 +23,13 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import byte_lists, map_arrow
+from .common import byte_lists, map_arrow, row_slices
 
 UNIT, RATE, TARGET_RATE = 576, 8000, 16000
+#: Coded bytes that are decoded together.
+TOGETHER = 4 << 20
 PCM, A_LAW, MU_LAW, IMA_ADPCM = 1, 6, 7, 0x11
 
 # Fixed values of the IMA ADPCM coding: step sizes and index moves.
@@ -56,7 +64,7 @@ def decode_adpcm(data: np.ndarray, block: int) -> np.ndarray:
     blocks = data[: len(data) // block * block].reshape(-1, block)
     value = blocks[:, :2].copy().view("<i2")[:, 0].astype(np.int32)
     index = np.clip(blocks[:, 2].astype(np.int32), 0, 88)
-    nibbles = np.stack([blocks[:, 4:] & 15, blocks[:, 4:] >> 4], 2).reshape(len(blocks), -1).astype(np.int32)
+    nibbles = np.stack([blocks[:, 4:] & 15, blocks[:, 4:] >> 4], 2).reshape(len(blocks), 2 * (block - 4)).astype(np.int32)
     out = np.empty((len(blocks), nibbles.shape[1] + 1), "<i2")
     out[:, 0] = value
     for i in range(nibbles.shape[1]):
@@ -81,8 +89,10 @@ def resample(pcm: np.ndarray, source: int, target: int) -> np.ndarray:
 
 def wave(data: bytes, coding: int, rate: int = RATE, bits: int = 8, block: int = 1) -> bytes:
     """A mono WAVE file of the given coding."""
-    form = struct.pack("<HHIIHHH", coding, 1, rate, rate * block, block, bits, 0)
-    fact = struct.pack("<I", len(data) // max(1, block))
+    per_block = 2 * (block - 4) + 1 if coding == IMA_ADPCM else 1  # samples
+    extra = struct.pack("<HH", 2, per_block) if coding == IMA_ADPCM else struct.pack("<H", 0)
+    form = struct.pack("<HHIIHH", coding, 1, rate, rate * block // per_block, block, bits) + extra
+    fact = struct.pack("<I", len(data) // max(1, block) * per_block)
     pad = b"\0" * (len(data) & 1)
     body = b"WAVEfmt " + struct.pack("<I", len(form)) + form + b"fact\4\0\0\0" + fact + b"data" + struct.pack("<I", len(data)) + data + pad
     return b"RIFF" + struct.pack("<I", len(body)) + body
@@ -105,19 +115,36 @@ def read_wave(media: bytes) -> tuple[int, int, int, bytes]:
     return form[0], form[2], form[4], data
 
 
-def expand(media: bytes) -> tuple[np.ndarray, int]:
-    """16-bit PCM and its rate, by the file's coding."""
-    coding, rate, block, data = read_wave(media)
-    raw = np.frombuffer(data, np.uint8)
-    if coding == MU_LAW:
-        return MU_TABLE[raw], rate
-    if coding == A_LAW:
-        return A_TABLE[raw], rate
-    if coding == IMA_ADPCM:
-        return decode_adpcm(raw, block), rate
-    if coding == PCM and block == 2:
-        return np.frombuffer(data, "<i2"), rate
-    raise ValueError(f"coding {coding} is not supported")
+def expand(media: list[bytes | None]) -> list[tuple[np.ndarray, int] | None]:
+    """16-bit PCM and its rate of each WAVE file, by the file's coding; the ADPCM blocks of all files are decoded together."""
+    out: list[tuple[np.ndarray, int] | None] = []
+    later: dict[int, list[int]] = {}
+    raws: dict[int, np.ndarray] = {}
+    for i, x in enumerate(media):
+        if x is None:
+            out.append(None)
+            continue
+        coding, rate, block, data = read_wave(x)
+        raw = np.frombuffer(data, np.uint8)
+        if coding == MU_LAW:
+            pcm = MU_TABLE[raw]
+        elif coding == A_LAW:
+            pcm = A_TABLE[raw]
+        elif coding == IMA_ADPCM:
+            later.setdefault(block, []).append(i)
+            pcm, raws[i] = raw, raw[: len(raw) // block * block]
+        elif coding == PCM and block == 2:
+            pcm = np.frombuffer(data, "<i2")
+        else:
+            raise ValueError(f"coding {coding} is not supported")
+        out.append((pcm, rate))
+    for block, which in later.items():
+        for low, high in row_slices(np.concatenate([[0], np.cumsum([len(raws[i]) for i in which])]), TOGETHER):
+            pcm = decode_adpcm(np.concatenate([raws[i] for i in which[low:high]]), block)
+            sizes = np.array([len(raws[i]) // block for i in which[low:high]]) * (2 * (block - 4) + 1)
+            for i, own in zip(which[low:high], np.split(pcm, np.cumsum(sizes)[:-1]), strict=True):
+                out[i] = own, out[i][1]
+    return out
 
 
 def to_pcm(df: DataFrame, media: str = "media", rate: int = TARGET_RATE) -> DataFrame:
@@ -127,49 +154,59 @@ def to_pcm(df: DataFrame, media: str = "media", rate: int = TARGET_RATE) -> Data
 
     def run(batches):
         for b in batches:
-            out = []
-            for x in b.column(at).to_pylist():
-                if x is not None:
-                    pcm, own = expand(x)
-                    x = wave(resample(pcm, own, rate).tobytes(), PCM, rate, 16, 2)
-                out.append(x)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*columns, "pcm_wave"])
+            # a few rows at a time: the PCM is several times as long as what it comes from
+            sizes = np.concatenate([[0], np.cumsum([len(x) if x is not None else 0 for x in b.column(at).to_pylist()])])
+            for low, high in row_slices(sizes, TOGETHER):
+                part = b.slice(low, high - low)
+                found = expand(part.column(at).to_pylist())
+                out = [None if x is None else wave(resample(*x, rate).tobytes(), PCM, rate, 16, 2) for x in found]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*columns, "pcm_wave"])
 
-    return map_arrow(df.select(columns), run, df.select(columns).schema.add("pcm_wave", "binary"))
+    return map_arrow(df.select(*[F.col(f"`{c}`") for c in columns]), run, df.select(*[F.col(f"`{c}`") for c in columns]).schema.add("pcm_wave", "binary"))
 
 
 def padded(text: bytes) -> bytes:
     return text + b"\xff" * (max(UNIT, -(-len(text) // UNIT) * UNIT) - len(text))
 
 
+def stored_as(payload: bytes) -> bytes:
+    """The payload as a WAVE file, in the coding that its checksum names."""
+    coding = (MU_LAW, A_LAW, IMA_ADPCM)[zlib.crc32(payload) % 3]
+    return wave(payload, coding, RATE, 4, UNIT) if coding == IMA_ADPCM else wave(payload, coding)
+
+
 def store_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and ``media``: each text's payload as a mu-law WAVE file."""
+    """doc_id, n_bytes and ``media``: each text's payload as a WAVE file."""
 
     def run(batches):
         for b in batches:
             raw = byte_lists(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([len(x) for x in raw], pa.int64()), pa.array([wave(padded(x), MU_LAW) for x in raw], pa.binary())], ["doc_id", "n_bytes", "media"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([len(x) for x in raw], pa.int64()), pa.array([stored_as(padded(x)) for x in raw], pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return map_arrow(docs.select("doc_id", "text"), run, "doc_id bigint, n_bytes bigint, media binary")
 
 
+def described(media: bytes, pcm_wave: bytes) -> str:
+    """The feature text, from the stored PCM and the media's coding."""
+    coding = read_wave(media)[0]
+    _, rate, _, data = read_wave(pcm_wave)
+    wide = np.frombuffer(data, "<i2").astype(np.int64)
+    rms = int(np.sqrt(np.dot(wide, wide) / len(wide)))
+    crossings = int(np.count_nonzero((wide[1:] < 0) != (wide[:-1] < 0)))
+    return f"coding={coding};rate={rate};samples={len(wide)};rms={rms};peak={int(np.abs(wide).max())};crossings={crossings};pcm_crc32={zlib.crc32(data):08x}"
+
+
 def features(stored: DataFrame) -> DataFrame:
-    """The contract's row per document, from the stored bytes alone."""
+    """The contract's row per document and the PCM's size, from the stored bytes alone (``media`` and ``pcm_wave``)."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_bytes"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
     def run(batches):
         for b in batches:
             rows = []
-            for doc_id, n, media in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for doc_id, n, media, pcm in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 payload = read_wave(media)[3]
-                pcm, rate = expand(media)
-                out = resample(pcm, rate, TARGET_RATE)
-                wide = pcm.astype(np.int64)
-                rms = int(np.sqrt(np.dot(wide, wide) / len(wide)))
-                crossings = int(np.count_nonzero((wide[1:] < 0) != (wide[:-1] < 0)))
-                said = f"samples={len(pcm)};rms={rms};peak={int(np.abs(wide).max())};crossings={crossings};pcm{TARGET_RATE}_crc32={zlib.crc32(out.tobytes()):08x}"
-                rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), said, 2 * len(out)))
+                rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), described(media, pcm), len(read_wave(pcm)[3])))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
-    return map_arrow(stored.select("doc_id", "n_bytes", "media"), run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, pcm_bytes bigint")
+    return map_arrow(stored.select("doc_id", "n_bytes", "media", "pcm_wave"), run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, pcm_bytes bigint")

@@ -46,7 +46,7 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_audio.features(media_audio.store_texts(table(spark, sf_dir, "documents")))
+    return media_audio.features(media_audio.to_pcm(media_audio.store_texts(table(spark, sf_dir, "documents"))))
 
 
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,4 @@ SELECT conv_id, count(*) AS n_turns,
   sum(CASE WHEN role = 'assistant' OR pos = n THEN upto ELSE 0 END)::BIGINT AS formatted_chars,
   count(*) FILTER (role = 'assistant' OR pos = n) AS n_examples
 FROM summed GROUP BY conv_id""",
-    "op8_media_audio": None,
 }
-ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v}
