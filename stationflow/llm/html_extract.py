@@ -1,10 +1,15 @@
 """HTML extraction by two-pass block rules.
 
-A page is cut into blocks at block-level tags. Pass one decides blocks from where they stand
-(menus, headers, footers, sidebars, notices, adverts, forms and reader comments are boilerplate;
-the rest of an article or main element is content) and, elsewhere, from length, link density and
-stop-word density. Short and undecided blocks stay ambiguous; pass two gives them the label of
-the nearest decided neighbours. The page's edges decide nothing.
+A page is cut into blocks at block-level tags; menus, headers, footers, sidebars, notices, adverts,
+forms and reader comments are excluded by their elements' tags and names before any rule. Pass one
+decides the other blocks from length, link density and stop-word density: long prose with many stop
+words and few links is content, link-dense text is not; short blocks, and those between the
+thresholds, stay ambiguous. Pass two gives them the label of the nearest decided neighbours.
+
+An article or main element is a prior, not a verdict: inside it, only prose is decided at once and
+only neighbours inside count, so a sidebar's label does not spread to it; what finds no decided
+neighbour there is content. Lines of links that follow each other are a menu there too. The page's
+edges decide nothing.
 
 Unclosed scripts and styles run to the end of the page. Other skipped elements (buttons, drawings,
 frames) that are unclosed or self-closed are empty, and the text after them is read.
@@ -14,6 +19,7 @@ as far as it goes; very long pages are read whole; repeated rows give repeated r
 columns are ignored; between unlike neighbours a block that was nearly content by itself and a
 heading before content are content, and any other ambiguous block is if the nearer one is (or both
 are as near); on a page without content blocks the undecided ones that are not short are content.
+``decisions`` tells how each block was decided.
 """
 
 from __future__ import annotations
@@ -43,8 +49,10 @@ MAIN_TAGS = frozenset("article main".split())
 CONTAINERS = frozenset("html head body div section nav article main aside header footer form ul ol dl table tbody thead tfoot tr td th figure fieldset menu dialog details blockquote".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre hr address figcaption caption option summary legend title center".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Thresholds of pass one: characters, link density, stop-word density.
-SHORT, LONG, LINKS, STOPS_LOW, STOPS_HIGH = 70, 200, 0.2, 0.15, 0.3
+# Names of article elements that are a reader's comment or an advert.
+_OTHER_ARTICLE = re.compile(r"comments?(?:[-_](?:body|item|entry|content|text|wrap|inner|\d+))*|commentlist|repl(?:y|ies)|respon(?:d|se)|disqus\w*|ads?|advert\w*|sponsor(?:ed)?|promo")
+#: Thresholds of pass one: characters, link density (and that of a line of a menu), stop-word density.
+SHORT, LONG, LINKS, MENU, STOPS_LOW, STOPS_HIGH = 70, 200, 0.2, 0.9, 0.15, 0.3
 
 _ATTRIBUTES = r"(?:[^'\">]|\"[^\"]*\"|'[^']*')*"
 _UNREAD = rf"<!--.*?(?:-->|\Z)|<(?:script|style)(?:/|\s{_ATTRIBUTES}(?<=[\s\"'])/)>|<(script|style)\b[^>]*>(?:.*?</\1\s*>|.*\Z)"
@@ -54,21 +62,23 @@ _CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 #: Skipped elements that can hold one of their own name, and those whose content is no markup.
 _NESTED = frozenset("svg object template".split())
 _RAW = {x: re.compile(rf"<(/?){x}(?![^\s/>])[^>]*>", re.I) for x in ("iframe", "textarea")}
-_NAMES = re.compile(r"\b(class|id|role|style|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_NAMES = re.compile(r"\b(class|id|role|itemprop|style|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _PARTS = re.compile(r"[a-z]+")
 
 
 def _is_boiler(tag: str, attributes: str, in_main: bool) -> bool:
     if tag in BOILER_TAGS or tag == "header" and not in_main:
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body", "main"):
         return False
+    if tag == "article":
+        return any(_OTHER_ARTICLE.fullmatch(x) for name, a, b, c in _NAMES.findall(attributes) if name.lower() != "style" for x in (a or b or c).lower().split())
     for name, a, b, c in _NAMES.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or name == "style" and "display:none" in value.replace(" ", ""):
             return True
         words = _PARTS.findall(value)
-        if name in ("class", "id", "role") and any(x in BOILER_WORDS and not (in_main and x == "header") for x in words):
+        if name in ("class", "id", "role", "itemprop") and any(x in BOILER_WORDS and not (in_main and x == "header") for x in words):
             return True
     return False
 
@@ -160,30 +170,29 @@ def stop_density(text: str) -> float:
 
 
 def first_pass(found: list[tuple[str, str, float, bool]]) -> list[str]:
-    """good, bad, near, far, heading or short for each block."""
+    """boiler, good, bad, near, far, menu, heading or short for each block."""
     labels = []
     for text, zone, links, heading in found:
         if zone == "boiler":
-            labels.append("bad")
-        elif zone == "main":
-            labels.append("good")
-        elif links > LINKS or "©" in text:
+            labels.append("boiler")
+        elif zone == "main" and links > LINKS:
+            labels.append("menu" if links > MENU and len(text) < SHORT else "near")
+        elif zone == "open" and (links > LINKS or "©" in text):
             labels.append("bad")
         elif len(text) < SHORT:
-            labels.append("bad" if links > 0 else "heading" if heading else "short")
+            labels.append("bad" if zone == "open" and links > 0 else "heading" if heading else "short")
         else:
             stops = stop_density(text)
             labels.append("good" if stops >= STOPS_HIGH and len(text) > LONG else "near" if stops >= STOPS_LOW else "far")
-    return labels
+    # lines of links that follow each other
+    menus = [x == "menu" and "menu" in labels[max(0, i - 1) : i] + labels[i + 1 : i + 2] for i, x in enumerate(labels)]
+    return ["bad" if m else "near" if x == "menu" else x for x, m in zip(labels, menus, strict=True)]
 
 
-def second_pass(labels: list[str]) -> list[bool]:
-    """Ambiguous blocks inherit from the nearest decided neighbours; the page's edges decide nothing."""
-    if "good" not in labels:
-        labels = ["good" if x in ("near", "far") else x for x in labels]
+def _nearest(labels: list[str]) -> list[tuple[int, str, int, str]]:
+    """(distance, label) of the last decided block before and the first one after each block."""
 
     def decided(order: range) -> list[tuple[int, str]]:
-        """(distance, label) of the last decided block of the order."""
         found, last = [(len(labels), "")] * len(labels), None
         for i in order:
             if last is not None:
@@ -192,16 +201,37 @@ def second_pass(labels: list[str]) -> list[bool]:
                 last = i
         return found
 
-    keep = []
-    for x, (m, b), (n, a) in zip(labels, decided(range(len(labels))), decided(range(len(labels) - 1, -1, -1)), strict=True):
+    return [(*x, *y) for x, y in zip(decided(range(len(labels))), decided(range(len(labels) - 1, -1, -1)), strict=True)]
+
+
+def second_pass(labels: list[str], zones: list[str]) -> list[tuple[bool, str]]:
+    """(kept, how it was decided: zone, rule, inherited or prior) of each block; ambiguous ones inherit from the nearest decided neighbours."""
+    how = ["zone" if x == "boiler" else "rule" if x in ("good", "bad") else "" for x in labels]
+    labels = ["bad" if x == "boiler" else x for x in labels]
+    inside = [i for i, z in enumerate(zones) if z == "main"]
+    prose = any(labels[i] == "good" for i in inside)
+    for i in inside:
+        if labels[i] not in ("good", "bad"):
+            # an article's menus say nothing of its other lines, so all that is decided there besides is prose
+            how[i], labels[i] = "inherited" if prose else "prior", "good"
+    if "good" not in labels:
+        labels = ["good" if x in ("near", "far") else x for x in labels]
+        how = ["prior" if not h and x == "good" else h for h, x in zip(how, labels, strict=True)]
+    out = []
+    for x, h, (m, b, n, a) in zip(labels, how, _nearest(labels), strict=True):
         nearest = b == "good" and m <= n or a == "good" and n <= m or not a and not b
-        keep.append(x == "good" or x != "bad" and (nearest or x == "near" and "good" in (a, b) or x == "heading" and a == "good"))
-    return keep
+        out.append((x == "good" or x != "bad" and (nearest or x == "near" and "good" in (a, b) or x == "heading" and a == "good"), h or "inherited"))
+    return out
 
 
-def main_text(page: str) -> str:
+def decisions(page: str) -> list[tuple[str, bool, str]]:
+    """(text, kept, how) of every block of a page."""
     found = blocks(page)
-    return "\n".join(x[0] for x, keep in zip(found, second_pass(first_pass(found)), strict=True) if keep)
+    return [(x[0], *d) for x, d in zip(found, second_pass(first_pass(found), [x[1] for x in found]), strict=True)]
+
+
+def main_text(page: str) -> str:
+    return "\n".join(text for text, kept, _ in decisions(page) if kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:
