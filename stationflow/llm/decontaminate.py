@@ -13,8 +13,11 @@ from above; windows whose bound is under ``LEAST``, or cannot beat the best one
 within the radius agree in at least one block, and items are looked up by length, block number and
 block value) only say which windows are verified first, so that the others end by their bound.
 
-Items are taken in blocks of about ``BLOCK``, each broadcast on its own and read by tasks of its
-own, so what a task holds is bounded however large the benchmark is; documents are never shuffled.
+Items are taken in blocks of about ``BLOCK`` items and ``BLOCK_BYTES`` of text at most. Only one block
+is at the driver and broadcast at a time: its matches are written to the shared folder and it is
+released before the next one is read, so what the driver and a task hold is bounded however large
+the benchmark is. Documents are read once for each block; with one block, the usual case, nothing is
+written or shuffled, and with several ``drop_leaks`` joins the documents with the leaks once.
 
 Defined results: null or empty texts and items match nothing; an item with fewer than
 ``SHINGLE`` words is one shingle of all its words; a document shorter than an item has one window,
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, row_slices, stored, text_buffers
 from .words import NON_WORD, document_words, fold, shingle_hashes
 
-SHINGLE, LEAST, RADIUS, BLOCK = 5, 0.8, 15, 20_000
+SHINGLE, LEAST, RADIUS, BLOCK, BLOCK_BYTES = 5, 0.8, 15, 20_000, 8 << 20
 _BITS = np.arange(64, dtype=np.uint64)
 
 
@@ -174,13 +177,18 @@ class Index:
         return found
 
 
-def indexes(benchmark: DataFrame, block: int = BLOCK) -> Iterator[Index]:
-    """One index for each block of items; a block has about ``block`` items."""
+def indexes(benchmark: DataFrame, block: int = BLOCK) -> tuple[int, Iterator[Index]]:
+    """The number of blocks of items, and one index for each; a block has about ``block`` items and ``BLOCK_BYTES``."""
     items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    n_blocks = -(-items.count() // block)
-    for k in range(n_blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).toArrow().to_pylist()
-        yield Index(sorted(((r["item_id"], r["text"].encode()) for r in rows), key=repr))
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    n_blocks = max(-(-size["n"] // block), -(-size["bytes"] // BLOCK_BYTES))
+
+    def each():
+        for k in range(n_blocks):
+            rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).toArrow().to_pylist()
+            yield Index(sorted(((r["item_id"], r["text"].encode()) for r in rows), key=repr))
+
+    return n_blocks, each()
 
 
 def _found(index: Index, column: pa.Array) -> list[tuple[int, int, int, int, float]]:
@@ -188,37 +196,53 @@ def _found(index: Index, column: pa.Array) -> list[tuple[int, int, int, int, flo
     return [(d + i, *m) for i, j in row_slices(offsets) for d, *m in index.scan(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, item_id, first_word, n_words and similarity of each leaked item's best window."""
-    spark, schema = docs.sparkSession, "doc_id bigint, item_id bigint, first_word bigint, n_words bigint, similarity double"
-
-    def found(index: Index) -> DataFrame:
+def _by_block(docs: DataFrame, benchmark: DataFrame, block: int, schema: str, rows_of) -> DataFrame:
+    """What ``rows_of(index, batch)`` gives over all blocks of items."""
+    spark, parts = docs.sparkSession, []
+    n_blocks, each = indexes(benchmark, block)
+    for index in each:
         sent = spark.sparkContext.broadcast(index)
 
-        def run(batches):
+        def run(batches, sent=sent):
             for b in batches:
-                rows = sorted((d, sent.value.ids[i], s, n, x) for d, i, s, n, x in _found(sent.value, b.column(1)))
-                ids = b.column(0).cast(pa.int64()).to_pylist()
-                columns = [[ids[r[0]] for r in rows], *([r[k] for r in rows] for k in range(1, 5))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 4 else pa.int64()) for k, c in enumerate(columns)], ["doc_id", "item_id", "first_word", "n_words", "similarity"])
-
-        return map_arrow(docs.select("doc_id", "text"), run, schema)
+                yield rows_of(sent.value, b)
 
-    parts = [found(index) for index in indexes(benchmark, block)]
+        part = map_arrow(docs, run, schema)
+        if n_blocks > 1:
+            part = stored(part)
+            sent.destroy()
+        parts.append(part)
     return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
 
 
+def find_leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
+    """doc_id, item_id, first_word, n_words and similarity of each leaked item's best window."""
+
+    def rows_of(index: Index, b: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [(d, index.ids[i], s, n, x) for d, i, s, n, x in _found(index, b.column(1))]
+        ids = b.column(0).cast(pa.int64()).to_pylist()
+        columns = [[ids[r[0]] for r in rows], *([r[k] for r in rows] for k in range(1, 5))]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 4 else pa.int64()) for k, c in enumerate(columns)], ["doc_id", "item_id", "first_word", "n_words", "similarity"])
+
+    return _by_block(docs.select("doc_id", "text"), benchmark, block, "doc_id bigint, item_id bigint, first_word bigint, n_words bigint, similarity double", rows_of)
+
+
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The documents without a leaked item, with all their columns; they are stored between two blocks of items."""
-    at, left = docs.columns.index("text"), None
-    for index in indexes(benchmark, block):
+    """The documents without a leaked item, with all their columns."""
+    n_blocks, each = indexes(benchmark, block)
+    if n_blocks > 1:
+        # the leaks of all blocks by id and text: a row is dropped for its own text only
+        leaks = _by_block(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text"), benchmark, block, "leak_id bigint, leak_row bigint", lambda index, b: pa.RecordBatch.from_arrays(list(b.take(pa.array(sorted({r[0] for r in _found(index, b.column(2))}), pa.int64())).columns[:2]), ["leak_id", "leak_row"])).distinct()
+        return docs.join(leaks, docs["doc_id"].cast("long").eqNullSafe(leaks["leak_id"]) & (F.xxhash64(docs["text"]) == leaks["leak_row"]), "left_anti")
+    at, schema = docs.columns.index("text"), docs.schema
+    for index in each:
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
-        def run(batches, sent=sent):
+        def run(batches):
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
                 keep[[r[0] for r in _found(sent.value, b.column(at))]] = False
                 yield b.filter(pa.array(keep))
 
-        left = map_arrow(docs if left is None else stored(left), run, docs.schema)
-    return docs if left is None else left
+        return map_arrow(docs, run, schema)
+    return docs
