@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -43,13 +45,24 @@ def bounded_sample(df: DataFrame, group: str, n: int) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where no checkpoint folder is set (tests)."""
+    """The folder that all executors share (``spark.checkpoint.dir``); a local one only where that is unset and Spark is local."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/stationflow-checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.match(r"local(\[|$)", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that ``shared_dir`` holds."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

@@ -10,12 +10,14 @@ Texts are lower-cased and every ASCII character that is not a letter reads as a
 capitals and symbols carry no language. Distinct (context, byte) pairs of a slice of texts are
 priced once and summed back per text.
 
-The counts are learnt from at most ``SAMPLE`` labelled documents per language (the smallest
-hashes of doc_id), so the model has a bounded size and is sent to the tasks whole.
+The counts are learnt from at most ``SAMPLE`` labelled documents per language and ``SAMPLE`` x
+``LANGUAGES`` in all (the smallest hashes of doc_id; of rows that share an id and a language the
+smallest text), so the model has a bounded size and is sent to the tasks whole.
 
 Defined results: null text or no letter gives ``und`` with score 0; without any labelled
 document every text is ``und``; ties go to the alphabetically first language; repeated rows give
-repeated results; extra columns are ignored.
+repeated results; extra columns are ignored; very long texts are read whole; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -114,7 +116,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Counts from at most ``sample`` labelled documents per language that are not held out."""
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out()).select("doc_id", "lang")
     chosen = bounded_sample(labelled, "lang", sample).orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(sample * LANGUAGES)
-    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
 
     def count(batches):
         for b in batches:
