@@ -10,13 +10,17 @@ from ..functions.scalars import finite, non_negative
 
 POLLUTANTS = ("pm25", "no2", "pm10")
 # Columns of the sequence models, in order.
-_STEPS = {"lag": ("12h", "168h", "1h", "24h", "2h", "3h", "6h"), "rolling_mean": ("12h", "24h", "3h", "6h"), "rolling_std": ("12h", "24h", "3h", "6h")}
-SEQUENCE_FEATURES = [
-    *("latitude longitude altitude StationType_background StationType_industrial StationType_traffic StationArea_rural StationArea_rural-nearcity StationArea_suburban StationArea_urban".split()),
-    *("temperature_2m relative_humidity_2m dew_point_2m wind_u wind_v precipitation surface_pressure pm25 no2 pm10".split()),
-    *("hour day_of_week day_of_month month year is_weekend season hour_sin hour_cos month_sin month_cos".split()),
-    *(f"{p}_{kind}_{step}" for kind, steps in _STEPS.items() for p in ("no2", "pm10", "pm25") for step in steps),
-]
+SEQUENCE_FEATURES = """
+    latitude longitude altitude StationType_background StationType_industrial StationType_traffic StationArea_rural StationArea_rural-nearcity
+    StationArea_suburban StationArea_urban temperature_2m relative_humidity_2m dew_point_2m wind_u wind_v precipitation surface_pressure pm25 no2 pm10
+    hour day_of_week day_of_month month year is_weekend season hour_sin hour_cos month_sin month_cos no2_lag_12h no2_lag_168h no2_lag_1h no2_lag_24h
+    no2_lag_2h no2_lag_3h no2_lag_6h pm10_lag_12h pm10_lag_168h pm10_lag_1h pm10_lag_24h pm10_lag_2h pm10_lag_3h pm10_lag_6h pm25_lag_12h
+    pm25_lag_168h pm25_lag_1h pm25_lag_24h pm25_lag_2h pm25_lag_3h pm25_lag_6h no2_rolling_mean_12h no2_rolling_mean_24h no2_rolling_mean_3h
+    no2_rolling_mean_6h pm10_rolling_mean_12h pm10_rolling_mean_24h pm10_rolling_mean_3h pm10_rolling_mean_6h pm25_rolling_mean_12h
+    pm25_rolling_mean_24h pm25_rolling_mean_3h pm25_rolling_mean_6h no2_rolling_std_12h no2_rolling_std_24h no2_rolling_std_3h no2_rolling_std_6h
+    pm10_rolling_std_12h pm10_rolling_std_24h pm10_rolling_std_3h pm10_rolling_std_6h pm25_rolling_std_12h pm25_rolling_std_24h pm25_rolling_std_3h
+    pm25_rolling_std_6h
+""".split()
 
 
 def drop_sentinels(df: DataFrame, columns=POLLUTANTS) -> DataFrame:
