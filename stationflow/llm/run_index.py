@@ -396,6 +396,10 @@ def _tag():
     return F.expr(f"xxhash64(text) & {(1 << 23) - 1}L").alias("tag")
 
 
+def _tag_of(span: str):
+    return F.shiftright(span, 40).alias("tag")
+
+
 def _document(doc_id: str = "doc_id"):
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc")
 
@@ -569,7 +573,7 @@ def _second_round(packed: DataFrame, unsure: DataFrame, length: int) -> DataFram
     any_hot = not hot.isEmpty()
     if any_hot:
         unsure = unsure.join(F.broadcast(hot), "anchor", "left")
-    wanted = unsure.groupBy("doc").agg(F.collect_list(F.struct("anchor", "span", "hot") if any_hot else F.struct("anchor", "span")).alias("spans"))
+    wanted = unsure.groupBy("doc", _tag_of("span")).agg(F.collect_list(F.struct("anchor", "span", "hot") if any_hot else F.struct("anchor", "span")).alias("spans"))
 
     names, kinds = ["anchor", "doc", "span", "phrase", *(["hot"] if any_hot else [])], {"phrase": pa.binary(), "hot": pa.bool_()}
 
@@ -617,7 +621,7 @@ def _second_round(packed: DataFrame, unsure: DataFrame, length: int) -> DataFram
         if docs:
             yield emit()
 
-    fetched = map_arrow(packed.join(wanted, "doc").select("doc", "tag", "packed", "spans"), fetch, "anchor bigint, doc bigint, span bigint, phrase binary" + ", hot boolean" * any_hot)
+    fetched = map_arrow(packed.join(wanted, ["doc", "tag"]).select("doc", "tag", "packed", "spans"), fetch, "anchor bigint, doc bigint, span bigint, phrase binary" + ", hot boolean" * any_hot)
     if any_hot:
         phrases_of = stored(fetched)
         fetched, windows = phrases_of.where("NOT hot").drop("hot"), _window_marks(phrases_of.where("hot"), length)
@@ -626,7 +630,7 @@ def _second_round(packed: DataFrame, unsure: DataFrame, length: int) -> DataFram
 
 
 def find_marks(docs: DataFrame, length: int) -> DataFrame:
-    """(doc, marks: array of (span, mask)) of every document that loses bytes."""
+    """(doc, tag, marks: array of (span, mask)) of every text that loses bytes; texts that share an id have marks of their own."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # about 18 packed bytes a phrase, two phrases in a stretch of as many windows as a phrase can have
     buckets = max(32, -(-int(total) * 36 // ((length - length // 3 + 2) * BUCKET)))
@@ -634,7 +638,7 @@ def find_marks(docs: DataFrame, length: int) -> DataFrame:
     unsure = first.where("mask = 0")
     second = _second_round(_packed_texts(docs, []), unsure, length)
     gone = first.where("mask != 0").select("doc", "span", "mask").union(second)
-    return gone.groupBy("doc").agg(F.collect_list(F.struct("span", "mask")).alias("marks"))
+    return gone.groupBy("doc", _tag_of("span")).agg(F.collect_set(F.struct("span", "mask")).alias("marks"))
 
 
 def covered(size: int, tag: int, spans: np.ndarray, masks: np.ndarray, length: int) -> np.ndarray:
@@ -654,7 +658,7 @@ def covered(size: int, tag: int, spans: np.ndarray, masks: np.ndarray, length: i
 
 
 def _with_marks(docs: DataFrame, columns: list[str], length: int) -> DataFrame:
-    return _packed_texts(docs, columns).join(find_marks(docs, length), "doc", "left")
+    return _packed_texts(docs, columns).join(find_marks(docs, length), ["doc", "tag"], "left")
 
 
 def dedup_digests(docs: DataFrame, length: int) -> DataFrame:
