@@ -106,10 +106,13 @@ def as_float(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def pivot_pollutants(long: DataFrame, keys: list[str], names=POLLUTANTS) -> DataFrame:
-    """One row per key with a mean column per pollutant; keys with NULL and rows without any value go."""
+    """One row per key with a mean column per pollutant; keys with NULL and rows without any value go.
+
+    A pivot by conditional means: one exchange, where ``pivot`` would first aggregate by key and pollutant.
+    """
     for k in keys:
         long = long.where(F.col(k).isNotNull())
-    return long.groupBy(*keys).pivot("pollutant", list(names)).agg(F.avg("value")).dropna(how="all", subset=list(names))
+    return long.groupBy(*keys).agg(*[F.avg(F.when(F.col("pollutant") == p, F.col("value"))).alias(p) for p in names]).dropna(how="all", subset=list(names))
 
 
 def missing_report(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -37,6 +37,22 @@ def match_by_code(points: DataFrame, found: DataFrame, code: str) -> DataFrame:
     return points.join(found.withColumnRenamed("code", code), code, "left")
 
 
+def attach_coordinates(df: DataFrame, sites: DataFrame, keys: list[str], digits: int = 4) -> DataFrame:
+    """The sites' coordinates, rounded, on every row; rows of unknown sites have none."""
+    places = sites.select(*keys, *[F.round(c, digits).alias(c) for c in ("latitude", "longitude")])
+    return attach_metadata(df, places, keys)
+
+
+def join_anchors(samples: DataFrame, anchors: DataFrame, horizon: int, keys=("country", "site_number", "ts")) -> DataFrame:
+    """The samples that can anchor a sequence for the horizon; none if there is no anchor."""
+    return semi(samples, anchors.where(F.col("horizon") == horizon), list(keys))
+
+
+def look_up_samples(predictions: DataFrame, table: DataFrame, columns: list[str], keys=("country", "site_number", "ts")) -> DataFrame:
+    """Predictions with columns of the row that they were made at; predictions without such a row go."""
+    return predictions.join(table.select(*keys, *columns), list(keys))
+
+
 def attach_weather(df: DataFrame, weather: DataFrame) -> DataFrame:
     """Left join on coordinates to four decimals, as integers, and the hour."""
     place = lambda c: F.round(F.col(c) * 10_000).cast("long")

@@ -21,9 +21,13 @@ def temporal(df: DataFrame, ts: str = "ts") -> DataFrame:
 
 
 def feature_table(wide: DataFrame, weather: DataFrame, lags=tuple(LAGS), windows=tuple(WINDOWS), keys=STATION, ts: str = "ts") -> DataFrame:
-    """Every window runs in one exchange by station."""
-    x = fill_gaps(require_target(drop_sentinels(wide)), ["no2", "pm10"], keys, ts)
-    x = fill_gaps(x.join(weather, [*keys, ts], "left"), ["wind_speed", "wind_direction"], keys, ts)
+    """Every window runs in one exchange by station.
+
+    The weather is joined before the first window: both sides come out of an aggregation by the
+    join's keys, so the join needs no exchange of its own.
+    """
+    x = require_target(drop_sentinels(wide)).join(weather, [*keys, ts], "left")
+    x = fill_gaps(x, ["no2", "pm10", "wind_speed", "wind_direction"], keys, ts)
     u, v = wind_components(F.col("wind_speed"), F.col("wind_direction"))
     x = temporal(x.withColumns({"wind_u": u, "wind_v": v}), ts)
     pollutants = ["pm25", "no2", "pm10"]

@@ -108,6 +108,64 @@ def s4_half_year_periods(spark, d):
     return counts.join(periods.select("label", "start"), "label").select("label", "start", "n")
 
 
+@query("""WITH o AS (SELECT *, year(o_orderdate) || CASE WHEN quarter(o_orderdate) <= 2 THEN 'H1' ELSE 'H2' END AS period FROM orders), least AS (SELECT period FROM o GROUP BY 1 HAVING count(*) >= 5)
+SELECT period, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM o SEMI JOIN least USING (period) GROUP BY 1""")
+def s3_land_periods(spark, d):
+    """Orders landed by half-year, small ones left out; landing them again adds nothing."""
+    x = fixtures.table(spark, d, "orders").withColumn("period", readers.half_year_of("o_orderdate"))
+    folder = sinks.scratch(spark)
+    for part in (x.where("period LIKE '%H1'"), x):
+        sinks.land_periods(part, folder, "period", 5)
+    return spark.read.parquet(folder).groupBy(F.col("period").cast("string").alias("period")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query(f"WITH {METRICS_SQL} SELECT CASE m.model WHEN 'mean3' THEN 'Mean of three' ELSE 'Persistence' END AS label, m.scope, m.grp, m.horizon::BIGINT AS horizon, round(m.rmse, 6) AS rmse, round(m.rmse - b.rmse, 6) AS rmse_skill FROM metrics m JOIN metrics b ON b.model = 'persistence' AND m.scope = b.scope AND m.grp = b.grp AND m.horizon = b.horizon")
+def s8_model_metrics(spark, d):
+    """Metrics with skill of both models, landed as CSV and loaded by protocol; a third model has no file."""
+    folder, m = sinks.scratch(spark), metrics(spark, d)
+    for k in ("persistence", "mean3"):
+        own = joins.skill_against(m.where(F.col("model") == k), m.where("model = 'persistence'"))
+        sinks.write_csv(own.select(F.col("scope").alias("Scope"), F.col("grp").alias("Group"), "horizon", F.col("mae").alias("MAE"), F.col("rmse").alias("RMSE"), F.col("mae_skill").alias("MAE_skill"), F.col("rmse_skill").alias("RMSE_skill"), F.lit("x").alias("baseline")), f"{folder}/{k}_a.csv")
+    known = {"persistence": {"label": "Persistence", "A": "persistence_a"}, "mean3": {"label": "Mean of three", "A": "mean3_a"}, "none": {"label": "None", "A": "none_a"}, "other": {"label": "Other", "B": "other_b"}}
+    return readers.read_model_metrics(spark, folder, known, "A", skill=True).select("label", F.col("Scope").alias("scope"), F.col("Group").alias("grp"), "horizon", F.col("RMSE").alias("rmse"), F.col("RMSE_skill").alias("rmse_skill"))
+
+
+@query(f"WITH {wide_sql()} SELECT {KEYS}, {r6('pm25', 'no2', 'pm10')} FROM wide")
+def s9_parquet_sink(spark, d):
+    sinks.land(fixtures.wide(spark, d), folder := sinks.scratch(spark), "country")
+    return spark.read.parquet(folder).withColumn("country", F.col("country").cast("string"))
+
+
+@query(f"WITH {wide_sql()} SELECT {KEYS}, round(pm25, 6) AS pm25 FROM wide")
+def s10_csv_sink(spark, d):
+    w = fixtures.wide(spark, d).select(*K, F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "pm25")
+    sinks.write_csv(w, folder := sinks.scratch(spark), [*K, "ts"])
+    return readers.read_csv(spark, folder, "country string, site_number string, ts string, pm25 double", ("ts",))
+
+
+@query(f"WITH {wide_sql()} SELECT DISTINCT country || '_' || site_number AS value FROM wide WHERE pm25 IS NOT NULL")
+def s11_sorted_list(spark, d):
+    sinks.write_lines(_present(spark, d).select(codes.station_key().alias("value")), folder := sinks.scratch(spark))
+    return spark.read.text(folder)
+
+
+@query(f"""WITH {wide_sql()}, x AS (SELECT country || '_' || site_number AS station_key, unnest(['pm25', 'no2']) AS feature, unnest([pm25, no2]) AS v FROM wide WHERE ts <= TIMESTAMP '{TRAIN_END}')
+SELECT station_key, feature, round(avg(v), 6) AS mean, round(CASE WHEN stddev_pop(v) < 1e-6 THEN 1 ELSE stddev_pop(v) END, 6) AS std FROM x GROUP BY 1, 2 HAVING count(v) > 0""")
+def s15_scaler_store(spark, d):
+    """Scalers through their JSON form."""
+    w = clean.between(fixtures.wide(spark, d), "ts", None, TRAIN_END).withColumn("station_key", codes.station_key())
+    stored = sinks.scalers_json(scaling.station_scalers(w, ["pm25", "no2"], ["station_key"]), "station_key")
+    sinks.land(stored, folder := sinks.scratch(spark))
+    return sinks.scalers_of_json(spark.read.parquet(folder), "station_key").where("mean IS NOT NULL")
+
+
+@query(f"WITH {wide_sql()} SELECT unnest(['pm25', 'no2']) AS column_name, unnest([count(*) - count(pm25), count(*) - count(no2)]) AS missing, count(DISTINCT country || site_number) AS n_sites FROM wide")
+def s18_summary_file(spark, d):
+    sinks.write_summary(fixtures.wide(spark, d), folder := sinks.scratch(spark), ["pm25", "no2"])
+    summary = spark.read.json(f"{folder}/summary").first()  # one row
+    return spark.read.json(f"{folder}/missing").select("column_name", "missing", F.lit(summary["n_sites"]).alias("n_sites"))
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 > 0 THEN epoch(o_orderdate)::BIGINT END AS at FROM orders")
 def s5_csv_scan(spark, d):
     """Orders landed as CSV and scanned back; every seventh time is unreadable."""
@@ -227,6 +285,11 @@ def p15_rename_and_order(spark, d):
     return clean.ordered(x, ["cc", "ts"], ("pm25", "o3"))
 
 
+@query(f"WITH {wide_sql()} SELECT {KEYS}, round(pm25::FLOAT::DOUBLE, 4) AS pm25 FROM wide")
+def p16_float_matrix(spark, d):
+    return clean.as_float(fixtures.wide(spark, d), ["pm25"]).select(*K, "ts", F.round(F.col("pm25").cast("double"), 4).alias("pm25"))
+
+
 # --- joins --------------------------------------------------------------------------------------
 
 
@@ -267,6 +330,11 @@ def j5_reattach_first(spark, d):
 WEATHER_SQL = "weather AS (SELECT country, site_number, ts, avg(value) FILTER (event_type = 'error') AS wind_speed, 3.6 * avg(props_k) AS wind_direction FROM long GROUP BY 1, 2, 3)"
 
 
+@query(f"WITH {wide_sql()} SELECT {KEYS}, round(latitude, 4) AS latitude, round(longitude, 4) AS longitude FROM wide LEFT JOIN {STATIONS_SQL} USING (site_number)")
+def j6_attach_coordinates(spark, d):
+    return joins.attach_coordinates(fixtures.wide(spark, d), fixtures.stations(spark, d), ["site_number"]).select(*K, "ts", "latitude", "longitude")
+
+
 @query(f"""WITH {wide_sql()}, {WEATHER_SQL}
 SELECT w.country, w.site_number, epoch(w.ts)::BIGINT AS ts, round(wind_speed, 6) AS wind_speed, round(wind_direction, 6) AS wind_direction FROM wide w LEFT JOIN weather x ON w.site_number = x.site_number AND w.ts = x.ts""")
 def j7_attach_weather(spark, d):
@@ -280,6 +348,11 @@ def j8_restrict_stations(spark, d):
     return joins.semi(fixtures.wide(spark, d), _coverage(spark, d).where("test_completeness >= 0.8"), K).groupBy("country").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {PRED_SQL} SELECT p.country, p.site_number, epoch(p.ts)::BIGINT AS ts, p.horizon::BIGINT AS horizon, round(persistence, 6) AS y_pred, round(no2, 6) AS no2 FROM pairs p JOIN wide w ON p.country = w.country AND p.site_number = w.site_number AND p.ts = w.ts WHERE no2 IS NOT NULL")
+def j14_look_up_samples(spark, d):
+    return joins.look_up_samples(predictions(spark, d, "persistence"), fixtures.wide(spark, d).where("no2 IS NOT NULL"), ["no2"]).select(*K, "ts", "horizon", "y_pred", "no2")
+
+
 @query(f"WITH {PRED_SQL} SELECT country, site_number, epoch(ts)::BIGINT AS ts, horizon::BIGINT AS horizon, round(y_true, 6) AS y_true, round(persistence, 6) AS y_pred_1, round(mean3, 6) AS y_pred_2 FROM pairs")
 def j10_pair_predictions(spark, d):
     return joins.pair_predictions(predictions(spark, d, "persistence"), predictions(spark, d, "mean3"))
@@ -546,6 +619,12 @@ def a23_anchor_counts(spark, d):
     return timeseries.anchors(_present(spark, d), ["pm25"], "pm25", H, 24, TRAIN_END, TEST_START, TEST_END).groupBy("side", "country", "horizon").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {_anchor_sql(fixtures.USERS, 24)} SELECT {KEYS}, {r6('pm25')} FROM wide SEMI JOIN (SELECT country AS c, site_number AS s, ts AS t FROM anchors WHERE horizon = 3) ON country = c AND site_number = s AND ts = t")
+def j9_join_anchors(spark, d):
+    found = timeseries.anchors(_present(spark, d), ["pm25"], "pm25", H, 24, TRAIN_END, TEST_START, TEST_END)
+    return joins.join_anchors(fixtures.wide(spark, d), found, 3).select(*K, "ts", "pm25")
+
+
 @query(f"WITH {wide_sql(DENSE)}, w AS (SELECT *, row_number() OVER ({STATION}) AS pos FROM wide WHERE pm25 IS NOT NULL), g AS (SELECT *, sum((epoch(ts) - epoch(p) > 7200)::INT) OVER ({STATION} ROWS UNBOUNDED PRECEDING) AS sid FROM (SELECT *, coalesce(lag(ts) OVER ({STATION}), ts) AS p FROM w)), s AS (SELECT *, row_number() OVER q AS spos, list(pm25::FLOAT::DOUBLE) OVER (q ROWS 23 PRECEDING) AS seq FROM g WINDOW q AS (PARTITION BY country, site_number, sid ORDER BY ts)) SELECT {KEYS}, 24::BIGINT AS n_rows, round(list_sum(seq), 4) AS total FROM s WHERE spos >= 24")
 def w10_sequences(spark, d):
     x = timeseries.sequences(timeseries.segments(_present(spark, d, DENSE)), ["pm25"], 24, F.lit(True))

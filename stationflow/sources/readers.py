@@ -63,6 +63,32 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return s.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def read_model_metrics(spark: SparkSession, folder: str, models: dict[str, dict[str, str]], protocol: str, skill: bool = False) -> DataFrame:
+    """Metrics of the models of one protocol, with their labels.
+
+    ``models`` has for each model its ``label``, and the file's stem by protocol. A baseline column is
+    dropped; files that are missing or (``skill``) lack the skill columns are left out with a warning.
+    """
+    wanted = ["Scope", "Group", "horizon", "MAE", "RMSE", *(("MAE_skill", "RMSE_skill") if skill else ())]
+    out = None
+    for name, about in models.items():
+        if protocol not in about:
+            continue
+        try:
+            found = spark.read.option("header", True).option("inferSchema", True).csv(f"{folder}/{about[protocol]}.csv").drop("baseline")
+        except AnalysisException as e:
+            print(f"skipped {about[protocol]}: {e.getCondition()}")
+            continue
+        if missing := [c for c in wanted if c not in found.columns]:
+            print(f"skipped {about[protocol]}: it lacks {', '.join(missing)}")
+            continue
+        tagged = found.withColumns({"model": F.lit(name), "label": F.lit(about["label"]), "protocol": F.lit(protocol)})
+        out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"no metrics of protocol {protocol} are present")
+    return out
+
+
 def read_metrics(spark: SparkSession, paths: list[str], models: dict[str, str] | None = None, skip: str = "persistence") -> DataFrame:
     """Metrics files with their stem (and model name); files named after ``skip`` are left out, and so is a baseline column."""
     out = None

@@ -7,10 +7,12 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.clean import dataset_summary, missing_report
 from ..operators.sampling import first_per_group, first_rows
 
 
@@ -30,6 +32,23 @@ def land(df: DataFrame, path: str, period: str | None = None, mode: str = "ignor
     (writer.partitionBy(period) if period else writer).parquet(path)
 
 
+def land_periods(df: DataFrame, path: str, period: str, least: int = 1) -> None:
+    """Adds the periods (a column) that are not landed yet and have ``least`` rows or more, one folder each."""
+    counts = df.groupBy(period).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(period)
+    try:
+        counts = counts.join(df.sparkSession.read.parquet(path).select(F.col(period).cast(dict(df.dtypes)[period]).alias(period)).distinct(), period, "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # nothing is landed yet
+            raise
+    df.join(counts, period, "left_semi").write.mode("append").partitionBy(period).parquet(path)
+
+
+def write_summary(df: DataFrame, path: str, columns: list[str]) -> None:
+    """The dataset's summary and its missing values by column, as JSON beside the data."""
+    write_json(dataset_summary(df), f"{path}/summary")
+    write_json(missing_report(df, columns), f"{path}/missing")
+
+
 def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
     (df.orderBy(*order) if order else df).write.mode("overwrite").option("header", True).csv(path)
 

@@ -38,6 +38,14 @@ def test_flagship_entry_has_rows(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
+def test_the_feature_table_has_one_exchange_by_station(spark):
+    x = QUERIES["f1_feature_table"](spark, SF)
+    x.write.format("noop").mode("overwrite").save()
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    exchanges = [e.split("ENSURE")[0] for e in plan.split("Exchange hashpartitioning")[1:]]
+    assert len(exchanges) == 3 and sum("ts#" in e for e in exchanges) == 2  # two aggregations by site and hour, one by site
+
+
 def test_lags_leads_and_rolling_share_one_exchange(spark):
     from stationflow.operators import timeseries
     from stationflow.sources import fixtures
