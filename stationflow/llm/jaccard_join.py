@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import components as graph
 from .common import cut, map_arrow, row_slices, stored, text_buffers
 from .components import components
 from .words import WHITE, document_words, mix, shingle_hashes
@@ -100,11 +101,11 @@ def document_sets(column: pa.Array, n: int):
 
 
 def digest(s: np.ndarray) -> bytes:
-    """A 128-bit name of a set that depends on all its members; wide enough for any number of documents."""
+    """A 96-bit name of a set that depends on all its members: of 10^11 sets, two share one with a chance of 10^-7."""
     with np.errstate(over="ignore"):
         h = mix(s + mix(np.arange(len(s), dtype=np.uint64)))
         both, summed = np.bitwise_xor.reduce(h), h.sum(dtype=np.uint64)
-        return mix(np.array([both + summed * np.uint64(3) + np.uint64(len(s)), summed ^ mix(both + np.uint64(len(s)))], np.uint64)).astype(">u8").tobytes()
+        return mix(np.array([both + summed * np.uint64(3) + np.uint64(len(s)), summed ^ mix(both + np.uint64(len(s)))], np.uint64)).astype(">u8").tobytes()[:12]
 
 
 def parity_sketch(s: np.ndarray) -> list[int]:
@@ -181,31 +182,39 @@ def _pairs_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int) -
     """(d, members) of every class that occurs in ``pairs``: one document's set each.
 
     A fixed-size bitmap of the wanted documents drops the others where they are read; documents
-    that pass it by chance are dropped by the joins, which both use one exchange of the sets.
+    that pass it by chance are dropped by the joins, which both use one exchange of the sets. Where
+    a quarter of the bitmap is set it would pass too many, so the texts are joined with the wanted
+    rows before they are shingled.
     """
     wanted = pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct().join(classes, "d").select("d", "row")
     slot = F.pmod("row", F.lit(FILTER_BITS))
     words = wanted.select(slot.alias("slot")).groupBy((F.col("slot") / 64).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot % 64 AS INT))")).alias("bits")).toArrow()
     bitmap = np.zeros(FILTER_BITS // 64, np.int64)
     bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
+    full = int(np.bitwise_count(bitmap.view(np.uint64)).sum()) > FILTER_BITS // 4
+    sent = docs.sparkSession.sparkContext.broadcast(np.full(1, ~np.uint64(0)) if full else bitmap.view(np.uint64))
 
     def run(batches):
         for b in batches:
             slots = b.column(1).to_numpy()
-            hit = sent.value[slots // 64] >> (slots % 64).astype(np.uint64) & np.uint64(1) == 1
+            hit = sent.value[0 if full else slots // 64] >> (slots % 64).astype(np.uint64) & np.uint64(1) == 1
             rows = np.flatnonzero(hit)
             if len(rows):
                 sets = list(document_sets(b.column(0).take(pa.array(rows)), n))
                 yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.array([pack_set(s) for s in sets], pa.binary())], ["d", "members"])
 
-    fetched = map_arrow(docs.select("text", F.pmod(F.xxhash64("text"), F.lit(FILTER_BITS)).alias("slot")), run, "d binary, members binary")
+    texts = docs.select("text", F.xxhash64("text").alias("row"))
+    if full:
+        texts = texts.join(wanted.select("row").distinct(), "row", "left_semi")
+    fetched = map_arrow(texts.select("text", F.pmod("row", F.lit(FILTER_BITS)).alias("slot")), run, "d binary, members binary")
     return fetched.groupBy("d").agg(F.first("members").alias("members"))
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
     """The pairs whose whole sets reach the threshold."""
     sets = _pairs_sets(docs, classes, pairs, n)
+    if pairs.count() >= graph.HUB_LINKS:
+        sets = stored(sets)  # one leader may be in most pairs: written, both sides are exchanges that Spark can split
     sides = pairs.join(sets.select(F.col("d").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("d").alias("b"), F.col("members").alias("y")), "b")
 
     def run(batches):
@@ -260,7 +269,8 @@ def join_components(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
     rows = cut(map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("row")), name, "doc_id bigint, row bigint, n bigint, d binary, " + ", ".join(f"{x} bigint" for x in sketch)))
     size_counts = {r["n"]: r["count"] for r in rows.where(F.col("n").between(1, LIGHT_MOST)).groupBy("n").count().collect()}
     boundary = choose_boundary(size_counts, list_length, t)
-    classes = rows.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), *[F.first(x).alias(x) for x in sketch])
+    # written once: it is joined several times, by leaders that may be in most pairs too
+    classes = cut(rows.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), *[F.first(x).alias(x) for x in sketch]))
     entries = map_arrow(docs.select("text"), listed(boundary), "key bigint, part int, d binary, n int, place int")
     by_key = entries.repartition("key", "part")
     # two light sets share one subset of the needed size; other pairs share SHARED entries among the first n - overlap + SHARED of both

@@ -137,7 +137,7 @@ def near_copies(n, edits, size=140, seed=11):
     return out
 
 
-@pytest.mark.parametrize("settings", [{}, {"HOT_LIST": 5, "PARTS": 3}, {"PAIRS_EACH": 0}])
+@pytest.mark.parametrize("settings", [{}, {"HOT_LIST": 5, "PARTS": 3}, {"PAIRS_EACH": 0, "FILTER_BITS": 64}])
 def test_join_of_a_large_group_of_near_copies(spark, monkeypatch, settings):
     for k, v in settings.items():
         monkeypatch.setattr(jaccard_join, k, v)
