@@ -147,9 +147,7 @@ def expand(media: list[bytes | None]) -> list[tuple[np.ndarray, int] | None]:
     return out
 
 
-def to_pcm(df: DataFrame, media: str = "media", rate: int = TARGET_RATE) -> DataFrame:
-    """``df`` with ``pcm_wave``: the column's audio as resampled 16-bit PCM; null stays null."""
-    columns = [c for c in df.columns if c != "pcm_wave"]
+def _with_pcm(columns: list[str], media: str, rate: int):
     at = columns.index(media)
 
     def run(batches):
@@ -162,7 +160,14 @@ def to_pcm(df: DataFrame, media: str = "media", rate: int = TARGET_RATE) -> Data
                 out = [None if x is None else wave(resample(*x, rate).tobytes(), PCM, rate, 16, 2) for x in found]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*columns, "pcm_wave"])
 
-    return map_arrow(df.select(*[F.col(f"`{c}`") for c in columns]), run, df.select(*[F.col(f"`{c}`") for c in columns]).schema.add("pcm_wave", "binary"))
+    return run
+
+
+def to_pcm(df: DataFrame, media: str = "media", rate: int = TARGET_RATE) -> DataFrame:
+    """``df`` with ``pcm_wave``: the column's audio as resampled 16-bit PCM; null stays null."""
+    columns = [c for c in df.columns if c != "pcm_wave"]
+    own = df.select(*[F.col(f"`{c}`") for c in columns])
+    return map_arrow(own, _with_pcm(columns, media, rate), own.schema.add("pcm_wave", "binary"))
 
 
 def padded(text: bytes) -> bytes:
@@ -175,15 +180,17 @@ def stored_as(payload: bytes) -> bytes:
     return wave(payload, coding, RATE, 4, UNIT) if coding == IMA_ADPCM else wave(payload, coding)
 
 
-def store_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and ``media``: each text's payload as a WAVE file."""
+def _stored(batches):
+    for b in batches:
+        raw = byte_lists(b.column(1))
+        for low, high in row_slices(np.concatenate([[0], np.cumsum([len(x) for x in raw], dtype=np.int64)]), TOGETHER):
+            part = raw[low:high]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(low, high - low).cast(pa.int64()), pa.array([len(x) for x in part], pa.int64()), pa.array([stored_as(padded(x)) for x in part], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    def run(batches):
-        for b in batches:
-            raw = byte_lists(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([len(x) for x in raw], pa.int64()), pa.array([stored_as(padded(x)) for x in raw], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id bigint, n_bytes bigint, media binary")
+def store_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and ``media``: each text's payload as a WAVE file."""
+    return map_arrow(docs.select("doc_id", "text"), _stored, "doc_id bigint, n_bytes bigint, media binary")
 
 
 def described(media: bytes, pcm_wave: bytes) -> str:
@@ -196,17 +203,26 @@ def described(media: bytes, pcm_wave: bytes) -> str:
     return f"coding={coding};rate={rate};samples={len(wide)};rms={rms};peak={int(np.abs(wide).max())};crossings={crossings};pcm_crc32={zlib.crc32(data):08x}"
 
 
-def features(stored: DataFrame) -> DataFrame:
-    """The contract's row per document and the PCM's size, from the stored bytes alone (``media`` and ``pcm_wave``)."""
+_FEATURES = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, pcm_bytes bigint"
+
+
+def _described(batches):
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_bytes"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    for b in batches:
+        rows = []
+        for doc_id, n, media, pcm in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            payload = read_wave(media)[3]
+            rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), described(media, pcm), len(read_wave(pcm)[3])))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
+
+def features(stored: DataFrame) -> DataFrame:
+    """The contract's row per document and the PCM's size, from the stored bytes alone (``media`` and ``pcm_wave``)."""
+    return map_arrow(stored.select("doc_id", "n_bytes", "media", "pcm_wave"), _described, _FEATURES)
 
-    def run(batches):
-        for b in batches:
-            rows = []
-            for doc_id, n, media, pcm in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                payload = read_wave(media)[3]
-                rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), described(media, pcm), len(read_wave(pcm)[3])))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
-    return map_arrow(stored.select("doc_id", "n_bytes", "media", "pcm_wave"), run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, pcm_bytes bigint")
+def text_features(docs: DataFrame) -> DataFrame:
+    """``features(to_pcm(store_texts(docs)))`` in one pass: the columns go from step to step a few rows at a time and stay in the task."""
+    pcm = _with_pcm(["doc_id", "n_bytes", "media"], "media", TARGET_RATE)
+    return map_arrow(docs.select("doc_id", "text"), lambda batches: _described(pcm(_stored(batches))), _FEATURES)

@@ -46,7 +46,7 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_audio.features(media_audio.to_pcm(media_audio.store_texts(table(spark, sf_dir, "documents"))))
+    return media_audio.text_features(table(spark, sf_dir, "documents"))
 
 
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -446,6 +446,7 @@ def test_blocks_of_many_files_decode_as_each_alone():
 
 def test_payloads(spark, odd_documents):
     rows = media_audio.features(media_audio.to_pcm(media_audio.store_texts(odd_documents))).collect()
+    assert sorted(map(repr, rows)) == sorted(map(repr, media_audio.text_features(odd_documents).collect()))
     by = {r["doc_id"]: r for r in rows}
     assert len(rows) == 7 and by[2]["payload_sha256"] == hashlib.sha256(b"\xff" * 576).hexdigest() and by[2]["tail_crc32"] == zlib.crc32(b"\xff" * 32)
     assert by[6]["payload_bytes"] == -(-15000 // 576) * 576 and by[6]["n_bytes"] == 15000
