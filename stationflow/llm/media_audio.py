@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import byte_lists, map_arrow, row_slices
 
@@ -167,7 +168,7 @@ def to_pcm(df: DataFrame, media: str = "media", rate: int = TARGET_RATE) -> Data
     """``df`` with ``pcm_wave``: the column's audio as resampled 16-bit PCM; null stays null."""
     columns = [c for c in df.columns if c != "pcm_wave"]
     own = df.select(*[F.col(f"`{c}`") for c in columns])
-    return map_arrow(own, _with_pcm(columns, media, rate), own.schema.add("pcm_wave", "binary"))
+    return map_arrow(own, _with_pcm(columns, media, rate), StructType([*own.schema.fields, StructField("pcm_wave", BinaryType())]))
 
 
 def padded(text: bytes) -> bytes:
