@@ -78,4 +78,17 @@ SELECT conv_id, count(*) AS n_turns,
   sum(CASE WHEN role = 'assistant' OR pos = n THEN upto ELSE 0 END)::BIGINT AS formatted_chars,
   count(*) FILTER (role = 'assistant' OR pos = n) AS n_examples
 FROM summed GROUP BY conv_id""",
+    "op7_jaccard_join": r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM words),
+named AS (SELECT doc_id, len(s) AS n, md5(array_to_string(list_sort(s), chr(10))) AS name, s FROM sets),
+classes AS (SELECT name, any_value(n) AS n, any_value(s) AS s, min(doc_id) AS least FROM named WHERE n > 0 GROUP BY name),
+members AS (SELECT name, n, least, unnest(s) AS shingle FROM classes),
+pairs AS (SELECT a.least AS a, b.least AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared FROM members a JOIN members b ON a.shingle = b.shingle AND a.least < b.least GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs WHERE 100 * shared >= 85 * (na + nb - shared)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT least AS node, least AS other FROM classes UNION SELECT node, e.b FROM reach JOIN edges e ON e.a = reach.other),
+comp AS (SELECT node, min(other) AS component FROM reach GROUP BY 1)
+SELECT doc_id, named.n::BIGINT AS n_shingles, CASE WHEN named.n > 0 THEN component ELSE doc_id END AS component_id
+FROM named LEFT JOIN classes USING (name) LEFT JOIN comp ON comp.node = classes.least""",
 }

@@ -124,6 +124,13 @@ def test_join_query_against_brute_force(spark):
     assert got == brute_components(texts, 4, (85, 100))
 
 
+def test_join_against_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    expected = sorted(con.sql(queries.ORACLE_SQL["op7_jaccard_join"]).fetchall())
+    assert sorted(map(tuple, queries.op7_jaccard_join(spark, sf).collect())) == expected
+
+
 def near_copies(n, edits, size=140, seed=11):
     """Copies of one text with up to so many words changed: many lists that hold them all."""
     rng = random.Random(seed)
