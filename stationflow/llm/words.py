@@ -7,6 +7,7 @@ shingle's hash folds its words in order. The same text always gives the same val
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 _M = 0x9E3779B97F4A7C15 | 1
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -49,8 +50,8 @@ def word_hashes(raw: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndar
         return start, end, mix((summed[end] - summed[start]) * down[start])
 
 
-def document_words(raw: np.ndarray, offsets: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, index of each document's first word); words never cross documents."""
+def document_tokens(raw: np.ndarray, offsets: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lower-cased bytes, start, end and hash of every word, index of each document's first word); words never cross documents."""
     lower = LOWER[raw]
     gap = apart[raw]
     # where two documents' words touch, a separator goes between them
@@ -60,8 +61,21 @@ def document_words(raw: np.ndarray, offsets: np.ndarray, apart: np.ndarray) -> t
         lower = np.insert(lower, joined, 32)
         gap = np.insert(gap, joined, True)
         offsets = offsets + np.searchsorted(joined, offsets, side="left")
-    start, _, hashes = word_hashes(lower, gap)
-    return hashes, np.searchsorted(start, offsets)
+    start, end, hashes = word_hashes(lower, gap)
+    return lower, start, end, hashes, np.searchsorted(start, offsets)
+
+
+def document_words(raw: np.ndarray, offsets: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, index of each document's first word); words never cross documents."""
+    return document_tokens(raw, offsets, apart)[3:]
+
+
+def gather(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The stretches of some bytes as strings."""
+    sizes = end - start
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    data = raw[np.repeat(start - offsets[:-1], sizes) + np.arange(offsets[-1])]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
 def fold(words: np.ndarray, n: int) -> np.ndarray:
