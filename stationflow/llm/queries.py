@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, html_extract, jaccard_join, langid, license_scan, media_audio, quality_crf, run_index
+from . import byte_bpe, chat_format, collocations, decontaminate, hard_negatives, html_extract, jaccard_join, langid, license_scan, lm_score, media_audio, quality_crf, run_index
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -57,7 +58,23 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_quality_crf, op4_byte_bpe, op5_run_index, op6_chat_format, op7_jaccard_join, op8_media_audio, op9_html_extract, op10_decontaminate)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.select("vec_id", label.alias("label"), "embedding"), F.col("vec_id") % 50 == 0)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = lm_score.score(docs, lm_score.learn(docs.where(~lm_score.held_out())))
+    return found.select("doc_id", lm_score.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_quality_crf, op4_byte_bpe, op5_run_index, op6_chat_format, op7_jaccard_join, op8_media_audio, op9_html_extract, op10_decontaminate, op11_hard_negatives, op12_collocations, op13_lm_score)}
 
 # The escape codes of chat_format as DuckDB expressions: heads, texts and both marks of a turn.
 _ESC = "replace(replace(replace({0}, '\\', '\\b'), '<', '\\l'), '[', '\\s')"
@@ -91,4 +108,28 @@ reach AS (SELECT least AS node, least AS other FROM classes UNION SELECT node, e
 comp AS (SELECT node, min(other) AS component FROM reach GROUP BY 1)
 SELECT doc_id, named.n::BIGINT AS n_shingles, CASE WHEN named.n > 0 THEN component ELSE doc_id END AS component_id
 FROM named LEFT JOIN classes USING (name) LEFT JOIN comp ON comp.node = classes.least""",
+    "op11_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS n FROM s WHERE same),
+r AS (SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON p.n <= 5 AND NOT s.same AND s.anchor_id = p.anchor_id AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 3""",
+    "op12_collocations": r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 5) x(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND f >= 30),
+cuts AS (SELECT c.*, j, array_to_string(w[1:j], ' ') AS x, array_to_string(w[j + 1:], ' ') AS y FROM c, range(1, 4) r(j) WHERE j < k),
+valued AS (SELECT cuts.*, fx.f AS l, fy.f AS r, ((2000000::HUGEINT * a) // (fx.f + fy.f))::BIGINT AS score FROM cuts JOIN f fx ON fx.lang = cuts.lang AND fx.phrase = x JOIN f fy ON fy.lang = cuts.lang AND fy.phrase = y),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS place FROM valued),
+inner_phrases AS (SELECT lang, a, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM c, range(2, 4) s(m), range(1, 4) o(i) WHERE m < k AND i + m - 1 <= k),
+longer AS (SELECT lang, phrase, max(a) AS longer FROM inner_phrases GROUP BY ALL),
+kept AS (SELECT best.lang, best.phrase, a, l, r, score FROM best LEFT JOIN longer USING (lang, phrase) WHERE place = 1 AND (longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
 }
