@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import student_p, winner
+from .timeseries import gaps
 
 MODELS = ("persistence", "linear", "gam", "forest", "xgb", "lgb")
 
@@ -61,10 +62,9 @@ def metrics_of_sums(sums: DataFrame) -> DataFrame:
 
 def coverage(df: DataFrame, train: tuple[str, str], test: tuple[str, str], keys=("country", "site_number"), ts: str = "ts", fixed_window: bool = False) -> DataFrame:
     """Start, end, observed and expected hours, completeness and longest gap of each station in both periods."""
-    w = Window.partitionBy(*keys, "_period").orderBy(F.unix_timestamp(ts))
     inside = {name: F.col(ts).between(F.lit(a).cast("timestamp"), F.lit(b).cast("timestamp")) for name, (a, b) in (("train", train), ("test", test))}
     period = F.when(inside["train"], "train").when(inside["test"], "test")
-    rows = df.select(*keys, ts, period.alias("_period")).withColumn("_gap", (F.unix_timestamp(ts) - F.lag(F.unix_timestamp(ts)).over(w)) / 3600)
+    rows = gaps(df.select(*keys, ts, F.coalesce(period, F.lit("neither")).alias("_period")), (*keys, "_period"), ts)
     aggregates: list[Column] = []
     for name, (a, b) in (("train", train), ("test", test)):
         here = F.col("_period") == name
@@ -75,7 +75,7 @@ def coverage(df: DataFrame, train: tuple[str, str], test: tuple[str, str], keys=
             expected = F.coalesce(F.floor((F.unix_timestamp(F.max(own)) - F.unix_timestamp(F.min(own))) / 3600) + 1, F.lit(0))
         observed = F.countDistinct(own)
         aggregates += [F.min(own).alias(f"{name}_start"), F.max(own).alias(f"{name}_end"), observed.alias(f"{name}_observed_hours"), expected.cast("long").alias(f"{name}_expected_hours")]
-        aggregates += [F.when(observed > 0, observed / expected).alias(f"{name}_completeness"), F.max(F.when(here, F.col("_gap"))).alias(f"{name}_max_gap_hours")]
+        aggregates += [F.when(observed > 0, observed / expected).alias(f"{name}_completeness"), F.max(F.when(here, F.col("gap_hours"))).alias(f"{name}_max_gap_hours")]
     return rows.groupBy(*keys).agg(*aggregates)
 
 

@@ -1,17 +1,35 @@
-"""Window operators over keyed series with gaps.
+"""Window operators over keyed series with gaps, for series of any length.
 
-All of them partition by station and order by epoch seconds, so any mix of lags, leads, means and
-deviations shares one exchange and one sort. Time frames are RANGE frames in seconds: a gap gives
-NULL, and no hourly grid is built.
+No window is keyed by a station alone: a series is cut into parts of ``SPAN`` hours, so its rows are dealt to
+many tasks.
+
+* Operators with a bounded reach (lags, targets, rolling values) give each part a halo: rows that lie within
+  reach of a part are copied to it, and dropped once the windows have run. Time frames are RANGE frames in
+  seconds: a gap gives NULL, and no hourly grid is built.
+* Operators with an unbounded reach (gaps, segments, positions, gap filling) are scans of two levels: windows
+  within each part, a summary row a part, a running value over a station's summaries, and a join that hands each
+  part what the earlier and later ones leave to it. The second level has one row for ``SPAN`` hours.
+
+Any mix of bounded operators shares one exchange and one sort through ``in_slices``.
+
+Precondition: a station has one row a time (``first_per_key`` makes it so); of repeated rows an arbitrary one
+is the lag, and each counts in positions. Rows without a key or a time belong to no series: bounded operators
+keep them, scans drop them.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOUR = 3600
 STATION = ("country", "site_number")
+#: Hours of a station in one part; a part is longer where the reach of an operator asks for it.
+SPAN = 4096
+PART = "_part"
 
 
 def epoch(ts: str = "ts") -> Column:
@@ -22,17 +40,29 @@ def by_station(keys=STATION, ts: str = "ts"):
     return Window.partitionBy(*keys).orderBy(epoch(ts))
 
 
+def _part_of(seconds: Column, hours: int) -> Column:
+    return F.floor(seconds / (hours * HOUR))
+
+
+def in_slices(df: DataFrame, build: Callable[[DataFrame, tuple], DataFrame], back: int = 0, ahead: int = 0, keys=STATION, ts: str = "ts", keep_part: bool = False) -> DataFrame:
+    """``build(rows, keys)`` over parts of each series that know ``back`` hours before and ``ahead`` hours after them."""
+    hours = max(SPAN, 8 * (back + ahead))
+    reached = F.sequence(_part_of(epoch(ts) - ahead * HOUR, hours), _part_of(epoch(ts) + back * HOUR, hours))
+    x = df.select("*", F.explode_outer(reached).alias(PART))
+    own = build(x, (*keys, PART)).where(F.col(PART).eqNullSafe(_part_of(epoch(ts), hours)))
+    return own if keep_part else own.drop(PART)
+
+
 def at_offset(column: str, hours: int, keys=STATION, ts: str = "ts") -> Column:
-    """The value exactly ``hours`` later (earlier if negative); NULL if there is no such row."""
+    """The value exactly ``hours`` later (earlier if negative) among the rows of ``keys``; NULL if there is no such row."""
     return F.last(column).over(by_station(keys, ts).rangeBetween(hours * HOUR, hours * HOUR))
 
 
-def time_lags(df: DataFrame, columns: list[str], hours: list[int], keys=STATION, ts: str = "ts") -> DataFrame:
-    return df.withColumns({f"{c}_lag_{h}h": at_offset(c, -h, keys, ts) for c in columns for h in hours})
+def lag_columns(columns: list[str], hours: list[int], keys, ts: str = "ts") -> dict[str, Column]:
+    return {f"{c}_lag_{h}h": at_offset(c, -h, keys, ts) for c in columns for h in hours}
 
 
-def rolling(df: DataFrame, columns: list[str], hours: list[int], keys=STATION, ts: str = "ts", std: bool = True) -> DataFrame:
-    """Mean (and sample deviation) over the last n hours, this one included, of the values there are."""
+def rolling_columns(columns: list[str], hours: list[int], keys, ts: str = "ts", std: bool = True) -> dict[str, Column]:
     new = {}
     for c in columns:
         for h in hours:
@@ -40,38 +70,100 @@ def rolling(df: DataFrame, columns: list[str], hours: list[int], keys=STATION, t
             new[f"{c}_rolling_mean_{h}h"] = F.avg(c).over(frame)
             if std:
                 new[f"{c}_rolling_std_{h}h"] = F.stddev_samp(c).over(frame)
-    return df.withColumns(new)
+    return new
+
+
+def target_columns(column: str, horizons: list[int], keys, ts: str = "ts") -> dict[str, Column]:
+    return {f"y_h{h}": at_offset(column, h, keys, ts) for h in horizons}
+
+
+def time_lags(df: DataFrame, columns: list[str], hours: list[int], keys=STATION, ts: str = "ts") -> DataFrame:
+    return in_slices(df, lambda x, k: x.withColumns(lag_columns(columns, hours, k, ts)), max(hours), 0, keys, ts)
+
+
+def rolling(df: DataFrame, columns: list[str], hours: list[int], keys=STATION, ts: str = "ts", std: bool = True) -> DataFrame:
+    """Mean (and sample deviation) over the last n hours, this one included, of the values there are."""
+    return in_slices(df, lambda x, k: x.withColumns(rolling_columns(columns, hours, k, ts, std)), max(hours) - 1, 0, keys, ts)
 
 
 def targets(df: DataFrame, column: str, horizons: list[int], keys=STATION, ts: str = "ts") -> DataFrame:
     """y_h{h}: the value h hours later."""
-    return df.withColumns({f"y_h{h}": at_offset(column, h, keys, ts) for h in horizons})
+    return in_slices(df, lambda x, k: x.withColumns(target_columns(column, horizons, k, ts)), 0, max(horizons), keys, ts)
 
 
-def gaps(df: DataFrame, keys=STATION, ts: str = "ts") -> DataFrame:
-    """gap_hours since the station's previous row; NULL in its first."""
-    return df.withColumn("gap_hours", (epoch(ts) - F.lag(epoch(ts)).over(by_station(keys, ts))) / HOUR)
+# --- scans of two levels -------------------------------------------------------------------------
 
 
-def segments(df: DataFrame, longest_gap: float = 2, keys=STATION, ts: str = "ts") -> DataFrame:
-    """segment_id counts from 0 and rises where the gap exceeds ``longest_gap`` hours."""
-    broken = F.when(F.col("gap_hours") > longest_gap, 1).otherwise(0)
-    return gaps(df, keys, ts).withColumn("segment_id", F.sum(broken).over(by_station(keys, ts).rowsBetween(Window.unboundedPreceding, 0))).drop("gap_hours")
+def _cut(df: DataFrame, ts: str) -> DataFrame:
+    return df.withColumn(PART, _part_of(epoch(ts), SPAN))
 
 
-def segment_positions(df: DataFrame, keys=STATION, ts: str = "ts") -> DataFrame:
-    """segment_pos from 1 and segment_len."""
-    part = [*keys, "segment_id"]
-    return df.withColumns({"segment_pos": F.row_number().over(Window.partitionBy(*part).orderBy(epoch(ts))), "segment_len": F.count("*").over(Window.partitionBy(*part))})
+def _running(keys, ts: str):
+    return by_station(keys, ts).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def complete_lookback(df: DataFrame, features: list[str], rows: int, keys=STATION, ts: str = "ts") -> DataFrame:
-    """lookback_ok: none of the features is NULL in the segment's last ``rows`` rows."""
-    missing = F.lit(0)
-    for c in features:
-        missing = missing + F.col(c).isNull().cast("int")
-    w = Window.partitionBy(*keys, "segment_id").orderBy(epoch(ts)).rowsBetween(-(rows - 1), 0)
-    return df.withColumn("lookback_ok", F.sum(missing).over(w) == 0)
+def _backwards(keys, order: Column):
+    """Everything after a row: a running frame from the end, where an unbounded following one would start anew at every row."""
+    return Window.partitionBy(*keys).orderBy(order.desc()).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def handed_over(x: DataFrame, keys, summary: dict[str, Column], earlier: dict[str, Column], later: dict[str, Column] | None = None, *, more: dict[str, Column] | None = None) -> DataFrame:
+    """Rows with what the other parts of their series leave to their part.
+
+    ``summary`` aggregates a part. ``earlier`` and ``later`` are aggregates of the summaries of the parts before
+    and after; ``more`` sees both, and its aggregates run over the parts before (names that end in ``_after``: over those after).
+    ``_rows_before``, the rows of the parts before, is always there.
+    """
+    before = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    after = _backwards(keys, F.col(PART))
+    per = x.groupBy(*keys, PART).agg(F.count("*").alias("_rows"), *[c.alias(n) for n, c in summary.items()])
+    per = per.withColumns({"_rows_before": F.coalesce(F.sum("_rows").over(before), F.lit(0)), **{n: c.over(before) for n, c in earlier.items()}, **{n: c.over(after) for n, c in (later or {}).items()}})
+    if more:
+        per = per.withColumns({n: c.over(after if n.endswith("_after") else before) for n, c in more.items()})
+    return x.join(per.select(*keys, PART, "_rows_before", *earlier, *(later or {}), *(more or {})), [*keys, PART])
+
+
+def gaps(df: DataFrame, keys=STATION, ts: str = "ts") -> DataFrame:
+    """gap_hours since the station's previous row; NULL in its first."""
+    x = _cut(df, ts).withColumn("_previous", F.lag(epoch(ts)).over(by_station((*keys, PART), ts)))
+    x = handed_over(x, keys, {"_last": F.max(epoch(ts))}, {"_last_before": F.max("_last")})
+    return x.withColumn("gap_hours", (epoch(ts) - F.coalesce("_previous", "_last_before")) / HOUR).select(*df.columns, "gap_hours")
+
+
+def segments(df: DataFrame, longest_gap: float = 2, keys=STATION, ts: str = "ts", features: list[str] | None = None, lookback: int = 0) -> DataFrame:
+    """segment_id counts from 0 and rises where a gap exceeds ``longest_gap`` hours; segment_pos from 1 and segment_len.
+
+    With ``features`` also lookback_ok: none of them is NULL in the segment's last ``lookback`` rows.
+    """
+    part = (*keys, PART)
+
+    def marked(x: DataFrame, k) -> DataFrame:
+        return x.withColumn("_opens", F.coalesce(epoch(ts) - F.lag(epoch(ts)).over(by_station(k, ts)) > longest_gap * HOUR, F.lit(True)))
+
+    # a series' first row opens a segment too, so all that is needed of the part before is its last hours
+    x = in_slices(df, marked, math.ceil(longest_gap), 0, keys, ts, keep_part=True)
+    x = x.withColumn("_row", F.row_number().over(by_station(part, ts)))
+    missing = F.lit(False)
+    for c in features or ():
+        missing = missing | F.col(c).isNull()
+    x = x.withColumns({"_opened": F.when(F.col("_opens"), F.col("_row")), "_lacks": F.when(missing, F.col("_row"))})
+    x = x.withColumns({
+        "_count": F.count("_opened").over(_running(part, ts)), "_start": F.max("_opened").over(_running(part, ts)),
+        "_lacked": F.max("_lacks").over(_running(part, ts)), "_next": F.min("_opened").over(_backwards(part, F.col("_row"))),
+    })
+    ends = {"_n": F.count("_opened"), "_first_opened": F.min("_opened"), "_last_opened": F.max("_opened"), "_last_lacked": F.max("_lacks")}
+    x = handed_over(
+        x, keys, ends, {"_count_before": F.sum("_n")}, {"_rows_after": F.sum("_rows")},
+        more={"_start_before": F.max(F.col("_rows_before") + F.col("_last_opened")), "_lacked_before": F.max(F.col("_rows_before") + F.col("_last_lacked")), "_next_after": F.min(F.col("_rows_before") + F.col("_first_opened"))},
+    )
+    before, row = F.col("_rows_before"), F.col("_rows_before") + F.col("_row")
+    start = F.coalesce(before + F.col("_start"), F.col("_start_before"))
+    total = before + F.coalesce("_rows_after", F.lit(0)) + F.count("*").over(Window.partitionBy(*part))
+    end = F.coalesce(before + F.col("_next"), F.col("_next_after"), total + 1)
+    new = {"segment_id": F.coalesce("_count_before", F.lit(0)) + F.col("_count") - 1, "segment_pos": row - start + 1, "segment_len": end - start}
+    if features:
+        new["lookback_ok"] = F.coalesce(F.greatest(before + F.col("_lacked"), "_lacked_before"), F.lit(0)) < F.greatest(row - lookback + 1, start)
+    return x.withColumns(new).select(*df.columns, *new)
 
 
 def eligible(df: DataFrame, features: list[str], target: str, horizons: list[int], lookback: int, longest_gap: float = 2, keys=STATION, ts: str = "ts") -> DataFrame:
@@ -80,7 +172,7 @@ def eligible(df: DataFrame, features: list[str], target: str, horizons: list[int
     Run on a window that is already clipped, since clipping changes segments.
     """
     least = lookback + max(horizons) + 1
-    x = complete_lookback(segment_positions(segments(targets(df, target, horizons, keys, ts), longest_gap, keys, ts), keys, ts), features, lookback, keys, ts)
+    x = segments(targets(df, target, horizons, keys, ts), longest_gap, keys, ts, features, lookback)
     base = (F.col("segment_len") >= least) & (F.col("segment_pos") >= lookback) & F.col("lookback_ok")
     return x.withColumns({f"eligible_h{h}": base & (F.col("segment_pos") <= F.col("segment_len") - h) & F.col(f"y_h{h}").isNotNull() for h in horizons})
 
@@ -106,7 +198,7 @@ def anchors(df: DataFrame, features: list[str], target: str, horizons: list[int]
         ("train", F.col(ts) <= F.lit(train_end).cast("timestamp"), F.lit(True)),
         ("test", F.col(ts).between(start - F.expr(f"INTERVAL {lookback - 1} HOURS"), F.lit(test_end).cast("timestamp")), F.col(ts) >= start),
     ):
-        clipped = complete_lookback(segment_positions(segments(aimed.where(window), longest_gap, keys, ts), keys, ts), features, lookback, keys, ts)
+        clipped = segments(aimed.where(window), longest_gap, keys, ts, features, lookback)
         least = lookback + max(horizons) + 1
         ready = clipped.where((F.col("segment_len") >= least) & (F.col("segment_pos") >= lookback) & F.col("lookback_ok") & keep)
         long = ready.select(*keys, ts, "segment_pos", "segment_len", F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(y).alias("y")) for h, y in zip(horizons, names, strict=True)])).alias("t"))
@@ -123,20 +215,27 @@ def sequences(df: DataFrame, features: list[str], rows: int, keep: Column, keys=
 def fill_gaps(df: DataFrame, columns: list[str], keys=STATION, ts: str = "ts", method: str = "row") -> DataFrame:
     """Linear interpolation between the nearest values by row position (or by time), edges by the nearest value.
 
-    A station without any value stays NULL. One exchange; the rows of a station are sorted both ways.
+    A station without any value stays NULL. Within a part both neighbours are running values; a part whose first
+    or last rows lack a value gets the nearest one of the parts before or after.
     """
-    order = Window.partitionBy(*keys).orderBy(epoch(ts))
-    place = F.row_number().over(order) if method == "row" else epoch(ts)
-    out = df.withColumn("_place", place)
-    # the next value is the last one seen backwards: a running frame, where an unbounded following one would start anew at every row
-    past, ahead = (w.rowsBetween(Window.unboundedPreceding, 0) for w in (order, Window.partitionBy(*keys).orderBy(epoch(ts).desc())))
-    new = {}
+    part = (*keys, PART)
+    x = _cut(df, ts).withColumn("_row", F.row_number().over(by_station(part, ts)))
+    x = x.withColumn("_place", F.col("_row") if method == "row" else epoch(ts))
+    seen = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("_place").cast("long").alias("p"), F.col(c).alias("v"))) for c in columns}
+    near = {}
+    for c in columns:
+        near[f"_{c}_0"] = F.last(seen[c], True).over(_running(part, ts))
+        near[f"_{c}_1"] = F.last(seen[c], True).over(_backwards(part, F.col("_row")))
+    x = x.withColumns(near)
+    shifted = lambda s: F.when(s.isNotNull(), F.struct(((F.col("_rows_before") if method == "row" else F.lit(0)) + s["p"]).alias("p"), s["v"].alias("v")))
+    ends = {f"_{c}_{e}": f(seen[c]) for c in columns for e, f in (("first", F.min), ("last", F.max))}
+    more = {name: F.last(shifted(F.col(f"_{c}_{e}")), True) for c in columns for name, e in ((f"_{c}_before", "last"), (f"_{c}_after", "first"))}
+    x = handed_over(x, keys, ends, {}, more=more)
+    place, new = (F.col("_rows_before") if method == "row" else F.lit(0)) + F.col("_place"), {}
     for c in columns:
-        at = F.when(F.col(c).isNotNull(), F.col("_place"))
-        v0, v1 = F.last(c, True).over(past), F.last(c, True).over(ahead)
-        p0, p1 = F.last(at, True).over(past), F.last(at, True).over(ahead)
-        new[c] = F.coalesce(F.col(c), v0 + (v1 - v0) * (F.col("_place") - p0) / (p1 - p0), v0, v1)
-    return out.withColumns(new).drop("_place")
+        a, b = F.coalesce(shifted(F.col(f"_{c}_0")), F.col(f"_{c}_before")), F.coalesce(shifted(F.col(f"_{c}_1")), F.col(f"_{c}_after"))
+        new[c] = F.coalesce(F.col(c), a["v"] + (b["v"] - a["v"]) * (place - a["p"]) / (b["p"] - a["p"]), a["v"], b["v"])
+    return x.withColumns(new).select(*df.columns)
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

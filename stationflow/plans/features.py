@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import calendar, cyclic, local_time, season, wind_components
 from ..operators.clean import drop_sentinels, require_target
-from ..operators.timeseries import STATION, fill_gaps, rolling, time_lags
+from ..operators.timeseries import STATION, fill_gaps, in_slices, lag_columns, rolling_columns
 
 LAGS, WINDOWS, HORIZONS = [1, 2, 3, 6, 12, 24, 168], [3, 6, 12, 24], [1, 3, 6, 12, 24]
 
@@ -21,7 +21,7 @@ def temporal(df: DataFrame, ts: str = "ts") -> DataFrame:
 
 
 def feature_table(wide: DataFrame, weather: DataFrame, lags=tuple(LAGS), windows=tuple(WINDOWS), keys=STATION, ts: str = "ts") -> DataFrame:
-    """Every window runs in one exchange by station.
+    """The rows are dealt by parts of a station twice: to fill gaps, and with a halo for all lags and rolling values.
 
     The weather is joined before the first window: both sides come out of an aggregation by the
     join's keys, so the join needs no exchange of its own.
@@ -31,4 +31,5 @@ def feature_table(wide: DataFrame, weather: DataFrame, lags=tuple(LAGS), windows
     u, v = wind_components(F.col("wind_speed"), F.col("wind_direction"))
     x = temporal(x.withColumns({"wind_u": u, "wind_v": v}), ts)
     pollutants = ["pm25", "no2", "pm10"]
-    return rolling(time_lags(x, pollutants, list(lags), keys, ts), pollutants, list(windows), keys, ts)
+    new = lambda k: {**lag_columns(pollutants, list(lags), k, ts), **rolling_columns(pollutants, list(windows), k, ts)}
+    return in_slices(x, lambda rows, k: rows.withColumns(new(k)), max(*lags, *windows), 0, keys, ts)

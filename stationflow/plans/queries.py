@@ -581,18 +581,18 @@ def w5_gap_hours(spark, d):
 
 @query(f"WITH {SEG_SQL} SELECT {KEYS}, segment_id FROM seg")
 def w6_segments(spark, d):
-    return timeseries.segments(_present(spark, d).select(*K, "ts"))
+    return timeseries.segments(_present(spark, d).select(*K, "ts")).select(*K, "ts", "segment_id")
 
 
 @query(f"WITH {SEG_SQL} SELECT {KEYS}, segment_id, row_number() OVER (PARTITION BY country, site_number, segment_id ORDER BY ts) AS segment_pos, count(*) OVER (PARTITION BY country, site_number, segment_id) AS segment_len FROM seg")
 def w7_segment_positions(spark, d):
-    return timeseries.segment_positions(timeseries.segments(_present(spark, d).select(*K, "ts")))
+    return timeseries.segments(_present(spark, d).select(*K, "ts"))
 
 
 @query(f"""WITH {SEG_SQL} SELECT s.country, s.site_number, epoch(s.ts)::BIGINT AS ts, sum(CASE WHEN no2 IS NULL OR pm10 IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY s.country, s.site_number, segment_id ORDER BY s.ts ROWS 5 PRECEDING) = 0 AS lookback_ok
 FROM seg s JOIN wide w ON s.country = w.country AND s.site_number = w.site_number AND s.ts = w.ts""")
 def w8_complete_lookback(spark, d):
-    x = timeseries.complete_lookback(timeseries.segments(_present(spark, d)), ["no2", "pm10"], 6)
+    x = timeseries.segments(_present(spark, d), features=["no2", "pm10"], lookback=6)
     return x.select(*K, "ts", "lookback_ok")
 
 
