@@ -6,10 +6,14 @@ decides the other blocks from length, link density and stop-word density: long p
 words and few links is content, link-dense text is not; short blocks, and those between the
 thresholds, stay ambiguous. Pass two gives them the label of the nearest decided neighbours.
 
-An article or main element is a prior, not a verdict: inside it, only prose is decided at once and
-only neighbours inside count, so a sidebar's label does not spread to it; what finds no decided
-neighbour there is content. Lines of links that follow each other are a menu there too. The page's
-edges decide nothing.
+An article or main element is a prior: inside it only prose and menus (lines of links that follow each
+other) are decided at once, its edges count as content, and an ambiguous block there takes the label of the
+nearest decided neighbours inside, which is content unless both of them are menus. So a sidebar's label does
+not spread to it. The page's edges decide nothing.
+
+A class or id counts as a whole name (``sidebar``, ``site-footer``, ``nav-list``), not by any part of it
+(``has-sidebar``, ``menu-closed``). A container that holds the page's main element, or all its articles, is
+no boilerplate whatever its name, unless it is named after comments, adverts or related pages.
 
 Unclosed scripts and styles run to the end of the page. Other skipped elements (buttons, drawings,
 frames) that are unclosed or self-closed are empty, and the text after them is read.
@@ -26,6 +30,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,8 +47,13 @@ STOP_WORDS = frozenset(
 )
 # Class and id words of boilerplate.
 BOILER_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adsbygoogle banner sponsor sponsored sponsors promo promotion menu menus nav navbar navigation breadcrumb breadcrumbs sidebar sidebars widget widgets footer footers header masthead topbar toolbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist respond disqus pagination pager copyright skip search hidden".split()
+    "ad ads adbox adslot adunit adspace adv advert adverts advertisement advertising adsense adsbygoogle banner sponsor sponsored sponsors promo promotion menu menus nav navbar navigation breadcrumb breadcrumbs sidebar sidebars widget widgets footer footers header masthead topbar toolbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist replies reply responses response respond disqus pagination pager copyright skip search hidden".split()
 )
+# Parts of names that tell of a state or a layout, and endings of the names of boilerplate.
+STATE_WORDS = frozenset("has no with without is not layout open opened closed active inactive enabled disabled collapsed expanded toggled visible loaded".split())
+ENDINGS = frozenset("area bar block bottom box button buttons col column container content form group icons inner item items left link links list main message outer panel posts primary right section secondary slot text top unit wrap wrapper".split())
+# Names whose containers are boilerplate even if all articles are in them.
+OTHER_PAGES = frozenset("ad ads adbox adslot adunit adspace adv advert adverts advertisement advertising adsense adsbygoogle sponsor sponsored sponsors promo promotion related recommended comment comments commentlist replies reply responses response respond disqus".split())
 # Elements by role.
 BOILER_TAGS = frozenset("nav footer aside form head menu dialog".split())
 MAIN_TAGS = frozenset("article main".split())
@@ -54,8 +65,9 @@ _OTHER_ARTICLE = re.compile(r"comments?(?:[-_](?:body|item|entry|content|text|wr
 #: Thresholds of pass one: characters, link density (and that of a line of a menu), stop-word density.
 SHORT, LONG, LINKS, MENU, STOPS_LOW, STOPS_HIGH = 70, 200, 0.2, 0.9, 0.15, 0.3
 
-_ATTRIBUTES = r"(?:[^'\">]|\"[^\"]*\"|'[^']*')*"
-_UNREAD = rf"<!--.*?(?:-->|\Z)|<(?:script|style)(?:/|\s{_ATTRIBUTES}(?<=[\s\"'])/)>|<(script|style)\b[^>]*>(?:.*?</\1\s*>|.*\Z)"
+# quoted strings and what is between them, at most so many that a page of unclosed tags is read in linear time
+_ATTRIBUTES = r"(?:[^'\">]++|\"[^\"]*+\"|'[^']*+'){0,512}+"
+_UNREAD = r"<!--.*?(?:-->|\Z)|<(?:script|style)(?:/|\s(?:[^'\">/]++|\"[^\"]*+\"|'[^']*+'|/(?!>)){0,512}+(?<=[\s\"'])/)>|<(script|style)\b[^>]*>(?:.*?</\1\s*>|.*\Z)"
 _TOKEN = re.compile(rf"{_UNREAD}|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})>|<[a-zA-Z/!?][^>]*(?:>|\Z)", re.S | re.I)
 _SKIP = re.compile(rf"{_UNREAD}|<(/?)(noscript|template|svg|iframe|object|textarea|select|button)(?![^\s/>])({_ATTRIBUTES}|[^>]*)>", re.S | re.I)
 _CLOSED = re.compile(r"(?:^|[\s\"'])/$")
@@ -66,8 +78,21 @@ _NAMES = re.compile(r"\b(class|id|role|itemprop|style|hidden)\b(?:\s*=\s*(?:\"([
 _PARTS = re.compile(r"[a-z]+")
 
 
-def _is_boiler(tag: str, attributes: str, in_main: bool) -> bool:
-    if tag in BOILER_TAGS or tag == "header" and not in_main:
+@lru_cache(1 << 14)
+def boiler_words(name: str) -> frozenset[str]:
+    """The boilerplate words that a class or id stands for: the whole name, its last word, or its first one before a usual ending."""
+    words = _PARTS.findall(name)
+    if not words or not STATE_WORDS.isdisjoint(words):
+        return frozenset()
+    first = all(w in ENDINGS or w in BOILER_WORDS for w in words[1:])
+    return BOILER_WORDS & {words[-1], *(words[:1] if first else ())}
+
+
+def _is_boiler(tag: str, attributes: str, in_main: bool, holds: str) -> bool:
+    """holds: main, if the element holds the page's main element; articles, if it holds all articles."""
+    if holds == "main":
+        return False
+    if tag in BOILER_TAGS and not (holds and tag == "form") or tag == "header" and not in_main and not holds:
         return True
     if not attributes or tag in ("html", "body", "main"):
         return False
@@ -75,11 +100,12 @@ def _is_boiler(tag: str, attributes: str, in_main: bool) -> bool:
         return any(_OTHER_ARTICLE.fullmatch(x) for name, a, b, c in _NAMES.findall(attributes) if name.lower() != "style" for x in (a or b or c).lower().split())
     for name, a, b, c in _NAMES.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
-        if name == "hidden" or name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        words = _PARTS.findall(value)
-        if name in ("class", "id", "role", "itemprop") and any(x in BOILER_WORDS and not (in_main and x == "header") for x in words):
+        if (name == "hidden" or name == "style" and "display:none" in value.replace(" ", "")) and not holds:
             return True
+        if name in ("class", "id", "role", "itemprop"):
+            for word in frozenset().union(*map(boiler_words, value.split())):
+                if not (in_main and word == "header") and (not holds or word in OTHER_PAGES):
+                    return True
     return False
 
 
@@ -87,8 +113,8 @@ def skipped(page: str) -> dict[int, int]:
     """Start and end of the skipped elements that are closed."""
     spans: dict[int, int] = {}
     opened: dict[str, list[int]] = {}
-    at = 0
-    while m := _SKIP.search(page, at):
+    at, last = 0, page.rfind(">") + 1  # no tag ends later
+    while m := _SKIP.search(page, at, last):
         at = m.end()
         if m.group(3) is None:
             continue
@@ -109,14 +135,72 @@ def skipped(page: str) -> dict[int, int]:
     return spans
 
 
+def tags(page: str) -> list[tuple[int, int, str, bool, str]]:
+    """(start, where the text goes on, tag, it closes, attributes) of everything that is not text; tag is empty if it is no tag that counts."""
+    found, at, skip = [], 0, skipped(page)
+    while m := _TOKEN.search(page, at):
+        at = skip.get(m.start(), m.end())
+        counts = m.group(3) is not None and at <= m.end()
+        found.append((m.start(), at, m.group(3).lower() if counts else "", bool(m.group(2)), m.group(4) or ""))
+    return found
+
+
+class Open:
+    """The containers that are open."""
+
+    def __init__(self):
+        self.stack: list[tuple] = []
+        self.names: Counter[str] = Counter()
+
+    def push(self, tag: str, *state) -> None:
+        self.stack.append((tag, *state))
+        self.names[tag] += 1
+
+    def close(self, tag: str):
+        """Those that an end tag closes, the innermost first; none if it closes nothing."""
+        while self.names[tag]:
+            top = self.stack.pop()
+            self.names[top[0]] -= 1
+            yield top
+            if top[0] == tag:
+                return
+
+
+def holders(found: list[tuple[int, int, str, bool, str]]) -> dict[int, str]:
+    """The containers (by place in the list) that hold the main element, or all outer articles."""
+    opened, mains, articles, depth = Open(), 0, 0, 0
+    spans: list[tuple[int, int, int]] = []
+
+    def end(top) -> None:
+        nonlocal depth
+        _, i, m, a, own = top
+        spans.append((i, mains - m, articles - a))
+        depth -= own
+
+    for i, (_, _, tag, closes, attributes) in enumerate(found):
+        if closes:
+            for top in opened.close(tag):
+                end(top)
+        elif tag in CONTAINERS:
+            own = tag == "article" and not _is_boiler(tag, attributes, False, "")
+            opened.push(tag, i, mains, articles, own)
+            mains += tag == "main"
+            articles += own and not depth
+            depth += own
+    for top in reversed(opened.stack):
+        end(top)
+    return {i: "main" if m else "articles" for i, m, a in spans if m or a and a == articles}
+
+
 def blocks(page: str) -> list[tuple[str, str, float, bool]]:
     """(text, zone, link density, is a heading) of the page's non-empty blocks; zone: boiler, main or open."""
     out: list[tuple[str, str, float, bool]] = []
-    stack: list[tuple[str, int, int]] = []  # container, boilerplate depth and main depth before it
+    opened = Open()  # with the boilerplate depth and main depth before each
     text: list[str] = []
     boiler = main = links = at = 0
     in_link = block_boiler = heading = False
-    skip = skipped(page)
+    found = tags(page)
+    holds = holders(found)
 
     def end_block() -> None:
         nonlocal links
@@ -127,37 +211,30 @@ def blocks(page: str) -> list[tuple[str, str, float, bool]]:
             text.clear()
         links = 0
 
-    while m := _TOKEN.search(page, at):
-        if m.start() > at:
-            piece = page[at : m.start()]
+    for i, (start, resume, tag, closes, attributes) in enumerate(found):
+        if start > at:
+            piece = page[at:start]
             text.append(piece)
             if in_link:
                 links += len(piece.strip())
-        at = skip.get(m.start(), m.end())
-        tag = m.group(3)
-        if tag is None or at > m.end():
-            continue
-        tag = tag.lower()
+        at = resume
         if tag == "a":
-            in_link = not m.group(2)
+            in_link = not closes
         elif tag == "br":
             text.append(" ")
         elif tag in BLOCKS:
             end_block()
             block_boiler = in_link = False
-            heading = tag in HEADINGS and not m.group(2)
-            if m.group(2):
-                if any(x[0] == tag for x in stack):
-                    while stack:
-                        name, boiler, main = stack.pop()
-                        if name == tag:
-                            break
+            heading = tag in HEADINGS and not closes
+            if closes:
+                for _, boiler, main in opened.close(tag):  # noqa: B007
+                    pass
             elif tag in CONTAINERS:
-                stack.append((tag, boiler, main))
-                boiler += _is_boiler(tag, m.group(4), main > 0)
+                opened.push(tag, boiler, main)
+                boiler += _is_boiler(tag, attributes, main > 0, holds.get(i, ""))
                 main += tag in MAIN_TAGS
             else:
-                block_boiler = tag == "title" or _is_boiler(tag, m.group(4), main > 0)
+                block_boiler = tag == "title" or _is_boiler(tag, attributes, main > 0, "")
     if at < len(page):
         text.append(page[at:])
     end_block()
@@ -209,11 +286,12 @@ def second_pass(labels: list[str], zones: list[str]) -> list[tuple[bool, str]]:
     how = ["zone" if x == "boiler" else "rule" if x in ("good", "bad") else "" for x in labels]
     labels = ["bad" if x == "boiler" else x for x in labels]
     inside = [i for i, z in enumerate(zones) if z == "main"]
-    prose = any(labels[i] == "good" for i in inside)
-    for i in inside:
+    # an article's edges count as content: a block there is no content only between two menus
+    for i, (_, before, _, after) in zip(inside, _nearest([labels[i] for i in inside]), strict=True):
         if labels[i] not in ("good", "bad"):
-            # an article's menus say nothing of its other lines, so all that is decided there besides is prose
-            how[i], labels[i] = "inherited" if prose else "prior", "good"
+            how[i] = "inherited" if before or after else "prior"
+            labels[i] = "left" if before == after == "bad" else "taken"
+    labels = [{"left": "bad", "taken": "good"}.get(x, x) for x in labels]
     if "good" not in labels:
         labels = ["good" if x in ("near", "far") else x for x in labels]
         how = ["prior" if not h and x == "good" else h for h, x in zip(how, labels, strict=True)]
