@@ -6,19 +6,23 @@ import itertools
 import math
 import random
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.clean import between, drop_incomplete
 from ..operators.evaluate import error_metrics
-from ..operators.sampling import last_rows
+from ..operators.sampling import last_rows, row_folds
 from ..operators.timeseries import STATION, anchors, targets
+from . import gram
 
 
 @dataclass(frozen=True)
@@ -139,13 +143,70 @@ def evaluate(df: DataFrame, features: list[str], target: str, horizons: list[int
         keep = found.groupBy(*keys, ts).agg(F.collect_set("horizon").alias("_h"))
         ready = ready.join(keep, [*keys, ts]).withColumns({f"y_h{h}": F.when(F.array_contains("_h", h), F.col(f"y_h{h}")) for h in horizons}).drop("_h")
     train, test = sides(ready, split, ts)
-    extra = [c for c in ("area",) if c in df.columns]
+    keep = [*keys, *(c for c in ("area",) if c in df.columns), ts]
+    if make in GRAM:
+        return predict_horizons(test, solve_horizons(train, features, horizons, make, **params), horizons, keep)
     train = train.cache()  # read once per horizon and iteration
     try:
         fitted = train_horizons(train, features, horizons, make, **params)
     finally:
         train.unpersist()
-    return score_horizons(test, fitted, [*keys, *extra, ts])
+    return score_horizons(test, fitted, keep)
+
+
+#: Models that are solved from sums (see ``gram``).
+GRAM = (linear, additive)
+
+
+def design(rows: DataFrame, features: list[str], make: Callable, **params) -> tuple[gram.Design, float]:
+    """The design and the penalty of a model that is solved from sums; the knots of smooths come from ``rows``."""
+    if make is linear:
+        return gram.Linear(tuple(features)), float(params.get("regParam", 0.0))
+    return gram.splines(rows, features, int(params.get("n_splines", 20))), float(params.get("lam", 0.6))
+
+
+def solve_horizons(train: DataFrame, features: list[str], horizons: list[int], make: Callable, **params) -> dict[int, tuple[gram.Design, np.ndarray]]:
+    """The solution of every horizon, from one pass over the training rows."""
+    form, lam = design(train, features, make, **params)
+    found = gram.sums(train, [form], [f"y_h{h}" for h in horizons])
+    totals = {h: found.total(0, f"y_h{h}") for h in horizons}
+    if missing := [h for h, t in totals.items() if t is None]:
+        raise ValueError(f"no complete training rows for horizons {missing}")
+    return {h: (form, t.solve(form, lam)) for h, t in totals.items()}
+
+
+def predict_horizons(test: DataFrame, solved: dict[int, tuple[gram.Design, np.ndarray]], horizons: list[int], keep: list[str]) -> DataFrame:
+    """As ``score_horizons``: all horizons in one pass."""
+    scored = gram.predict(test.select(*keep, *[f"y_h{h}" for h in horizons], *[c for c in next(iter(solved.values()))[0].features if c not in keep]), {f"_p{h}": solved[h] for h in horizons})
+    return _long(scored, {h: F.col(f"_p{h}") for h in horizons}, keep)
+
+
+def _long(scored: DataFrame, predicted: dict[int, Column], keep: list[str]) -> DataFrame:
+    each = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"y_h{h}").cast("double").alias("y_true"), p.alias("y_pred")) for h, p in predicted.items()])
+    return scored.select(*keep, F.explode(each).alias("t")).select(*keep, "t.*").where("y_true IS NOT NULL AND y_pred IS NOT NULL")
+
+
+def leave_each_country_out(df: DataFrame, features: list[str], target: str, horizons: list[int], make: Callable, split: Split, keys=STATION, ts: str = "ts", **params) -> DataFrame:
+    """Predictions of every country by the model of all others: one pass for the sums, one for all models' predictions.
+
+    Countries are few (a code list); each model is the total less its country's sums.
+    """
+    ready = drop_incomplete(targets(df, target, horizons, keys, ts), features)
+    train, test = sides(ready, split, ts)
+    form, lam = design(train, features, make, **params)
+    found = gram.sums(train, [form], [f"y_h{h}" for h in horizons], ("country",))
+    countries = sorted({k[2] for k in found.found if k[2] is not None})
+    solved = {}
+    for h in horizons:
+        whole = found.total(0, f"y_h{h}")
+        for c in countries:
+            own = found.found.get((0, f"y_h{h}", c))
+            if whole is not None and (own is None or whole.n > own.n):
+                solved[f"_p{h}_{c}"] = form, (whole - own if own else whole).solve(form, lam)
+    keep = [*keys, *(c for c in ("area",) if c in df.columns), ts]
+    scored = gram.predict(test.select(*keep, *[f"y_h{h}" for h in horizons], *[c for c in features if c not in keep]), solved)
+    own_model = lambda h: F.coalesce(*[F.when(F.col("country") == c, F.col(f"_p{h}_{c}")) for c in countries if f"_p{h}_{c}" in solved], F.lit(None).cast("double"))
+    return _long(scored, {h: own_model(h) for h in horizons}, keep)
 
 
 def leave_country_out(df: DataFrame, country: str, features: list[str], target: str, horizons: list[int], make: Callable[..., Pipeline], split: Split, **more) -> DataFrame:
@@ -163,10 +224,9 @@ def residual_forecast(df: DataFrame, features: list[str], target: str, horizon:
 
 
 def time_folds(df: DataFrame, n: int, ts: str = "ts", keys=STATION) -> list[tuple[DataFrame, DataFrame]]:
-    """Expanding folds: each validates on the next of n + 1 equal time spans (by quantiles of time)."""
-    cuts = df.select(F.unix_timestamp(ts).alias("t")).approxQuantile("t", [i / (n + 1) for i in range(1, n + 2)], 0.001)
-    t = F.unix_timestamp(ts)
-    return [(df.where(t <= cuts[i]), df.where((t > cuts[i]) & (t <= cuts[i + 1]))) for i in range(n)]
+    """Expanding folds by global row order (time, then keys): each validates on the next of n equal parts at the end."""
+    rows, _ = row_folds(df, n, ts, list(keys))
+    return [(rows.where(F.col("fold") <= i).drop("fold"), rows.where(F.col("fold") == i + 1).drop("fold")) for i in range(n)]
 
 
 def mean_absolute_error(model: PipelineModel, rows: DataFrame, label: str) -> float:
@@ -179,28 +239,84 @@ def draw(grid: dict[str, list], n: int, seed: int = 42) -> list[dict]:
     return every if len(every) <= n else random.Random(seed).sample(every, n)
 
 
-def search_folds(df: DataFrame, features: list[str], label: str, make: Callable[..., Pipeline], grid: dict[str, list], n_draws: int, n_folds: int, ts: str = "ts") -> dict:
-    """The drawn combination with the smallest mean absolute error over expanding time folds."""
-    folds = [(a.cache(), b.cache()) for a, b in time_folds(df.where(F.col(label).isNotNull()), n_folds, ts)]
-    scored = [(sum(mean_absolute_error(make(features, label, **p).fit(a), b, label) for a, b in folds) / n_folds, i, p) for i, p in enumerate(draw(grid, n_draws))]
-    for a, b in folds:
-        a.unpersist()
-        b.unpersist()
-    return min(scored, key=lambda x: x[:2])[2]
+#: Fits that a search runs side by side.
+CONCURRENT = 4
 
 
-def search_holdout(df: DataFrame, features: list[str], label: str, make: Callable[..., Pipeline], grid: dict[str, list], n_draws: int, train_end: str, valid_end: str, last_n: int, least: int, default: dict, ts: str = "ts", keys=STATION) -> dict:
-    """As above on the last rows before a date against the last rows after it; the default where a side is too small."""
+def concurrently(spark, jobs: list[Callable[[], float]], workers: int = CONCURRENT) -> list[float]:
+    """The results of the jobs in order; each runs in a scheduler pool of its own, so that with fair scheduling none waits for another's stages."""
+
+    def one(numbered):
+        i, job = numbered
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"search-{i % workers}")
+        return job()
+
+    with ThreadPoolExecutor(max(1, workers)) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(one), enumerate(jobs)))
+
+
+def search_folds(df: DataFrame, features: list[str], label: str, make: Callable[..., Pipeline], grid: dict[str, list], n_draws: int, n_folds: int, ts: str = "ts", keys=STATION, workers: int = CONCURRENT) -> dict:
+    """The drawn combination with the smallest mean absolute error over expanding folds by row order.
+
+    Models that are solved from sums need one pass for all folds and draws and one for their errors; others are
+    fitted side by side on folds that are cached once.
+    """
+    draws = draw(grid, n_draws)
     known = df.where(F.col(label).isNotNull())
-    train = last_rows(between(known, ts, None, train_end), last_n, ts, list(keys)).cache()
-    valid = last_rows(between(known, ts, None, valid_end).where(F.col(ts) > F.lit(train_end).cast("timestamp")), last_n, ts, list(keys)).cache()
+    rows, _ = row_folds(known, n_folds, ts, list(keys))
+    rows = rows.cache()
+    try:
+        rows.count()  # before several fits ask for it at once
+        if make in GRAM:
+            errors = _gram_errors(rows, features, label, make, draws, [(F.col("fold") <= i, F.col("fold") == i + 1, lambda g, i=i: int(g[0]) <= i) for i in range(n_folds)], ("fold",))
+        else:
+            jobs = [lambda p=p, i=i: mean_absolute_error(make(features, label, **p).fit(rows.where(F.col("fold") <= i)), rows.where(F.col("fold") == i + 1), label) for p in draws for i in range(n_folds)]
+            each = concurrently(df.sparkSession, jobs, workers)
+            errors = [sum(each[k * n_folds : (k + 1) * n_folds]) / n_folds for k in range(len(draws))]
+    finally:
+        rows.unpersist()
+    return draws[min(range(len(draws)), key=lambda k: (errors[k], k))]
+
+
+def _gram_errors(rows: DataFrame, features: list[str], label: str, make: Callable, draws: list[dict], folds: list[tuple], groups: tuple[str, ...]) -> list[float]:
+    """Mean absolute error of each draw over folds (training rows, validation rows, training groups); one pass for the sums, one for the errors."""
+    ends = {}  # one design for each number of splines
+    for p in draws:
+        key = p.get("n_splines") if make is additive else None
+        if key not in ends:
+            ends[key] = design(rows.where(folds[-1][0]), features, make, **p)[0] if not ends or make is linear else replace(next(iter(ends.values())), n_splines=int(key))
+    forms = list(ends.values())
+    found = gram.sums(rows, forms, [label], groups)
+    models, where = {}, {}
+    for k, p in enumerate(draws):
+        d = list(ends).index(p.get("n_splines") if make is additive else None)
+        lam = float(p.get("lam", 0.6)) if make is additive else float(p.get("regParam", 0.0))
+        for i, (_, valid, mine) in enumerate(folds):
+            total = found.total(d, label, mine)
+            if total is not None:
+                models[f"_m{k}_{i}"], where[f"_m{k}_{i}"] = (forms[d], total.solve(forms[d], lam)), valid
+    errors = gram.absolute_errors(rows, models, dict.fromkeys(models, label), where) if models else {}
+    return [sum(errors.get(f"_m{k}_{i}", float("inf")) for i in range(len(folds))) / len(folds) for k in range(len(draws))]
+
+
+def search_holdout(df: DataFrame, features: list[str], label: str, make: Callable[..., Pipeline], grid: dict[str, list], n_draws: int, train_end: str, valid_end: str, last_n: int, least: int, default: dict, ts: str = "ts", keys=STATION, workers: int = CONCURRENT) -> dict:
+    """As above on the last rows before a date against the last rows after it; the default where a side is too small."""
+    known, draws = df.where(F.col(label).isNotNull()), draw(grid, n_draws)
+    train = last_rows(between(known, ts, None, train_end), last_n, ts, list(keys)).withColumn("_side", F.lit(0))
+    valid = last_rows(between(known, ts, None, valid_end).where(F.col(ts) > F.lit(train_end).cast("timestamp")), last_n, ts, list(keys)).withColumn("_side", F.lit(1))
+    rows = train.unionByName(valid).cache()
     try:
-        if min(train.count(), valid.count()) <= least:
+        counts = {r["_side"]: r["count"] for r in rows.groupBy("_side").count().collect()}
+        if min(counts.get(0, 0), counts.get(1, 0)) <= least:
             return default
-        return min(((mean_absolute_error(make(features, label, **p).fit(train), valid, label), i, p) for i, p in enumerate(draw(grid, n_draws))), key=lambda x: x[:2])[2]
+        a, b = F.col("_side") == 0, F.col("_side") == 1
+        if make in GRAM:
+            errors = _gram_errors(rows, features, label, make, draws, [(a, b, lambda g: g[0] == "0")], ("_side",))
+        else:
+            errors = concurrently(df.sparkSession, [lambda p=p: mean_absolute_error(make(features, label, **p).fit(rows.where(a)), rows.where(b), label) for p in draws], workers)
+        return draws[min(range(len(draws)), key=lambda k: (errors[k], k))]
     finally:
-        train.unpersist()
-        valid.unpersist()
+        rows.unpersist()
 
 
 def linear_attributions(model: PipelineModel, rows: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
