@@ -46,11 +46,16 @@ def _part_of(seconds: Column, hours: int) -> Column:
 
 def in_slices(df: DataFrame, build: Callable[[DataFrame, tuple], DataFrame], back: int = 0, ahead: int = 0, keys=STATION, ts: str = "ts", keep_part: bool = False) -> DataFrame:
     """``build(rows, keys)`` over parts of each series that know ``back`` hours before and ``ahead`` hours after them."""
+    x, own_rows = with_halo(df, back, ahead, ts)
+    own = build(x, (*keys, PART)).where(own_rows)
+    return own if keep_part else own.drop(PART)
+
+
+def with_halo(df: DataFrame, back: int, ahead: int, ts: str = "ts") -> tuple[DataFrame, Column]:
+    """The rows of each part and those within reach of it, and the condition that tells a part's own rows."""
     hours = max(SPAN, 8 * (back + ahead))
     reached = F.sequence(_part_of(epoch(ts) - ahead * HOUR, hours), _part_of(epoch(ts) + back * HOUR, hours))
-    x = df.select("*", F.explode_outer(reached).alias(PART))
-    own = build(x, (*keys, PART)).where(F.col(PART).eqNullSafe(_part_of(epoch(ts), hours)))
-    return own if keep_part else own.drop(PART)
+    return df.select("*", F.explode_outer(reached).alias(PART)), F.col(PART).eqNullSafe(_part_of(epoch(ts), hours))
 
 
 def at_offset(column: str, hours: int, keys=STATION, ts: str = "ts") -> Column:

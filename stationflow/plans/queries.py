@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes, scalars
-from ..operators import clean, evaluate, joins, sampling, scaling, timeseries
+from ..operators import clean, evaluate, joins, sampling, scaling, sequences, timeseries
 from ..sources import fixtures, readers, sinks
 from ..streaming import running
-from . import features, models
+from . import boosting, features, models
 from .registry import KEYS, STATION, STATIONS_SQL, ahead, back, last, long_sql, query, r6, wide_sql
 
 TRAIN_END, TEST_START, TEST_END = "2024-01-20 23:00:00", "2024-01-21 00:00:00", "2024-01-30 23:00:00"
@@ -18,6 +18,14 @@ DENSE = fixtures.DENSE
 H = [1, 3, 6]
 
 
+def _fill_sql(source: str, columns: list[str], name: str) -> str:
+    """CTE ``name``: the source with its columns filled by row position."""
+    seen = lambda x, after: f"{'first' if after else 'last'}_value({x} IGNORE NULLS) OVER ({STATION} ROWS BETWEEN {'CURRENT ROW AND UNBOUNDED FOLLOWING' if after else 'UNBOUNDED PRECEDING AND CURRENT ROW'})"
+    ends = ", ".join(f"{seen(c, e)} AS {c}_v{e}, {seen(f'CASE WHEN {c} IS NOT NULL THEN p END', e)} AS {c}_p{e}" for c in columns for e in (0, 1))
+    new = ", ".join(f"coalesce({c}, {c}_v0 + ({c}_v1 - {c}_v0) * (p - {c}_p0) / ({c}_p1 - {c}_p0), {c}_v0, {c}_v1) AS {c}" for c in columns)
+    return f"{name}_n AS (SELECT *, row_number() OVER ({STATION}) AS p FROM {source}), {name}_e AS (SELECT *, {ends} FROM {name}_n), {name} AS (SELECT * REPLACE ({new}) FROM {name}_e)"
+
+
 # --- fixtures that several queries share -------------------------------------------------------
 
 POINTS_SQL = """points AS (SELECT s_suppkey, CASE s_suppkey % 7
@@ -193,7 +201,7 @@ def s7_metrics_scan(spark, d):
     folder, m = sinks.scratch(spark), metrics(spark, d)
     for k in ("persistence", "mean3"):
         sinks.write_csv(m.where(F.col("model") == k).select(F.col("scope").alias("Scope"), F.col("grp").alias("Group"), "horizon", F.col("mae").alias("MAE"), F.col("rmse").alias("RMSE")), f"{folder}/m_{k}.csv")
-    found = readers.read_metrics(spark, [f"{folder}/m_{k}.csv" for k in ("persistence", "mean3")], {"m_mean3": "Mean of three"})
+    found = readers.read_metrics(spark, [f"{folder}/m_{k}.csv" for k in ("persistence", "mean3")], {"m_mean3": "Mean of three"}, skip="baseline")
     return found.select("stem", "model", F.col("Scope").alias("scope"), F.col("Group").alias("grp"), "horizon", F.col("RMSE").alias("rmse"))
 
 
@@ -632,6 +640,30 @@ def w10_sequences(spark, d):
     return x.select(*K, "ts", F.size("sequence").alias("n_rows"), F.round(total, 4).alias("total"))
 
 
+LOOKBACK = 24
+# z-scores by the training rows of each station; no2 is filled first
+_EACH_SQL = f"""{wide_sql(DENSE)}, seen AS (SELECT country, site_number, ts, pm25, no2, pm10 FROM wide WHERE pm25 IS NOT NULL), {_fill_sql('seen', ['no2'], 'whole')},
+stats AS (SELECT country, site_number, {', '.join(f'avg({c}) AS {c}_m, CASE WHEN stddev_pop({c}) < 1e-6 THEN 1 ELSE stddev_pop({c}) END AS {c}_s' for c in ('pm25', 'no2'))} FROM whole WHERE ts <= TIMESTAMP '{TRAIN_END}' GROUP BY 1, 2),
+g AS (SELECT w.country, w.site_number, w.ts, pm25, {', '.join(f'(({c} - {c}_m) / {c}_s)::FLOAT::DOUBLE AS {c}_z' for c in ('pm25', 'no2'))}, {', '.join(f'max(pm25) OVER h{h} AS y{h}' for h in H)}, coalesce(epoch(w.ts) - epoch(lag(w.ts) OVER s), 0) AS gap FROM whole w JOIN stats ON w.country = stats.country AND w.site_number = stats.site_number
+  WINDOW s AS (PARTITION BY w.country, w.site_number ORDER BY w.ts), {', '.join(f'h{h} AS (PARTITION BY w.country, w.site_number ORDER BY w.ts RANGE BETWEEN INTERVAL {h} HOUR FOLLOWING AND INTERVAL {h} HOUR FOLLOWING)' for h in H)}),
+i AS (SELECT *, sum((gap > 7200)::INT) OVER ({STATION} ROWS UNBOUNDED PRECEDING) AS sid FROM g),
+q AS (SELECT *, row_number() OVER p AS pos, count(*) OVER (PARTITION BY country, site_number, sid) AS len, sum(pm25_z + no2_z) OVER (p ROWS {LOOKBACK - 1} PRECEDING) AS total FROM i WINDOW p AS (PARTITION BY country, site_number, sid ORDER BY ts)),
+e AS (SELECT *, unnest({H}) AS horizon, unnest([{', '.join(f'y{h}' for h in H)}]) AS y_true FROM q WHERE pos >= {LOOKBACK} AND len >= {LOOKBACK + max(H) + 1})
+SELECT {KEYS}, horizon::BIGINT AS horizon, {2 * LOOKBACK}::BIGINT AS n_values, round(total, 3) AS total, round(y_true, 6) AS y_true, round(pm25, 6) AS y_persistence FROM e WHERE pos <= len - horizon AND y_true IS NOT NULL"""
+
+
+@query(f"WITH {_EACH_SQL}")
+def w10_packed_sequences(spark, d):
+    """Scaled features, packed by part, written, and cut into windows as they are read back."""
+    x = timeseries.fill_gaps(_present(spark, d, DENSE), ["no2"])
+    scalers = scaling.station_scalers(clean.between(x, "ts", None, TRAIN_END), ["pm25", "no2"], K)
+    z = scaling.standardise(x.withColumns({"pm25_z": F.col("pm25"), "no2_z": F.col("no2")}), scalers.withColumn("feature", F.concat("feature", F.lit("_z"))), ["pm25_z", "no2_z"], K)
+    packed = sequences.pack(z, ["pm25_z", "no2_z"], "pm25", H, LOOKBACK)
+    sinks.land(packed, folder := sinks.scratch(spark))
+    total = F.aggregate("sequence", F.lit(0.0), lambda a, s: a + s.cast("double"))
+    return sequences.read_windows(spark.read.parquet(folder), H, LOOKBACK).select(*K, "ts", "horizon", F.size("sequence").alias("n_values"), F.round(total, 3).alias("total"), "y_true", "y_persistence")
+
+
 FILL_SQL = f"""{wide_sql()}, n AS (SELECT *, row_number() OVER ({STATION}) AS p FROM wide), f AS (SELECT *, CASE WHEN no2 IS NOT NULL THEN p END AS q FROM n),
 g AS (SELECT *, last_value(no2 IGNORE NULLS) OVER a AS v0, last_value(q IGNORE NULLS) OVER a AS p0, first_value(no2 IGNORE NULLS) OVER b AS v1, first_value(q IGNORE NULLS) OVER b AS p1 FROM f
   WINDOW a AS ({STATION} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS ({STATION} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
@@ -964,6 +996,15 @@ def m4_boosted_trees(spark, d):
     return joins.union_all(found)
 
 
+@query()
+def m4_histogram_boosting(spark, d):
+    """Second-order histogram trees by depth and by leaf, stopped early by the last days before the split."""
+    x = _feature_rows(spark, d).withColumn("held", F.col("ts") >= F.lit(VALID_START).cast("timestamp"))
+    more = {"depth": {"rounds": 20, "max_depth": 4}, "leaf": {"rounds": 12, "max_leaves": 12}}
+    found = [evaluate.error_metrics(models.evaluate(x, FEATURES, "pm25", [1], boosting.boosting, SPLIT, preset=p, validation="held", learning_rate=0.2, stop_after=5, **m)).withColumn("model", F.lit(p)) for p, m in more.items()]
+    return joins.union_all(found)
+
+
 @query()
 def m5_additive_splines(spark, d):
     return evaluate.error_metrics(models.evaluate(_feature_rows(spark, d), FEATURES, "pm25", [1], models.additive, SPLIT, n_splines=20, lam=0.6))
@@ -1040,14 +1081,6 @@ def x2_gap_sessions(spark, d):
     return running.gap_sessions(_present(spark, d).select(*K, "ts"), K)
 
 
-def _fill_sql(source: str, columns: list[str], name: str) -> str:
-    """CTE ``name``: the source with its columns filled by row position."""
-    seen = lambda x, after: f"{'first' if after else 'last'}_value({x} IGNORE NULLS) OVER ({STATION} ROWS BETWEEN {'CURRENT ROW AND UNBOUNDED FOLLOWING' if after else 'UNBOUNDED PRECEDING AND CURRENT ROW'})"
-    ends = ", ".join(f"{seen(c, e)} AS {c}_v{e}, {seen(f'CASE WHEN {c} IS NOT NULL THEN p END', e)} AS {c}_p{e}" for c in columns for e in (0, 1))
-    new = ", ".join(f"coalesce({c}, {c}_v0 + ({c}_v1 - {c}_v0) * (p - {c}_p0) / ({c}_p1 - {c}_p0), {c}_v0, {c}_v1) AS {c}" for c in columns)
-    return f"{name}_n AS (SELECT *, row_number() OVER ({STATION}) AS p FROM {source}), {name}_e AS (SELECT *, {ends} FROM {name}_n), {name} AS (SELECT * REPLACE ({new}) FROM {name}_e)"
-
-
 FEATURES_SQL = f"""{wide_sql()}, {WEATHER_SQL}, seen AS (SELECT * FROM wide WHERE pm25 IS NOT NULL), {_fill_sql('seen', ['no2', 'pm10'], 'whole')},
 windy AS (SELECT w.country, w.site_number, w.ts, pm25, no2, pm10, wind_speed, wind_direction FROM whole w LEFT JOIN weather x ON w.country = x.country AND w.site_number = x.site_number AND w.ts = x.ts), {_fill_sql('windy', ['wind_speed', 'wind_direction'], 'filled')},
 l AS (SELECT *, timezone({ZONE_SQL}, timezone('UTC', ts)) AS lt FROM filled)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.codes import country_code
 
+# Columns of the input files.
 MEASUREMENTS = "Samplingpoint string, Start timestamp, Value double, PollutantName string"
-METRICS = "Scope string, `Group` string, horizon int, MAE double, RMSE double, R2 double, Bias double, Count long"
 METADATA = "Country string, `Air Quality Station EoI Code` string, `Air Quality Station Nat Code` string, `Sampling Point Id` string, Latitude double, Longitude double, Altitude double, `Air Quality Station Type` string, `Air Quality Station Area` string"
 
 
@@ -63,45 +64,76 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return s.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+# The columns of metrics files, in any order and number; others are left out.
+METRICS_COLUMNS = """Scope string, `Group` string, horizon int, MAE double, RMSE double, R2 double, Bias double, Count long, MAE_persistence double, RMSE_persistence double,
+  skill_vs_persistence_mae double, MAE_skill double, RMSE_skill double"""
+#: Columns that every metrics file must have.
+REQUIRED = ("Scope", "Group", "horizon", "MAE", "RMSE")
+#: Most columns of a metrics file.
+WIDEST = 32
+
+
+def _scan_metrics(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(stem, header, fields) of every line of any number of CSV files, in one scan: a file's columns are told by its own header.
+
+    A file is a path, or a folder of part files that Spark wrote; every part has the header.
+    """
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path")).where("trim(value) <> ''")
+    stem = F.regexp_extract("path", r"([^/]+?)(?:\.csv)?(?:/part-[^/]*)?$", 1)
+    names = ", ".join(f"c{i} string" for i in range(WIDEST))
+    parsed = F.from_csv("value", names)
+    fields = F.array(*[F.trim(parsed[f"c{i}"]) for i in range(WIDEST)])
+    x = lines.select("path", F.try_url_decode(stem).alias("stem"), fields.alias("fields"))
+    has = lambda name: F.coalesce(F.array_contains("fields", name), F.lit(False))
+    is_header = has("Scope") & (has("horizon") | has("Group"))
+    headers = x.where(is_header).groupBy("path").agg(F.first("fields").alias("header"))
+    return x.where(~is_header).join(headers, "path", "left")
+
+
+def _by_name(lines: DataFrame) -> DataFrame:
+    """The known columns of each line by its file's header; NULL where the file has none such."""
+    wanted = [(f.name, f.dataType) for f in T.StructType.fromDDL(METRICS_COLUMNS)]
+    value = lambda name: F.when(F.array_contains("header", name), F.element_at("fields", F.array_position("header", name).cast("int")))
+    return lines.select("stem", *[value(n).try_cast(t).alias(n) for n, t in wanted])
+
+
+def _lacking(lines: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
+    """(stem, missing columns) of the files that lack some; one aggregate over all files."""
+    missing = F.array_except(F.array(*map(F.lit, wanted)), F.coalesce("header", F.array().cast("array<string>")))
+    return lines.groupBy("stem").agg(F.first(missing).alias("missing")).where("size(missing) > 0")
+
+
 def read_model_metrics(spark: SparkSession, folder: str, models: dict[str, dict[str, str]], protocol: str, skill: bool = False) -> DataFrame:
-    """Metrics of the models of one protocol, with their labels.
+    """Metrics of the models of one protocol, with their labels; one scan of the folder for any number of models.
 
     ``models`` has for each model its ``label``, and the file's stem by protocol. A baseline column is
     dropped; files that are missing or (``skill``) lack the skill columns are left out with a warning.
     """
-    wanted = ["Scope", "Group", "horizon", "MAE", "RMSE", *(("MAE_skill", "RMSE_skill") if skill else ())]
-    out = None
-    for name, about in models.items():
-        if protocol not in about:
-            continue
-        try:
-            found = spark.read.option("header", True).option("inferSchema", True).csv(f"{folder}/{about[protocol]}.csv").drop("baseline")
-        except AnalysisException as e:
-            print(f"skipped {about[protocol]}: {e.getCondition()}")
-            continue
-        if missing := [c for c in wanted if c not in found.columns]:
-            print(f"skipped {about[protocol]}: it lacks {', '.join(missing)}")
-            continue
-        tagged = found.withColumns({"model": F.lit(name), "label": F.lit(about["label"]), "protocol": F.lit(protocol)})
-        out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=True)
-    if out is None:
+    known = {about[protocol]: (name, about["label"]) for name, about in models.items() if protocol in about}
+    wanted = (*REQUIRED, *(("MAE_skill", "RMSE_skill") if skill else ()))
+    if not known:
         raise ValueError(f"no metrics of protocol {protocol} are present")
-    return out
+    try:
+        lines = _scan_metrics(spark, [f"{folder}/{{{','.join(f'{s},{s}.csv' for s in known)}}}"])
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise ValueError(f"no metrics of protocol {protocol} are present") from e
+    bad = {r["stem"]: r["missing"] for r in _lacking(lines, wanted).collect()}  # at most one row a model
+    for stem, missing in sorted(bad.items()):
+        print(f"skipped {stem}: it lacks {', '.join(missing)}")
+    tags = F.create_map(*[F.lit(v) for stem, (name, _) in known.items() for v in (stem, name)]), F.create_map(*[F.lit(v) for stem, (_, label) in known.items() for v in (stem, label)])
+    rows = _by_name(lines.where(~F.col("stem").isin(sorted(bad)))) if bad else _by_name(lines)
+    return rows.withColumns({"model": tags[0][F.col("stem")], "label": tags[1][F.col("stem")], "protocol": F.lit(protocol)}).drop("stem")
 
 
 def read_metrics(spark: SparkSession, paths: list[str], models: dict[str, str] | None = None, skip: str = "persistence") -> DataFrame:
-    """Metrics files with their stem (and model name); files named after ``skip`` are left out, and so is a baseline column."""
-    out = None
-    for path in paths:
-        stem = path.rstrip("/").rsplit("/", 1)[-1].removesuffix(".csv")
-        if skip and stem.startswith(skip):
-            continue
-        found = spark.read.option("header", True).option("inferSchema", True).csv(path)
-        missing = [c for c in ("Scope", "Group", "horizon", "MAE", "RMSE") if c not in found.columns]
-        if missing:
-            raise ValueError(f"{stem} lacks {', '.join(missing)}")
-        tagged = found.drop("baseline").withColumns({"stem": F.lit(stem), "model": F.lit((models or {}).get(stem, stem))})
-        out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=True)
-    if out is None:
+    """Metrics files with their stem (and model name), in one scan; files whose names contain ``skip`` (in any case) are left out, and so is a baseline column."""
+    chosen = [p for p in paths if not (skip and skip.lower() in p.rstrip("/").rsplit("/", 1)[-1].lower())]
+    if not chosen:
         raise ValueError("no metrics file is present")
-    return out
+    lines = _scan_metrics(spark, chosen)
+    if bad := _lacking(lines, REQUIRED).first():
+        raise ValueError(f"{bad['stem']} lacks {', '.join(bad['missing'])}")
+    named = F.create_map(*[F.lit(v) for pair in (models or {}).items() for v in pair]) if models else None
+    return _by_name(lines).withColumn("model", F.coalesce(named[F.col("stem")], F.col("stem")) if named is not None else F.col("stem"))
