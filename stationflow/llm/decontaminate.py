@@ -5,13 +5,14 @@ Words are runs of ASCII letters and digits and non-ASCII bytes, A-Z lower-cased;
 one word at a time, and the exact weighted Jaccard similarity of the shingle counts decides, at
 ``LEAST`` or more. No window of that similarity is lost:
 
-An item is looked up by its rarest shingles, so many that a window with none of them has too few
-of the others. A window's shingles that the item has, at whatever count, bound their similarity
-from above; windows whose bound is under ``LEAST``, or cannot beat the best one so far, end there.
-
-64-bit SimHashes (sums of the shingles' bits, cut into ``RADIUS + 1`` blocks, so two fingerprints
-within the radius agree in at least one block, and items are looked up by length, block number and
-block value) only say which windows are verified first, so that the others end by their bound.
+* Windows that hold none of an item's rarest shingles have too few of the others and end there. All other windows
+  get a 64-bit SimHash (the signs of the sums of their shingles' bits).
+* Candidates come from multi-index Hamming blocks: fingerprints are cut into ``RADIUS + 1`` blocks, and items are
+  looked up by length, block number and block value, so every item within the radius of a window is found. Two windows
+  of similarity 0.8 differ in about 10 bits (deviation 3), so ``RADIUS`` loses next to none.
+* Exact weighted Jaccard decides on each candidate; the count of shared shingles bounds it from above and ends most.
+* What the radius misses is added by a pass of its own over the windows whose bound reaches ``LEAST``
+  (``extra=False`` leaves it out). ``distance`` and ``by_radius`` tell which of the two found a match.
 
 Items are taken in blocks of about ``BLOCK`` items and ``BLOCK_BYTES`` of text at most. Only one block
 is at the driver and broadcast at a time: its matches are written to the shared folder and it is
@@ -21,8 +22,8 @@ written or shuffled, and with several ``drop_leaks`` joins the documents with th
 
 Defined results: null or empty texts and items match nothing; an item with fewer than
 ``SHINGLE`` words is one shingle of all its words; a document shorter than an item has one window,
-itself; repeated rows give repeated results; repeated items match alike; ties between windows
-go to the first; extra columns are ignored.
+itself; very long documents are read whole; an empty table of documents or of items gives no leaks; repeated rows give repeated
+results; repeated items match alike; ties between windows go to the first; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, row_slices, stored, text_buffers
 from .words import NON_WORD, document_words, fold, shingle_hashes
 
-SHINGLE, LEAST, RADIUS, BLOCK, BLOCK_BYTES = 5, 0.8, 15, 20_000, 8 << 20
+SHINGLE, LEAST, RADIUS, BLOCK, BLOCK_BYTES = 5, 0.8, 22, 20_000, 8 << 20
 _BITS = np.arange(64, dtype=np.uint64)
 
 
@@ -62,8 +63,8 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
 class Index:
     """Items by rare shingle, and fingerprints by length and block."""
 
-    def __init__(self, items: list[tuple[int, bytes]], radius: int = RADIUS, least: float = LEAST):
-        self.radius, self.least, self.ids = radius, least, [i for i, _ in items]
+    def __init__(self, items: list[tuple[int, bytes]], radius: int = RADIUS, least: float = LEAST, extra: bool = True):
+        self.radius, self.least, self.extra, self.ids = radius, least, extra, [i for i, _ in items]
         raw = np.frombuffer(b"".join(t for _, t in items), np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(t) for _, t in items], dtype=np.int64)])
         words, first = document_words(raw, offsets, NON_WORD)
@@ -86,27 +87,34 @@ class Index:
         edges = np.linspace(0, 64, radius + 2).astype(int)
         self.blocks = [(np.uint64(a), np.uint64((1 << int(b - a)) - 1)) for a, b in zip(edges, edges[1:], strict=False)]
         self.prints = np.array([int(pack(signs(s).sum(0)[None])[0]) if len(s) else 0 for s in self.shingles], np.uint64)
-        self.table: dict[tuple[int, int, int], list[int]] = {}
-        for i, (n, p) in enumerate(zip(self.n_words.tolist(), self.prints, strict=True)):
-            if n:
-                for k, (shift, mask) in enumerate(self.blocks):
-                    self.table.setdefault((n, k, int(p >> shift & mask)), []).append(i)
+        # by length and block: the block values in order, and their items
+        self.table: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for n in np.unique(self.n_words[self.n_words > 0]).tolist():
+            own = np.flatnonzero(self.n_words == n)
+            for k, (shift, mask) in enumerate(self.blocks):
+                values = self.prints[own] >> shift & mask
+                order = np.argsort(values, kind="stable")
+                self.table[n, k] = values[order], own[order]
 
     def near(self, n: int, prints: np.ndarray) -> list[tuple[int, int]]:
         """(window, item) pairs of length n within the radius, each once."""
-        pairs = set()
+        pairs = [np.zeros(0, np.int64)]
         for k, (shift, mask) in enumerate(self.blocks):
-            values = (prints >> shift & mask).tolist()
-            pairs.update((w, i) for w, v in enumerate(values) for i in self.table.get((n, k, v), ()))
-        if not pairs:
-            return []
-        w, i = np.array(sorted(pairs)).T
+            if (n, k) not in self.table:
+                return []
+            values, items = self.table[n, k]
+            wanted = prints >> shift & mask
+            left, right = np.searchsorted(values, wanted, "left"), np.searchsorted(values, wanted, "right")
+            repeat = right - left
+            entry = np.repeat(left - np.concatenate([[0], np.cumsum(repeat)[:-1]]), repeat) + np.arange(repeat.sum())
+            pairs.append(np.repeat(np.arange(len(prints)), repeat) * len(self.ids) + items[entry])
+        w, i = np.divmod(np.unique(np.concatenate(pairs)), max(1, len(self.ids)))
         close = np.bitwise_count(prints[w] ^ self.prints[i]) <= self.radius
         return list(zip(w[close].tolist(), i[close].tolist(), strict=True))
 
-    def matches(self, words: np.ndarray, hits: np.ndarray, owners: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """(item, first word, words, similarity) of a document's best window for each item, from the places of its rare shingles."""
-        best: dict[int, tuple[float, int, int]] = {}
+    def matches(self, words: np.ndarray, hits: np.ndarray, owners: np.ndarray) -> list[tuple[int, int, int, float, int]]:
+        """(item, first word, words, similarity, distance) of a document's best window for each item, from the places of its rare shingles."""
+        best: dict[int, tuple[float, int, int, int]] = {}
         spans = self.n_words[owners]
         for n in np.unique(spans).tolist():
             size = min(n, len(words))
@@ -118,38 +126,42 @@ class Index:
             places = hits[spans == n]
             low, high = max(0, places.min() - count + 1), min(last, places.max()) + size
             own = fold(words[low:high], wide)
-            open_windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            starts = {}
             for i in np.unique(owners[spans == n]).tolist():
-                starts = np.unique((hits[owners == i][:, None] - np.arange(count)[None]).ravel())
-                at = starts[(starts >= 0) & (starts <= last)] - low
-                held = np.concatenate([[0], np.cumsum(np.isin(own, self.shingles[i]))])
-                shared = held[at + count] - held[at]
-                bound = shared / np.maximum(1, count + len(self.shingles[i]) - shared)
-                if (bound >= self.least).any():
-                    open_windows[i] = at[bound >= self.least], bound[bound >= self.least]
-            if not open_windows:
+                at = np.unique((hits[owners == i][:, None] - np.arange(count)[None]).ravel())
+                starts[i] = at[(at >= 0) & (at <= last)] - low
+            at = np.unique(np.concatenate(list(starts.values())))
+            if not len(at):
                 continue
-            at = np.unique(np.concatenate([x for x, _ in open_windows.values()]))
-            # only the stretch of the open windows is fingerprinted
             base = int(at[0])
             summed = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(own[base : at[-1] + count]), 0, dtype=np.int32)])
-            close = {(i, int(at[w])) for w, i in self.near(n, pack(summed[at - base + count] - summed[at - base]))}
-            for i, (windows, bounds) in open_windows.items():
+            prints = pack(summed[at - base + count] - summed[at - base])
+            candidates: dict[int, set[int]] = {}
+            for w, i in self.near(n, prints):
+                candidates.setdefault(i, set()).add(int(at[w]))
+            place = {int(w): k for k, w in enumerate(at)}
+            for i in sorted({*candidates, *(starts if self.extra else ())}):
+                held = np.concatenate([[0], np.cumsum(np.isin(own, self.shingles[i]))])
                 top, first = 0.0, -1
-                for w, bound in sorted(zip(windows.tolist(), bounds.tolist(), strict=True), key=lambda x: ((i, x[0]) not in close, x[0])):  # noqa: B023
-                    if bound < top or bound == top and w > first:
-                        continue
-                    s = weighted_jaccard(own[w : w + count], self.shingles[i])
-                    if s >= self.least and (s > top or s == top and w < first):
-                        top, first = s, w
+                # the candidates, and then what the radius has missed
+                for some in (candidates.get(i, set()), set(starts.get(i, at[:0]).tolist()) - candidates.get(i, set()) if self.extra else set()):
+                    windows = np.array(sorted(some), np.int64)
+                    shared = held[windows + count] - held[windows]
+                    bounds = shared / np.maximum(1, count + len(self.shingles[i]) - shared)
+                    for w, bound in zip(windows[bounds >= self.least].tolist(), bounds[bounds >= self.least].tolist(), strict=True):
+                        if bound < top or bound == top and w > first:
+                            continue
+                        s = weighted_jaccard(own[w : w + count], self.shingles[i])
+                        if s >= self.least and (s > top or s == top and w < first):
+                            top, first = s, w
                 if first >= 0:
-                    best[i] = (top, int(low + first), size)
-        return [(i, start, size, s) for i, (s, start, size) in sorted(best.items())]
+                    best[i] = (top, int(low + first), size, int(np.bitwise_count(prints[place[first]] ^ self.prints[i])))
+        return [(i, start, size, s, d) for i, (s, start, size, d) in sorted(best.items())]
 
-    def scan(self, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, float]]:
-        """(document, item, first word, words, similarity) of every match in some texts."""
+    def scan(self, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, float, int]]:
+        """(document, item, first word, words, similarity, distance) of every match in some texts."""
         words, first = document_words(raw, offsets, NON_WORD)
-        found: list[tuple[int, int, int, int, float]] = []
+        found: list[tuple[int, int, int, int, float, int]] = []
         sizes = [SHINGLE, *([x for x in np.unique(self.n_words[self.n_words < SHINGLE]).tolist() if x] if self.short else [])]
         doc_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
         hits: list[tuple[np.ndarray, np.ndarray]] = []
@@ -177,7 +189,7 @@ class Index:
         return found
 
 
-def indexes(benchmark: DataFrame, block: int = BLOCK) -> tuple[int, Iterator[Index]]:
+def indexes(benchmark: DataFrame, block: int = BLOCK, extra: bool = True) -> tuple[int, Iterator[Index]]:
     """The number of blocks of items, and one index for each; a block has about ``block`` items and ``BLOCK_BYTES``."""
     items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
@@ -186,20 +198,20 @@ def indexes(benchmark: DataFrame, block: int = BLOCK) -> tuple[int, Iterator[Ind
     def each():
         for k in range(n_blocks):
             rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).toArrow().to_pylist()
-            yield Index(sorted(((r["item_id"], r["text"].encode()) for r in rows), key=repr))
+            yield Index(sorted(((r["item_id"], r["text"].encode()) for r in rows), key=repr), extra=extra)
 
     return n_blocks, each()
 
 
-def _found(index: Index, column: pa.Array) -> list[tuple[int, int, int, int, float]]:
+def _found(index: Index, column: pa.Array) -> list[tuple[int, int, int, int, float, int]]:
     raw, offsets = text_buffers(column)
     return [(d + i, *m) for i, j in row_slices(offsets) for d, *m in index.scan(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
 
 
-def _by_block(docs: DataFrame, benchmark: DataFrame, block: int, schema: str, rows_of) -> DataFrame:
+def _by_block(docs: DataFrame, benchmark: DataFrame, block: int, schema: str, rows_of, extra: bool = True) -> DataFrame:
     """What ``rows_of(index, batch)`` gives over all blocks of items."""
     spark, parts = docs.sparkSession, []
-    n_blocks, each = indexes(benchmark, block)
+    n_blocks, each = indexes(benchmark, block, extra)
     for index in each:
         sent = spark.sparkContext.broadcast(index)
 
@@ -215,16 +227,17 @@ def _by_block(docs: DataFrame, benchmark: DataFrame, block: int, schema: str, ro
     return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, item_id, first_word, n_words and similarity of each leaked item's best window."""
+def find_leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, extra: bool = True) -> DataFrame:
+    """doc_id, item_id, first_word, n_words and similarity of each leaked item's best window, its fingerprint's distance and whether that is within the radius."""
 
     def rows_of(index: Index, b: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(d, index.ids[i], s, n, x) for d, i, s, n, x in _found(index, b.column(1))]
+        rows = [(d, index.ids[i], s, n, x, far, far <= index.radius) for d, i, s, n, x, far in _found(index, b.column(1))]
         ids = b.column(0).cast(pa.int64()).to_pylist()
-        columns = [[ids[r[0]] for r in rows], *([r[k] for r in rows] for k in range(1, 5))]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 4 else pa.int64()) for k, c in enumerate(columns)], ["doc_id", "item_id", "first_word", "n_words", "similarity"])
+        columns = [[ids[r[0]] for r in rows], *([r[k] for r in rows] for k in range(1, 7))]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "item_id", "first_word", "n_words", "similarity", "distance", "by_radius"])
 
-    return _by_block(docs.select("doc_id", "text"), benchmark, block, "doc_id bigint, item_id bigint, first_word bigint, n_words bigint, similarity double", rows_of)
+    return _by_block(docs.select("doc_id", "text"), benchmark, block, "doc_id bigint, item_id bigint, first_word bigint, n_words bigint, similarity double, distance bigint, by_radius boolean", rows_of, extra)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:

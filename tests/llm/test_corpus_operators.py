@@ -349,7 +349,19 @@ def test_no_window_just_above_the_threshold_is_lost():
             if best[0] >= 0.8:
                 expected.append((d, i, -best[1], size, best[0]))
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    assert sorted(index.scan(np.frombuffer(b"".join(texts), np.uint8), offsets)) == expected and sum(x[4] < 0.83 for x in expected) > 20
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    assert sorted(x[:5] for x in index.scan(raw, offsets)) == expected and sum(x[4] < 0.83 for x in expected) > 20
+    # the Hamming blocks alone: nearly all, also of those just above the threshold; without the blocks nothing
+    index.extra = False
+    alone = {x[:2] for x in index.scan(raw, offsets)}
+    near = [x[:2] for x in expected if x[4] < 0.9]
+    recall = len(alone & set(near)) / len(near)
+    print(f"recall of the blocks at 0.8 to 0.9: {recall:.3f} of {len(near)}; at all: {len(alone) / len(expected):.3f} of {len(expected)}")
+    assert alone <= {x[:2] for x in expected} and recall >= 0.9 and len(near) > 80
+    index.table = {}
+    assert index.scan(raw, offsets) == []
+    index.extra = True
+    assert sorted(x[:5] for x in index.scan(raw, offsets)) == expected
 
 
 def test_blocks_of_items_go_one_by_one(spark, monkeypatch):
