@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import student_p, winner
+from .lagged import MOST_LAGS, lagged_products, pair_products
 from .timeseries import gaps
 
 MODELS = ("persistence", "linear", "gam", "forest", "xgb", "lgb")
@@ -106,38 +107,6 @@ def loss_differential(pairs: DataFrame, loss: str = "squared") -> DataFrame:
     return pairs.withColumn("d", e1 * e1 - e2 * e2 if loss == "squared" else F.abs(e1) - F.abs(e2))
 
 
-#: Most lags of the long-run variance.
-MOST_LAGS = 10
-
-
-def lagged_products(values: DataFrame, order: list[str], by: str = "horizon", value: str = "d") -> DataFrame:
-    """by, n, mean and p0..p10: the sums of c(i) c(i - k) over a group's total order, c being the value less its mean.
-
-    ``order`` is the series keys and then the time. The products within a series are a window over that series;
-    those across a border need ten values of either side only, so no group is ever ordered in one task.
-    """
-    *keys, ts = order
-    means = values.groupBy(by).agg(F.avg(value).alias("mean"))
-    c = values.select(by, *order, value).join(means, by).withColumn("_c", F.col(value) - F.col("mean"))
-    series = Window.partitionBy(by, *keys)
-    w = series.orderBy(ts)
-    c = c.withColumns({"_i": F.row_number().over(w), "_n": F.count("*").over(series), **{f"_l{k}": F.lag("_c", k).over(w) for k in range(1, MOST_LAGS + 1)}})
-    ends = {"_first": F.col("_i") <= MOST_LAGS, "_last": F.col("_i") > F.col("_n") - MOST_LAGS}
-    products = [F.sum(F.col("_c") * F.col("_c")).alias("p0"), *[F.coalesce(F.sum(F.col("_c") * F.col(f"_l{k}")), F.lit(0.0)).alias(f"p{k}") for k in range(1, MOST_LAGS + 1)]]
-    per = c.groupBy(by, *keys).agg(F.count("*").alias("n"), F.first("mean").alias("mean"), *products, *[F.transform(F.sort_array(F.collect_list(F.when(there, F.struct("_i", "_c")))), lambda x: x["_c"]).alias(name) for name, there in ends.items()])
-    # the ten values before a series: from up to ten earlier ones; one row per series is ordered here
-    before = F.slice(F.concat(F.array_repeat(F.lit(None).cast("double"), MOST_LAGS), F.flatten(F.collect_list("_last").over(Window.partitionBy(by).orderBy(*keys).rowsBetween(-MOST_LAGS, -1)))), -MOST_LAGS, MOST_LAGS)
-    per = per.withColumn("_before", before) if keys else per.withColumn("_before", F.array().cast("array<double>"))
-
-    def across(k: int):
-        total = F.col(f"p{k}")
-        for j in range(k):
-            total = total + F.coalesce(F.get("_first", j) * F.get("_before", MOST_LAGS - k + j), F.lit(0.0))
-        return F.sum(total).alias(f"p{k}")
-
-    return per.groupBy(by).agg(F.sum("n").alias("n"), F.first("mean").alias("mean"), F.sum("p0").alias("p0"), *[across(k) for k in range(1, MOST_LAGS + 1)])
-
-
 def autocovariances(values: DataFrame, order: list[str], lags: list[int], by: str = "horizon", value: str = "d") -> DataFrame:
     """autocovariance_k of a group's values in order; lag k divides by n - k."""
     p = lagged_products(values, order, by, value)
@@ -150,17 +119,43 @@ def diebold_mariano(pairs: DataFrame, order: list[str], loss: str = "squared", b
     Negative: the first model has the smaller loss. Any number of pairs: see ``lagged_products``.
     """
     d = loss_differential(pairs, loss)
+    rmse = lambda c: F.sqrt(F.avg(F.pow(F.col("y_true") - F.col(c), 2)))
+    errors = d.groupBy(by).agg(rmse("y_pred_1").alias("rmse_1"), rmse("y_pred_2").alias("rmse_2"))
+    return _statistics(lagged_products(d, order, by), [by]).join(errors, by)
+
+
+def _statistics(products: DataFrame, keys: list[str]) -> DataFrame:
+    """n_samples, mean_d, hac_variance and dm_stat from lagged products."""
     n = F.col("n")
     lags = F.least(F.lit(MOST_LAGS), F.floor(F.pow(n, F.lit(0.25)) + 1e-9))
     total = F.col("p0") / n
     for k in range(1, MOST_LAGS + 1):
         total = total + F.when((F.lit(k) <= lags) & (n > k), 2 * (1 - k / (lags + 1)) * F.col(f"p{k}") / (n - k)).otherwise(0.0)
-    rmse = lambda c: F.sqrt(F.avg(F.pow(F.col("y_true") - F.col(c), 2)))
-    errors = d.groupBy(by).agg(rmse("y_pred_1").alias("rmse_1"), rmse("y_pred_2").alias("rmse_2"))
-    out = lagged_products(d, order, by).select(by, n.alias("n_samples"), F.col("mean").alias("mean_d"), F.greatest(total / n, F.lit(1e-10)).alias("hac_variance")).join(errors, by)
+    out = products.select(*keys, n.alias("n_samples"), F.col("mean").alias("mean_d"), F.greatest(total / n, F.lit(1e-10)).alias("hac_variance"))
     return out.withColumn("dm_stat", F.when(F.col("n_samples") >= 2, F.col("mean_d") / F.sqrt("hac_variance")))
 
 
+def model_losses(predictions: DataFrame, models: list[str], keys: list[str], loss: str = "squared") -> DataFrame:
+    """keys and the loss of every model in a column of its name, of the rows that all of them have scored."""
+    e = F.col("y_true") - F.col("y_pred")
+    wide = predictions.withColumn("_loss", e * e if loss == "squared" else F.abs(e)).groupBy(*keys).pivot("model", models).agg(F.first("_loss"))
+    return wide.dropna(subset=models)
+
+
+def diebold_mariano_all(predictions: DataFrame, models: list[str], order: list[str], loss: str = "squared", by: str = "horizon") -> DataFrame:
+    """The test of every pair of models (by, model1, model2, n_samples, mean_d, hac_variance, dm_stat, rmse_1, rmse_2) on the rows that all models have scored.
+
+    One pass over the losses serves all pairs, so the cost is that of the samples and not of the pairs.
+    """
+    losses = model_losses(predictions, models, [by, *order], loss)
+    squares = losses if loss == "squared" else model_losses(predictions, models, [by, *order])
+    rmse = squares.groupBy(by).agg(*[F.sqrt(F.avg(m)).alias(m) for m in models]).unpivot([by], models, "model", "rmse")
+    found = _statistics(pair_products(losses, order, models, by), [by, "model1", "model2"])
+    for k in (1, 2):
+        found = found.join(rmse.select(by, F.col("model").alias(f"model{k}"), F.col("rmse").alias(f"rmse_{k}")), [by, f"model{k}"])
+    return found.select(by, "model1", "model2", "n_samples", "mean_d", "hac_variance", "dm_stat", "rmse_1", "rmse_2")
+
+
 def with_p_values(tests: DataFrame, by: str = "horizon") -> DataFrame:
     """p_value and winner added; one row per horizon passes through the driver."""
     spark, rows = tests.sparkSession, tests.select(by, "dm_stat", "n_samples").collect()

@@ -949,6 +949,28 @@ def m13_diebold_mariano(spark, d):
     return _tests(spark, d).select("horizon", "n_samples", "mean_d", F.round("dm_stat", 5).alias("dm_stat"), "rmse_1", "rmse_2")
 
 
+ALL_MODELS = ["persistence", "mean3", "mean6", "zero"]
+_PAIRS_SQL = f"""{wide_sql()}, base AS (SELECT *, avg(pm25) OVER {last(3)} AS mean3, avg(pm25) OVER {last(6)} AS mean6, {', '.join(f'max(pm25) OVER {ahead(h)} AS y{h}' for h in H)} FROM wide),
+s AS (SELECT country, site_number, ts, unnest({H}) AS horizon, unnest([{', '.join(f'y{h}' for h in H)}]) AS y, pm25 AS persistence, mean3, mean6, 0 AS zero FROM base),
+l AS (SELECT country, site_number, ts, horizon, {', '.join(f'(y - {m}) ** 2 AS {m}' for m in ALL_MODELS)} FROM s WHERE y IS NOT NULL AND persistence IS NOT NULL),
+diff AS (SELECT country, site_number, ts, horizon, unnest([{', '.join(f"'{a}'" for i, a in enumerate(ALL_MODELS) for b in ALL_MODELS[i + 1:])}]) AS model1, unnest([{', '.join(f"'{b}'" for i, a in enumerate(ALL_MODELS) for b in ALL_MODELS[i + 1:])}]) AS model2, unnest([{', '.join(f'{a} - {b}' for i, a in enumerate(ALL_MODELS) for b in ALL_MODELS[i + 1:])}]) AS d FROM l),
+centred AS (SELECT *, d - avg(d) OVER p AS c, count(*) OVER p AS m FROM diff WINDOW p AS (PARTITION BY horizon, model1, model2)),
+lagged AS (SELECT *, {', '.join(f'lag(c, {k}) OVER (PARTITION BY horizon, model1, model2 ORDER BY country, site_number, ts) AS l{k}' for k in range(1, 11))} FROM centred)
+SELECT horizon::BIGINT AS horizon, model1, model2, count(*) AS n_samples, round(avg(d), 6) AS mean_d, round(avg(d) / sqrt(greatest((avg(c * c) + {' + '.join(f'CASE WHEN {k} <= least(10, floor(any_value(m) ** 0.25 + 1e-9)) THEN 2 * (1 - {k} / (least(10, floor(any_value(m) ** 0.25 + 1e-9)) + 1)) * coalesce(avg(c * l{k}), 0) ELSE 0 END' for k in range(1, 11))}) / count(*), 1e-10)), 5) AS dm_stat FROM lagged GROUP BY 1, 2, 3"""
+
+
+@query(f"WITH {_PAIRS_SQL}")
+def m13_all_pairs(spark, d):
+    """Every pair of four forecasts in one pass over their losses."""
+    w = fixtures.wide(spark, d)
+    x = timeseries.in_slices(w, lambda rows, k: rows.withColumns({**timeseries.rolling_columns(["pm25"], [3, 6], k, std=False), **timeseries.target_columns("pm25", H, k)}), 5, max(H)).where("pm25 IS NOT NULL")
+    forecasts = {"persistence": F.col("pm25"), "mean3": F.col("pm25_rolling_mean_3h"), "mean6": F.col("pm25_rolling_mean_6h"), "zero": F.lit(0.0)}
+    each = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(m).alias("model"), F.col(f"y_h{h}").alias("y_true"), c.alias("y_pred")) for h in H for m, c in forecasts.items()])
+    p = x.select(*K, "ts", F.explode(each).alias("t")).select(*K, "ts", "t.*").where("y_true IS NOT NULL")
+    found = evaluate.diebold_mariano_all(p, ALL_MODELS, [*K, "ts"])
+    return found.select("horizon", "model1", "model2", "n_samples", "mean_d", F.round("dm_stat", 5).alias("dm_stat"))
+
+
 @query(f"""WITH {METRICS_SQL}, g AS (SELECT *, (rmse = min(rmse) OVER (PARTITION BY horizon))::INT::DOUBLE AS is_best FROM metrics WHERE scope = 'Global'),
 l AS (SELECT model, horizon, unnest(['mae', 'rmse', 'r2', 'bias', 'is_best']) AS measure, unnest([mae, rmse, r2, bias, is_best]) AS v FROM g UNION ALL SELECT 'all', horizon, 'count', max(n)::DOUBLE FROM g GROUP BY horizon)
 SELECT model, measure, {', '.join(f'round(max(v) FILTER (horizon = {h}), 6) AS "{h}"' for h in H)} FROM l GROUP BY 1, 2""")
