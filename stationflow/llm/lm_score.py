@@ -10,16 +10,16 @@ never missed. Probabilities are smoothed by Dirichlet priors, each order's being
 
 A trigram counts only if both its bigrams are there, and no count exceeds its context's.
 
-On Spark: n-grams are 64-bit hashes, counted in each task for about 8 MB of text and packed by the slice of
+On Spark: n-grams are 64-bit hashes, counted in each task for about 4 MB of text and packed by the slice of
 the filter they belong to; a slice's packs meet in one task, which adds them up and sets the slice's bits.
 The filter has ``BITS`` bits a training token, in slices of 32 kB, written to the shared folder. It is
-broadcast in blocks of ``BLOCK_SLICES`` slices (128 MB) at most, one at a time: with one block a single pass
+broadcast in blocks of ``BLOCK_SLICES`` slices (256 MB, some 200 million tokens) at most, one at a time: with one block a single pass
 over the texts scores them; with more, each pass adds the levels that its block knows to a byte a token and
 order, and the last one scores. The result does not depend on the number of blocks.
 
-The base score needs exact counts. Tokens with a 65,536th of all training tokens or more (so at most
-65,536 of them; of ``LONGEST`` bytes at most, so a few MB) are broadcast; the others are joined by a shuffle,
-in which no token is hot since each is rare.
+The base score needs exact counts. Tokens that are one in ``SHARE`` of all training tokens or more (so at most
+2^20 of them, of ``LONGEST`` bytes at most: 80 MB, and usually a few) are broadcast and found by hash and
+bytes; the others are joined by a shuffle, in which no token is hot since each is rare.
 
 Defined results: null and empty texts have the end token only; very long texts and words are read whole;
 documents without an id are learnt from and not held out; without training documents every token is
@@ -34,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,12 +42,12 @@ from .common import map_arrow, row_slices, stored, text_buffers
 from .words import WHITE, document_tokens, fold, gather, mix
 
 #: Bits of the filter a training token, probes an entry, and the weight of a shorter order.
-BITS, PROBES, WEIGHT = 12, 4, 4.0
-SLICE_BITS, BLOCK_SLICES = 1 << 18, 1 << 12
+BITS, PROBES, WEIGHT = 10, 3, 4.0
+SLICE_BITS, BLOCK_SLICES = 1 << 18, 1 << 13
 #: Bytes of text whose n-grams are counted together.
-COUNTED = 8 << 20
+COUNTED = 4 << 20
 #: A token that is one in so many is looked up in a broadcast table if it has at most so many bytes.
-SHARE, LONGEST = 1 << 16, 64
+SHARE, LONGEST = 1 << 20, 64
 #: The end token: no word holds a space. The n-gram hashes of a text's begin and end.
 END = b" "
 _BEGIN_HASH, _END_HASH = mix(np.array([1, 2], np.uint64))
@@ -251,7 +252,7 @@ def _split(levels: np.ndarray, first: np.ndarray) -> Iterator[bytes]:
 
 
 def _levels(b: pa.RecordBatch, block: FilterBlock):
-    """(row of the first text, (words, index of each text's first), levels so far, index of each text's first place)."""
+    """(row of the first text, (words, hashes, index of each text's first), levels so far, index of each text's first place)."""
     known = b.column(2).to_pylist() if b.num_columns > 2 else None
     for i, words, hashes, first in _words(b.column(1), 1 << 20):
         seq, at = padded(hashes, first)
@@ -260,33 +261,53 @@ def _levels(b: pa.RecordBatch, block: FilterBlock):
         levels[1, at[:-1]] = levels[2, at[:-1]] = levels[2, at[:-1] + 1] = 0
         if known:
             levels += np.concatenate([np.frombuffer(x, np.uint8).reshape(3, -1) for x in known[i : i + len(first) - 1]], 1)
-        yield i, (words, first), levels, at
+        yield i, (words, hashes, first), levels, at
 
 
 @dataclass
 class Frequent:
-    """The counts of the frequent tokens and the sums of the base score."""
+    """The counts of the frequent tokens, by hash, and the sums of the base score."""
 
-    counts: dict[bytes, int]
-    tokens: int
+    hashes: np.ndarray
+    tokens: pa.Array
+    counts: np.ndarray
+    n_tokens: int
     types: int
     ends: int
 
+    @classmethod
+    def of(cls, tokens: pa.Array, counts: np.ndarray, model: Model) -> Frequent:
+        """Of single words."""
+        raw, offsets = text_buffers(tokens)
+        hashes = document_tokens(raw, offsets, WHITE)[3]
+        order = np.argsort(hashes)
+        return cls(hashes[order], tokens.take(pa.array(order)), counts[order], model.tokens, model.types, model.ends)
+
+    def find(self, words: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """The count of each word, -1 if it is not here; a word is its bytes, its hash only tells where to look."""
+        out = np.full(len(words), -1, np.int64)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            hit = np.flatnonzero(self.hashes[at] == hashes)
+            same = pc.equal(self.tokens.take(pa.array(at[hit])), words.take(pa.array(hit)).cast(pa.binary())).to_numpy(zero_copy_only=False)
+            out[hit[same]] = self.counts[at[hit[same]]]
+        return out
+
 
 def score_texts(batches, block: FilterBlock, frequent: Frequent) -> Iterator[pa.RecordBatch]:
     """doc_id, n_tokens, known and base (of the frequent tokens and the end), score, and the other tokens with their numbers."""
-    lost = np.log10(frequent.tokens + frequent.types + 1)
+    lost = np.log10(frequent.n_tokens + frequent.types + 1)
     for b in batches:
         columns: list[list] = [[], [], [], []]
         rare, sizes = [], [0]
-        for _, (words, first), levels, at in _levels(b, block):
-            score = np.add.reduceat(log_probabilities(levels, at, frequent.tokens, frequent.types), at[:-1])
+        for _, (words, hashes, first), levels, at in _levels(b, block):
+            score = np.add.reduceat(log_probabilities(levels, at, frequent.n_tokens, frequent.types), at[:-1])
             coded = words.dictionary_encode()
             codes, n_docs = coded.indices.to_numpy().astype(np.int64), len(first) - 1
-            c = np.array([frequent.counts.get(w, -1) for w in coded.dictionary.to_pylist()], np.float64)
-            here = c[codes] >= 0 if len(c) else np.zeros(0, bool)
+            c = frequent.find(coded.dictionary, hashes[np.unique(codes, return_index=True)[1]])
+            here = c[codes] >= 0
             doc = np.repeat(np.arange(n_docs), np.diff(first))
-            base = np.bincount(doc[here], np.log10(c[codes[here]] + 1) - lost, n_docs) + np.log10(frequent.ends + 1) - lost
+            base = np.bincount(doc[here], np.log10(c[codes[here]] + 1.0) - lost, n_docs) + np.log10(frequent.ends + 1) - lost
             known = np.bincount(doc[here], minlength=n_docs) + (frequent.ends > 0)
             for x, y in zip(columns, (np.diff(first) + 1, known, base, score), strict=True):
                 x.append(y)
@@ -303,8 +324,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs`` (doc_id, text)."""
     spark, texts = docs.sparkSession, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     frequent = (F.col("n") * SHARE >= max(1, model.tokens)) & (F.octet_length("token") <= LONGEST)
-    table = model.counts.where(frequent).toArrow()  # at most SHARE rows of LONGEST bytes
-    known = Frequent(dict(zip(table.column("token").to_pylist(), table.column("n").to_pylist(), strict=True)), model.tokens, model.types, model.ends)
+    table = model.counts.where(frequent & (F.col("token") != END)).toArrow().combine_chunks()  # at most SHARE rows of LONGEST bytes
+    tokens = pa.concat_arrays(table.column("token").chunks) if table.num_rows else pa.array([], pa.binary())
+    known = Frequent.of(tokens.cast(pa.binary()), table.column("n").to_numpy(), model)
     n_blocks, found = -(-model.n_slices // BLOCK_SLICES), None
     for k, block in enumerate(model.blocks()):
         sent = spark.sparkContext.broadcast((block, known))
@@ -316,7 +338,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         sent.destroy()
     lost = F.log10(F.lit(float(model.tokens + model.types + 1)))
     rest = found.select("row", F.explode("rare").alias("x")).select("row", "x.token", F.col("x.n").alias("times"))
-    rest = rest.join(model.counts.where(~frequent), "token", "left").groupBy("row").agg(
+    rest = rest.join(model.counts, "token", "left").groupBy("row").agg(
         F.sum(F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 1.0) - lost)).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("also"))
     return found.drop("rare").join(rest, "row", "left").select(
         "doc_id", "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
