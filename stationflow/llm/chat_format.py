@@ -13,7 +13,7 @@ back need no second shuffle.
 
 Defined results: null text or role reads as empty; rows that repeat are turns of their own, in
 the order (turn, role, text); rows with null conv_id form one conversation; an empty table gives
-no rows; extra columns are ignored; a conversation without an assistant turn has no loss text.
+no rows; very long texts are formatted whole; extra columns are ignored; a conversation without an assistant turn has no loss text.
 """
 
 from __future__ import annotations

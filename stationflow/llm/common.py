@@ -69,13 +69,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: The tables that ``stored`` has written, by application.
+_written: dict[str, list[str]] = {}
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a Parquet table in the shared folder; smaller than a checkpoint for many plain rows."""
+    """Cuts the lineage with a Parquet table in the shared folder; smaller than a checkpoint for many plain rows.
+
+    A lazy result may read it, so it stays until the caller has written that result and calls ``forget``.
+    """
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written(spark: SparkSession) -> int:
+    """How many tables ``stored`` has written so far: what ``forget`` takes to spare those."""
+    return len(_written.get(spark.sparkContext.applicationId, ()))
+
+
+def forget(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the tables that ``stored`` has written (after the first ``since``); for a caller whose results are written."""
+    paths = _written.get(spark.sparkContext.applicationId, [])
+    while len(paths) > since:
+        discard(spark, paths.pop())
+
+
 def give_back_memory() -> None:
     """Python workers are kept for later tasks; what a task has freed goes back to the system."""
     pa.default_memory_pool().release_unused()

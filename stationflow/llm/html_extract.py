@@ -19,7 +19,7 @@ Unclosed scripts and styles run to the end of the page. Other skipped elements (
 frames) that are unclosed or self-closed are empty, and the text after them is read.
 
 Defined results: null and empty pages give an empty text; unclosed and truncated markup is read
-as far as it goes; very long pages are read whole; repeated rows give repeated results; extra
+as far as it goes; very long and hostile pages are read whole and in linear time; an empty table gives no rows; repeated rows give repeated results; extra
 columns are ignored; between unlike neighbours a block that was nearly content by itself and a
 heading before content are content, and any other ambiguous block is if the nearer one is (or both
 are as near); on a page without content blocks the undecided ones that are not short are content.

@@ -26,7 +26,9 @@ shingled again for each pass (counts, names, lists, verification): the sets are
 Defined results: null texts and texts without words have an empty set and link with nothing;
 documents with 1 to n - 1 words have their whole sequence as one shingle; rows that repeat are
 equal sets; a null doc_id takes part and never names a component unless its class has no other
-id; an empty table gives no rows; extra columns are ignored.
+id; very long texts are read whole; an empty table gives no rows; extra columns are ignored. Sets are merged by a 96-bit
+name and verified by 48 bits of each shingle's hash: of 10^11 sets two share a name with a chance of 10^-7, and
+within a pair of sets of 1000 shingles a wrong match has one of 10^-9.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ are resolved by interval containment: a detection that lies inside an accepted o
 or a higher priority is suppressed. Base phrases are counted apart, on word boundaries, and are
 never suppressed.
 
-Defined results: null and empty texts have no words and no labels (score 0); repeated rows give
+Defined results: null and empty texts have no words and no labels (score 0); very long texts are read
+whole; an empty table gives no rows; repeated rows give
 repeated results; extra columns are ignored; rows are independent, so ties cannot arise between
 rows, and ties between rules go to the earlier start, then the longer match, then rule order.
 """

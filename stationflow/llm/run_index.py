@@ -32,7 +32,8 @@ the second round and once for the result, and never gathered.
 Defined results: null reads as empty; texts shorter than L keep everything; matches never cross
 documents; rows with one id are one document and do not remove each other's bytes, and each gets
 its own result; null ids come after all others (and count as one document); extra columns are
-ignored; an empty table gives no rows.
+ignored; very long texts are read whole; an empty table gives no rows. Rows of one id are told apart by 23 bits of
+their text: two different texts of one id share their marks with a chance of one in 8 million.
 """
 
 from __future__ import annotations
