@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each stage's rows
 to the shared folder and reads them again for the next, so a stage's work is never repeated and
-its decisions are fixed.
+its decisions are fixed. The tables that a stage's operators leave behind are deleted then, too.
+
+Defined results, stage by stage as in their operators: null and empty texts have no quality to keep and go
+with the classifier's verdict on an empty text, link with nothing, have no bytes to cut and no tokens; rows that repeat are
+near duplicates of each other, and one of them stays (of equal ids, an arbitrary one, as they are alike); ties go to
+the smaller id; very long texts are read whole; an empty table gives no rows; extra columns, also ones named like an operator's
+own, pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationflow.llm import byte_bpe, decontaminate, jaccard_join, quality_crf, run_index
-from stationflow.llm.common import discard, shared_dir, table
+from stationflow.llm.common import discard, forget, shared_dir, table, written
 
 #: Near duplicates: five-word shingles, similarity 0.8 or more.
 WORDS, SIMILARITY = 5, (80, 100)
@@ -59,7 +65,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table; a stage's rows are deleted once the next one's are written."""
     docs, folder, before = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
+        tables = written(spark)
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        forget(spark, tables)
         docs = spark.read.parquet(f"{folder}/{name}")
         if before:
             discard(spark, before)
