@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,12 +157,19 @@ def diebold_mariano_all(predictions: DataFrame, models: list[str], order: list[s
     return found.select(by, "model1", "model2", "n_samples", "mean_d", "hac_variance", "dm_stat", "rmse_1", "rmse_2")
 
 
-def with_p_values(tests: DataFrame, by: str = "horizon") -> DataFrame:
-    """p_value and winner added; one row per horizon passes through the driver."""
-    spark, rows = tests.sparkSession, tests.select(by, "dm_stat", "n_samples").collect()
-    p = [(r[0], student_p(r[1], r[2] - 1) if r[1] is not None else None) for r in rows]
-    table = spark.createDataFrame(p, f"{by} {dict(tests.dtypes)[by]}, p_value double")
-    return tests.join(table, by).withColumn("winner", winner(F.col("p_value"), F.col("dm_stat")))
+def p_value(statistic: Column, n_samples: Column) -> Column:
+    """Two-sided, by Student's t with n - 1 degrees of freedom; NULL without a statistic."""
+
+    @F.pandas_udf("double")
+    def each(t: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([student_p(a, b - 1) if pd.notna(a) and b > 1 else None for a, b in zip(t, n, strict=True)], dtype="float64")
+
+    return each(statistic.cast("double"), n_samples.cast("double"))
+
+
+def with_p_values(tests: DataFrame) -> DataFrame:
+    """p_value and winner of each test added, whatever the tests are of."""
+    return tests.withColumn("p_value", p_value(F.col("dm_stat"), F.col("n_samples"))).withColumn("winner", winner(F.col("p_value"), F.col("dm_stat")))
 
 
 def canonical_order(tests: DataFrame, order: tuple[str, ...] = MODELS) -> DataFrame:

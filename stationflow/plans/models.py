@@ -334,17 +334,16 @@ SHUFFLED = 10_000
 def permutation_importance(model: PipelineModel, rows: DataFrame, features: list[str], label: str, keys: list[str], seed: int = 42) -> DataFrame:
     """(feature, rise): of the mean absolute error when a feature is shuffled by a seeded hash.
 
-    Rows are dealt by a hash of their keys to buckets of about ``SHUFFLED`` rows and shuffled within them, so any number of rows will do.
+    Rows are dealt by a hash of their keys to buckets of about ``SHUFFLED`` rows and numbered within them twice, by key and by hash; one join
+    of the two gives every row the shuffled values of all features, and each row is scored once as it is and once for each feature.
     """
-    base = mean_absolute_error(model, rows, label)
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(max(1, -(-rows.count() // SHUFFLED))))
-    out = []
-    for c in features:
-        here = rows.withColumn("_b", bucket)
-        a = here.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(*keys)))
-        b = here.select("_b", F.col(c).alias("_v"), F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(*keys, F.lit(seed)), *keys)).alias("_i"))
-        out.append((c, mean_absolute_error(model, a.join(b, ["_b", "_i"]).withColumn(c, F.col("_v")), label) - base))
-    return rows.sparkSession.createDataFrame(out, "feature string, rise double")
+    here = rows.withColumn("_b", F.pmod(F.xxhash64(*keys), F.lit(max(1, -(-rows.count() // SHUFFLED)))))
+    numbered = lambda *order: F.row_number().over(Window.partitionBy("_b").orderBy(*order)).alias("_i")
+    shuffled = here.select("_b", F.struct(*features).alias("_s"), numbered(F.xxhash64(*keys, F.lit(seed)), *keys))
+    both = here.select("*", numbered(*keys)).join(shuffled, ["_b", "_i"]).select("*", F.explode(F.array(*map(F.lit, ["", *features]))).alias("_feature"))
+    changed = both.withColumns({c: F.when(F.col("_feature") == c, F.col("_s")[c]).otherwise(F.col(c)) for c in features})
+    found = {r["_feature"]: r["e"] for r in model.transform(changed).groupBy("_feature").agg(F.avg(F.abs(F.col("y_pred") - F.col(label))).alias("e")).collect()}
+    return rows.sparkSession.createDataFrame([(c, float(found[c] - found[""])) for c in features if found], "feature string, rise double")
 
 
 def ablation(model: PipelineModel, rows: DataFrame, scalers: DataFrame, hidden: list[str], label: str, keys: list[str]) -> DataFrame:

@@ -1078,13 +1078,13 @@ def m11_residual_forecast(spark, d):
 @query()
 def m14_attribution(spark, d):
     x, model = _fitted(spark, d)
-    return evaluate.importance(models.linear_attributions(model, sampling.seeded_sample(x, 1000, [*K, "ts"]), FEATURES, [*K, "ts"]))
+    return evaluate.importance(models.linear_attributions(model, x, FEATURES, [*K, "ts"]))
 
 
 @query()
 def m14_permutation(spark, d):
     x, model = _fitted(spark, d)
-    return models.permutation_importance(model, x, ["pm25_lag_1h", "no2"], "y_h1", [*K, "ts"])
+    return models.permutation_importance(model, x, FEATURES, "y_h1", [*K, "ts"])
 
 
 @query()
