@@ -435,10 +435,10 @@ def test_pipeline_stages_against_brute_force(spark, sf):
     assert left["near_duplicates"].keys() == {c for _, c in brute_components(before["near_duplicates"], 5, (80, 100)).values()}
     gone = brute_repeats(before["repeats"], pipeline.REPEAT_BYTES)
     for i, text in before["repeats"].items():
-        raw, own = text.encode(), np.zeros(0, int)
-        own = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80) - 1  # a character goes only if all its bytes go
-        kept = "".join(c for k, c in enumerate(text) if not gone[i][own == k].all()) if len(raw) < 4000 and gone[i].any() else None
-        assert left["repeats"][i] == text if not gone[i].any() else kept in (None, left["repeats"][i])
+        # a character goes only if all its bytes go
+        starts = np.flatnonzero((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80)
+        whole_gone = np.logical_and.reduceat(gone[i], starts) if len(starts) else np.zeros(0, bool)
+        assert left["repeats"][i] == "".join(c for c, out in zip(text, whole_gone.tolist(), strict=True) if not out)
     assert any(x.any() for x in gone.values())
     words = lambda t: re.findall(rb"[0-9a-z\x80-\xff]+", bytes(c + 32 if 65 <= c <= 90 else c for c in t.encode()))
     shingles = lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else collections.Counter([tuple(w)] if w else [])
@@ -471,3 +471,50 @@ def test_pipeline_of_odd_and_empty_tables(spark, tmp_path, odd_documents):
         bench.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
         rows = pipeline.run(spark, f"{tmp_path}/{name}").collect()
         assert {r["doc_id"] for r in rows} <= {1, 2, 3, 5, 6, None} and len(rows) == len({r["doc_id"] for r in rows}) and bool(rows) == (name == "odd")
+
+
+# --- very long texts -------------------------------------------------------------------------------
+
+
+def long_text(words, seed):
+    rng = random.Random(seed)
+    return " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10_000)}" for _ in range(words))
+
+
+def test_very_long_texts_of_joins_repeats_and_leaks(spark):
+    body = long_text(200_000, 1)
+    texts = [body, body + " and a few other words", long_text(100_000, 2), "short"]
+    found = {r["doc_id"]: r for r in jaccard_join.join_components(docs(spark, texts), 4, (85, 100)).collect()}
+    assert found[0]["component_id"] == found[1]["component_id"] == 0 and found[2]["component_id"] == 2 and found[0]["n_shingles"] == 199_997
+    cut = {r["doc_id"]: r for r in run_index.dedup_digests(docs(spark, texts), length=50).collect()}
+    n = len(body)
+    assert cut[0]["n_removed"] == cut[2]["n_removed"] == 0 and cut[1]["n_removed"] == n and cut[1]["kept_sha256"] == hashlib.sha256(texts[1][n:].encode()).hexdigest()
+    item = " ".join(body.split()[150_000:150_040])
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    leaks = decontaminate.find_leaks(docs(spark, texts), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["first_word"]) for r in leaks) == [(0, 7, 150_000), (1, 7, 150_000)]
+
+
+def test_very_long_turns_and_tokens(spark):
+    from stationflow.llm import byte_bpe
+
+    body = long_text(150_000, 3)
+    turns = spark.createDataFrame([(1, 0, "user", body), (1, 1, "assistant", "<s>" + body)], "conv_id long, turn long, role string, text string")
+    r = chat_format.digests(turns).first()
+    assert r["n_turns"] == 2 and r["loss_chars"] == len(body) + 3 and r["loss_sha256"] == hashlib.sha256(("<s>" + body).encode()).hexdigest()
+    import public_tokenizers
+
+    d = byte_bpe.token_digests(docs(spark, [body]), public_tokenizers.path(queries.VOCABULARY), public_tokenizers.PATTERN).first()
+    assert d["decoded_sha256"] == hashlib.sha256(body.encode()).hexdigest() and d["n_tokens"] > 150_000
+
+
+def test_tables_left_behind_are_deleted(spark):
+    from stationflow.llm import common
+
+    before = common.written(spark)
+    x = common.stored(spark.range(5))
+    assert x.count() == 5 and common.written(spark) == before + 1
+    common.forget(spark, before)
+    assert common.written(spark) == before
+    with pytest.raises(Exception, match="(?i)not exist|FILE_NOT_EXIST|No such file"):
+        x.selectExpr("sum(id) AS s").collect()
