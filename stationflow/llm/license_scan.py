@@ -239,6 +239,103 @@ SINGLE = [
     ("zlib", r"\bzlib(?:/libpng)? licen[cs]e\b", "zlib"),
     ("zlib", r"altered source versions must be plainly marked as such", "altered source versions"),
 ]
+# Sentences that stand in license texts and notices, as (label, regex, keyword).
+SENTENCES = [
+    ("agpl", r"interacting with it remotely through a computer network", "remotely through a computer network"),
+    ("agpl", r"an opportunity to receive the corresponding source of your version", "corresponding source of your version"),
+    ("apache", r"unless required by applicable law or agreed to in writing, software distributed under the license", "agreed to in writing"),
+    ("apache", r"each contributor hereby grants to you a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license", "each contributor hereby grants to you"),
+    ("apache", r"you must cause any modified files to carry prominent notices stating that you changed the files", "carry prominent notices"),
+    ("apache-1.1", r"this product includes software developed by the apache software foundation", "developed by the apache"),
+    ("apsl", r"this file contains original code and/or modifications of original code as defined in and that are subject to the apple", "original code and/or modifications"),
+    ("artistic", r"you may make and give away verbatim copies of the source form", "give away verbatim copies"),
+    ("artistic", r"you may distribute this package in aggregate with other", "this package in aggregate"),
+    ("artistic-2.0", r"everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed\. preamble this license establishes", "this license establishes"),
+    ("beerware", r"if we meet some day, and you think this stuff is worth it, you can buy me a beer", "worth it, you can buy me"),
+    ("bsd", r"this software is provided by the (?:copyright holders|regents|author|authors)(?: and contributors)? [\"'`]*as is", "this software is provided by the"),
+    ("bsd", r"redistributions of source code must retain the above copyright notice", "redistributions of source code"),
+    ("bsd", r"redistributions in binary form must reproduce the above copyright notice", "redistributions in binary form"),
+    ("bsd-3-clause", r"may not be used to endorse or promote products derived from this software without (?:specific )?prior written permission", "endorse or promote products derived"),
+    ("bsd-4-clause", r"this product includes software developed by the university of california", "developed by the university of california"),
+    ("bsd-patent", r"subject to the terms and conditions of this license, each copyright holder and contributor hereby grants to those receiving rights", "holder and contributor hereby grants"),
+    ("bsl-1.0", r"must be included in all copies of the software, in whole or in part, and all derivative works of the software", "in whole or in part, and all derivative works"),
+    ("busl", r"the licensor hereby grants you the right to copy, modify, create derivative works, redistribute, and make non-production use", "make non-production use"),
+    ("cc", r"you are free to share [-\u2013\u2014]* ?copy and redistribute the material in any medium or format", "redistribute the material in any medium"),
+    ("cc", r"to view a copy of this license, visit https?://creativecommons\.org", "to view a copy of this license"),
+    ("cc", r"the work \(as defined below\) is provided under the terms of this creative commons public license", "this creative commons public"),
+    ("cc", r"you must give appropriate credit, provide a link to the license, and indicate if changes were made", "give appropriate credit"),
+    ("cc-nc", r"you may not use the material for commercial purposes", "the material for commercial purposes"),
+    ("cc-nd", r"if you remix, transform, or build upon the material, you may not distribute the modified material", "may not distribute the modified material"),
+    ("cc-sa", r"if you remix, transform, or build upon the material, you must distribute your contributions under the same license", "contributions under the same license"),
+    ("cc0", r"the person who associated a work with this deed has dedicated the work to the public domain", "associated a work with this deed"),
+    ("cddl", r"the contents of this file are subject to the terms of the common development and distribution", "subject to the terms of the common development"),
+    ("cecill", r"this software is governed by the cecill", "governed by the cecill"),
+    ("commons-clause", r"the grant of rights under the license will not include, and the license does not grant to you, the right to sell the software", "the right to sell the software"),
+    ("curl", r"permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "appear in all copies"),
+    ("dco", r"by making a contribution to this project, i certify that", "contribution to this project, i certify"),
+    ("elastic", r"you may not provide the software to third parties as a hosted or managed service", "hosted or managed service"),
+    ("epl", r"this program and the accompanying materials are made available under the terms of the eclipse", "under the terms of the eclipse"),
+    ("epl", r"this program and the accompanying materials are licensed under the terms of the eclipse", "licensed under the terms of the eclipse"),
+    ("eupl", r"licensed under the eupl", "under the eupl"),
+    ("fair", r"usage of the works is permitted provided that this instrument is retained with the works", "this instrument is retained"),
+    ("freetype", r"portions of this software are copyright[^.]{0,80}the freetype project", "the freetype project"),
+    ("gfdl", r"with no invariant sections, no front-cover texts,? and no back-cover texts", "no invariant sections"),
+    ("gpl", r"this program is free software[:;,] you can redistribute it and/or modify", "this program is free software"),
+    ("gpl", r"you should have received a copy of the gnu general public", "received a copy of the gnu general"),
+    ("gpl", r"write to the free software foundation, inc", "write to the free software foundation"),
+    ("gpl", r"this program comes with absolutely no warranty", "absolutely no warranty"),
+    ("gpl", r"as a special exception, (?:the copyright holders|you may|if you link)", "as a special exception"),
+    ("gpl-classpath", r"linking this library statically or dynamically with other modules is making a combined work", "making a combined work"),
+    ("isc", r"the author disclaims all warranties with regard to this software", "disclaims all warranties with regard"),
+    ("lgpl", r"this library is free software[:;,] you can redistribute it and/or modify", "this library is free software"),
+    ("lgpl", r"you should have received a copy of the gnu (?:lesser|library) general public", "received a copy of the gnu"),
+    ("libpng", r"the contributing authors and group 42, inc\. disclaim all warranties", "contributing authors and group 42"),
+    ("llama", r"built with (?:meta )?llama", "built with"),
+    ("lppl", r"this work may be distributed and/or modified under the conditions of the latex project", "under the conditions of the latex"),
+    ("lppl", r"this work has the lppl maintenance status", "lppl maintenance status"),
+    ("mit", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "copies or substantial portions"),
+    ("mit", r"the software is provided [\"'`]*as is[\"'`,]* without warranty of any kind, express or implied", "the software is provided"),
+    ("mit", r"in no event shall the authors or copyright holders be liable for any claim, damages or other liability", "authors or copyright holders be liable"),
+    ("mpl", r"the contents of this file are subject to the mozilla public", "subject to the mozilla public"),
+    ("mpl-2.0", r"if a copy of the mpl was not distributed with this file, you can obtain one", "mpl was not distributed"),
+    ("ms-eula", r"these license terms are an agreement between microsoft corporation", "between microsoft corporation"),
+    ("ncsa", r"to deal with the software without restriction, including without limitation the rights", "to deal with the software without"),
+    ("nvidia", r"nvidia corporation and its licensors retain all intellectual property and proprietary rights", "nvidia corporation and its licensors"),
+    ("odbl", r"you are free to copy, distribute, transmit and adapt our data", "transmit and adapt our data"),
+    ("odbl", r"this database is made available under the open database", "this database is made available"),
+    ("ofl", r"the goals of the open font license \(ofl\) are to stimulate worldwide development", "goals of the open font"),
+    ("ofl", r"this font software is licensed under the sil", "this font software is licensed"),
+    ("ogl", r"contains public sector information licensed under the open government", "public sector information"),
+    ("openssl", r"this product includes software developed by the openssl project", "developed by the openssl"),
+    ("openssl", r"this product includes cryptographic software written by eric young", "cryptographic software written by"),
+    ("php", r"this source file is subject to version 3\.0[01]? of the php", "source file is subject to version"),
+    ("postgresql", r"in no event shall the university of california be liable to any party for direct, indirect, special, incidental", "university of california be liable"),
+    ("proprietary", r"you may not copy, modify, (?:distribute|sublicense|reverse engineer)[^.]{0,80} without (?:the )?(?:prior |express )*written (?:consent|permission)", "you may not copy, modify"),
+    ("proprietary", r"for internal use only", "internal use only"),
+    ("proprietary", r"this software is the confidential and proprietary information of", "proprietary information of"),
+    ("proprietary", r"subject to the end[- ]user licen[cs]e agreement", "subject to the end"),
+    ("proprietary", r"reverse engineer, decompile,? or disassemble", "reverse engineer, decompile"),
+    ("proprietary", r"trade secrets? (?:of|and confidential)", "trade secret"),
+    ("public-domain", r"the author hereby disclaims copyright to this source code", "disclaims copyright to this source"),
+    ("public-domain", r"this (?:file|code|software|work|program) is (?:hereby )?(?:placed )?in the public domain", "in the public domain"),
+    ("public-domain", r"may you do good and not evil", "may you do good"),
+    ("python", r"beopen\.com grants licensee|psf is making python available to licensee", "licensee"),
+    ("qpl", r"you may copy this licen[cs]e document but may not change it", "but may not change it"),
+    ("rail", r"you agree not to use the model or derivatives of the model", "derivatives of the model"),
+    ("ruby", r"you may distribute the software in object code or binary form", "software in object code or binary"),
+    ("sgi-b", r"the above copyright notice including the dates of first publication", "dates of first publication"),
+    ("sleepycat", r"information on how to obtain complete source code for the (?:db )?software and any accompanying software", "obtain complete source code"),
+    ("sspl", r"if you make the functionality of the program or a modified version available to third parties as a service", "functionality of the program"),
+    ("unicode", r"unicode data files do not include pdf online code charts", "unicode data files do not include"),
+    ("unlicense", r"in jurisdictions that recognize copyright laws, the author or authors of this software dedicate", "jurisdictions that recognize copyright"),
+    ("upl", r"subject to the condition that the above copyright notice and either this complete permission notice", "either this complete permission notice"),
+    ("vim", r"there are no restrictions on distributing unmodified copies of vim", "unmodified copies of vim"),
+    ("w3c", r"notice of any changes or modifications(?:,)? (?:to|through) the (?:files|copyright notice)", "notice of any changes or modifications"),
+    ("wtfpl", r"everyone is permitted to copy and distribute verbatim or modified copies of this license document", "verbatim or modified copies"),
+    ("wxwindows", r"the licensors give permission for you to use, copy, link, modify and distribute, under the user's own terms", "under the user's own terms"),
+    ("zlib", r"this software is provided [\"'`]*as-is[\"'`,]* without any express or implied warranty", "without any express or implied"),
+    ("zlib", r"the origin of this software must not be misrepresented", "must not be misrepresented"),
+]
 SPDX_PLAIN = ("mit", "isc", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause", "unlicense", "zlib", "cc0-1.0", "0bsd", "mit-0", "ncsa", "postgresql", "wtfpl", "x11", "ms-pl", "ms-rl", "bsl-1.0", "python-2.0", "artistic-1.0", "artistic-2.0")
 _VERSION = r"(?:,? ?(?:\(\w+\))?,? ?(?:version |v\.? ?|-)?%s(?:\.0)?(?![\w.]*\d))"
 
@@ -262,7 +359,7 @@ def rules() -> list[tuple[int, str, str, tuple[str, ...]]]:
             out.append((45, f"cc-{kind}-{version}", rf"creativecommons\.org/licenses/{kind}/{re.escape(version)}", ("creativecommons",)))
         out.append((25, f"cc-{kind}", rf"\bcc[- ]{kind}\b(?!-)", ("cc",)))
         out.append((25, f"cc-{kind}", rf"creative commons {words}\b", ("creative commons",)))
-    out += [(30, label, pattern, (keyword,)) for label, pattern, keyword in SINGLE]
+    out += [(30, label, pattern, (keyword,)) for label, pattern, keyword in SINGLE + SENTENCES]
     out += [(30, label, rf"\b{re.escape(name)} licen[cs]e", (f"{name} licen",)) for label, name in NAMED]
     out += [(60, x, rf"spdx-license-identifier:\s*{re.escape(x)}(?![\w.-])", ("spdx",)) for x in SPDX_PLAIN]
     for label, _, _, versions in FAMILIES:

@@ -176,6 +176,24 @@ def test_every_alternative_holds_a_keyword_of_its_rule():
         assert all(keyword in x.replace("\\", "") for x in re.split(r"\|(?![^(]*\))", pattern) if "(" not in x), label
 
 
+@pytest.mark.parametrize("text, labels", [
+    ("/* This program is free software; you can redistribute it\n * and/or modify it */", {"gpl"}), ("Redistributions of source code must retain the above copyright notice, this list", {"bsd"}),
+    ("The above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.", {"mit"}), ("If a copy of the MPL was not distributed with this file, You can obtain one at", {"mpl-2.0"}),
+    ("# Unless required by applicable law or agreed to in writing, software\n# distributed under the License is", {"apache"}), ("You should have received a copy of the GNU Lesser General Public", {"lgpl"}),
+    ("The origin of this software must not be misrepresented; you", {"zlib"}), ("This product includes software developed by the OpenSSL Project", {"openssl"}), ("May you do good and not evil.", {"public-domain"}),
+    ("You may not provide the software to third parties as a hosted or managed service", {"elastic"}), ("This Font Software is licensed under the SIL", {"ofl"}), ("the right to sell the software", set()),
+])
+def test_sentences_of_notices(text, labels):
+    assert {x[0] for x in license_scan.detect(text.lower())} == labels
+
+
+def test_sentences_are_distinct_and_hold_their_keyword():
+    patterns = [p for _, p, _ in license_scan.SINGLE + license_scan.SENTENCES]
+    assert len(patterns) == len(set(patterns)) > 160
+    for label, pattern, keyword in license_scan.SENTENCES:
+        assert keyword in pattern.replace("\\", ""), label
+
+
 def test_every_name_is_found_in_a_sentence():
     for label, name in license_scan.NAMED:
         found = {x[0] for x in license_scan.detect(f"this is under the {name} license, as said")}
