@@ -47,7 +47,8 @@ def linear(features: list[str], label: str, **params) -> Pipeline:
 
 def forest(features: list[str], label: str, **params) -> Pipeline:
     deep = min(int(params.get("maxDepth", 10) or 30), 30)
-    return _pipeline(features, RandomForestRegressor(labelCol=label, numTrees=int(params.get("numTrees", 20)), maxDepth=deep, seed=42))
+    own = {"minInstancesPerNode": int(params.get("minInstancesPerNode", 1)), "featureSubsetStrategy": str(params.get("featureSubsetStrategy", "auto"))}
+    return _pipeline(features, RandomForestRegressor(labelCol=label, numTrees=int(params.get("numTrees", 20)), maxDepth=deep, seed=42, **own))
 
 
 def boosted(features: list[str], label: str, **params) -> Pipeline:

@@ -167,6 +167,16 @@ def s15_scaler_store(spark, d):
     return sinks.scalers_of_json(spark.read.parquet(folder), "station_key").where("mean IS NOT NULL")
 
 
+@query(f"WITH {wide_sql()}, y AS (SELECT pm25, unnest(['h1', 'h3']) AS horizon, unnest([y1, y3]) AS y FROM (SELECT pm25, {', '.join(f'max(pm25) OVER {ahead(h)} AS y{h}' for h in (1, 3))} FROM wide)) SELECT horizon, 'change' AS name, round(avg(y - pm25), 6) AS value FROM y GROUP BY 1")
+def s13_load_or_tune(spark, d):
+    """A parameter is tuned for one horizon and stored; the second call loads it and tunes the other one only."""
+    aimed, folder = timeseries.targets(fixtures.wide(spark, d), "pm25", [1, 3]), sinks.scratch(spark)
+    tune = lambda h: {"change": aimed.agg(F.avg(F.col(f"y_{h}") - F.col("pm25"))).first()[0]}
+    sinks.load_or_tune(spark, folder, ["h1"], tune)
+    found = sinks.load_or_tune(spark, folder, ["h1", "h3"], tune)
+    return spark.createDataFrame([(h, n, v) for h, p in found.items() for n, v in p.items()], "horizon string, name string, value double")
+
+
 @query(f"WITH {wide_sql()} SELECT unnest(['pm25', 'no2']) AS column_name, unnest([count(*) - count(pm25), count(*) - count(no2)]) AS missing, count(DISTINCT country || site_number) AS n_sites FROM wide")
 def s18_summary_file(spark, d):
     sinks.write_summary(fixtures.wide(spark, d), folder := sinks.scratch(spark), ["pm25", "no2"])
@@ -809,6 +819,13 @@ def c5_country_code(spark, d):
     return c.join(n, c["c_nationkey"] == n["n_nationkey"]).select("c_custkey", codes.country_code(F.initcap(F.lower("n_name"))).alias("code"))
 
 
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'urban' WHEN s_suppkey % 3 = 0 THEN 'suburban' WHEN s_suppkey % 2 = 0 THEN 'rural' ELSE 'unknown' END AS label FROM supplier")
+def c16_priority_labels(spark, d):
+    n = F.col("s_suppkey")
+    flags = {"area_urban": n % 5 == 0, "area_suburban": n % 3 == 0, "area_rural": n % 2 == 0}
+    return fixtures.table(spark, d, "supplier").select("s_suppkey", *[c.alias(k) for k, c in flags.items()]).select("s_suppkey", scalars.label_by_priority("area", ["urban", "suburban", "rural"]).alias("label"))
+
+
 @query("SELECT event_id, floor(epoch(ts - INTERVAL 1 HOUR))::BIGINT AS ts FROM events")
 def c6_to_utc(spark, d):
     return fixtures.table(spark, d, "events").select("event_id", scalars.utc_of_start(F.col("ts").cast("timestamp")).alias("ts"))
@@ -1005,6 +1022,32 @@ def m2_linear_regression(spark, d):
     return evaluate.error_metrics(models.evaluate(_feature_rows(spark, d), FEATURES, "pm25", H, models.linear, SPLIT))
 
 
+_LINE_SQL = f"""{wide_sql()}, base AS (SELECT w.country, w.site_number, w.ts, area, pm25, {', '.join(f'max(pm25) OVER {ahead(h)} AS y{h}' for h in H)} FROM wide w JOIN {STATIONS_SQL} st USING (site_number)),
+s AS (SELECT * FROM (SELECT country, area, ts, pm25, unnest({H}) AS horizon, unnest([{', '.join(f'y{h}' for h in H)}]) AS y FROM base) WHERE pm25 IS NOT NULL AND y IS NOT NULL)"""
+_LINE_METRICS = """SELECT CASE WHEN grouping(country, area) = 3 THEN 'Global' WHEN grouping(area) = 1 THEN 'Country' ELSE 'StationArea' END AS scope, CASE WHEN grouping(country, area) = 3 THEN 'All' WHEN grouping(area) = 1 THEN country ELSE area END AS grp,
+  horizon::BIGINT AS horizon, round(avg(abs(p - y)), 6) AS mae, round(sqrt(avg((p - y) ** 2)), 6) AS rmse, round(1 - sum((p - y) ** 2) / nullif(var_pop(y) * count(y), 0), 6) AS r2, round(avg(p - y), 6) AS bias, count(*) AS n
+  FROM pred GROUP BY GROUPING SETS ((horizon), (horizon, country), (horizon, area))"""
+_TEST_SQL = f"ts BETWEEN TIMESTAMP '{TEST_START}' AND TIMESTAMP '{TEST_END}'"
+
+
+def _with_area(spark, d):
+    return fixtures.wide(spark, d).join(fixtures.stations(spark, d).select("site_number", "area"), "site_number")
+
+
+@query(f"""WITH {_LINE_SQL}, fit AS (SELECT horizon, regr_slope(y, pm25) AS b, regr_intercept(y, pm25) AS a FROM s WHERE ts <= TIMESTAMP '{TRAIN_END}' GROUP BY 1),
+pred AS (SELECT country, area, horizon, y, a + b * pm25 AS p FROM s JOIN fit USING (horizon) WHERE {_TEST_SQL}) {_LINE_METRICS}""")
+def m2_one_feature(spark, d):
+    """A line through the value now, for every horizon, from one set of sums."""
+    return evaluate.error_metrics(models.evaluate(_with_area(spark, d), ["pm25"], "pm25", H, models.linear, SPLIT))
+
+
+@query(f"""WITH {_LINE_SQL}, t AS (SELECT * FROM s WHERE ts <= TIMESTAMP '{TRAIN_END}'), c AS (SELECT DISTINCT country AS left_out FROM t), fit AS (SELECT left_out, horizon, regr_slope(y, pm25) AS b, regr_intercept(y, pm25) AS a FROM t JOIN c ON country <> left_out GROUP BY 1, 2),
+pred AS (SELECT country, area, s.horizon, y, a + b * pm25 AS p FROM s JOIN fit ON s.horizon = fit.horizon AND country = left_out WHERE {_TEST_SQL}) {_LINE_METRICS}""")
+def m9_one_feature(spark, d):
+    """The same line for each country from all other countries: the total of the sums less its own."""
+    return evaluate.error_metrics(models.leave_each_country_out(_with_area(spark, d), ["pm25"], "pm25", H, models.linear, SPLIT))
+
+
 @query()
 def m3_random_forest(spark, d):
     return evaluate.error_metrics(models.evaluate(_feature_rows(spark, d), FEATURES, "pm25", [1], models.forest, SPLIT, numTrees=5, maxDepth=5))
@@ -1040,6 +1083,15 @@ def m6_fold_search(spark, d):
     return evaluate.error_metrics(models.evaluate(_feature_rows(spark, d), FEATURES, "pm25", [1], models.linear, SPLIT, **best))
 
 
+@query()
+def m6_forest_search(spark, d):
+    """Ten draws of a forest's grid over two expanding folds, fitted side by side."""
+    x = clean.drop_incomplete(timeseries.targets(_feature_rows(spark, d), "pm25", [1]), FEATURES)
+    grid = {"numTrees": [5, 10, 15], "maxDepth": [4, 6, 8], "minInstancesPerNode": [1, 2, 4], "featureSubsetStrategy": ["sqrt", "log2", "all"]}
+    best = models.search_folds(x, FEATURES, "y_h1", models.forest, grid, 10, 2)
+    return evaluate.error_metrics(models.evaluate(_feature_rows(spark, d), FEATURES, "pm25", [1], models.forest, SPLIT, **best))
+
+
 @query()
 def m7_holdout_search(spark, d):
     """The published grid of the additive model, on the last 50 000 rows of either side."""

@@ -16,14 +16,29 @@ from ..operators.clean import dataset_summary, missing_report
 from ..operators.sampling import first_per_group, first_rows
 
 
+#: The folders that ``scratch`` has named, by application.
+_scratch: dict[str, list[str]] = {}
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share, below ``spark.checkpoint.dir``; a local one where that is unset and Spark is local."""
+    """A new folder that all executors share, below ``spark.checkpoint.dir``; a local one where that is unset and Spark is local.
+
+    A lazy result may read it, so it stays until the caller has written that result and calls ``clear``.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="stationflow-")
-    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    _scratch.setdefault(spark.sparkContext.applicationId, []).append(f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}")
+    return _scratch[spark.sparkContext.applicationId][-1]
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all scratch folders of this application; for a caller whose results are written."""
+    for folder in _scratch.pop(spark.sparkContext.applicationId, []):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def land(df: DataFrame, path: str, period: str | None = None, mode: str = "ignore") -> None:

@@ -80,8 +80,16 @@ def test_csv_keeps_its_order(spark, tmp_path):
     assert dict(clean.as_float(df, ["id"]).dtypes)["id"] == "float"
 
 
-def test_a_scratch_folder_is_shared(spark):
-    assert sinks.scratch(spark) != sinks.scratch(spark)
+def test_a_scratch_folder_is_shared_until_it_is_cleared(spark):
+    import os
+
+    folder = sinks.scratch(spark)
+    assert folder != sinks.scratch(spark)
+    sinks.write_csv(spark.range(3), folder)
+    local = folder.removeprefix("file:")
+    assert os.path.isdir(local)
+    sinks.clear(spark)
+    assert not os.path.exists(local)
 
 
 def test_feature_lists(spark):
