@@ -263,11 +263,10 @@ def search_folds(df: DataFrame, features: list[str], label: str, make: Callable[
     fitted side by side on folds that are cached once.
     """
     draws = draw(grid, n_draws)
-    known = df.where(F.col(label).isNotNull())
-    rows, _ = row_folds(known, n_folds, ts, list(keys))
-    rows = rows.cache()
+    known = df.where(F.col(label).isNotNull()).cache()  # ranks, fits and errors all read it
     try:
-        rows.count()  # before several fits ask for it at once
+        known.count()  # before several fits ask for it at once
+        rows, _ = row_folds(known, n_folds, ts, list(keys))
         if make in GRAM:
             errors = _gram_errors(rows, features, label, make, draws, [(F.col("fold") <= i, F.col("fold") == i + 1, lambda g, i=i: int(g[0]) <= i) for i in range(n_folds)], ("fold",))
         else:
@@ -275,7 +274,7 @@ def search_folds(df: DataFrame, features: list[str], label: str, make: Callable[
             each = concurrently(df.sparkSession, jobs, workers)
             errors = [sum(each[k * n_folds : (k + 1) * n_folds]) / n_folds for k in range(len(draws))]
     finally:
-        rows.unpersist()
+        known.unpersist()
     return draws[min(range(len(draws)), key=lambda k: (errors[k], k))]
 
 
@@ -302,11 +301,12 @@ def _gram_errors(rows: DataFrame, features: list[str], label: str, make: Callabl
 
 def search_holdout(df: DataFrame, features: list[str], label: str, make: Callable[..., Pipeline], grid: dict[str, list], n_draws: int, train_end: str, valid_end: str, last_n: int, least: int, default: dict, ts: str = "ts", keys=STATION, workers: int = CONCURRENT) -> dict:
     """As above on the last rows before a date against the last rows after it; the default where a side is too small."""
-    known, draws = df.where(F.col(label).isNotNull()), draw(grid, n_draws)
-    train = last_rows(between(known, ts, None, train_end), last_n, ts, list(keys)).withColumn("_side", F.lit(0))
-    valid = last_rows(between(known, ts, None, valid_end).where(F.col(ts) > F.lit(train_end).cast("timestamp")), last_n, ts, list(keys)).withColumn("_side", F.lit(1))
-    rows = train.unionByName(valid).cache()
+    draws = draw(grid, n_draws)
+    known = between(df.where(F.col(label).isNotNull()), ts, None, valid_end).cache()  # ranks, fits and errors all read it
     try:
+        late = F.col(ts) > F.lit(train_end).cast("timestamp")
+        train = last_rows(known.where(~late), last_n, ts, list(keys)).withColumn("_side", F.lit(0))
+        rows = train.unionByName(last_rows(known.where(late), last_n, ts, list(keys)).withColumn("_side", F.lit(1)))
         counts = {r["_side"]: r["count"] for r in rows.groupBy("_side").count().collect()}
         if min(counts.get(0, 0), counts.get(1, 0)) <= least:
             return default
@@ -317,7 +317,7 @@ def search_holdout(df: DataFrame, features: list[str], label: str, make: Callabl
             errors = concurrently(df.sparkSession, [lambda p=p: mean_absolute_error(make(features, label, **p).fit(rows.where(a)), rows.where(b), label) for p in draws], workers)
         return draws[min(range(len(draws)), key=lambda k: (errors[k], k))]
     finally:
-        rows.unpersist()
+        known.unpersist()
 
 
 def linear_attributions(model: PipelineModel, rows: DataFrame, features: list[str], keys: list[str]) -> DataFrame:

@@ -110,12 +110,13 @@ def test_margins_that_are_written_anew_change_nothing(spark, monkeypatch):
 
 def test_sampling_repeats_and_early_stopping_keeps_the_best_round(spark):
     df, _, _ = table(spark)
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
     fit = lambda seed: boosting.boosting(FEATURES, "y", preset="leaf", rounds=4, max_leaves=4, bins=16, subsample=0.6, colsample=0.67, seed=seed).fit(df)
     a, b, c = fit(1), fit(1), fit(2)
     assert [t.bin for t in a.trees] == [t.bin for t in b.trees] != [t.bin for t in c.trees]
     noise = df.withColumn("y", F.when(F.col("held"), F.rand(3) * 100).otherwise(F.col("y")))
     stopped = boosting.boosting(FEATURES, "y", rounds=12, max_depth=2, bins=16, learning_rate=1.0, validation="held", stop_after=2).fit(noise)
-    assert len(stopped.errors) < 13 and len(stopped.trees) == int(np.argmin(stopped.errors)) and not spark.sparkContext._jsc.getPersistentRDDs()
+    assert len(stopped.errors) < 13 and len(stopped.trees) == int(np.argmin(stopped.errors)) and len(spark.sparkContext._jsc.getPersistentRDDs()) == before
 
 
 def test_constant_labels_empty_tables_and_extra_columns(spark):

@@ -248,3 +248,13 @@ def test_time_folds_expand_and_draws_are_distinct(spark, rows):
     assert folds[0][0].count() < folds[1][0].count() and folds[0][1].agg(F.min("ts")).first()[0] >= folds[0][0].agg(F.max("ts")).first()[0]
     assert len(models.draw({"a": [1, 2, 3], "b": [1, 2]}, 4)) == 4 and len(models.draw({"a": [1, 2]}, 9)) == 2
     assert models.search_holdout(rows.withColumn("y_h1", F.col("pm25")), queries.FEATURES, "y_h1", models.linear, {"regParam": [0.0]}, 1, queries.TRAIN_END, queries.TEST_END, 100, 10_000, {"regParam": 7}) == {"regParam": 7}
+
+
+def test_histogram_boosting_beats_the_first_order_learner(spark, rows):
+    from stationflow.plans import boosting
+
+    rmse = lambda p: p.agg(F.sqrt(F.avg(F.pow(F.col("y_pred") - F.col("y_true"), 2)))).first()[0]
+    old = rmse(models.evaluate(rows, queries.FEATURES, "pm25", [1], models.boosted, queries.SPLIT, preset="depth", maxIter=6))
+    new = rmse(models.evaluate(rows, queries.FEATURES, "pm25", [1], boosting.boosting, queries.SPLIT, rounds=20, max_depth=3, learning_rate=0.1, reg_lambda=5.0, min_child_rows=20))
+    print(f"held-out rmse: first-order {old:.3f}, histograms {new:.3f}")
+    assert new < old
