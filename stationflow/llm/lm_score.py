@@ -10,7 +10,7 @@ never missed. Probabilities are smoothed by Dirichlet priors, each order's being
 
 A trigram counts only if both its bigrams are there, and no count exceeds its context's.
 
-On Spark: n-grams are 64-bit hashes, counted in each task for about 4 MB of text and packed by the slice of
+On Spark: n-grams are 64-bit hashes (60 bits or more of which tell them apart), counted in each task for about 4 MB of text and packed by the slice of
 the filter they belong to; a slice's packs meet in one task, which adds them up and sets the slice's bits.
 The filter has ``BITS`` bits a training token, in slices of 32 kB, written to the shared folder. It is
 broadcast in blocks of ``BLOCK_SLICES`` slices (256 MB, some 200 million tokens) at most, one at a time: with one block a single pass
@@ -99,42 +99,52 @@ def ngrams(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 # --- the filter ----------------------------------------------------------------------------------
 
 
-def _places(h: np.ndarray, level: int) -> np.ndarray:
+def short(h: np.ndarray) -> np.ndarray:
+    """The 48 bits of a hash that tell an n-gram within its slice."""
+    return h >> np.uint64(16)
+
+
+def _places(keys: np.ndarray, level: int) -> np.ndarray:
     """The bits of (n-gram, level) within its slice."""
     with np.errstate(over="ignore"):
-        x = mix(h ^ mix(np.full(1, level + 7, np.uint64)))
+        x = mix(keys ^ mix(np.full(1, level + 7, np.uint64)))
         return (x[:, None] + (x >> np.uint64(32) | np.uint64(1))[:, None] * np.arange(PROBES, dtype=np.uint64)) & np.uint64(SLICE_BITS - 1)
 
 
-def slice_bits(h: np.ndarray, counts: np.ndarray) -> bytes:
-    """A slice of the filter from its n-grams' hashes and counts, each hash once."""
+def slice_bits(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """A slice of the filter from its n-grams' short keys and counts, each key once."""
     bits = np.zeros(SLICE_BITS, bool)
     level = 1
-    while len(h):
-        bits[_places(h, level).ravel().astype(np.int64)] = True
+    while len(keys):
+        bits[_places(keys, level).ravel().astype(np.int64)] = True
         keep = counts >= 1 << level
-        h, counts, level = h[keep], counts[keep], level + 1
+        keys, counts, level = keys[keep], counts[keep], level + 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
 @dataclass
 class FilterBlock:
-    """Slices ``base`` to ``base + len`` of a filter of ``n_slices``."""
+    """Slices ``base`` and on of a filter of ``n_slices``; plain bytes, which a task reads without a second copy."""
 
-    bits: np.ndarray
+    packed: bytes
     base: int
     n_slices: int
 
+    @property
+    def bits(self) -> np.ndarray:
+        return np.frombuffer(self.packed, np.uint8)
+
     def levels(self, h: np.ndarray) -> np.ndarray:
         """The quantised count of each n-gram; 0 if it is in none of these slices."""
         keys, back = np.unique(h, return_inverse=True)
         out = np.zeros(len(keys), np.uint8)
         of = (keys % np.uint64(self.n_slices)).astype(np.int64) - self.base
-        live = np.flatnonzero((of >= 0) & (of < len(self.bits) * 8 // SLICE_BITS))
+        bits = self.bits
+        live = np.flatnonzero((of >= 0) & (of < len(bits) * 8 // SLICE_BITS))
         level = 1
         while len(live):
-            at = _places(keys[live], level).astype(np.int64) + of[live][:, None] * SLICE_BITS
-            live = live[(self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).all(1)]
+            at = _places(short(keys[live]), level).astype(np.int64) + of[live][:, None] * SLICE_BITS
+            live = live[(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).all(1)]
             out[live] = level
             level += 1
         return out[back]
@@ -155,11 +165,12 @@ class Model:
         """The filter, a block at a time."""
         for base in range(0, self.n_slices, BLOCK_SLICES):
             top = min(self.n_slices, base + BLOCK_SLICES)
-            bits = np.zeros((top - base, SLICE_BITS // 8), np.uint8)
+            size = SLICE_BITS // 8
+            bits = bytearray((top - base) * size)
             got = self.slices.where(F.col("slice").between(base, top - 1)).toArrow()
             for s, b in zip(got.column("slice").to_pylist(), got.column("bits"), strict=True):
-                bits[s - base] = np.frombuffer(b.as_buffer(), np.uint8)
-            yield FilterBlock(bits.ravel(), base, self.n_slices)
+                bits[(s - base) * size : (s - base + 1) * size] = b.as_buffer()
+            yield FilterBlock(bytes(bits), base, self.n_slices)
 
 
 def _words(column: pa.Array, most: int):
@@ -179,13 +190,13 @@ def count_tokens(batches) -> Iterator[pa.RecordBatch]:
 
 
 def count_ngrams(batches, n_slices: int) -> Iterator[pa.RecordBatch]:
-    """The n-grams of stretches of text by slice: hashes and counts, packed."""
+    """The n-grams of stretches of text by slice: short keys of six bytes and counts, packed."""
     for b in batches:
         for _, _, hashes, first in _words(b.column(0), COUNTED):
             h, n = np.unique(ngrams(hashes, first), return_counts=True)
             of = (h % np.uint64(n_slices)).astype(np.int64)
             order = np.argsort(of, kind="stable")
-            h, n, of = h[order].astype("<u8"), n[order].astype("<u4"), of[order]
+            h, n, of = short(h[order]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6], n[order].astype("<u4"), of[order]
             slices, at = np.unique(of, return_index=True)
             ends = np.append(at[1:], len(of))
             packs = [[x[i:j].tobytes() for i, j in zip(at.tolist(), ends.tolist(), strict=True)] for x in (h, n)]
@@ -207,7 +218,9 @@ def fill_slices(batches) -> Iterator[pa.RecordBatch]:
                 if hashes:
                     yield done()
                 current, hashes, counts = s, [], []
-            hashes.append(np.frombuffer(h, "<u8"))
+            keys = np.zeros((len(h) // 6, 8), np.uint8)
+            keys[:, :6] = np.frombuffer(h, np.uint8).reshape(-1, 6)
+            hashes.append(keys.view("<u8")[:, 0])
             counts.append(np.frombuffer(n, "<u4"))
     if hashes:
         yield done()

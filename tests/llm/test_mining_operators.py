@@ -245,10 +245,10 @@ def test_filter_misses_no_ngram_and_invents_few():
     rng = np.random.default_rng(5)
     h, counts = np.unique(rng.integers(0, 1 << 63, 20_000).astype(np.uint64)), None
     counts = rng.integers(1, 200, len(h))
-    block = lm_score.FilterBlock(np.frombuffer(lm_score.slice_bits(h[:15_000], counts[:15_000]), np.uint8), 0, 1)
+    block = lm_score.FilterBlock(lm_score.slice_bits(lm_score.short(h[:15_000]), counts[:15_000]), 0, 1)
     got, true = block.levels(h[:15_000]), np.floor(np.log2(counts[:15_000])).astype(int) + 1
     assert (got >= true).all()
-    sparse = lm_score.FilterBlock(np.frombuffer(lm_score.slice_bits(h[:3000], counts[:3000]), np.uint8), 0, 1)
+    sparse = lm_score.FilterBlock(lm_score.slice_bits(lm_score.short(h[:3000]), counts[:3000]), 0, 1)
     assert (sparse.levels(h[:3000]) == np.floor(np.log2(counts[:3000])).astype(int) + 1).mean() > 0.97 and (sparse.levels(h[3000:]) > 0).mean() < 0.03
 
 
