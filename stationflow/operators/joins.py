@@ -84,11 +84,11 @@ def unmatched(metrics: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def group_features(importances: DataFrame, groups: DataFrame, prefixes: dict[str, str]) -> DataFrame:
-    """The feature's listed group, else the first fitting prefix's, else Other."""
+    """The feature's listed group, else the first fitting prefix's, else Other. The list is short and is broadcast: dealt by feature, all rows would meet in a few tasks."""
     fallback = F.lit("Other")
     for prefix, name in reversed(list(prefixes.items())):
         fallback = F.when(F.contains(F.col("feature"), F.lit(prefix)), name).otherwise(fallback)
-    return importances.join(groups, "feature", "left").withColumn("feature_group", F.coalesce("feature_group", fallback))
+    return importances.join(F.broadcast(groups), "feature", "left").withColumn("feature_group", F.coalesce("feature_group", fallback))
 
 
 def stations_in_both(df: DataFrame, is_train: Column, is_test: Column, keys: list[str]) -> DataFrame:

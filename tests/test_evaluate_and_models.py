@@ -258,3 +258,23 @@ def test_histogram_boosting_beats_the_first_order_learner(spark, rows):
     new = rmse(models.evaluate(rows, queries.FEATURES, "pm25", [1], boosting.boosting, queries.SPLIT, rounds=20, max_depth=3, learning_rate=0.1, reg_lambda=5.0, min_child_rows=20))
     print(f"held-out rmse: first-order {old:.3f}, histograms {new:.3f}")
     assert new < old
+
+
+def test_grouped_importance_deals_rows_to_tasks_that_grow_with_them(spark, monkeypatch):
+    rows = [(i % 40, f, (i % 7 - 3.0) if f != "pm25" else None) for i in range(60) for f in ("pm25", "pm25_lag_1h", "hour_sin", "wind")] + [(None, "wind", 2.0)]
+    listed = spark.createDataFrame([("hour_sin", "Temporal")], "feature string, feature_group string")
+    grouped = joins.group_features(spark.createDataFrame(rows, "row_id long, feature string, value double"), listed, {"pm25": "History"})
+    assert "BroadcastHashJoin" in grouped._jdf.queryExecution().executedPlan().toString()  # four features must not deal all rows to four tasks
+    monkeypatch.setattr(evaluate, "ROWS_A_TASK", 10)
+    assert evaluate.by_row(grouped, len(rows)).rdd.getNumPartitions() == -(-len(rows) // 10)
+    sums = {}
+    for i, f, v in rows:
+        if v is not None:
+            g = "Temporal" if f == "hour_sin" else "History" if f.startswith("pm25") else "Other"
+            sums[g, i] = sums.get((g, i), 0.0) + abs(v)
+    got = {r["feature_group"]: r for r in evaluate.grouped_importance(grouped).collect()}
+    assert {g: r["n_features"] for g, r in got.items()} == {"Temporal": 1, "History": 2, "Other": 1}
+    for g, r in got.items():
+        mine = [v for (h, _), v in sums.items() if h == g]
+        assert math.isclose(r["importance_mean"], np.mean(mine)) and math.isclose(r["importance_std"], np.std(mine))
+    assert evaluate.grouped_importance(grouped.where("false")).count() == 0
