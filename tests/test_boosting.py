@@ -134,3 +134,14 @@ def test_it_learns_better_than_a_line(spark):
     model = boosting.boosting(FEATURES, "y", rounds=25, max_depth=4, learning_rate=0.3, bins=64).fit(df.where("NOT held"))
     rmse = model.transform(df.where("held")).agg(F.sqrt(F.avg(F.pow(F.col("y") - F.col("y_pred"), 2)))).first()[0]
     assert rmse < 0.4 * y.std()
+
+
+def test_a_tree_grown_by_leaf_takes_a_pass_a_level_and_rows_are_dealt_in_blocks(spark, monkeypatch):
+    df, _, _ = table(spark)
+    passes, tasks, whole = [], [], boosting.Rows.histograms
+    monkeypatch.setattr(boosting, "BLOCK", 50)
+    monkeypatch.setattr(boosting, "MOST", 60)
+    monkeypatch.setattr(boosting.Rows, "histograms", lambda self, *x: (passes.append(x[1]), tasks.append((self.state.rdd.getNumPartitions(), self.state.count())), whole(self, *x))[2])
+    tree = boosting.boosting(FEATURES, "y", preset="leaf", rounds=1, max_leaves=9, min_child_rows=5, bins=16).fit(df.coalesce(1)).trees[0]
+    assert tree.feature.count(-1) == 9 and len(passes) < 8  # 8 splits
+    assert tasks[0][0] == 5 and tasks[0][1] <= 5  # 300 rows in tasks of 60 each, a block in each
