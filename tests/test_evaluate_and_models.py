@@ -278,3 +278,33 @@ def test_grouped_importance_deals_rows_to_tasks_that_grow_with_them(spark, monke
         mine = [v for (h, _), v in sums.items() if h == g]
         assert math.isclose(r["importance_mean"], np.mean(mine)) and math.isclose(r["importance_std"], np.std(mine))
     assert evaluate.grouped_importance(grouped.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(("name", "fits"), [("m4_boosted_trees", 2)])
+def test_searches_and_fits_read_rows_that_are_written_once(spark, monkeypatch, name, fits):
+    made, read, whole = [], [], queries._feature_rows
+    monkeypatch.setattr(queries, "_feature_rows", lambda *x: (made.append(x), whole(*x))[1])
+    for search in ("search_folds", "search_holdout"):
+        monkeypatch.setattr(models, search, lambda x, *more: (read.append(x.inputFiles()), {})[1])
+    monkeypatch.setattr(models, "evaluate_ready", lambda x, *more, **params: (read.append(x.inputFiles()), predictions(spark, [("AT", 1, 1)]))[1])
+    getattr(queries, name)(spark, "/root/testdata/sf0.001")
+    assert len(made) == 1 and len(read) == max(2, fits) and read[0] == read[1] and all("scratch" in f for f in read[0]) and read[0]
+
+
+def test_fits_read_rows_that_are_dealt_to_all_cores(spark):
+    parts = []
+
+    class Stop(Exception):
+        pass
+
+    class Fit:
+        def fit(self, train):
+            parts.append(train.rdd.getNumPartitions())
+            raise Stop
+
+    rows = spark.range(90).select(F.lit("AT").alias("country"), F.lit("1").alias("site_number"), F.timestamp_seconds(F.col("id") * 3600).alias("ts"), F.col("id").cast("double").alias("a"), F.col("id").cast("double").alias("y_h1")).coalesce(1)
+    with pytest.raises(Stop):
+        models.evaluate_ready(rows, ["a"], [1], lambda *x: Fit(), models.SPLIT_1)
+    with pytest.raises(Stop):
+        models.search_folds(rows, ["a"], "y_h1", lambda *x, **params: Fit(), {"k": [1]}, 1, 2, workers=1)
+    assert min(parts) == 2 * spark.sparkContext.defaultParallelism
