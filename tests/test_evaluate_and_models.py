@@ -280,7 +280,7 @@ def test_grouped_importance_deals_rows_to_tasks_that_grow_with_them(spark, monke
     assert evaluate.grouped_importance(grouped.where("false")).count() == 0
 
 
-@pytest.mark.parametrize(("name", "fits"), [("m4_boosted_trees", 2), ("m7_holdout_search", 1)])
+@pytest.mark.parametrize(("name", "fits"), [("m4_boosted_trees", 2), ("m7_holdout_search", 1), ("m6_forest_search", 1)])
 def test_searches_and_fits_read_rows_that_are_written_once(spark, monkeypatch, name, fits):
     made, read, whole = [], [], queries._feature_rows
     monkeypatch.setattr(queries, "_feature_rows", lambda *x: (made.append(x), whole(*x))[1])
