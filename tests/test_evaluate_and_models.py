@@ -308,3 +308,20 @@ def test_fits_read_rows_that_are_dealt_to_all_cores(spark):
     with pytest.raises(Stop):
         models.search_folds(rows, ["a"], "y_h1", lambda *x, **params: Fit(), {"k": [1]}, 1, 2, workers=1)
     assert min(parts) == 2 * spark.sparkContext.defaultParallelism
+
+
+def test_ready_rows_come_from_one_reading_of_the_events(spark, monkeypatch):
+    from stationflow.operators import clean, timeseries
+    from stationflow.plans import features
+    from stationflow.sources import fixtures
+
+    d, scans, given, long, table = "/root/testdata/sf0.001", [], [], fixtures.long, features.feature_table
+    monkeypatch.setattr(fixtures, "long", lambda *x: (scans.append(x), long(*x))[1])
+    monkeypatch.setattr(features, "feature_table", lambda x, *more, **params: (given.append(x.inputFiles()), table(x, *more, **params))[1])
+    got = queries._ready(spark, d)
+    assert len(scans) == 1 and given[0] and all("scratch" in f for f in given[0])  # gaps are filled from written hours, not from the events again
+    monkeypatch.undo()
+    x = features.feature_table(fixtures.wide(spark, d, 100), fixtures.weather(spark, d, 100), (1, 2, 3), (3, 6)).join(fixtures.stations(spark, d).select("site_number", "area"), "site_number")
+    want = clean.drop_incomplete(timeseries.targets(x, "pm25", [1]), queries.FEATURES).select(got.columns)
+    texts = lambda df: sorted(str([f"{v:.9g}" if isinstance(v, float) else str(v) for v in r]) for r in df.collect())
+    assert texts(got) == texts(want) and got.count() > 50
