@@ -325,3 +325,11 @@ def test_ready_rows_come_from_one_reading_of_the_events(spark, monkeypatch):
     want = clean.drop_incomplete(timeseries.targets(x, "pm25", [1]), queries.FEATURES).select(got.columns)
     texts = lambda df: sorted(str([f"{v:.9g}" if isinstance(v, float) else str(v) for v in r]) for r in df.collect())
     assert texts(got) == texts(want) and got.count() > 50
+
+
+def test_a_holdout_search_moves_only_the_rows_it_chose(spark, monkeypatch):
+    moved, dealt = [], models.dealt
+    monkeypatch.setattr(models, "dealt", lambda rows, keys: (moved.append(rows.count()), dealt(rows, keys))[1])
+    rows = spark.range(200).select(F.lit("AT").alias("country"), F.lit("1").alias("site_number"), F.timestamp_seconds(F.col("id") * 3600).alias("ts"), F.sin("id").alias("a"), F.sin("id").alias("y_h1"))
+    best = models.search_holdout(rows, ["a"], "y_h1", models.linear, {"regParam": [10.0, 0.0]}, 2, "1970-01-06 03:00:00", "1970-01-09 03:00:00", 30, 10, {})
+    assert moved == [60] and best == {"regParam": 0.0}
