@@ -333,3 +333,28 @@ def test_a_holdout_search_moves_only_the_rows_it_chose(spark, monkeypatch):
     rows = spark.range(200).select(F.lit("AT").alias("country"), F.lit("1").alias("site_number"), F.timestamp_seconds(F.col("id") * 3600).alias("ts"), F.sin("id").alias("a"), F.sin("id").alias("y_h1"))
     best = models.search_holdout(rows, ["a"], "y_h1", models.linear, {"regParam": [10.0, 0.0]}, 2, "1970-01-06 03:00:00", "1970-01-09 03:00:00", 30, 10, {})
     assert moved == [60] and best == {"regParam": 0.0}
+
+
+def test_forests_are_fitted_on_vectors_that_are_made_once(spark, monkeypatch):
+    from pyspark.ml.feature import VectorAssembler
+    from stationflow.operators import sampling
+
+    keys, grid = ["country", "site_number"], {"numTrees": [2, 3], "maxDepth": [1, 3]}
+    rows = spark.range(600).select(F.lit("AT").alias("country"), (F.col("id") % 3).cast("string").alias("site_number"), F.timestamp_seconds(F.floor(F.col("id") / 3) * 3600).alias("ts"), F.when(F.col("id") % 50 > 0, F.sin("id")).alias("a"), F.cos("id").alias("b"))
+    rows = rows.withColumn("y_h1", F.coalesce("a", F.lit(0.0)) + F.col("b"))
+    folds = sampling.row_folds(models.dealt(rows, [*keys, "ts"]), 2, "ts", keys)[0].cache()
+    plain = [sum(models.mean_absolute_error(models.forest(["a", "b"], "y_h1", **p).fit(folds.where(F.col("fold") <= i)), folds.where(F.col("fold") == i + 1), "y_h1") for i in range(2)) / 2 for p in models.draw(grid, 4)]
+    split = models.Split("1970-01-06 00:00:00", "1970-01-06 01:00:00", "1970-01-09 00:00:00")
+    train, test = models.sides(rows, split)
+    want = models.score_horizons(test, {1: models.forest(["a", "b"], "y_h1", numTrees=3, maxDepth=3).fit(models.dealt(train, [*keys, "ts"]).cache())}, [*keys, "ts"])
+
+    made, errors, transform, run = [], [], VectorAssembler.transform, models.concurrently
+    monkeypatch.setattr(VectorAssembler, "transform", lambda self, df, *more: (made.append(df), transform(self, df, *more))[1])
+    monkeypatch.setattr(models, "concurrently", lambda *x: (errors.extend(run(*x)), errors)[1])
+    best = models.search_folds(rows, ["a", "b"], "y_h1", models.forest, grid, 4, 2)
+    assert len(made) == 1 and len(errors) == 8  # not once a fit and once an error
+    assert [(errors[2 * k] + errors[2 * k + 1]) / 2 for k in range(4)] == pytest.approx(plain) and best == models.draw(grid, 4)[plain.index(min(plain))]
+    made.clear()
+    got = models.evaluate_ready(rows, ["a", "b"], [1], models.forest, split, numTrees=3, maxDepth=3)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 50
+    assert len(made) == 2 and all("y_h1" in x.columns for x in made)  # the training rows, kept for all passes, and the test rows
