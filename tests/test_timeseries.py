@@ -177,3 +177,10 @@ def test_repeated_times_are_made_one_first(spark):
     x = frame(spark, [("a", 0, 1.0), ("a", 0, 2.0), ("a", 1, 3.0)])
     one = ts.first_per_key(x, ["country", "site_number", "ts"], [F.col("pm25").desc()])
     assert [(r["segment_pos"], r["pm25_lag_1h"]) for r in ts.time_lags(ts.segments(one), ["pm25"], [1]).orderBy("h").collect()] == [(1, None), (2, 2.0)]
+
+
+def test_gaps_are_filled_without_a_sort_for_the_parts(spark):
+    rows = spark.createDataFrame([("AT", "1", h, v, w) for h, v, w in ((0, None, None), (1, 2.0, None), (4, None, -0.5), (6, 8.0, None), (9, None, None))], "country string, site_number string, h long, v double, w double")
+    filled = ts.fill_gaps(rows.withColumn("ts", F.timestamp_seconds(F.col("h") * 3600)), ["v", "w"])
+    assert "SortAggregate" not in filled._jdf.queryExecution().executedPlan().toString()
+    assert [(r["v"], r["w"]) for r in filled.orderBy("h").collect()] == [(2.0, -0.5), (2.0, -0.5), (5.0, -0.5), (8.0, -0.5), (8.0, -0.5)]
