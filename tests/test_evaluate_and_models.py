@@ -358,3 +358,34 @@ def test_forests_are_fitted_on_vectors_that_are_made_once(spark, monkeypatch):
     got = models.evaluate_ready(rows, ["a", "b"], [1], models.forest, split, numTrees=3, maxDepth=3)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 50
     assert len(made) == 2 and all("y_h1" in x.columns for x in made)  # the training rows, kept for all passes, and the test rows
+
+
+def test_boosting_goes_on_past_rounds_that_gain_nothing(spark, monkeypatch, tmp_path):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.regression import GBTRegressionModel
+
+    rows = spark.range(400).select("id", F.sin("id").alias("a"), (10 * F.sin(3 * F.sin("id"))).alias("y_h1"), (F.col("id") % 4 == 0).alias("held")).cache()
+    grown, planted = [], [5.0, 4.0, 4.5, 4.2, 3.0, 3.1, 3.2, 3.3, 2.0, 1.0]  # two rounds after the second do not gain, which ends nothing; three after the fifth do
+    with monkeypatch.context() as m:
+        m.setattr(GBTRegressionModel, "evaluateEachIteration", lambda self, held, loss: (grown.append((self.getNumTrees, held.where("id % 4 > 0").count())), planted[: self.getNumTrees])[1])
+        fit = lambda **more: models.boosted(["a"], "y_h1", maxDepth=2, validation="held", patience=3, **more).fit(rows)
+        whole, bounded, short = fit(), fit(maxIter=6), fit(maxIter=2)
+    assert grown == [(4, 0), (8, 0), (4, 0), (6, 0), (2, 0)]
+    assert [x.stages[-1].getNumTrees for x in (whole, bounded, short)] == [5, 5, 2]
+    want = models.boosted(["a"], "y_h1", maxDepth=2, maxIter=5).fit(rows.where("NOT held"))
+    whole.write().overwrite().save(str(tmp_path / "m"))
+    got = [[r["y_pred"] for r in x.transform(rows).orderBy("id").collect()] for x in (whole, PipelineModel.load(str(tmp_path / "m")), want)]
+    assert got[0] == got[1] == pytest.approx(got[2])
+    learnt = models.boosted(["a"], "y_h1", maxDepth=2, validation="held", patience=5, maxIter=40).fit(rows).stages[-1]
+    assert learnt.getNumTrees > 30  # each round of a plain signal gains
+    for flag in ("true", "false"):
+        with pytest.raises(ValueError, match="needed to stop by"):
+            models.boosted(["a"], "y_h1", validation="held").fit(rows.withColumn("held", F.expr(flag)))
+
+
+def test_boosted_trees_have_the_published_rounds(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(models, "evaluate_ready", lambda x, names, h, make, split, **params: (asked.append(make(names, "y_h1", **params).getStages()[-1]), predictions(spark, [("AT", 1, 1)]))[1])
+    queries.m4_boosted_trees(spark, "/root/testdata/sf0.001")
+    assert [(s.model.getMaxIter(), s.patience, s.flag) for s in asked] == [(1500, 50, "held"), (20_000, 200, "held")]
+    assert models.best_round([3.0, 2.0, 2.0, 2.5], 2) == (2, True) and models.best_round([3.0, 2.0, 2.0], 2) == (2, False)
